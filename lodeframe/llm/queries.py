@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import decontamination, ngram_join, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": packing.run,
     "op7_ngram_jaccard_join": ngram_join.run,
+    "op10_benchmark_decontamination": decontamination.run,
 }
 
 SQL: dict[str, str] = {}
