@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, substring_dedup
+from . import decontamination, ngram_join, packing, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.run,
     "op2_substring_dedup": substring_dedup.run,
+    "op6_toxicity": toxicity.run,
     "op7_ngram_jaccard_join": ngram_join.run,
     "op10_benchmark_decontamination": decontamination.run,
 }
