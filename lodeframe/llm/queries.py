@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, ngram_join, packing, substring_dedup, toxicity
+from . import (
+    decontamination,
+    html_extraction,
+    language_id,
+    ngram_join,
+    packing,
+    substring_dedup,
+    token_counts,
+    token_store,
+    topk_search,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.run,
     "op2_substring_dedup": substring_dedup.run,
+    "op3_html_extraction": html_extraction.run,
+    "op4_token_store": token_store.run,
+    "op5_topk_search": topk_search.run,
     "op6_toxicity": toxicity.run,
     "op7_ngram_jaccard_join": ngram_join.run,
+    "op8_language_id": language_id.run,
+    "op9_token_counts": token_counts.run,
     "op10_benchmark_decontamination": decontamination.run,
 }
 
