@@ -33,7 +33,7 @@ class SpanRule:
 
 
 def _flags(values: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int32)
+    table = np.zeros(256, np.int8)
     table[list(values)] = 1
     return table
 
@@ -49,8 +49,11 @@ def sentences(data: np.ndarray, offsets: np.ndarray, rule: SpanRule) -> tuple[np
         none = np.zeros(0, np.int64)
         return none, none.view(X.U64), none, np.zeros(len(offsets), np.int64)
     hashes = X.word_hashes(data, starts, ends, X.ALNUM[1])
-    sums = [np.concatenate([[0], np.cumsum(t[data], dtype=np.int64)]) for t in (_STOP, _SPACE, _LINE)]
-    gap = [s[starts[1:]] - s[ends[:-1]] for s in sums]
+    gap = []
+    for t in (_STOP, _SPACE, _LINE):  # counts between neighbouring words
+        sums = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(t[data], out=sums[1:])
+        gap.append(sums[starts[1:]] - sums[ends[:-1]])
     first = np.ones(m, bool)
     first[1:] = ((gap[0] > 0) & (gap[1] > 0)) | (gap[2] > 0)
     first[at[:-1][at[:-1] < at[1:]]] = True

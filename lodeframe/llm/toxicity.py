@@ -30,8 +30,8 @@ from .substring_dedup import SpanRule, sentences
 class ToxicityRule:
     """sample: toxic documents that the field is fitted on, at most, and twice as many clean ones (the bound of the sample)."""
 
-    sample: int = 1000
-    sample_bytes: int = 16_000_000
+    sample: int = 800
+    sample_bytes: int = 8_000_000
     folds: int = 5
     held_out: int = 0
     buckets: int = 1 << 18
