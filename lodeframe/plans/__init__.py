@@ -1,5 +1,6 @@
 """Named queries over the driver's tables, and the SQL that gives the same rows."""
 
+from . import consensus
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "consensus"]
