@@ -5,7 +5,11 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ColumnOrName = Column | str
 
 
 def indel_ratio(a: str | None, b: str | None) -> float | None:
@@ -31,14 +35,21 @@ def sequence_ratio(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
-def indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def _pairwise(f):
+    """An Arrow-batched function of two text columns; made when it is used, for workers import this module without a session."""
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratios, T.DoubleType())
+
+
+def indel_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
+    return _pairwise(indel_ratio)(a, b)
 
 
-@F.pandas_udf("double")
-def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def sequence_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
+    return _pairwise(sequence_ratio)(a, b)
 
 
 def near_substring(text: str | None, marker: str, least: int = 8) -> bool:
@@ -51,8 +62,7 @@ def near_substring(text: str | None, marker: str, least: int = 8) -> bool:
 
 
 def near_substring_udf(marker: str, least: int = 8):
-    @F.pandas_udf("boolean")
     def holds(text: pd.Series) -> pd.Series:
         return pd.Series([near_substring(t, marker, least) for t in text], dtype="bool")
 
-    return holds
+    return F.pandas_udf(holds, T.BooleanType())

@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, and the SQL that gives the same rows."""
 
-from . import consensus
+from . import consensus, search, stats
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "consensus"]
+__all__ = ["ORACLES", "QUERIES", "consensus", "search", "stats"]
