@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +160,10 @@ class ShardReader:
 class Encoder:
     """Encodes texts with a tokenizer file, each distinct stretch once.
 
-    A byte-level tokenizer with the usual splitting pattern never merges over a space that a
-    non-space follows: such spaces begin a stretch.  Stretches are encoded by the tokenizers
-    library and remembered, at most ``remembered`` of them.
+    The byte-level splitting pattern never joins across these places, so a stretch may begin there:
+    before a space that a non-space follows, where a digit or letter of ASCII meets punctuation or
+    white space, and behind a line feed between two of these.  Stretches are encoded by the
+    tokenizers library and remembered, at most ``remembered`` of them.
     """
 
     remembered = 1 << 20
@@ -174,54 +176,91 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, X.U64)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        """Two sorted levels of (hash, number of stretch): new ones join the small one, which is merged into the large one now and then."""
+        self.levels = [(np.zeros(0, X.U64), np.zeros(0, np.int64)) for _ in range(2)]
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
+        self.n = 0
+
+    def _find(self, distinct: np.ndarray) -> np.ndarray:
+        """Number of each stretch, -1 if it is not known."""
+        number = np.full(len(distinct), -1, np.int64)
+        for hashes, numbers in self.levels:
+            if len(hashes):
+                place = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+                hit = hashes[place] == distinct
+                number[hit] = numbers[place[hit]]
+        return number
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        at, total = int(self.starts[self.n]), int(sizes.sum())
+        if self.n + len(ids) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(ids) + 1), np.int64)])
+        if at + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
+        self.flat[at : at + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.starts[self.n + 1 : self.n + 1 + len(ids)] = at + np.cumsum(sizes)
+        numbers = np.arange(self.n, self.n + len(ids))
+        self.n += len(ids)
+        small = self._merged(self.levels[1], (hashes, numbers))
+        if len(small[0]) * 4 > len(self.levels[0][0]):
+            self.levels = [self._merged(self.levels[0], small), (hashes[:0], numbers[:0])]
+        else:
+            self.levels[1] = small
+        return numbers
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.concatenate([a[0], b[0]])
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], np.concatenate([a[1], b[1]])[order]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, id offsets of the texts)."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        kind = _KIND[data]
         cut = np.zeros(n, bool)
-        cut[:-1] = (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
+        cut[1:] = _MEETS[kind[:-1], kind[1:]]
+        cut[2:] |= (kind[1:-1] == 3) & _WORDLIKE[kind[:-2]] & _WORDLIKE[kind[2:]]
+        cut[:-1] |= (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         hashes = X.word_hashes(data, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        place, known = self._find(distinct)
-        new = np.flatnonzero(~known)
+        number = self._find(distinct)
+        new = np.flatnonzero(number < 0)
         if len(new):
-            if len(self.hashes) + len(new) > self.remembered:
+            if self.n + len(new) > self.remembered:
                 self._clear()
                 new = np.arange(len(distinct))
-            texts = [data[starts[i] : ends[i]].tobytes().decode() for i in first[new]]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))])
-            both = np.concatenate([self.hashes, distinct[new]])
-            order = np.argsort(both, kind="stable")
-            self.hashes, self.starts, self.sizes = both[order], self.starts[order], self.sizes[order]
-            place, _ = self._find(distinct)
-        sizes = self.sizes[place][which]
+            raw = data.tobytes()
+            number[new] = self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
+        number = number[which]
+        begin = self.starts[number]
+        sizes = self.starts[number + 1] - begin
         at = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.repeat(self.starts[place][which] - at[:-1], sizes) + np.arange(at[-1])
+        source = np.arange(at[-1])
+        source += np.repeat(begin - at[:-1], sizes)
         return self.flat[source], at[np.searchsorted(starts, offsets)]
 
-    def _find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(distinct), np.int64), np.zeros(len(distinct), bool)
-        place = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
-        return place, self.hashes[place] == distinct
-
 
 #: Bytes behind a space that begin no white-space character: C2, E1, E2 and E3 may.
 _FOLLOWS = np.ones(256, bool)
 _FOLLOWS[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Kinds of bytes: 0 others, 1 letters and digits, 2 punctuation, 3 line feed.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+_KIND[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 2
+_KIND[0x0A] = 3
+#: Whether a stretch begins at a byte of the second kind behind one of the first.
+_MEETS = np.zeros((4, 4), bool)
+_MEETS[1, 2] = _MEETS[1, 3] = _MEETS[2, 3] = True
+_WORDLIKE = np.array([False, True, True, False])
 
 _ENCODERS: dict[str, Encoder] = {}
 
