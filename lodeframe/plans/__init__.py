@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, and the SQL that gives the same rows."""
 
-from . import consensus, matching, search, stats
+from . import consensus, matching, search, stats, sync, verdicts
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "consensus", "matching", "search", "stats"]
+__all__ = ["ORACLES", "QUERIES", "consensus", "matching", "search", "stats", "sync", "verdicts"]

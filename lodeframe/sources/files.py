@@ -47,7 +47,7 @@ def order_slots(orders: DataFrame, column: str = "xml") -> DataFrame:
     schema = T.StructType([T.StructField("card", T.ArrayType(ORDER_IMAGE))])
     rest = [c for c in orders.columns if c != column]
     cards = orders.select(*rest, F.explode(F.from_xml(column, schema)["card"]).alias("c"))
-    return cards.select(*rest, F.col("c.id").alias("id"), F.explode(F.split("c.slots", r"\s*,\s*")).cast("int").alias("slot"))
+    return cards.select(*rest, F.col("c.id").alias("id"), F.explode(F.split("c.slots", r"\s*,\s*")).alias("slot")).withColumn("slot", F.col("slot").cast("int"))
 
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
