@@ -130,6 +130,22 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: n
     return out
 
 
+class RangeHashes:
+    """Hashes of any byte ranges of one buffer, from sums that are taken once.
+
+    They are plain polynomial values: equal for equal bytes, and not those of ``word_hashes``.
+    """
+
+    def __init__(self, data: np.ndarray) -> None:
+        n = len(data)
+        self.sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum((data.astype(U64) + U64(1)) * _powers(BASE, n), out=self.sums[1:])
+        self.inverse = _powers(INVERSE, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
+
+
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n consecutive word hashes (len - n + 1 of them, none if fewer words)."""
     m = len(hashes) - n + 1

@@ -43,7 +43,7 @@ class Pieces:
         for length, rows in groups.items():
             data = np.frombuffer(b"".join(p for p, _ in rows), np.uint8)
             starts = np.arange(len(rows)) * length
-            hashes = X.word_hashes(data, starts, starts + length)
+            hashes = X.RangeHashes(data)(starts, starts + length)
             order = np.argsort(hashes)
             self.by_length[length] = hashes[order], np.array([s for _, s in rows])[order]
 
@@ -97,24 +97,21 @@ def trie_counts(tokens: list[bytes], pieces: Pieces) -> np.ndarray:
     nodes: list[np.ndarray] = [np.zeros(len(tokens), np.int64)]
     best, count = [np.zeros(1)], [np.zeros(1, np.int64)]
     alive = np.arange(len(tokens))
-    prefix = np.zeros(len(tokens), X.U64)
+    hashed = X.RangeHashes(data)
     for depth in range(1, int(lengths.max(initial=0)) + 1):
         alive = alive[lengths[alive] >= depth]
-        prefix[alive] = X.mix(prefix[alive] * X.U64(0xFF51AFD7ED558CCD) + data[starts[alive] + depth - 1].astype(X.U64) + X.U64(1))
-        _, first, own = np.unique(prefix[alive], return_index=True, return_inverse=True)
+        _, first, own = np.unique(hashed(starts[alive], starts[alive] + depth), return_index=True, return_inverse=True)
         node = np.full(len(tokens), -1, np.int64)
         node[alive] = own
         nodes.append(node)
         sample = alive[first]  # a token through each node
-        order = np.argsort(starts[sample])
+        end = starts[sample] + depth
         b = best[depth - 1][nodes[depth - 1][sample]] + pieces.byte_score
         c = count[depth - 1][nodes[depth - 1][sample]] + 1
         for length, (hashes, scores) in pieces.by_length.items():
             if length > depth:
                 continue
-            end = starts[sample[order]] + depth
-            h = np.empty(len(sample), X.U64)
-            h[order] = X.word_hashes(data, end - length, end)
+            h = hashed(end - length, end)
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = np.flatnonzero(hashes[at] == h)
             if not len(hit):
@@ -153,10 +150,9 @@ def _count(pieces, at_text: int):
             counts[new[~short]] = [count_one(t, table) for t in tokens if len(t) > LONG]
             if short.any():
                 counts[new[short]] = trie_counts([t for t in tokens if len(t) <= LONG], table)
-            if len(known_hash) + len(new) <= REMEMBERED:
-                known_hash, known = np.concatenate([known_hash, distinct[new]]), np.concatenate([known, counts[new]])
-                order = np.argsort(known_hash)
-                known_hash, known = known_hash[order], known[order]
+            if len(known_hash) + len(new) <= REMEMBERED and len(new):
+                at_new = np.searchsorted(known_hash, distinct[new])  # both are sorted, so this merges them
+                known_hash, known = np.insert(known_hash, at_new, distinct[new]), np.insert(known, at_new, counts[new])
             sums = np.concatenate([[0], np.cumsum(counts[which])])
             keep = [batch.column(j) for j in range(batch.num_columns) if j != at_text]
             names = [n for j, n in enumerate(batch.schema.names) if j != at_text]
