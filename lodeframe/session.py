@@ -30,14 +30,21 @@ def session(name: str = "lodeframe", master: str | None = None, shuffle_partitio
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def checkpointed(df):
-    """df cut from its lineage by a checkpoint in ``spark.checkpoint.dir``; a temporary folder only where all runs on this machine."""
+    """df cut from its lineage by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
