@@ -245,3 +245,25 @@ def deck_line(c: Column) -> Column:
         F.upper(F.nullif(F.regexp_extract(body, printing, 1), F.lit(""))).alias("set_code"),
         F.nullif(F.regexp_extract(body, printing, 2), F.lit("")).alias("number"),
     )
+
+
+# Language marks that follow a set code.
+LANGUAGE_MARKS = "EN|FR|DE|ES|IT|PT|JA|KO|RU|ZH"
+
+
+def collector_line(c: Column) -> Column:
+    """(number, set_code) of a line of small print: the first number, then the first code of 3 to 5 letters or digits behind it, else before it.
+
+    A code of digits alone, the number itself, a code behind a slash (a denominator with its rarity) and
+    a language mark are no set codes.
+    """
+    number = F.lower(F.nullif(F.regexp_extract(c, r"(?<![A-Za-z0-9])(\d{1,4}[a-zA-Z]?)(?![A-Za-z0-9])", 1), F.lit("")))
+    at = F.regexp_instr(c, F.lit(r"(?<![A-Za-z0-9])\d{1,4}[a-zA-Z]?(?![A-Za-z0-9])"))
+    behind = F.when(number.isNotNull(), c.substr(at + F.length(number), F.length(c)))
+    before = F.when(number.isNotNull(), c.substr(F.lit(1), at - 1))
+
+    def code(part: Column) -> Column:
+        words = F.regexp_extract_all(part, F.lit(r"(?<![A-Za-z0-9/])[A-Za-z0-9]{3,5}(?![A-Za-z0-9])"), F.lit(0))
+        return F.lower(F.try_element_at(F.filter(words, lambda w: ~w.rlike(r"^\d+$") & ~F.upper(w).rlike(f"^({LANGUAGE_MARKS})$") & (F.lower(w) != number)), F.lit(1)))
+
+    return F.struct(number.alias("number"), F.coalesce(code(behind), code(before)).alias("set_code"))

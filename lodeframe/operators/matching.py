@@ -48,7 +48,7 @@ def hamming(a: Column, b: Column) -> Column:
 def bands(h: Column, n: int) -> Column:
     """(band, value) of n parts of 64 bits."""
     width = -(-64 // n)
-    mask = (1 << width) - 1
+    mask = (1 << width) - 1 if width < 64 else -1
     return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit(mask)).alias("value")) for i in range(n)])
 
 

@@ -36,13 +36,18 @@ def weighed(i: Inputs) -> DataFrame:
     return v.withColumn("weight", C.vote_weight(F.col("source"), F.col("agent"), F.col("run_id"), F.col("privileged"), RULES))
 
 
-FINAL = ("entity", "winner", "weight", F.round("share", 6).alias("share"), "resolved")
+
+
+def final(found: DataFrame) -> DataFrame:
+    return found.select("entity", "winner", "weight", F.round("share", 6).alias("share"), "resolved")
+
+
 FINAL_SQL = "select entity, winner, weight, round(share, 6) as share, resolved from final"
 
 
 @query("agg_10_weighted_consensus", f"with {WEIGHED}, {consensus_sql('weighed')} {FINAL_SQL}")
 def _(i):
-    return C.consensus(weighed(i), rules=RULES).select(*FINAL)
+    return final(C.consensus(weighed(i), rules=RULES))
 
 
 @query("agg_11_agent_pooling", f"with {WEIGHED}, {POOLED} select entity, outcome, cast(sum(weight) as double) as weight, count(*) as n, count(*) filter (where human) as n_human from pooled group by 1, 2")
@@ -58,17 +63,17 @@ def _(i):
 @query("agg_13_printing_consensus", f"with {WEIGHED.replace('select *, source in', 'select * exclude (outcome), case when sentinel then ' + chr(39) + 'NO_MATCH' + chr(39) + ' else outcome end as outcome, source in')}, {POOLED}, {consensus_sql('pooled')} {FINAL_SQL}")
 def _(i):
     named = weighed(i).withColumn("outcome", F.when(F.col("sentinel"), "NO_MATCH").otherwise(F.col("outcome")))
-    return C.consensus(C.pooled(named), rules=RULES).select(*FINAL)
+    return final(C.consensus(C.pooled(named), rules=RULES))
 
 
 @query("agg_14_tag_consensus_gated", f"with {WEIGHED}, {consensus_sql('weighed', outcome='polarity')} select entity, winner, weight, round(share, 6) as share, case when resolved is not null and not hp then 'PENDING' else resolved end as resolved from final")
 def _(i):
-    return C.consensus(weighed(i), outcome="polarity", rules=RULES, gated=True).select(*FINAL)
+    return final(C.consensus(weighed(i), outcome="polarity", rules=RULES, gated=True))
 
 
 @query("agg_15_artist_consensus", f"with {WEIGHED.replace('select *, source in', 'select * exclude (outcome), case when sentinel then ' + chr(39) + 'UNKNOWN' + chr(39) + ' else outcome end as outcome, source in')}, {consensus_sql('weighed')} {FINAL_SQL}")
 def _(i):
-    return C.consensus(weighed(i).withColumn("outcome", F.when(F.col("sentinel"), "UNKNOWN").otherwise(F.col("outcome"))), rules=RULES).select(*FINAL)
+    return final(C.consensus(weighed(i).withColumn("outcome", F.when(F.col("sentinel"), "UNKNOWN").otherwise(F.col("outcome"))), rules=RULES))
 
 
 @query("agg_16_elimination", f"with {WEIGHED} select entity, candidate, cast(sum(weight) as double) as weight from weighed where polarity < 0 group by 1, 2 having sum(weight) >= 2 and bool_or(human)")
@@ -183,9 +188,9 @@ def _(i):
 def _(i):
     v = weighed(i)
     gone = v.where(F.col("run_id") == "run4").select("entity").distinct()
-    return C.consensus(v.where(F.col("run_id") != "run4").join(gone, "entity", "left_semi"), rules=RULES).select(*FINAL)
+    return final(C.consensus(v.where(F.col("run_id") != "run4").join(gone, "entity", "left_semi"), rules=RULES))
 
 
 @query("drv_18_implicit_retract", f"with {WEIGHED}, kept as (select * from weighed where source <> 'implicit'), {consensus_sql('kept', outcome='polarity')} {FINAL_SQL}")
 def _(i):
-    return C.consensus(weighed(i).where("source <> 'implicit'"), outcome="polarity", rules=RULES).select(*FINAL)
+    return final(C.consensus(weighed(i).where("source <> 'implicit'"), outcome="polarity", rules=RULES))
