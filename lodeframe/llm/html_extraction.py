@@ -118,6 +118,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in ("article", "table", "body", "td", "th") and tag not in _CONTAINERS and tag not in ("table", "tr", "tbody", "ul", "ol", "form", "nav", "aside", "footer", "header"):
                     break  # a stray end tag inside does not close what is outside
+            else:
+                if tag == "p" and not stack[-1].pruned:
+                    stack[-1].children.append(Node("p", stack[-1], False))  # it parts the text around it
             continue
         if tag in ("html", "body"):
             continue
