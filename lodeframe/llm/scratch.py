@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +33,15 @@ def written(df: DataFrame, name: str, parts: list[str] | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that a broadcast may hold: some tens of MB on every executor.
+BROADCAST_ROWS = 1 << 19
+
+
+def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if its rows, which are counted, are few; else joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of written tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

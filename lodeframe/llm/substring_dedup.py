@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as X
-from .scratch import dropped, written
+from .scratch import BROADCAST_ROWS, dropped, small, written
 
 
 @dataclass(frozen=True)
@@ -137,16 +137,17 @@ def without_repeats(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
     columns = docs.columns
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     spans = written(docs.select(order.alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(_spans(rule), "span long, doc_id long, place long"), "spans")
-    often = spans.groupBy("span").agg(F.count("*").alias("m")).where("m > 1").select("span")
-    hits = written(spans.join(often, "span"), "hits")
-    dropped(spark, spans)
+    often = written(spans.groupBy("span").agg(F.count("*").alias("m")).where("m > 1").select("span"), "often")
+    hits = written(spans.join(small(often), "span"), "hits")
+    dropped(spark, spans, often)
     first = hits.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("span", F.col("f.doc_id").alias("d0"), F.col("f.place").alias("p0"))
     later = hits.join(first, "span").where((F.col("doc_id") != F.col("d0")) | (F.col("place") != F.col("p0")))
     low = F.lit(0xFFFFFFFF)
     places = written(later.groupBy(F.col("doc_id").alias("__d"), F.shiftright("place", 32).alias("__t")).agg(F.collect_set(F.col("place").bitwiseAND(low).cast("int")).alias("__places")), "places")
     dropped(spark, hits)
     keyed = docs.withColumn("__d", order).withColumn("__t", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
-    joined = keyed.join(places, ["__d", "__t"], "left").select(*columns, "__places")
+    total = places.agg(F.sum(F.size("__places"))).first()[0] or 0
+    joined = keyed.join(small(places) if total <= 8 * BROADCAST_ROWS else places, ["__d", "__t"], "left").select(*columns, "__places")
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_sentences long, n_removed long"
     return joined.mapInArrow(_cut(rule, columns), kind)
 
