@@ -134,11 +134,16 @@ def after_key(rows: DataFrame, key: str, last: int, n: int) -> DataFrame:
     return rows.where(F.col(key) > last).orderBy(key).limit(n)
 
 
+def stratum(rows: DataFrame, key: str, lo: int, hi: int, strata: int) -> DataFrame:
+    """rows with the number of their key's part among ``strata`` equal key ranges."""
+    part = F.least(F.floor((F.col(key) - lo) * strata / F.lit(max(hi - lo + 1, 1))), F.lit(strata - 1)).cast("int")
+    return rows.withColumn("stratum", part)
+
+
 def strata_sample(rows: DataFrame, key: str, lo: int, hi: int, strata: int, n: int, seed: int = 0) -> DataFrame:
     """Up to ceil(n / strata) * 2 rows from each of ``strata`` equal key ranges, by a seeded hash."""
-    part = F.least(F.floor((F.col(key) - lo) * strata / F.lit(max(hi - lo + 1, 1))), F.lit(strata - 1)).cast("int")
     w = Window.partitionBy("stratum").orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
-    return rows.withColumn("stratum", part).withColumn("r", F.row_number().over(w)).where(F.col("r") <= -(-n // strata) * 2)
+    return stratum(rows, key, lo, hi, strata).withColumn("r", F.row_number().over(w)).where(F.col("r") <= -(-n // strata) * 2)
 
 
 def keyed_sample(rows: DataFrame, key: str, n: int, order: Column | None = None) -> DataFrame:

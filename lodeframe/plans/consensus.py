@@ -122,10 +122,10 @@ def _(i):
     return C.likely_resolved(weighed(i), rules=RULES)
 
 
-@query("agg_34_status_transitions", f"with {WEIGHED}, old as (with b as (select * from weighed where pk % 2 = 0), {consensus_sql('b')} select entity, case when resolved is null then 'UNRESOLVED' else 'RESOLVED' end as status from final), new as (with {consensus_sql('weighed')} select entity, case when resolved is null then 'UNRESOLVED' else 'RESOLVED' end as status from final) select o.status as before, n.status as after, count(*) as n from old o full join new n using (entity) group by 1, 2")
+@query("agg_34_status_transitions", f"with {WEIGHED}, old as (with b as (select * from weighed where ts < timestamp '2024-01-20 00:00:00'), {consensus_sql('b')} select entity, case when resolved is null then 'UNRESOLVED' else 'RESOLVED' end as status from final), new as (with {consensus_sql('weighed')} select entity, case when resolved is null then 'UNRESOLVED' else 'RESOLVED' end as status from final) select o.status as before, n.status as after, count(*) as n from old o full join new n using (entity) group by 1, 2")
 def _(i):
     v, name = weighed(i), F.when(F.col("resolved").isNull(), "UNRESOLVED").otherwise("RESOLVED").alias("status")
-    return C.transitions(C.consensus(v.where("pk % 2 = 0"), rules=RULES).select("entity", name), C.consensus(v, rules=RULES).select("entity", name), "entity")
+    return C.transitions(C.consensus(v.where("ts < '2024-01-20'"), rules=RULES).select("entity", name), C.consensus(v, rules=RULES).select("entity", name), "entity")
 
 
 TAG_STATUS = f"""{consensus_sql('tagged', outcome='polarity')}, split as (select k, entity_, candidate_, count(distinct case when human then polarity end) > 1 as split from tagged group by 1, 2, 3),

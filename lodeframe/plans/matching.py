@@ -30,9 +30,9 @@ def _(i):
     return i.sources.select("pk").join(c, "pk", "left").groupBy("pk").agg(F.count("cpk").alias("n"))
 
 
-@query("join_2_relation_paths", "select l_orderkey, l_linenumber, c_name, n_name, r_name, p_name, s_name from lineitem left join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey left join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey where l_quantity > 45")
+@query("join_2_relation_paths", "select l_orderkey, l_linenumber, c_name, n_name, r_name, p_name, s_name from lineitem left join orders on o_orderkey = l_orderkey left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey left join part on p_partkey = l_partkey left join supplier on s_suppkey = l_suppkey")
 def _(i):
-    l = i.lineitem.where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    l = i.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     o = i.orders.select("o_orderkey", "o_custkey").join(i.customer.select("c_custkey", "c_name", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
     o = o.join(i.nation.select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(i.region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     out = l.join(o, l.l_orderkey == o.o_orderkey, "left").join(i.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left").join(i.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
@@ -73,10 +73,10 @@ def _(i):
     return M.tiered_lookup(rows, "pk", tiers, i.printings, "name", (False, False, True))
 
 
-@query("join_8_back_faces", "select c.pk, concat(p.front, ' // ', p.back) as name from cards c join (select distinct name as front, concat(reverse(name)) as back from printings) p on p.back = reverse(c.base_name) where c.pk % 4 = 0")
+@query("join_8_back_faces", "select c.pk, concat(p.front, ' // ', p.back) as name from cards c join (select distinct name as front, concat(reverse(name)) as back from printings) p on p.back = reverse(c.base_name)")
 def _(i):
     pairs = i.printings.select(F.col("name").alias("front"), F.reverse("name").alias("back")).distinct()
-    rows = i.cards.where("pk % 4 = 0").select("pk", F.reverse("base_name").alias("back"))
+    rows = i.cards.select("pk", F.reverse("base_name").alias("back"))
     return rows.join(F.broadcast(pairs), "back").select("pk", F.concat("front", F.lit(" // "), "back").alias("name"))
 
 
@@ -85,9 +85,9 @@ def _(i):
     return M.classify_matches(readings(i), i.printings.select("pk", "name", "set_code", "number"), "pk", "name")
 
 
-@query("join_10_hamming_pairs", f"with h as (select pk, {NEAR} as h from cards where phash is not null and pk < 1500) select a.pk as a, b.pk as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from h a join h b on a.pk < b.pk and bit_count(xor(a.h, b.h)) <= 2")
+@query("join_10_hamming_pairs", f"with h as (select pk, {NEAR} as h from cards where phash is not null) select a.pk as a, b.pk as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from h a join h b on a.pk < b.pk and bit_count(xor(a.h, b.h)) <= 2")
 def _(i):
-    rows = i.cards.where("phash is not null and pk < 1500").select("pk", near_hash().alias("h"))
+    rows = i.cards.where("phash is not null").select("pk", near_hash().alias("h"))
     return M.near_pairs(rows, "pk", "h", 2)
 
 
@@ -129,9 +129,9 @@ def _(i):
     return M.clear_winner(one, "pk", "set_code", "d", 6, 6)
 
 
-@query("join_14_nearest_first", f"with h as (select pk, {NEAR} as h from cards where phash is not null and pk < 800) select h.pk, coalesce(array_to_string(list(p.pk order by bit_count(xor(h.h, p.image_hash)), p.pk) filter (where p.pk is not null), ','), '') as matches from h left join printings p on bit_count(xor(h.h, p.image_hash)) <= 2 group by 1")
+@query("join_14_nearest_first", f"with h as (select pk, {NEAR} as h from cards where phash is not null) select h.pk, coalesce(array_to_string(list(p.pk order by bit_count(xor(h.h, p.image_hash)), p.pk) filter (where p.pk is not null), ','), '') as matches from h left join printings p on bit_count(xor(h.h, p.image_hash)) <= 2 group by 1")
 def _(i):
-    cards = i.cards.where("phash is not null and pk < 800").select("pk", near_hash().alias("h"))
+    cards = i.cards.where("phash is not null").select("pk", near_hash().alias("h"))
     near = M.near_values(cards.select("h"), i.printings.select(F.col("image_hash").alias("h")), 2)
     hits = near.join(i.printings.select(F.col("pk").alias("p"), F.col("image_hash").alias("b")), "b").groupBy(F.col("a").alias("h")).agg(F.array_sort(F.collect_list(F.struct("distance", "p"))).alias("m"))
     return cards.join(hits, "h", "left").select("pk", F.coalesce(F.array_join(F.transform("m", lambda x: x["p"].cast("string")), ","), F.lit("")).alias("matches"))
@@ -167,22 +167,22 @@ def _(i):
     return i.cards.where(known & (F.col("created_day") <= 180)).join(s, "md5").select("pk", "source", F.when(agrees, "transfer").otherwise("anomaly").alias("action"))
 
 
-@query("join_19_verdict_partition", "select pk, md5 in (select md5 from cards where pk < 300 and md5 <> '' and md5 is not null) as decided from cards where md5 <> '' and md5 is not null and pk >= 300")
+@query("join_19_verdict_partition", "select pk, md5 in (select md5 from cards where status = 'RESOLVED' and md5 <> '' and md5 is not null) as decided from cards where md5 <> '' and md5 is not null and status <> 'RESOLVED'")
 def _(i):
     c = i.cards.where("md5 <> '' and md5 is not null")
-    done, batch = c.where("pk < 300").select("md5").distinct(), c.where("pk >= 300").select("pk", "md5")
+    done, batch = c.where("status = 'RESOLVED'").select("md5").distinct(), c.where("status <> 'RESOLVED'").select("pk", "md5")
     return batch.join(done, "md5", "left_semi").withColumn("decided", F.lit(True)).unionByName(batch.join(done, "md5", "left_anti").withColumn("decided", F.lit(False))).select("pk", "decided")
 
 
 SURVIVORS = f"""with e as ({CANDIDATES}), p as (select e.pk, border <> '' or artist <> '' as any_reading, border <> '' and artist <> '' as two,
     (select count(*) from printings q where q.name = e.name and (e.border = '' or q.border = e.border) and (e.artist = '' or q.artist = e.artist)) as n,
     (select min(q.pk) from printings q where q.name = e.name and (e.border = '' or q.border = e.border) and (e.artist = '' or q.artist = e.artist)) as c
-    from e where pk % 7 = 0 and name in (select name from printings))"""
+    from e where name in (select name from printings))"""
 
 
 def survivors(i: Inputs) -> DataFrame:
     """Readings with the candidates that survive each reading, null where nothing was read."""
-    e = readings(i).where("pk % 7 = 0").select("pk", "name", "border", "artist")
+    e = readings(i).select("pk", "name", "border", "artist")
     p = i.printings.select("name", F.struct("pk", "border", "artist").alias("p")).groupBy("name").agg(F.collect_list("p").alias("ps"))
     ids = lambda a: F.transform(a, lambda x: x["pk"])
     by_border = F.when(F.col("border") != "", ids(F.filter("ps", lambda x: x["border"] == F.col("border"))))
@@ -220,9 +220,9 @@ def _(i):
     return p.join(o, ["base_name", "expansion_hint"]).select("pk", "printing_pk")
 
 
-@query("set_5_widened_keys", f"with l as ({IDENTITY}) select distinct member as pk from l where pk % 10 = 7")
+@query("set_5_widened_keys", f"with l as ({IDENTITY}) select distinct member as pk from l where pk in (select entity from votes where agent = 'user8')")
 def _(i):
-    return M.identity_links(i.cards.select("pk", "md5", "phash"), "pk", ["md5", "phash"]).where("pk % 10 = 7").select(F.col("member").alias("pk")).distinct()
+    return M.identity_links(i.cards.select("pk", "md5", "phash"), "pk", ["md5", "phash"]).join(i.votes.where("agent = 'user8'").select(F.col("entity").alias("pk")), "pk", "left_semi").select(F.col("member").alias("pk")).distinct()
 
 
 @query("set_6_voter_exclusion", "select pk from cards where md5 is null or md5 not in (select md5 from cards where md5 is not null and md5 <> '' and pk in (select entity from votes where agent = 'user8'))")
@@ -237,19 +237,19 @@ def _(i):
     return G.exact_clusters(i.cards, "pk", "phash")
 
 
-@query("grf_2_two_thresholds", f"with h as (select pk, {NEAR} as h from cards where phash is not null and pk < 1500), v as (select distinct h from h) select 'same' as tier, cast(count(*) as bigint) as n from (select h from h group by 1 having count(*) > 1) union all select 'near', count(*) from v a join v b on a.h < b.h and bit_count(xor(a.h, b.h)) <= 2")
+@query("grf_2_two_thresholds", f"with h as (select pk, {NEAR} as h from cards where phash is not null), v as (select distinct h from h) select 'same' as tier, cast(count(*) as bigint) as n from (select h from h group by 1 having count(*) > 1) union all select 'near', count(*) from v a join v b on a.h < b.h and bit_count(xor(a.h, b.h)) <= 2")
 def _(i):
-    rows = i.cards.where("phash is not null and pk < 1500").select("pk", near_hash().alias("h"))
+    rows = i.cards.where("phash is not null").select("pk", near_hash().alias("h"))
     same = G.exact_clusters(rows, "pk", "h").agg(F.count("*").alias("n")).select(F.lit("same").alias("tier"), "n")
     near = M.near_values(rows.select("h"), rows.select("h"), 2).where("a < b").agg(F.count("*").alias("n")).select(F.lit("near").alias("tier"), "n")
     return same.unionByName(near)
 
 
-@query("grf_3_components", "with recursive e as (select a.pk as a, b.pk as b from cards a join cards b on (a.phash = b.phash or (a.md5 = b.md5 and a.md5 <> '')) and a.pk % 3 = 0 and b.pk % 3 = 0 and a.pk < 1200 and b.pk < 1200), r as (select distinct a as pk, a as c from e union select r.pk, e.b from r join e on e.a = r.c) select c.pk, coalesce(min(r.c), c.pk) as component from cards c left join r on r.pk = c.pk where c.pk % 3 = 0 and c.pk < 1200 group by c.pk")
+@query("grf_3_components", "with recursive e as (select a.pk as a, b.pk as b from cards a join cards b on (a.phash = b.phash or (a.md5 = b.md5 and a.md5 <> ''))), r as (select distinct a as pk, a as c from e union select r.pk, e.b from r join e on e.a = r.c) select c.pk, coalesce(min(r.c), c.pk) as component from cards c left join r on r.pk = c.pk group by c.pk")
 def _(i):
     from ..session import checkpointed
 
-    nodes = i.cards.where("pk % 3 = 0 and pk < 1200").select("pk", "phash", "md5")
+    nodes = i.cards.select("pk", "phash", "md5")
     edges = G.shared_value_edges(nodes, "pk", [F.col("phash"), F.nullif("md5", F.lit(""))])
     return G.components(nodes, edges, "pk", checkpointed)
 

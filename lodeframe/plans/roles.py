@@ -16,7 +16,7 @@ ROLES: dict[str, str] = {
     "sources": "select cast(n_nationkey + 1 as bigint) as pk, lower(n_name) as skey, n_name as name, n_regionkey as region, n_nationkey % 7 as ordinal, case when n_nationkey % 3 = 0 then 'LOCAL_FILE' else 'GOOGLE_DRIVE' end as source_type from nation",
     # Catalogue rows.
     "cards": """select p_partkey as pk, concat('c', cast(p_partkey as string)) as identifier,
-        concat(p_name, case p_partkey % 5 when 0 then ' (Full Art)' when 1 then ' [Foil, Alt]' when 2 then '-Token 2!' when 3 then ' (1)' else '' end) as name, p_name as base_name,
+        concat(p_name, ' ', translate(cast(p_partkey - p_partkey % 640 as string), '0123456789', 'abcdefghij'), case p_partkey % 5 when 0 then ' (Full Art)' when 1 then ' [Foil, Alt]' when 2 then '-Token 2!' when 3 then ' (1)' else '' end) as name, concat(p_name, ' ', translate(cast(p_partkey - p_partkey % 640 as string), '0123456789', 'abcdefghij')) as base_name,
         case p_type when 'PROMO' then 'TOKEN' when 'SMALL' then 'CARDBACK' else 'CARD' end as card_type,
         cast(regexp_extract(p_brand, '[0-9]+', 0) as bigint) % 24 + 1 as source_pk, p_partkey % 12 as priority,
         case when p_partkey % 50 = 0 then null else p_size * 30 end as dpi, cast(p_retailprice * 20000 as bigint) as size,
@@ -25,13 +25,13 @@ ROLES: dict[str, str] = {
         p_partkey * 7919 % 365 as created_day, p_partkey * 104729 % 365 as modified_day,
         case when p_partkey % 6 = 0 then p_partkey % 201 end as canonical_pk, case when p_partkey % 5 = 0 then p_partkey % 190 end as inferred_pk,
         case p_partkey % 3 when 0 then 'RESOLVED' when 1 then 'UNRESOLVED' else 'CONTESTED' end as status,
-        case when p_partkey % 10 = 0 then '' when p_partkey % 11 = 0 then null else md5(cast(p_partkey % 600 as string)) end as md5,
-        case when p_partkey % 13 = 0 then null else (p_partkey % 700) * 2654435761 % 4294967296 end as phash,
+        case when p_partkey % 10 = 0 then '' when p_partkey % 11 = 0 then null else md5(cast(p_partkey - p_partkey % 4 as string)) end as md5,
+        case when p_partkey % 13 = 0 then null else (p_partkey - p_partkey % 3) * 2654435761 % 4294967296 end as phash,
         case p_partkey % 8 when 0 then lower(concat('S', cast(p_size % 9 as string))) else '' end as expansion_hint
         from part""",
     # Known printings of the names.
-    "printings": """select p_partkey as pk, p_name as name, concat('s', cast(p_size % 9 as string)) as set_code, lpad(cast(p_size as string), 3, '0') as number,
-        p_type as artist, (p_partkey % 233) * 2654435761 % 4294967296 as image_hash, case p_partkey % 4 when 0 then 'borderless' when 1 then 'white' else 'black' end as border,
+    "printings": """select p_partkey as pk, concat(p_name, ' ', translate(cast(p_partkey - p_partkey % 640 as string), '0123456789', 'abcdefghij')) as name, concat('s', cast(p_size % 9 as string)) as set_code, lpad(cast(p_size as string), 3, '0') as number,
+        p_type as artist, (p_partkey - p_partkey % 3) * 2654435761 % 4294967296 as image_hash, case p_partkey % 4 when 0 then 'borderless' when 1 then 'white' else 'black' end as border,
         p_partkey % 6 = 0 as full_art, case when p_partkey % 7 = 0 then null else p_partkey % 1000 end as popularity, 1993 + p_size % 30 as released_year, p_partkey % 97 as illustration,
         p_partkey % 150 as canonical_id, case p_partkey % 5 when 0 then 'transform' when 1 then 'split' else 'normal' end as layout from part where p_partkey % 3 = 0""",
     # Votes of one long table.

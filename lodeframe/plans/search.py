@@ -173,9 +173,9 @@ def _(i):
     return i.cards.select("pk", T.strip_brackets(F.col("name")).alias("bare"), T.collapse_spaces(F.concat(F.lit("  "), "name", F.lit("   x "))).alias("spaced"), total.alias("total"))
 
 
-@query("str_4_exact_folded", "select doc_id from documents where lower(strip_accents(split_part(text, '.', 1))) = (select lower(strip_accents(split_part(text, '.', 1))) from documents where doc_id = 0)")
+@query("str_4_exact_folded", "select doc_id from documents where lower(strip_accents(text)) = (select lower(strip_accents(text)) from documents where doc_id = 0)")
 def _(i):
-    d = i.documents.select("doc_id", T.folded(F.split_part("text", F.lit("."), F.lit(1))).alias("k"))
+    d = i.documents.select("doc_id", T.folded(F.col("text")).alias("k"))
     return d.join(F.broadcast(d.where("doc_id = 0").select("k").distinct()), "k", "left_semi").select("doc_id")
 
 
@@ -281,9 +281,9 @@ def _(i):
     return i.cards.select("pk", F.array_join(T.declared_tags(name), ",").alias("tags"))
 
 
-@query("str_22_boilerplate_key", "select doc_id, case when length(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]', '', 'g')) >= 12 and length(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]', '', 'g')) >= length(regexp_replace(substr(text, 1, 40), '\\s+', '', 'g')) * 0.5 then regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]', '', 'g') end as key from documents")
+@query("str_22_boilerplate_key", "select doc_id, case when length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) >= 12 and length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) >= length(regexp_replace(text, '\\s+', '', 'g')) * 0.5 then regexp_replace(lower(text), '[^a-z0-9]', '', 'g') end as key from documents")
 def _(i):
-    return i.documents.select("doc_id", T.boilerplate_key(F.substring("text", 1, 40)).alias("key"))
+    return i.documents.select("doc_id", T.boilerplate_key(F.col("text")).alias("key"))
 
 
 @query("str_23_autocomplete", "select base_name, case when starts_with(base_name, 're') then 0 else 1 end as tier from (select distinct base_name from cards) where contains(base_name, 're') order by tier, base_name limit 10")
@@ -303,11 +303,9 @@ def _(i):
     return i.cards.select("pk", T.deck_line(line).alias("d")).select("pk", "d.*")
 
 
-@query("str_27_client_searchable", "select doc_id, regexp_replace(regexp_replace(strip_accents(lower(substr(split_part(text, '.', 1), 1, 30))), '[^a-z ]', '', 'g'), '\\s+', ' ', 'g') as k from documents where regexp_matches(substr(split_part(text, '.', 1), 1, 30), '^[A-Za-zàáâçèéêëíîïñóôöùúûüßÉÈÊÀÇÓÍÑÜÖ]+( [A-Za-zàáâçèéêëíîïñóôöùúûü]+)*$') and not contains(text, 'ß')")
+@query("str_27_client_searchable", "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[\\(\\[].*?[\\)\\]]', '', 'g'), '-', ' '), '’', ''''), '[!-/:-@\\[-`{-~]', '', 'g'), '[0-9]', '', 'g'), '\\s+', ' ', 'g')) as k from documents")
 def _(i):
-    head = F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 30)
-    plain = head.rlike(r"^[A-Za-zàáâçèéêëíîïñóôöùúûüßÉÈÊÀÇÓÍÑÜÖ]+( [A-Za-zàáâçèéêëíîïñóôöùúûü]+)*$") & ~F.col("text").contains("ß")
-    return i.documents.where(plain).select("doc_id", T.client_searchable(head).alias("k"))
+    return i.documents.select("doc_id", T.client_searchable(F.col("text")).alias("k"))
 
 
 @query("str_28_query_key", "select distinct base_name, md5(lower(base_name)) as qkey from cards")
@@ -337,9 +335,9 @@ def _(i):
     return S.ranked(top, F.desc("priority"), F.col("source_pk"), F.col("pk")).select("pk", "rank")
 
 
-@query("srt_2_degraded_retry", f"with q as (select distinct base_name as q from cards where pk < 400), e as (select base_name as q, pk from ({DISPLAY}) where set_code = 's1' and base_name in (select q from q)), r as (select base_name as q, pk from cards where base_name in (select q from q)) select q, pk, false as degraded from e union all select q, pk, true from r where q not in (select q from e)")
+@query("srt_2_degraded_retry", f"with q as (select distinct base_name as q from cards), e as (select base_name as q, pk from ({DISPLAY}) where set_code = 's1' and base_name in (select q from q)), r as (select base_name as q, pk from cards where base_name in (select q from q)) select q, pk, false as degraded from e union all select q, pk, true from r where q not in (select q from e)")
 def _(i):
-    wanted = i.cards.where("pk < 400").select("base_name").distinct()
+    wanted = i.cards.select("base_name").distinct()
     hits = documents(i).join(wanted, "base_name", "left_semi").withColumnRenamed("base_name", "q")
     return S.degraded(hits.where("set_code = 's1'").select("q", "pk"), hits.select("q", "pk"), "q")
 
@@ -357,10 +355,10 @@ def _(i):
     return S.ranked(i.cards.where("card_type = 'CARDBACK'").join(s, "source_pk").orderBy(*order).limit(200), *order).select("pk", "rank")
 
 
-@query("srt_5_nulls_last", "select pk, popularity, row_number() over (order by popularity desc nulls last, pk) as rank from printings where name = 'red ring' qualify rank <= 50")
+@query("srt_5_nulls_last", "select pk, popularity, row_number() over (order by popularity desc nulls last, pk) as rank from printings where name = 'red ring a' qualify rank <= 50")
 def _(i):
     order = [F.desc_nulls_last("popularity"), F.col("pk")]
-    return S.ranked(i.printings.where("name = 'red ring'").orderBy(*order).limit(50), *order).select("pk", "popularity", "rank")
+    return S.ranked(i.printings.where("name = 'red ring a'").orderBy(*order).limit(50), *order).select("pk", "popularity", "rank")
 
 
 @query("srt_6_hint_first", "select pk, row_number() over (partition by name order by case when set_code = 's3' then 0 else 1 end, popularity desc nulls last, pk) as rank from printings")
@@ -394,9 +392,10 @@ def _(i):
     return S.ranked(S.rotated(p, "pos", 500, 100, 50, "priority"), F.col("key")).select("pk", "rank")
 
 
-@query("srt_11_strata", "with s as (select pk, least(cast(floor(pk * 10 / 2000) as int), 9) as stratum from cards where pk < 2000), r as (select *, row_number() over (partition by stratum order by md5(cast(pk as string)), pk) as rn from s) select pk, stratum from r where rn <= 10")
+@query("srt_11_strata", "with s as (select pk, least(cast(floor(pk * 10 / (select max(pk) + 1 from cards)) as int), 9) as stratum from cards), r as (select *, row_number() over (partition by stratum order by md5(cast(pk as string)), pk) as rn from s) select pk, stratum from r where rn <= 10")
 def _(i):
-    c = i.cards.where("pk < 2000").withColumn("stratum", F.least(F.floor(F.col("pk") * 10 / 2000), F.lit(9)).cast("int"))
+    top = i.cards.agg(F.max("pk")).first()[0]
+    c = S.stratum(i.cards, "pk", 0, top, 10)
     return S.newest(c, ["stratum"], [F.md5(F.col("pk").cast("string").cast("binary")), F.col("pk")], 10).select("pk", "stratum")
 
 
@@ -449,11 +448,11 @@ def _(i):
     return S.newest(i.votes.where("outcome <> 'view'"), ["entity", "candidate"], [F.desc("ts"), F.col("pk")], 3).select("entity", "candidate", "pk", F.col("rn").cast("long").alias("rn"))
 
 
-@query("win_3_interleaved", "with q as (select entity, candidate, abs(sum(polarity)) as net from votes where entity < 50 group by 1, 2), n as (select *, row_number() over (partition by entity order by net, candidate) as nth, min(net * 1000 + entity) over (partition by entity) as fp from q) select entity, candidate, row_number() over (order by nth, fp, entity) as rank from n")
+@query("win_3_interleaved", "with q as (select entity, candidate, abs(sum(polarity)) as net from votes group by 1, 2) select entity, candidate, row_number() over (partition by entity order by net, candidate) as nth, cast(min(net * 1000 + entity) over (partition by entity) as bigint) as first_position from q")
 def _(i):
-    q = i.votes.where("entity < 50").groupBy("entity", "candidate").agg(F.abs(F.sum("polarity")).alias("net"))
+    q = i.votes.groupBy("entity", "candidate").agg(F.abs(F.sum("polarity")).alias("net"))
     n = S.interleaved(q, "entity", [F.col("net"), F.col("candidate")], F.col("net") * 1000 + F.col("entity"))
-    return S.ranked(n, F.col("nth"), F.col("first_position"), F.col("entity")).select("entity", "candidate", "rank")
+    return n.select("entity", "candidate", "nth", "first_position").orderBy("nth", "first_position", "entity")
 
 
 @query("win_7_ring_of_five", "select pk from (select pk, row_number() over (partition by agent order by ts desc, pk desc) as rn from votes where agent is not null) where rn <= 5")

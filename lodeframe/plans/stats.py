@@ -103,10 +103,9 @@ def _(i):
     return S.least_by_key(i.printings, F.col("name"), "popularity")
 
 
-@query("agg_31_divergence", "select phash, count(*) as n, count(distinct inferred_pk) as n_values, array_to_string(list_sort(list(distinct inferred_pk) filter (where inferred_pk is not null)), ',') as seen from cards where phash is not null group by 1 having count(*) >= 2 and count(distinct inferred_pk) > 1")
+@query("agg_31_divergence", "select phash, count(*) as n, count(distinct language) as n_values, array_to_string(list_sort(list(distinct language)), ',') as seen from cards where phash is not null group by 1 having count(*) >= 2 and count(distinct language) > 1")
 def _(i):
-    d = S.divergence(i.cards, "phash", "inferred_pk")
-    return d.withColumn("seen", F.array_join(F.transform("seen", lambda x: x.cast("string")), ","))
+    return S.divergence(i.cards, "phash", "language").withColumn("seen", F.array_join("seen", ","))
 
 
 @query("agg_32_channel_counts", "select regexp_replace(agent, '-v[0-9]+$', '') as channel, count(*) filter (where polarity > 0) as positive, count(*) filter (where polarity < 0) as negative, count(*) as lifetime, count(*) filter (where run_id = 'run4') as in_run from votes where source in ('ocr', 'deduction') group by 1")

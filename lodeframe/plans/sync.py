@@ -34,11 +34,11 @@ def _(i):
     return Y.counts_by_op(Y.diffed(old, new, "k", ["s", "p", "r"]))
 
 
-@query("src_14_upserted_rows", f"with a as ({STORED}), b as ({INCOMING}) select k, s, 'new' as side from b where k % 5 = 0 union all select k, s, 'old' from a where k not in (select k from b where k % 5 = 0)")
+@query("src_14_upserted_rows", f"with a as ({STORED}), b as ({INCOMING}) select k, s, 'new' as side from b where r = '1-URGENT' union all select k, s, 'old' from a where k not in (select k from b where r = '1-URGENT')")
 def _(i):
     old, new = snapshots(i)
     mark = lambda df, side: df.select("k", "s").withColumn("side", F.lit(side))
-    return Y.upserted(mark(old, "old"), mark(new.where("k % 5 = 0"), "new"), ["k"])
+    return Y.upserted(mark(old, "old"), mark(new.where("r = '1-URGENT'"), "new"), ["k"])
 
 
 @query("src_1_pruned_folders", "select p_partkey, p_type as folder from part where p_size % 9 <> 0")
@@ -149,17 +149,17 @@ def _(i):
     return i.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("src_22_nested_to_lines", "select o_orderkey, concat(cast(cast(l_quantity as bigint) as string), 'x ', cast(l_partkey as string), ' (', l_returnflag, ') ', cast(l_linenumber as string)) as line from orders join lineitem on l_orderkey = o_orderkey where o_orderkey < 500")
+@query("src_22_nested_to_lines", "select o_orderkey, concat(cast(cast(l_quantity as bigint) as string), 'x ', cast(l_partkey as string), ' (', l_returnflag, ') ', cast(l_linenumber as string)) as line from orders join lineitem on l_orderkey = o_orderkey")
 def _(i):
-    nested = i.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_partkey", "l_returnflag", "l_linenumber")).alias("rows"))
+    nested = i.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_quantity", "l_partkey", "l_returnflag", "l_linenumber")).alias("rows"))
     deck = i.orders.select("o_orderkey").join(nested, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.explode("rows").alias("r"))
     return deck.select("o_orderkey", F.format_string("%dx %d (%s) %d", F.col("r.l_quantity").cast("long"), "r.l_partkey", "r.l_returnflag", "r.l_linenumber").alias("line"))
 
 
-@query("src_23_xml_slots", "select l_orderkey, concat('i', cast(l_partkey as string)) as id, unnest([l_linenumber, l_linenumber + 10]) as slot from lineitem where l_orderkey < 300")
+@query("src_23_xml_slots", "select l_orderkey, concat('i', cast(l_partkey as string)) as id, unnest([l_linenumber, l_linenumber + 10]) as slot from lineitem")
 def _(i):
     card = F.concat(F.lit("<card><id>i"), F.col("l_partkey").cast("string"), F.lit("</id><slots>"), F.col("l_linenumber").cast("string"), F.lit(","), (F.col("l_linenumber") + 10).cast("string"), F.lit("</slots><name>n</name></card>"))
-    xml = i.lineitem.where("l_orderkey < 300").groupBy("l_orderkey").agg(F.concat(F.lit("<order>"), F.array_join(F.collect_list(card), ""), F.lit("</order>")).alias("xml"))
+    xml = i.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("<order>"), F.array_join(F.collect_list(card), ""), F.lit("</order>")).alias("xml"))
     return R.order_slots(xml)
 
 
@@ -169,11 +169,11 @@ def _(i):
     return p.select(F.element_at("faces", 1)["text"].alias("front"), F.element_at("faces", 2)["text"].alias("back")).distinct()
 
 
-@query("stm_8_idempotent_replace", "with n as (select distinct entity from votes where agent like 'engine3-v%' and pk % 2 = 0) select 'kept' as side, count(*) as n from votes where not (agent is not null and agent like 'engine3-v%' and entity in (select entity from n)) union all select 'archived', count(*) from votes where agent like 'engine3-v%' and entity in (select entity from n)")
+@query("stm_8_idempotent_replace", "with n as (select distinct entity from votes where agent like 'engine3-v%' and run_id in ('run1', 'run2')) select 'kept' as side, count(*) as n from votes where not (agent is not null and agent like 'engine3-v%' and entity in (select entity from n)) union all select 'archived', count(*) from votes where agent like 'engine3-v%' and entity in (select entity from n)")
 def _(i):
     v = i.votes
-    new = v.where("agent like 'engine3-v%' and pk % 2 = 0").limit(0)
-    targets = v.where("agent like 'engine3-v%' and pk % 2 = 0").select("entity").distinct()
+    new = v.where("agent like 'engine3-v%' and run_id in ('run1', 'run2')").limit(0)
+    targets = v.where("agent like 'engine3-v%' and run_id in ('run1', 'run2')").select("entity").distinct()
     table, archive = Y.replaced(v, targets.join(new.drop("entity"), F.lit(False), "left").select(*v.columns), ["entity"], "engine3", "run-new")
     kept = table.where("pk is not null").agg(F.count("*").alias("n")).select(F.lit("kept").alias("side"), "n")
     return kept.unionByName(archive.agg(F.count("*").alias("n")).select(F.lit("archived").alias("side"), "n"))
@@ -198,10 +198,10 @@ def _(i):
     return both.groupBy("pk").agg(F.min("lane").alias("lane")).orderBy("lane", "pk").limit(50)
 
 
-@query("dml_1_insert_ignore", "select distinct entity, agent from votes where agent is not null and pk % 4 = 0 and (entity, agent) not in (select (entity, agent) from votes where agent is not null and pk % 4 = 1)")
+@query("dml_1_insert_ignore", "select distinct entity, agent from votes where agent is not null and outcome = 'view' and (entity, agent) not in (select (entity, agent) from votes where agent is not null and outcome = 'click')")
 def _(i):
-    v = i.votes.where("agent is not null").select("pk", "entity", "agent")
-    return Y.inserted_only(v.where("pk % 4 = 1").drop("pk"), v.where("pk % 4 = 0").drop("pk"), ["entity", "agent"])
+    v = i.votes.where("agent is not null").select("outcome", "entity", "agent")
+    return Y.inserted_only(v.where("outcome = 'click'").drop("outcome"), v.where("outcome = 'view'").drop("outcome"), ["entity", "agent"])
 
 
 @query("dml_3_retracted", "select pk from votes where not (run_id = 'run4' and source = 'ocr')")
@@ -216,9 +216,9 @@ def _(i):
     return e.withColumn("after", after).where(~F.col("set_code").eqNullSafe(F.col("after"))).select("pk", F.col("set_code").alias("before"), "after")
 
 
-@query("dml_5_backfilled", "select c.pk, coalesce(c.dpi, v.dpi) as dpi, coalesce(c.phash, v.phash) as phash from cards c left join (select pk, 777 as dpi, pk as phash from cards where pk % 2 = 0) v using (pk)")
+@query("dml_5_backfilled", "select c.pk, coalesce(c.dpi, v.dpi) as dpi, coalesce(c.phash, v.phash) as phash from cards c left join (select pk, 777 as dpi, pk as phash from cards where card_type = 'CARD') v using (pk)")
 def _(i):
-    values = i.cards.where("pk % 2 = 0").select("pk", F.lit(777).alias("dpi"), F.col("pk").alias("phash"))
+    values = i.cards.where("card_type = 'CARD'").select("pk", F.lit(777).alias("dpi"), F.col("pk").alias("phash"))
     return Y.backfilled(i.cards.select("pk", "dpi", "phash"), values, "pk", ["dpi", "phash"])
 
 

@@ -53,10 +53,10 @@ def _(i):
     return judged(i).join(p, "match").select("card_pk", a.alias("a")).select("card_pk", "a.*")
 
 
-@query("ver_3_disagreement", f"with e as ({CANDIDATES}) select e.pk, count(*) filter (where e.border <> '' and e.border <> p.border) as n from e join printings p on p.name = e.name and p.pk % 50 = 0 group by 1")
+@query("ver_3_disagreement", f"with e as ({CANDIDATES}) select e.pk, count(*) filter (where e.border <> '' and e.border <> p.border) as n from e join printings p on p.name = e.name group by 1")
 def _(i):
-    p = i.printings.where("pk % 50 = 0").select("name", F.col("border").alias("kb"))
-    return readings(i).join(F.broadcast(p), "name").groupBy("pk").agg(F.count_if(V.disagreement(F.col("border"), F.col("kb"))).alias("n"))
+    p = i.printings.select("name", F.col("border").alias("kb"))
+    return readings(i).join(p, "name").groupBy("pk").agg(F.count_if(V.disagreement(F.col("border"), F.col("kb"))).alias("n"))
 
 
 FALLBACK = f"{SURVIVORS} select pk, case when any_reading and n = 1 then cast(c as string) end as outcome, case when any_reading and n = 1 then cast(case when two then 0.8 else 0.7 end as double) end as confidence, case when not any_reading then 'no-reading' when n = 0 then 'no-survivor' when n = 1 then '' else 'ambiguous' end as skip_reason from p"
@@ -114,14 +114,14 @@ def _(i):
     return judged(i).join(p, "match").where((a["skip_reason"] == "artist-mismatch") & ~V.disagreement(F.col("border"), F.col("kb"))).select("card_pk")
 
 
-OLD = "select entity, max(outcome) as value from votes where pk % 2 = 0 group by 1"
-NEW = "select entity, max(outcome) as value from votes where pk % 3 <> 1 group by 1"
+OLD = "select entity, max(outcome) as value from votes where ts < timestamp '2024-01-20 00:00:00' group by 1"
+NEW = "select entity, max(outcome) as value from votes where ts >= timestamp '2024-01-10 00:00:00' group by 1"
 
 
 @query("ver_13_rejudged", f"with b as ({OLD}), a as ({NEW}) select coalesce(b.entity, a.entity) as entity, b.value as before, a.value as after, case when b.entity is null then 'added' when a.entity is null then 'removed' when b.value = a.value then 'same' else 'changed' end as change from b full join a on a.entity = b.entity")
 def _(i):
-    old = i.votes.where("pk % 2 = 0").groupBy("entity").agg(F.max("outcome").alias("value"))
-    new = i.votes.where("pk % 3 <> 1").groupBy("entity").agg(F.max("outcome").alias("value"))
+    old = i.votes.where("ts < '2024-01-20'").groupBy("entity").agg(F.max("outcome").alias("value"))
+    new = i.votes.where("ts >= '2024-01-10'").groupBy("entity").agg(F.max("outcome").alias("value"))
     return V.compared(old, new, "entity", "value")
 
 
@@ -160,9 +160,10 @@ def _(i):
     return l.groupBy("agent").agg(best.alias("b")).select("agent", "b.*")
 
 
-@query("drv_10_pool_draw", "with s as (select pk, priority, least(cast(floor(pk * 10 / 2000) as int), 9) as stratum from cards where pk < 2000 and status = 'CONTESTED'), r as (select *, row_number() over (partition by stratum order by md5(cast(pk as string)), pk) as rn from s) select pk from r where rn <= 10 and pk not in (select entity from votes where agent = 'user8')")
+@query("drv_10_pool_draw", "with s as (select pk, least(cast(floor(pk * 10 / (select max(pk) + 1 from cards)) as int), 9) as stratum from cards where status = 'CONTESTED'), r as (select *, row_number() over (partition by stratum order by md5(cast(pk as string)), pk) as rn from s) select pk from r where rn <= 10 and pk not in (select entity from votes where agent = 'user8')")
 def _(i):
-    c = i.cards.where("pk < 2000 and status = 'CONTESTED'").withColumn("stratum", F.least(F.floor(F.col("pk") * 10 / 2000), F.lit(9)).cast("int"))
+    top = i.cards.agg(F.max("pk")).first()[0]
+    c = S.stratum(i.cards.where("status = 'CONTESTED'"), "pk", 0, top, 10)
     pool = S.newest(c, ["stratum"], [F.md5(F.col("pk").cast("string").cast("binary")), F.col("pk")], 10).select("pk")
     return pool.join(i.votes.where("agent = 'user8'").select(F.col("entity").alias("pk")), "pk", "left_anti")
 
@@ -183,10 +184,10 @@ def _(i):
     return first.withColumn("ratio", indel_similarity(F.lower("artist"), F.lit("standart"))).orderBy(F.desc("ratio"), "position")
 
 
-@query("drv_13_tag_tree", "select p.pk, p.name, coalesce(array_to_string(list(c.name order by c.pk) filter (where c.pk is not null), ','), '') as children from tags p left join tags c on c.parent_pk = p.pk and c.pk <> p.pk where p.parent_pk is null or p.pk < 20 group by 1, 2")
+@query("drv_13_tag_tree", "select p.pk, p.name, coalesce(array_to_string(list(c.name order by c.pk) filter (where c.pk is not null), ','), '') as children from tags p left join tags c on c.parent_pk = p.pk and c.pk <> p.pk group by 1, 2")
 def _(i):
     kids = i.tags.where("parent_pk is not null and pk <> parent_pk").groupBy(F.col("parent_pk").alias("pk")).agg(F.array_sort(F.collect_list(F.struct("pk", "name"))).alias("c"))
-    return i.tags.where("parent_pk is null or pk < 20").join(kids, "pk", "left").select("pk", "name", F.coalesce(F.array_join(F.transform("c", lambda x: x["name"]), ","), F.lit("")).alias("children"))
+    return i.tags.join(kids, "pk", "left").select("pk", "name", F.coalesce(F.array_join(F.transform("c", lambda x: x["name"]), ","), F.lit("")).alias("children"))
 
 
 @query("drv_14_first_pages", "with r as (select source_pk, pk, count(*) over (partition by source_pk) as total, row_number() over (partition by source_pk order by created_day desc, pk) as rn from cards where created_day >= 300) select source_pk, pk, total, cast(ceil(total / 12.0) as bigint) as pages from r where rn <= 12")
@@ -197,11 +198,11 @@ def _(i):
     return first.join(F.broadcast(totals), "source_pk").select("source_pk", "pk", "total", F.ceil(F.col("total") / 12.0).alias("pages"))
 
 
-@query("drv_15_atomic_members", "with wanted as (select cast(pk * 700 as bigint) as pk from cards where pk in (0, 1, 2)), g as (select pk from cards where phash = 0), bad as (select count(*) as n from wanted where pk not in (select pk from g)) select w.pk, bad.n = 0 as accepted from wanted w, bad where w.pk < 2000")
+@query("drv_15_atomic_members", "with wanted as (select pk from cards where pk in (0, 1, 2)), g as (select pk from cards where phash = 0), bad as (select count(*) as n from wanted where pk not in (select pk from g)) select w.pk, bad.n = 0 as accepted from wanted w, bad")
 def _(i):
-    wanted = i.cards.where("pk in (0, 1, 2)").select((F.col("pk") * 700).alias("pk"))
+    wanted = i.cards.where("pk in (0, 1, 2)").select("pk")
     bad = wanted.join(i.cards.where("phash = 0").select("pk"), "pk", "left_anti").agg(F.count("*").alias("n"))
-    return wanted.where("pk < 2000").crossJoin(bad).select("pk", (F.col("n") == 0).alias("accepted"))
+    return wanted.crossJoin(bad).select("pk", (F.col("n") == 0).alias("accepted"))
 
 
 @query("drv_16_whole_pipeline", f"with {JUDGED}, {WEIGHED}, d as (select card_pk as entity, outcome, 0.5 as weight, false as human, false as implicit, false as privileged from v where outcome is not null union all select entity, outcome, weight, human, implicit, privileged from weighed), {consensus_sql('d')} select entity, resolved from final")
@@ -231,10 +232,10 @@ def _(i):
     return side("engine0", "a").join(side("engine1", "b"), "card_pk").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("stm_9_changed_groups", "with s as (select entity, agent, array_to_string(list_sort(list(distinct outcome)), ',') as o from votes where pk % 2 = 0 and agent is not null group by 1, 2), p as (select entity, agent, array_to_string(list_sort(list(distinct outcome)), ',') as o from votes where pk % 5 <> 1 and agent is not null group by 1, 2) select v.pk from votes v join p on p.entity = v.entity and p.agent = v.agent left join s on s.entity = v.entity and s.agent = v.agent where v.pk % 5 <> 1 and (s.o is null or s.o <> p.o)")
+@query("stm_9_changed_groups", "with s as (select entity, agent, array_to_string(list_sort(list(distinct outcome)), ',') as o from votes where ts < timestamp '2024-01-16 00:00:00' and agent is not null group by 1, 2), p as (select entity, agent, array_to_string(list_sort(list(distinct outcome)), ',') as o from votes where ts >= timestamp '2024-01-10 00:00:00' and agent is not null group by 1, 2) select v.pk from votes v join p on p.entity = v.entity and p.agent = v.agent left join s on s.entity = v.entity and s.agent = v.agent where v.ts >= timestamp '2024-01-10 00:00:00' and (s.o is null or s.o <> p.o)")
 def _(i):
     v = i.votes.where("agent is not null")
-    return V.new_groups(v.where("pk % 5 <> 1"), v.where("pk % 2 = 0"), ["entity", "agent"], "outcome").select("pk")
+    return V.new_groups(v.where("ts >= '2024-01-10'"), v.where("ts < '2024-01-16'"), ["entity", "agent"], "outcome").select("pk")
 
 
 @query("udf_1_calculator_contract", "select 'artist' as calculator, count(*) as n_votes from printings where artist = 'PROMO' union all select 'layout', count(*) from printings where layout <> 'normal'")
@@ -244,8 +245,8 @@ def _(i):
     return i.printings.select(votes.alias("v")).where("v.outcome is not null").groupBy("v.calculator").agg(F.count("*").alias("n_votes"))
 
 
-@query("udtf_1_candidate_rows", "select c.pk, p.pk as candidate, row_number() over (partition by c.pk order by p.popularity desc nulls last, p.pk) as rank from cards c join printings p on p.name = c.base_name where c.pk < 200")
+@query("udtf_1_candidate_rows", "select c.pk, p.pk as candidate, row_number() over (partition by c.pk order by p.popularity desc nulls last, p.pk) as rank from cards c join printings p on p.name = c.base_name")
 def _(i):
     p = i.printings.groupBy(F.col("name").alias("base_name")).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("popularity", F.lit(-1))).alias("k"), "pk"))).alias("ps"))
-    rows = i.cards.where("pk < 200").select("pk", "base_name").join(p, "base_name").select("pk", F.posexplode("ps").alias("pos", "p"))
+    rows = i.cards.select("pk", "base_name").join(p, "base_name").select("pk", F.posexplode("ps").alias("pos", "p"))
     return rows.select("pk", F.col("p.pk").alias("candidate"), (F.col("pos") + 1).cast("long").alias("rank"))
