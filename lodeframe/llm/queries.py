@@ -32,4 +32,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": decontamination.run,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Statements for DuckDB.  The other operators are beyond SQL (models, tokenizers, HTML, packing) or too slow in it.
+SQL: dict[str, str] = {
+    "op5_topk_search": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+    "op7_ngram_jaccard_join": f"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+g as (select rid, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 2), lambda p: array_to_string(w[p:p + 3], ' '))) end as g from d),
+n as (select rid, len(g) as n from g), u as (select rid, unnest(g) as t from g),
+p as (select a.rid as x, b.rid as y, count(*) as m from u a join u b on a.t = b.t and a.rid < b.rid group by 1, 2),
+l as (select x, y from p join n a on a.rid = x join n b on b.rid = y where 100 * m >= 85 * (a.n + b.n - m)),
+e as (select x, y from l union all select y, x from l),
+r as (select rid as x, rid as y from d union select r.x, e.y from r join e on e.x = r.y)
+select o.doc_id, n.n as n_shingles, c.component_id from d o join n using (rid) join (select r.x as rid, min(d.doc_id) as component_id from r join d on d.rid = r.y group by 1) c using (rid)""",
+    "op10_benchmark_decontamination": f"""
+with b as (select item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null),
+bp as (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0),
+win as (select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as s from bp),
+d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+dp as (select rid, w, k, unnest(range(1, len(w) - k + 2)) as p from d, (select distinct k from win) where len(w) >= k),
+hits as (select rid, p, k, item_id from (select rid, p, k, array_to_string(w[p:p + k - 1], ' ') as s from dp) join win using (k, s)),
+hw as (select rid, count(distinct q) as n_hit from (select rid, unnest(range(p, p + k)) as q from hits) group by 1),
+hi as (select rid, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as string))), ',') as ids from hits group by 1)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hw using (rid) left join hi using (rid)""",
+}
