@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; every run of ``run`` consecutive sentences with ``least_words``
-words or more is hashed, hashes are joined over all documents, and the sentences that any
-non-first occurrence of a repeated run covers are removed.  The first occurrence is the one
+A text is cut into sentences; from each one the shortest run of ``run`` consecutive sentences
+or more that holds ``least_words`` words is hashed, hashes are joined over all documents, and the
+sentences that any non-first occurrence of a repeated run covers are removed.  The first occurrence is the one
 of the smallest doc_id, then the smallest place in its text.
 
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line's end; one with more
@@ -69,6 +69,13 @@ def sentences(data: np.ndarray, offsets: np.ndarray, rule: SpanRule) -> tuple[np
     return starts[head], X.mix(mixed + words.astype(X.U64)), words, np.searchsorted(head, at)
 
 
+def runs(words: np.ndarray, rule: SpanRule) -> np.ndarray:
+    """The sentence behind the run that starts at each sentence; it may lie beyond the text, or be one past all + 1 if there is none."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    first = np.arange(len(words))
+    return np.maximum(first + rule.run, np.searchsorted(total, total[:-1] + rule.least_words))
+
+
 def _spans(rule: SpanRule):
     """(span hash, doc_id, place) of every run; place: 32 bits of the text's hash over the run's sentence number."""
 
@@ -76,17 +83,16 @@ def _spans(rule: SpanRule):
         for batch in X.slices(batches):
             data, offsets = X.column_bytes(batch.column(2))
             _, hashes, words, at = sentences(data, offsets, rule)
-            grams = X.ngram_hashes(hashes, rule.run)
-            if not len(grams):
+            if not len(hashes):
                 continue
-            total = np.concatenate([[0], np.cumsum(words)])
-            enough = total[rule.run :] - total[: len(grams)] >= rule.least_words
-            doc = np.searchsorted(at, np.arange(len(grams)), side="right") - 1
-            keep = np.flatnonzero(enough & (np.arange(len(grams)) + rule.run <= at[doc + 1]))
-            doc = doc[keep]
+            first, last = np.arange(len(hashes)), runs(words, rule)
+            doc = np.searchsorted(at, first, side="right") - 1
+            keep = first[last <= at[doc + 1]]
+            doc, last = doc[keep], last[keep]
+            spans = X.mix(X.RangeHashes(hashes)(keep, last) + (last - keep).astype(X.U64))
             ids = batch.column(0).take(pa.array(doc))
             low = (batch.column(1).to_numpy(zero_copy_only=False)[doc] & 0x7FFFFFFF) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(X.signed(grams[keep])), ids, pa.array(low | (keep - at[doc]))], names=["span", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(spans)), ids, pa.array(low | (keep - at[doc]))], names=["span", "doc_id", "place"])
 
     return run
 
@@ -98,7 +104,8 @@ def _cut(rule: SpanRule, columns: list[str]):
         at_text = columns.index("text")
         for batch in X.slices(batches):
             data, offsets = X.column_bytes(batch.column(at_text))
-            starts, _, _, at = sentences(data, offsets, rule)
+            starts, _, words, at = sentences(data, offsets, rule)
+            last = runs(words, rule)
             places = batch.column(batch.num_columns - 1)
             texts, removed = [], []
             for i in range(batch.num_rows):
@@ -110,10 +117,10 @@ def _cut(rule: SpanRule, columns: list[str]):
                 n = at[i + 1] - at[i]
                 gone = np.zeros(n, bool)
                 for p in own:
-                    gone[p : p + rule.run] = True
+                    gone[p : last[at[i] + p] - at[i]] = True
                 first = starts[at[i] : at[i + 1]]
-                last = np.concatenate([first[1:], offsets[i + 1 : i + 2]])
-                kept = [data[offsets[i] : first[0]], *(data[a:b] for a, b, g in zip(first, last, gone, strict=True) if not g)]
+                stop = np.concatenate([first[1:], offsets[i + 1 : i + 2]])
+                kept = [data[offsets[i] : first[0]], *(data[a:b] for a, b, g in zip(first, stop, gone, strict=True) if not g)]
                 texts.append(b"".join(x.tobytes() for x in kept).decode().rstrip() if not gone.all() else "")
                 removed.append(int(gone.sum()))
             out = [pa.array(texts, pa.string()) if j == at_text else batch.column(j) for j in range(len(columns))]

@@ -131,9 +131,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: n
 
 
 class RangeHashes:
-    """Hashes of any byte ranges of one buffer, from sums that are taken once.
+    """Hashes of any ranges of one array of numbers, from sums that are taken once.
 
-    They are plain polynomial values: equal for equal bytes, and not those of ``word_hashes``.
+    They are plain polynomial values: equal for equal contents, and not those of ``word_hashes``.
     """
 
     def __init__(self, data: np.ndarray) -> None:
