@@ -308,7 +308,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_rows: int = 20_000) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_rows: int = 8_192) -> DataFrame:
     """Encode every text, append end_id, and write shards in ascending doc_id order; gives the manifest.
 
     The manifest has a row for each shard: first_id, last_id, uri, entries, ids.  A null or empty
