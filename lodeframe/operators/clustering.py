@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def exact_clusters(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Groups of two or more rows with one value; the smallest key stands for each.  Null never groups."""
@@ -16,15 +18,16 @@ def exact_clusters(rows: DataFrame, key: str, value: str) -> DataFrame:
 def ancestors(rows: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
     """(key, ancestor) for every node and all nodes above it, itself included, by doubling parent links.
 
-    A chain of n links takes log2(n) joins.  Links out of the table and cycles end a chain.
+    A chain of n links takes log2(n) joins, each cut from its lineage by a checkpoint.  A chain ends
+    after ``most`` links, so cycles end too.
     """
-    jump = rows.select(F.col(key).alias("n"), F.col(parent).alias("up")).where("up is not null and up <> n")
+    jump = checkpointed(rows.select(F.col(key).alias("n"), F.col(parent).alias("up")).where("up is not null and up <> n"))
     closure = rows.select(F.col(key).alias("n"), F.col(key).alias("a"))
     reach = 1
     while reach < most and not jump.isEmpty():
         step = jump.select(F.col("n").alias("a"), F.col("up"))
-        closure = closure.unionByName(closure.join(step, "a").select("n", F.col("up").alias("a"))).distinct()
-        jump = jump.join(jump.select(F.col("n").alias("up"), F.col("up").alias("higher")), "up").select("n", F.col("higher").alias("up"))
+        closure = checkpointed(closure.unionByName(closure.join(step, "a").select("n", F.col("up").alias("a"))).distinct())
+        jump = checkpointed(jump.join(jump.select(F.col("n").alias("up"), F.col("up").alias("higher")), "up").select("n", F.col("higher").alias("up")))
         reach *= 2
     return closure.select(F.col("n").alias(key), F.col("a").alias("ancestor"))
 
@@ -46,8 +49,8 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, checkpoint=None, mo
     rounds grow with the logarithm of a component's diameter.  Labels are checkpointed each round.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = both.checkpoint() if checkpoint is None else checkpoint(both)
-    keep = checkpoint or (lambda df: df.checkpoint())
+    keep = checkpoint or checkpointed
+    both = keep(both)
     labels = keep(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")))
     before = None
     for _ in range(most_rounds):
