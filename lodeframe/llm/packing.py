@@ -14,7 +14,6 @@ its rest is packed like a document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
