@@ -29,7 +29,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document all of whose sentences occur elsewhere before keeps its row, with an empty text.
     """
-    cut = substring_dedup.without_repeats(docs)
+    cut = substring_dedup.without_repeats(docs, substring_dedup.WHOLE)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cut.select(*docs.columns)

@@ -9,6 +9,14 @@ A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line's end;
 than ``longest`` words counts as several of that many words, so that passages without full
 stops have runs too.  Sentences are compared by their words alone (letters and digits, lower
 case): white space and punctuation do not tell copies apart.
+
+Pieces of ``longest`` words line up only where a passage begins at the same place of its sentence
+in each text.  With a ``window`` (``WHOLE``, as the query and the pipeline use it), passages are
+compared too: ``(run - 1) * longest + 1`` words, the fewest that a sentence of ``run`` pieces holds,
+of which one at least is of a sentence of more than ``longest`` words.  They begin at words whose
+hash is the least of some ``window`` consecutive words.  The least of a window that lies inside a
+repeated passage is the same in each text, so every repeat of ``window + (run - 1) * longest`` words
+(36) is found wherever it begins, and at most ``window - 1`` of its words stay at either end.
 """
 
 from __future__ import annotations
@@ -30,6 +38,17 @@ class SpanRule:
     run: int = 3
     longest: int = 12
     least_words: int = 10
+    window: int = 0
+
+    @property
+    def passage(self) -> int:
+        return (self.run - 1) * self.longest + 1
+
+
+#: Sentences, and passages inside long ones wherever they begin.
+WHOLE = SpanRule(window=12)
+#: Marks a place that counts words, not sentences.
+_PASSAGE = 1 << 30
 
 
 def _flags(values: bytes) -> np.ndarray:
@@ -41,32 +60,66 @@ def _flags(values: bytes) -> np.ndarray:
 _STOP, _SPACE, _LINE = _flags(b".!?"), _flags(b" \t\n\r\x0b\x0c"), _flags(b"\n")
 
 
-def sentences(data: np.ndarray, offsets: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts: first byte, hash and word count of each sentence; sentence offsets of the texts."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: first byte and hash of each word, whether it begins a sentence; word offsets of the texts."""
     starts, ends, at = X.words(data, offsets, X.ALNUM)
     m = len(starts)
-    if not m:
-        none = np.zeros(0, np.int64)
-        return none, none.view(X.U64), none, np.zeros(len(offsets), np.int64)
     hashes = X.word_hashes(data, starts, ends, X.ALNUM[1])
-    gap = []
-    for t in (_STOP, _SPACE, _LINE):  # counts between neighbouring words
-        sums = np.zeros(len(data) + 1, np.int32)
-        np.cumsum(t[data], out=sums[1:])
-        gap.append(sums[starts[1:]] - sums[ends[:-1]])
     first = np.ones(m, bool)
-    first[1:] = ((gap[0] > 0) & (gap[1] > 0)) | (gap[2] > 0)
-    first[at[:-1][at[:-1] < at[1:]]] = True
-    index = np.arange(m)
+    if m:
+        gap = []
+        for t in (_STOP, _SPACE, _LINE):  # counts between neighbouring words
+            sums = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(t[data], out=sums[1:])
+            gap.append(sums[starts[1:]] - sums[ends[:-1]])
+        first[1:] = ((gap[0] > 0) & (gap[1] > 0)) | (gap[2] > 0)
+        first[at[:-1][at[:-1] < at[1:]]] = True
+    return starts, hashes, first, at
+
+
+def _heads(first: np.ndarray, rule: SpanRule) -> np.ndarray:
+    """The first word of each sentence, or of each piece of a long one."""
+    index = np.arange(len(first))
     place = index - np.maximum.accumulate(np.where(first, index, 0))
-    head = np.flatnonzero(place % rule.longest == 0)
-    tail = np.concatenate([head[1:], [m]])
-    words = tail - head
+    return np.flatnonzero(place % rule.longest == 0)
+
+
+def _hashed(hashes: np.ndarray, first: np.ndarray, at: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, hash and word count of each sentence; sentence offsets of the texts."""
+    head = _heads(first, rule)
+    words = np.diff(np.append(head, len(first)))
     mixed = np.zeros(len(head), dtype=X.U64)
     for i in range(rule.longest):  # Horner over the words of every sentence at once
         has = words > i
         mixed[has] = mixed[has] * X.U64(0xFF51AFD7ED558CCD) + hashes[head[has] + i]
-    return starts[head], X.mix(mixed + words.astype(X.U64)), words, np.searchsorted(head, at)
+    return head, X.mix(mixed + words.astype(X.U64)), words, np.searchsorted(head, at)
+
+
+def sentences(data: np.ndarray, offsets: np.ndarray, rule: SpanRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts: first byte, hash and word count of each sentence; sentence offsets of the texts."""
+    starts, hashes, first, at = _words(data, offsets)
+    head, mixed, words, of = _hashed(hashes, first, at, rule)
+    return starts[head], mixed, words, of
+
+
+def passages(hashes: np.ndarray, first: np.ndarray, at: np.ndarray, rule: SpanRule) -> np.ndarray:
+    """The first word of every passage that touches a long sentence."""
+    m, w = len(hashes), rule.window
+    if m < max(w, rule.passage):
+        return np.zeros(0, np.int64)
+    least = hashes[: m - w + 1].copy()  # of the window that begins at each word
+    for i in range(1, w):
+        np.minimum(least, hashes[i : m - w + 1 + i], out=least)
+    index = np.arange(m)
+    stop = np.repeat(at[1:], np.diff(at))
+    least[index[: m - w + 1] + w > stop[: m - w + 1]] = 0  # windows do not cross texts
+    chosen = np.zeros(m, bool)
+    for i in range(w):
+        chosen[i : m - w + 1 + i] |= hashes[i : m - w + 1 + i] == least
+    begin = np.flatnonzero(chosen & (index + rule.passage <= stop))
+    size = np.diff(np.append(np.flatnonzero(first), m))
+    long = np.concatenate([[0], np.cumsum(np.repeat(size > rule.longest, size))])
+    return begin[long[begin + rule.passage] > long[begin]]
 
 
 def runs(words: np.ndarray, rule: SpanRule) -> np.ndarray:
@@ -77,35 +130,46 @@ def runs(words: np.ndarray, rule: SpanRule) -> np.ndarray:
 
 
 def _spans(rule: SpanRule):
-    """(span hash, doc_id, place) of every run; place: 32 bits of the text's hash over the run's sentence number."""
+    """(span hash, doc_id, place) of every run; place: 32 bits of the text's hash over the run's sentence number, or over _PASSAGE and a passage's word number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
             data, offsets = X.column_bytes(batch.column(2))
-            _, hashes, words, at = sentences(data, offsets, rule)
-            if not len(hashes):
+            _, each, head, of = _words(data, offsets)
+            if not len(each):
                 continue
+            _, hashes, words, at = _hashed(each, head, of, rule)
             first, last = np.arange(len(hashes)), runs(words, rule)
             doc = np.searchsorted(at, first, side="right") - 1
             keep = first[last <= at[doc + 1]]
             doc, last = doc[keep], last[keep]
             spans = X.mix(X.RangeHashes(hashes)(keep, last) + (last - keep).astype(X.U64))
+            place = keep - at[doc]
+            if rule.window:
+                begin = passages(each, head, of, rule)
+                inside = np.searchsorted(of, begin, side="right") - 1
+                spans = np.concatenate([spans, X.mix(~X.mix(X.RangeHashes(each)(begin, begin + rule.passage)))])
+                place = np.concatenate([place, (begin - of[inside]) | _PASSAGE])
+                doc = np.concatenate([doc, inside])
             ids = batch.column(0).take(pa.array(doc))
             low = (batch.column(1).to_numpy(zero_copy_only=False)[doc] & 0x7FFFFFFF) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(X.signed(spans)), ids, pa.array(low | (keep - at[doc]))], names=["span", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(spans)), ids, pa.array(low | place)], names=["span", "doc_id", "place"])
 
     return run
 
 
 def _cut(rule: SpanRule, columns: list[str]):
-    """Drop the sentences that the runs in __places cover; adds n_sentences and n_removed."""
+    """Drop the words that the runs in __places cover; adds n_sentences and n_removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_text = columns.index("text")
         for batch in X.slices(batches):
             data, offsets = X.column_bytes(batch.column(at_text))
-            starts, _, words, at = sentences(data, offsets, rule)
-            last = runs(words, rule)
+            starts, _, first, of = _words(data, offsets)
+            head = _heads(first, rule)
+            at = np.searchsorted(head, of)
+            bound = np.append(head, len(first))
+            last = runs(np.diff(bound), rule)
             places = batch.column(batch.num_columns - 1)
             texts, removed = [], []
             for i in range(batch.num_rows):
@@ -114,15 +178,18 @@ def _cut(rule: SpanRule, columns: list[str]):
                     texts.append(batch.column(at_text)[i].as_py())
                     removed.append(0)
                     continue
-                n = at[i + 1] - at[i]
+                base, n = of[i], of[i + 1] - of[i]
                 gone = np.zeros(n, bool)
                 for p in own:
-                    gone[p : last[at[i] + p] - at[i]] = True
-                first = starts[at[i] : at[i + 1]]
-                stop = np.concatenate([first[1:], offsets[i + 1 : i + 2]])
-                kept = [data[offsets[i] : first[0]], *(data[a:b] for a, b, g in zip(first, stop, gone, strict=True) if not g)]
+                    if p & _PASSAGE:
+                        gone[p ^ _PASSAGE : (p ^ _PASSAGE) + rule.passage] = True
+                    else:
+                        gone[bound[at[i] + p] - base : bound[last[at[i] + p]] - base] = True
+                begin = np.append(starts[base : of[i + 1]], offsets[i + 1])
+                turns = np.concatenate([[0], np.flatnonzero(gone[1:] != gone[:-1]) + 1, [n]])
+                kept = [data[offsets[i] : begin[0]], *(data[begin[a] : begin[b]] for a, b in zip(turns[:-1], turns[1:], strict=True) if not gone[a])]
                 texts.append(b"".join(x.tobytes() for x in kept).decode().rstrip() if not gone.all() else "")
-                removed.append(int(gone.sum()))
+                removed.append(int(np.logical_or.reduceat(gone, head[at[i] : at[i + 1]] - base).sum()))
             out = [pa.array(texts, pa.string()) if j == at_text else batch.column(j) for j in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_sentences", "n_removed"])
 
@@ -130,9 +197,9 @@ def _cut(rule: SpanRule, columns: list[str]):
 
 
 def without_repeats(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
-    """docs with repeated sentences cut from text, plus n_sentences (before) and n_removed.
+    """docs with repeated sentences cut from text, plus n_sentences (before) and n_removed (those that lost words).
 
-    A text without a removed sentence stays as it is, byte for byte; one that loses all its
+    A text without a removed word stays as it is, byte for byte; one that loses all its
     sentences becomes empty; a null text stays null.  Texts of fewer sentences than a run are
     never touched.  Rows with a null doc_id come last in the order of first occurrences.  Rows
     that repeat both doc_id and text count as one document, and each keeps its row.  An empty
@@ -159,4 +226,4 @@ def without_repeats(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_sentences", "n_removed", "text")
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), WHOLE).select("doc_id", "n_sentences", "n_removed", "text")

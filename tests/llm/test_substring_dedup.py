@@ -1,3 +1,4 @@
+import random
 import re
 from collections import defaultdict
 
@@ -66,3 +67,24 @@ def test_null_ids_repeats_columns_and_an_empty_table(spark):
     out = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in df.collect())
     assert out == [(False, 4, 0), (False, 4, 0), (False, 9, 4), (True, 0, 4)]
     assert df.columns == [*docs(spark, []).columns, "n_sentences", "n_removed"] and S.without_repeats(docs(spark, [])).count() == 0
+
+
+def test_passages_without_full_stops_at_any_offset(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for k in range(36):
+        p = some(50 + k % 20)
+        passages += [(2 * k + 1, p)]
+        rows += [(2 * k, f"{some(12)} {p} {some(9)}"), (2 * k + 1, f"{some(12 + k)} {p} {some(k % 5)}")]
+    half = f"{some(20)}. {some(30)}"  # a full stop inside
+    rows += [(900, f"{some(4)} {half} {some(9)}"), (901, f"{some(11)} {half} {some(15)}"), (902, some(300))]
+    passages += [(901, half)]
+    out = {r.doc_id: r for r in S.without_repeats(docs(spark, rows), S.WHOLE).collect()}
+    text = dict(rows)
+    assert all(out[i].text == text[i] and out[i].n_removed == 0 for i in text if i % 2 == 0)
+    for i, p in passages:
+        around = text[i].split(p)
+        assert out[i].n_removed > 0 and out[i].text.startswith(around[0]) and out[i].text.endswith(around[1].strip())
+        assert len(out[i].text.split()) <= len(text[i].split()) - len(p.split()) + 22
