@@ -163,7 +163,8 @@ class Encoder:
     The byte-level splitting pattern never joins across these places, so a stretch may begin there:
     before a space that a non-space follows, where a digit or letter of ASCII meets punctuation or
     white space, and behind a line feed between two of these.  Stretches are encoded by the
-    tokenizers library and remembered, at most ``remembered`` of them.
+    tokenizers library and remembered, at most ``remembered`` of them.  A text that holds the literal
+    of an added token (``<|endoftext|>``) is encoded whole, as the library sees these before it splits.
     """
 
     remembered = 1 << 20
@@ -172,7 +173,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
+        self.literals = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -217,8 +218,40 @@ class Encoder:
         order = np.argsort(hashes, kind="stable")
         return hashes[order], np.concatenate([a[1], b[1]])[order]
 
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The texts that hold an added token's literal."""
+        raw, found = data.tobytes(), set()
+        for literal in self.literals:
+            at = raw.find(literal)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, side="right"))
+                if at + len(literal) <= offsets[text]:
+                    found.add(text - 1)
+                    at = raw.find(literal, int(offsets[text]))
+                else:
+                    at = raw.find(literal, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, id offsets of the texts)."""
+        whole = self._whole(data, offsets)
+        if not len(whole):
+            return self._stretched(data, offsets)
+        sizes = np.diff(offsets)
+        rest = np.ones(len(sizes), bool)
+        rest[whole] = False
+        ids, at = self._stretched(data[np.repeat(rest, sizes)], np.concatenate([[0], np.cumsum(np.where(rest, sizes, 0))]))
+        texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in whole]
+        parts, last = [], 0
+        for i, text in zip(whole.tolist(), texts, strict=True):
+            parts += [ids[at[last] : at[i]], np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)]
+            last = i
+        counts = np.diff(at)
+        counts[whole] = [len(x) for x in parts[1::2]]
+        return np.concatenate([*parts, ids[at[last] :]]), np.concatenate([[0], np.cumsum(counts)])
+
+    def _stretched(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without such literals."""
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

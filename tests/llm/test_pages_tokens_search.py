@@ -83,6 +83,18 @@ def test_encoder_equals_the_library():
     assert ids.tolist() == e.tokenizer.encode("one two three four five six", add_special_tokens=False).ids
 
 
+def test_literals_of_added_tokens_equal_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(S.default_tokenizer()), S.Encoder(S.default_tokenizer()), random.Random(9)
+    assert e(*X.column_bytes(pa.array(["<|endoftext|>"])))[0].tolist() == [50256]
+    bits = ["<|endoftext|>", "<|endof", "text|>", "a", " ", "  ", "\n", "é", ".", "<", "|>", "one two"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(5)]
+        ids, at = e(*X.column_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_store_of_a_table(spark, tmp_path):
     from tokenizers import Tokenizer
 
