@@ -28,7 +28,10 @@ from .substring_dedup import SpanRule, sentences
 
 @dataclass(frozen=True)
 class ToxicityRule:
-    """sample: toxic documents that the field is fitted on, at most, and twice as many clean ones (the bound of the sample)."""
+    """sample: toxic documents that the field is fitted on, at most, and twice as many clean ones (the bound of the sample).
+
+    sample_bytes: bytes of all sampled texts; longer ones than fit give random chains, none is left out.
+    """
 
     sample: int = 800
     sample_bytes: int = 8_000_000
@@ -219,25 +222,71 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> list[int]:
     return keep
 
 
+def _allowance(sizes: list[int], most: int) -> int:
+    """The largest size to which all texts are cut so that they hold ``most`` bytes together."""
+    left, ordered = most, sorted(sizes)
+    for i, size in enumerate(ordered):
+        share = left // (len(ordered) - i)
+        if size > share:
+            return max(1, share)
+        left -= size
+    return max(1, ordered[-1]) if ordered else 1
+
+
+def _excerpt(text: str, most: int) -> str:
+    """The text if it has no more than ``most`` bytes, else those of its chains that fit in, drawn by hash."""
+    raw = text.encode()
+    if len(raw) <= most:
+        return text
+    data, offsets = X.column_bytes(pa.array([text], pa.large_string()))
+    starts, hashes, _, _ = sentences(data, offsets, _CHAINS)
+    if not len(starts):
+        return ""
+    sizes = np.diff(np.append(starts, len(data))) + 1
+    # Each hash is mixed with its place, so that repeats of a chain are drawn apart.
+    order = np.argsort(X.mix(hashes + X.mix(np.arange(len(starts), dtype=X.U64))), kind="stable")
+    taken, left = [], most
+    for i in order.tolist():
+        if sizes[i] <= left:
+            taken.append(i)
+            left -= int(sizes[i])
+    if not taken:  # chains without end: the beginning of one
+        return raw[starts[order[0]] :][:most].decode(errors="ignore")
+    return "\n".join(raw[starts[i] : starts[i] + sizes[i] - 1].decode() for i in sorted(taken))
+
+
+def _excerpts(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches):
+            texts = [_excerpt(x, most) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], names=["doc_id", "text", "toxic"])
+
+    return run
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> DataFrame:
-    """(text, toxic) of a bounded sample of labelled documents outside the held-out fold, by hash order."""
+    """(doc_id, text, toxic) of a bounded sample of labelled documents outside the held-out fold, by hash order.
+
+    Where the sample's texts hold more than ``sample_bytes``, the longest give random chains only.
+    """
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(rule.folds))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold != rule.held_out)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     # Copies of one text crowd a sample, so it is drawn from hashes of texts before texts are read.
-    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
-    both = known.join(slim, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    slim = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.octet_length(F.col("text").cast("string")).alias("size"))
+    both = known.join(slim, "doc_id").groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.max("size").alias("size"))
     picked = None
     for value in (0, 1):
         some = both.where(F.col("toxic") == value).orderBy(F.xxhash64("h"), "h").limit(rule.sample * (2 - value))
         picked = some if picked is None else picked.unionByName(some)
-    picked = F.broadcast(picked.select("doc_id", "toxic"))  # 3 x sample rows at most
-    return docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    rows = picked.select("doc_id", "toxic", "size").collect()  # 3 x sample rows at most
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in rows], f"doc_id long, toxic {labels.schema['toxic'].dataType.simpleString()}"))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic")
+    return texts.mapInArrow(_excerpts(_allowance([r.size for r in rows], rule.sample_bytes)), texts.schema).dropDuplicates(["doc_id"])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule()) -> Field:
     rows = training_rows(docs, labels, rule).toPandas().sort_values("doc_id")
-    small = rows["text"].str.len().cumsum() <= rule.sample_bytes
-    return train(rows["text"][small].tolist(), rows["toxic"][small].tolist(), rule)
+    return train(rows["text"].tolist(), rows["toxic"].tolist(), rule)
 
 
 def _score(field, rule: ToxicityRule, at_text: int):

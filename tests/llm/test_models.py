@@ -74,6 +74,21 @@ def test_toxicity_edges(spark):
     assert T.scored(docs(spark, []), lab).count() == 0
 
 
+def test_long_texts_leave_the_sample_whole(spark):
+    rows, labels = toxic_tables(spark)
+    rng = random.Random(2)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) + "." * (k % 9 == 0) for k in range(30_000))
+    rows += [(-3, "q" * 90_000), (-2, "vilex " + long), (-1, long[::-1])]
+    lab = spark.createDataFrame([*labels, (-3, 0), (-2, 1), (-1, 0)], "doc_id long, toxic int")
+    rule = T.ToxicityRule(sample_bytes=60_000)
+    drawn = T.training_rows(docs(spark, rows), lab, T.ToxicityRule(sample_bytes=60_000, held_out=9)).collect()
+    text = dict(rows)
+    assert {r.doc_id for r in drawn} == set(text) and sum(len(r.text.encode()) for r in drawn) <= rule.sample_bytes
+    assert all(r.text == text[r.doc_id] for r in drawn if r.doc_id >= 0) and all(len(r.text) > 5_000 for r in drawn if r.doc_id < 0)
+    fresh = [(1000 + i, f"abcd {w} efgh {w} " * 3) for i, w in enumerate(("vilex", "vilez", "hgfe"))]
+    assert {r.doc_id: r.predicted for r in T.scored(docs(spark, fresh), lab, docs(spark, rows), rule).collect()} == {1000: 1, 1001: 1, 1002: 0}
+
+
 def test_language_held_out(spark):
     both = L.run(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (both.lang == both.lang_pred).mean() >= 0.97 and both.score.between(0, 1).all()
