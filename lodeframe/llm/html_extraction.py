@@ -1,8 +1,11 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree of its elements.  Elements that never hold an article (scripts, forms,
-navigation ...) and those whose class, id or role names a page part (menu, advert, comments ...)
-are pruned.  Every remaining node gets its link-adjusted density: characters per tag, times
+navigation ...) are pruned.  A class or id that names a page part (menu, advert, ...) is a hint:
+a whole token counts, not a word of it (unless all its words name parts or places), and what it
+marks stays if it holds most of the body's text outside links, if nothing else has text, or if it
+is a heading, paragraph or part of an article whose name may be an article's too (notice, header ...).
+Every remaining node gets its link-adjusted density: characters per tag, times
 the logarithm of (characters per link character) * (tags per link tag) to a base that grows with
 the share of link text of node and body.  The node with the largest sum of its children's
 densities is the centre of the page; the least density on its path to the body is the threshold.
@@ -33,11 +36,16 @@ _RAW = frozenset("script style textarea title xmp iframe noembed noframes templa
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that hold no article text, whatever they are called.
 _NEVER = frozenset("script style noscript template nav footer aside form button select option input textarea iframe object embed svg math canvas audio video dialog menu head title noembed noframes".split())
-#: Words in class, id or role that name a part of the page beside the article.
-_PART = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adbox|adslot|banner|sponsor|sponsored|promo|promotion|promoted|sidebar|side-bar|sidenav|rail|nav|navbar|navigation|menu|menus|submenu|breadcrumb|breadcrumbs|crumbs|toolbar|topbar|header|masthead|site-header|page-header|footer|foot|site-footer|comment|comments|commentlist|disqus|respond|replies|reply|discussion|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|sign-up|login|signin|search|searchbox|form|share|sharing|social|related|recommended|recommendations|recirc|more-stories|popular|trending|widget|widgets|pagination|pager|paging|tags|tagcloud|copyright|disclaimer|skip|skip-link|contentinfo|complementary|hidden|visually-hidden|sr-only)(?:$|[\s_-])",
-    re.I,
+#: Words in class or id that name a part of the page beside the article.
+_PART = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted sidebar side-bar sidenav rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs toolbar topbar header masthead site-header page-header footer foot site-footer comment comments commentlist disqus respond replies reply discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sign-up login signin search searchbox form share sharing social related recommended recommendations recirc more-stories popular trending widget widgets pagination pager paging tags tagcloud copyright disclaimer skip skip-link contentinfo complementary hidden visually-hidden sr-only".split()
 )
+#: Words beside these in a token: where a part is, or that it is a box.
+_PLACE = frozenset("left right top bottom main site page primary secondary global container wrapper wrap box block bar area section inner outer list links item items".split())
+#: Parts that an article may have as well.
+_SOFT = frozenset("header page-header notice notices alert disclaimer discussion form search reply replies respond overlay tags foot banner copyright rail popular trending".split())
+#: Parts that are beside the article even where they hold more text than it.
+_TALK = frozenset("comment comments commentlist disqus replies respond".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: An opening tag closes these open elements, up to the boundary after the bar.
 _CLOSES = {
@@ -53,17 +61,19 @@ _CLOSES = {
     "option": (("option",), ("select",)),
 }
 _HEADINGS = frozenset(("h1", "h2", "h3"))
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _CONTAINERS = frozenset(("article", "main", "section", "div", "body", "td", "blockquote"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "pruned", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "pruned", "chars", "tags", "link_chars", "link_tags", "density", "total", "hint")
 
     def __init__(self, tag: str, parent: Node | None, pruned: bool) -> None:
         self.tag, self.parent, self.pruned = tag, parent, pruned
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.hint = 0
 
 
 def _prunes(tag: str, attributes: str, parent: Node) -> bool:
@@ -85,18 +95,39 @@ def _prunes(tag: str, attributes: str, parent: Node) -> bool:
             elif name == "role":
                 if value.lower() in _ROLE:
                     return True
-            elif value and _PART.search(value):
-                return True
     return False
 
 
+def _named(token: str) -> str | None:
+    """The page part that a class or id token names."""
+    if token in _PART:
+        return token
+    words = [w for w in re.split("[-_]+", token) if w]
+    parts = [w for w in words if w in _PART]
+    return parts[0] if parts and all(w in _PART or w in _PLACE for w in words) else None
+
+
+def _hint(tag: str, attributes: str, parent: Node) -> int:
+    """0 if class and id name no page part, 2 for talk about the article, 1 for others."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return 0
+    parts = {_named(t) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for t in (m[2] or "").strip("\"'").lower().split()} - {None}
+    if parts and parts <= _SOFT:
+        node = parent
+        while node is not None and node.tag not in ("article", "main"):
+            node = node.parent
+        if node is not None or tag in _TEXT:
+            return 0
+    return 2 if parts & _TALK else 1 if parts else 0
+
+
 def parse(page: str) -> Node:
     """The tree of a page; pruned subtrees keep no children."""
     root = Node("html", None, False)
     body = Node("body", root, False)
     root.children.append(body)
     stack = [root, body]
-    at, n = 0, len(page)
+    at, n, hinted = 0, len(page), False
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -142,14 +173,46 @@ def parse(page: str) -> Node:
             continue
         node = Node(tag, parent, pruned)
         if not pruned:
+            node.hint = _hint(tag, m[3], parent)
+            hinted |= node.hint > 0
             parent.children.append(node)
         elif not parent.pruned and tag in _BLOCK:
             parent.children.append(Node("hr", parent, False))  # what is pruned still parts the blocks around it
         if tag not in _VOID and not (m[3].rstrip().endswith("/") and tag not in _BLOCK):
             stack.append(node)
+    if hinted:
+        _follow_hints(body)
     return body
 
 
+def _follow_hints(body: Node) -> None:
+    """Prune what class or id name as a page part, unless it holds most of the text outside links or nothing is left."""
+    nodes = _measure(body)
+    plain = {id(x): x.chars - x.link_chars for x in nodes}
+    for x in nodes:
+        x.chars = x.tags = x.link_chars = x.link_tags = 0
+    total = left = plain[id(body)]
+    gone, work = [], [body]
+    while work:
+        node = work.pop()
+        if node.hint == 2 or node.hint and plain[id(node)] * 2 <= total:
+            gone.append(node)
+            left -= plain[id(node)]
+        else:
+            work.extend(c for c in node.children if isinstance(c, Node))
+    if not left and total:
+        return
+    out = {id(x) for x in gone}
+    for parent in {id(x.parent): x.parent for x in gone}.values():
+        children = []
+        for c in parent.children:
+            if not isinstance(c, Node) or id(c) not in out:
+                children.append(c)
+            elif c.tag in _BLOCK:
+                children.append(Node("hr", parent, False))  # what is pruned still parts the blocks around it
+        parent.children = children
+
+
 def _measure(body: Node) -> list[Node]:
     """Characters, tags, link characters and link tags of every node; all nodes, parents first."""
     nodes = [body]

@@ -34,6 +34,18 @@ def test_main_text_of_a_page(wrap):
     assert H.main_text(framed(wrap.format(ARTICLE))) == WANT
 
 
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "class='layout-right-rail'", "id='form-article'", "class='overlay'"])
+def test_wrappers_whose_names_hold_words_of_page_parts(name):
+    long = "<p>" + "some more words of it " * 30 + "</p>"
+    assert H.main_text(framed(f"<div {name}><div class='text'>{ARTICLE}{long}</div></div>")) == WANT + "\n" + ("some more words of it " * 30).strip()
+    assert H.main_text(f"<body><section {name}><p>all of the page</p></section></body>") == "all of the page"
+
+
+def test_parts_of_an_article_with_such_names():
+    page = framed(f"<article><div class='post-header'><h1>Head</h1></div><p class='notice'>A notice.</p>{ARTICLE}<div class='ad'>Buy it.</div><div class='share-links'>Share it.</div></article>")
+    assert H.main_text(page) == "Head\nA notice.\n" + WANT
+
+
 def test_sections_and_headings_beside_the_centre():
     page = framed("<div><h1>Head</h1><section><p>" + "one two " * 30 + "</p></section><section><p>" + "three four " * 20 + "</p></section></div>")
     assert H.main_text(page) == "Head\n" + ("one two " * 30).strip() + "\n" + ("three four " * 20).strip()
