@@ -238,9 +238,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, rule: Jaccard
 
 
 def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of docs.
+    """(doc_id, n_shingles, component_id, n_verified) for every row of docs.
 
-    component_id is the smallest doc_id that links reach; n_links counts the links that were
+    component_id is the smallest doc_id that links reach; n_verified counts the links that were
     verified for the row's distinct set: enough of them to connect its component, not all of them.  A null,
     empty or word-less text has the empty set: 0 shingles, linked with nothing, its own
     component.  Repeated rows are rows of the same set and keep a row each.  A row with a null
@@ -295,10 +295,10 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_i
     label = written(connected_components(every), "components")
     heavy.unpersist()
 
-    degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_verified"))
     labelled = rows.join(label.join(degree, "node", "left"), "node", "left").withColumn("label", F.coalesce("component", "node"))
     least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
 
 
 def one_of_each(docs: DataFrame, rule: JaccardJoin = JaccardJoin(words=5, num=80)) -> DataFrame:

@@ -80,3 +80,10 @@ def test_shingles_hash_like_words():
     texts = ["A b\tC d e", "a B c\nd E ", "a", "", None, "\x00 x"]
     sets = J.shingle_sets(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), J.JaccardJoin())
     assert [len(s) for s in sets] == [len(shingle_set(t, 4)) for t in texts] and list(sets[0]) == list(sets[1])
+
+
+def test_verified_links_are_named_so(spark):
+    t = " ".join(f"w{i}" for i in range(50))
+    out = J.jaccard_components(docs(spark, [(1, t), (2, t + " end"), (3, "other words " * 9)]))
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_verified"]
+    assert {r.doc_id: r.n_verified for r in out.collect()} == {1: 1, 2: 1, 3: 0}
