@@ -1,15 +1,18 @@
 """Exact top-k by inner product with multi-resolution segment statistics.
 
-A vector is cut into segments; of each, the mean and the deviation are kept.  By Cauchy-Schwarz
-on the deviations, the inner product of two vectors is at most
+Vectors are turned to principal axes, fitted on a bounded sample, and cut into segments; of each
+segment the mean and the deviation are kept.  By Cauchy-Schwarz on the deviations, the inner
+product of two vectors is at most
 ``sum over segments of n * (mean_q * mean_x + dev_q * dev_x)``: the distance it stands for has a
-lower bound.  Coarse segments are tried first, fine ones for the pairs that remain, and only the
-survivors' products are computed in full.
-
-Queries are taken in blocks of a fixed number, and each block is broadcast and compared with
-all rows in one scan.  A first scan of a bounded, hash-chosen sample of rows gives each query
-a score that its k-th best reaches at least; everything under it is pruned.  It only prunes:
-the result is exact.
+lower bound.  Coarse segments are tried first, finer ones for the pairs that remain (at a fine level
+the strong axes are segments by themselves, whose deviation is zero), and only the survivors'
+products are computed from the integer vectors.  Turning keeps inner products, so bounds hold up to
+rounding, for which they get slack.
+
+Queries are dealt to blocks of a bounded number by hash; a block is broadcast and compared with all
+rows in one scan.  Before, a scan of a hash-chosen share of the rows gives each query of the block a
+score that its k-th best reaches at least; everything under it is pruned, and a task raises it by
+the rows it sees.  It only prunes: the result is exact.
 """
 
 from __future__ import annotations
@@ -23,124 +26,170 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import dropped, fresh, written
 
 
 @dataclass(frozen=True)
 class SearchRule:
-    """block: queries in one broadcast; sample: rows that set the first thresholds; rows: candidates compared at once."""
+    """block: queries in one broadcast, about; sample: least rows that set the first thresholds, and ``share`` the part of all rows.
+
+    axes: rows that principal axes are fitted on, at most.  cells: pairs that are compared at once.
+    levels: of each resolution, the part of the axes that are segments by themselves, and the segments of the rest.
+    """
 
     k: int = 5
     every: int = 50
     scale: int = 256
-    block: int = 8192
+    block: int = 16384
     sample: int = 8192
-    rows: int = 512
-    segments: tuple[int, ...] = (4, 16)
+    share: int = 1024
+    axes: int = 8192
+    cells: int = 1 << 21
+    levels: tuple[tuple[float, int], ...] = ((0.0, 4), (0.5, 8), (0.75, 4))
 
 
-def quantised(batch: pa.RecordBatch, scale: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(row numbers, integer vectors by length) of the vectors that are whole and finite."""
+def quantised(batch: pa.RecordBatch, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, integer vectors) by length of the vectors that are whole and finite."""
     column = batch.column(1)
-    flat = pc.cast(column.flatten(), pa.float64())
+    values = pc.cast(column.flatten(), pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
     ends = np.cumsum(np.maximum(lengths, 0))
-    fine = np.isfinite(values)
-    bad = np.concatenate([[0], np.cumsum(~fine)])
+    bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
     good = (lengths > 0) & (bad[ends] == bad[ends - np.maximum(lengths, 0)]) & pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
     out = []
-    rows = np.flatnonzero(good)
-    for length in np.unique(lengths[rows]):
-        own = rows[lengths[rows] == length]
-        at = (ends - lengths)[own][:, None] + np.arange(length)
-        out.append((own, np.floor(scale * values[at])))
-    return rows, out
-
-
-def statistics(x: np.ndarray, segments: int) -> np.ndarray:
-    """Rows (sqrt(n) * mean, sqrt(n) * deviation) by segment: products of two rows bound products of the vectors."""
-    cuts = np.linspace(0, x.shape[1], min(segments, x.shape[1]) + 1).astype(int)
-    parts = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        s = x[:, a:b]
-        mean = s.mean(1)
-        parts.append(np.stack([mean * np.sqrt(b - a), np.sqrt(np.maximum((s * s).sum(1) - (b - a) * mean * mean, 0))], 1))
-    return np.concatenate(parts, 1)
-
-
-def _keep_best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
-    """Positions of each query's k best: highest score, then smallest id."""
-    order = np.lexsort((vec, -score, query))
-    q = query[order]
-    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.zeros(0, bool)
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else q
-    return order[rank < k]
+    for length in np.unique(lengths[good]):
+        own = np.flatnonzero(good & (lengths == length))
+        out.append((own, np.floor(scale * values[(ends - lengths)[own][:, None] + np.arange(length)])))
+    return out
 
 
-def _search(block, rule: SearchRule):
-    """Each query's best rows of a stretch of rows; (query_id, vec_id, score)."""
+def cuts(length: int, level: tuple[float, int]) -> np.ndarray:
+    """Where the segments of a level begin and end."""
+    single = int(length * level[0])
+    rest = length - single
+    return np.concatenate([np.arange(single), single + np.linspace(0, rest, min(level[1], rest) + 1).astype(int)])
+
+
+def statistics(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Columns sqrt(n) * mean and sqrt(n) * deviation of the segments: products of two such rows bound products of the vectors."""
+    n = np.diff(bounds)
+    sums = np.add.reduceat(x, bounds[:-1], axis=1)
+    means = sums / np.sqrt(n)
+    if n.max() == 1:
+        return means
+    at = int(np.argmax(n > 1))  # single axes come first
+    first = bounds[at]
+    squares = np.add.reduceat(x[:, first:] ** 2, bounds[at:-1] - first, axis=1)
+    return np.concatenate([means, np.sqrt(np.maximum(squares - means[:, at:] ** 2, 0))], 1)
+
+
+class Block:
+    """Queries of one length with what is known of each one's k-th best score, and the best rows seen."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, axes: np.ndarray, rule: SearchRule) -> None:
+        self.ids, self.x, self.floor, self.axes, self.k = ids, x, floor.copy(), axes, rule.k
+        self.bounds = [cuts(x.shape[1], level) for level in rule.levels]
+        turned = x @ axes
+        self.levels = [statistics(turned, b) for b in self.bounds]
+        self.length = np.sqrt((x * x).sum(1))
+        self.score = [np.zeros(0)] * len(ids)
+        self.vec = [np.zeros(0, np.int64)] * len(ids)
+        self.rows = max(1, rule.cells // max(1, len(ids)))
+        #: Pairs that came to each level and, last, to exact products.
+        self.pairs = np.zeros(len(self.levels) + 1, np.int64)
+
+    def meet(self, y: np.ndarray, ids: np.ndarray) -> None:
+        turned = y @ self.axes
+        levels = [statistics(turned, b) for b in self.bounds]
+        slack = 1e-9 * (self.length * np.sqrt((y * y).sum(1).max()) + 1)
+        upper = self.levels[0] @ levels[0].T
+        self.pairs[0] += upper.size
+        for i in np.flatnonzero((upper >= (self.floor - slack)[:, None]).any(1)):
+            least = self.floor[i] - slack[i]
+            j = np.flatnonzero(upper[i] >= least)
+            for n, (mine, other) in enumerate(zip(self.levels[1:], levels[1:], strict=True), 1):
+                self.pairs[n] += len(j)
+                j = j[other[j] @ mine[i] >= least]
+            self.pairs[-1] += len(j)
+            score = y[j] @ self.x[i]
+            good = (score >= self.floor[i]) & (ids[j] != self.ids[i])
+            if good.any():
+                self._keep(i, score[good], ids[j[good]])
+
+    def _keep(self, i: int, score: np.ndarray, vec: np.ndarray) -> None:
+        score, vec = np.concatenate([self.score[i], score]), np.concatenate([self.vec[i], vec])
+        best = np.lexsort((vec, -score))[: self.k]
+        self.score[i], self.vec[i] = score[best], vec[best]
+        if len(best) == self.k:
+            self.floor[i] = max(self.floor[i], score[best[-1]])
+
+    def best(self) -> pa.RecordBatch:
+        n = np.array([len(s) for s in self.score], np.int64)
+        empty = [np.zeros(0)]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate(self.vec or empty).astype(np.int64)), pa.array(np.concatenate(self.score or empty).astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+
+def _search(block, rule: SearchRule, report: bool = False):
+    """Each query's best rows of a stretch of rows, (query_id, vec_id, score), or the pairs at each level, (level, pairs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        blocks = {}
-        for ids, x, floor in block.value:
-            blocks[x.shape[1]] = (ids, x, floor.copy(), [statistics(x, s) for s in rule.segments])
+        blocks = {x.shape[1]: Block(ids, x, floor, axes, rule) for ids, x, floor, axes in block.value}
         for batch in batches:
-            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for own, vectors in quantised(batch, rule.scale)[1]:
-                if vectors.shape[1] not in blocks:
-                    continue
-                ids, x, floor, bounds = blocks[vectors.shape[1]]
-                for at in range(0, len(own), rule.rows):
-                    y, y_ids = vectors[at : at + rule.rows], all_ids[own[at : at + rule.rows]].astype(np.int64)
-                    slack = 1 + 1e-9 * np.abs(floor)
-                    i, j = np.nonzero(bounds[0] @ statistics(y, rule.segments[0]).T >= (floor - slack)[:, None])
-                    for s, b in zip(rule.segments[1:], bounds[1:], strict=True):
-                        if len(i):
-                            upper = _products(b, statistics(y, s), i, j)
-                            keep = upper >= floor[i] - slack[i]
-                            i, j = i[keep], j[keep]
-                    if not len(i):
-                        continue
-                    score = _products(x, y, i, j)
-                    keep = (score >= floor[i]) & (ids[i] != y_ids[j])
-                    i, j, score = i[keep], j[keep], score[keep]
-                    best = _keep_best(i, y_ids[j], score, rule.k)
-                    held.append((ids[i[best]], y_ids[j[best]], score[best]))
-                    if sum(len(h[0]) for h in held) > 400_000:
-                        held = [_merged(held, rule.k)]
-                        # k rows seen by this task bound the k-th best of a query from below.
-                        mine = np.isin(held[0][0], ids)
-                        q, found = np.searchsorted(ids, held[0][0][mine]), held[0][2][mine]
-                        worst = np.full(len(ids), np.inf)
-                        np.minimum.at(worst, q, found)
-                        full = np.bincount(q, minlength=len(ids)) >= rule.k
-                        floor[full] = np.maximum(floor[full], worst[full])
-        if held:
-            yield _rows(*_merged(held, rule.k))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for own, vectors in quantised(batch, rule.scale):
+                b = blocks.get(vectors.shape[1])
+                for at in range(0, len(own), b.rows if b else 1) if b else ():
+                    b.meet(vectors[at : at + b.rows], ids[own[at : at + b.rows]].astype(np.int64))
+        for b in blocks.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(b.pairs))), pa.array(b.pairs)], names=["level", "pairs"]) if report else b.best()
 
     return run
 
 
-def _rows(q: np.ndarray, v: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(q.astype(np.int64)), pa.array(v), pa.array(s.astype(np.int64))], names=["query_id", "vec_id", "score"])
+def principal_axes(sampled: DataFrame, rule: SearchRule) -> dict[int, np.ndarray]:
+    """By length of vectors, the axes of a bounded sample, strongest first."""
+    rows = sampled.limit(rule.axes).toArrow().combine_chunks()
+    axes: dict[int, np.ndarray] = {}
+    for batch in rows.to_batches():
+        for _, x in quantised(batch, rule.scale):
+            moments = axes.get(x.shape[1], 0) + x.T @ x
+            axes[x.shape[1]] = moments
+    return {n: np.linalg.eigh(m)[1][:, ::-1].copy() for n, m in axes.items()}
 
 
-def _merged(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    q, v, s = (np.concatenate(x) for x in zip(*held, strict=True))
-    best = _keep_best(q, v, s, k)
-    return q[best], v[best], s[best]
+def _blocks(vectors: DataFrame, rule: SearchRule):
+    """(written queries by block, number of blocks, written sample, all rows)."""
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    queries = slim.where(F.col("vec_id") % rule.every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    counts = slim.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % rule.every == 0).alias("queries")).first()
+    n = max(1, -(-counts["queries"] // rule.block))
+    queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")), "queries", ["block"])
+    part = max(1, counts["rows"] // max(rule.sample, counts["rows"] // rule.share))
+    sampled = written(slim.where(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(part)) == 0), "sample")
+    return slim, queries, n, sampled
 
 
-def _products(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """x[i] . y[j] for pairs: by one matrix product where pairs are dense, else by gathered rows."""
-    if len(i) * 8 > len(x) * len(y):
-        return (x @ y.T)[i, j]
-    out = np.empty(len(i))
-    for at in range(0, len(i), 65536):
-        out[at : at + 65536] = np.einsum("ij,ij->i", x[i[at : at + 65536]], y[j[at : at + 65536]])
-    return out
+def _scans(vectors: DataFrame, rule: SearchRule):
+    """Of each block of queries, its broadcast with thresholds that the sample sets, and the rows to scan."""
+    spark = vectors.sparkSession
+    slim, queries, n, sampled = _blocks(vectors, rule)
+    axes = principal_axes(sampled, rule)
+    for number in range(n):  # a bounded number of rows reaches the driver at once
+        rows = queries.where(F.col("block") == number).select("vec_id", "embedding").toArrow().combine_chunks()
+        block = []
+        for batch in rows.to_batches():
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            block += [(ids[own].astype(np.int64), x, axes.get(x.shape[1], np.eye(x.shape[1]))) for own, x in quantised(batch, rule.scale)]
+        if not block:
+            continue
+        block = [(np.concatenate([b[0] for b in block if b[1].shape[1] == d]), np.concatenate([b[1] for b in block if b[1].shape[1] == d]), axes.get(d, np.eye(d))) for d in sorted({b[1].shape[1] for b in block})]
+        first = sampled.mapInArrow(_search(spark.sparkContext.broadcast([(i, x, np.full(len(i), -1e300), a) for i, x, a in block]), rule), FOUND)
+        seen = {r[0]: r[1] for r in _ranked(first, rule.k).where(F.col("rank") == rule.k).select("query_id", "score").collect()}  # a row a query of the block
+        yield slim, spark.sparkContext.broadcast([(i, x, np.array([seen.get(int(v), -1e300) for v in i], float), a) for i, x, a in block])
+    dropped(spark, queries, sampled)
+
+
+FOUND = "query_id long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, rule: SearchRule = SearchRule()) -> DataFrame:
@@ -149,38 +198,27 @@ def top_k(vectors: DataFrame, rule: SearchRule = SearchRule()) -> DataFrame:
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows of other
     ids.  Components become floor(scale * x).  A vector that is null, empty or holds a null or
     non-finite component takes no part, nor does a row with a null vec_id.  Vectors of different
-    lengths are not compared.  Of rows that repeat a query's id the smallest vector (by array
-    order) is the query; repeated candidates keep a place each.  An empty table gives no rows;
-    other columns are ignored.  Products are exact while they stay under 2**53.
+    lengths are not compared; very long ones only take more time.  Of rows that repeat a query's id
+    the smallest vector (by array order) is the query; repeated candidates keep a place each.  An
+    empty table gives no rows; other columns are ignored.  Products are exact while they stay under
+    2**53.
     """
-    spark = vectors.sparkSession
-    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    queries = written(slim.where(F.col("vec_id") % rule.every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
-    part = max(1, slim.count() // rule.sample)
-    sampled = written(slim.where(F.pmod(F.xxhash64("vec_id"), F.lit(part)) == 0), "sample")  # thresholds only
-    results, last = [], None
-    while True:  # blocks of queries by rising id: a bounded number of rows reaches the driver at once
-        rest = queries if last is None else queries.where(F.col("vec_id") > last)
-        rows = rest.orderBy("vec_id").limit(rule.block).toArrow()
-        if not rows.num_rows:
-            break
-        last = rows.column(0)[-1].as_py()
-        block = []
-        batch = rows.combine_chunks().to_batches()[0]
-        for own, x in quantised(batch, rule.scale)[1]:
-            block.append((batch.column(0).to_numpy()[own], x, np.full(len(own), -np.inf)))
-        if not block:
-            continue
-        first = sampled.mapInArrow(_search(spark.sparkContext.broadcast([(i, x, np.full(len(i), -1e300)) for i, x, _ in block]), rule), "query_id long, vec_id long, score long")
-        seen = {r[0]: r[1] for r in _ranked(first, rule.k).where(F.col("rank") == rule.k).select("query_id", "score").collect()}  # a row a query of the block
-        tight = [(i, x, np.array([seen.get(int(v), -1e300) for v in i], float)) for i, x, _ in block]
-        results.append(written(_ranked(slim.mapInArrow(_search(spark.sparkContext.broadcast(tight), rule), "query_id long, vec_id long, score long"), rule.k), "best"))
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+    spark, folder = vectors.sparkSession, fresh(vectors.sparkSession, "best")
+    kind = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], kind).write.parquet(folder)
+    for rows, block in _scans(vectors, rule):  # each block's rows join the table when its scan is done
+        _ranked(rows.mapInArrow(_search(block, rule), FOUND), rule.k).write.mode("append").parquet(folder)
+        block.unpersist()
+    return spark.read.schema(kind).parquet(folder)
+
+
+def surviving(vectors: DataFrame, rule: SearchRule = SearchRule()) -> list[int]:
+    """Pairs that a search compares at each level, coarse to fine, and at last by exact products."""
+    total = np.zeros(len(rule.levels) + 1, np.int64)
+    for rows, block in _scans(vectors, rule):
+        for r in rows.mapInArrow(_search(block, rule, report=True), "level long, pairs long").groupBy("level").agg(F.sum("pairs").alias("pairs")).collect():  # a row a level
+            total[r["level"]] += r["pairs"]
+    return total.tolist()
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

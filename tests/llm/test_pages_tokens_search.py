@@ -140,7 +140,7 @@ def test_search_equals_brute_force(spark):
     rows += [(400, None), (450, [1.0, float("nan")] * 8), (500, [None] * 16), (550, [float("inf")] + [0.0] * 15), (600, []), (None, [1.0] * 16), (650, [0.5, -0.25]), (651, [1.0, 2.0]), (652, [0.5, 0.5])]
     rows += [(701 + i, [0.125] * 16) for i in range(12)] + [(750, [0.125] * 16), (333, [0.125] * 16)]
     df = spark.createDataFrame([(i, v, 7, 0.5) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
-    for rule in (K.SearchRule(), K.SearchRule(block=3, sample=20, rows=7, segments=(2, 5, 16))):
+    for rule in (K.SearchRule(), K.SearchRule(block=3, sample=20, cells=21, levels=((0.0, 2), (0.3, 3), (1.0, 1)))):
         assert sorted(tuple(r) for r in K.top_k(df, rule).collect()) == brute_top(rows)
     assert K.top_k(df.limit(0)).count() == 0
 
@@ -148,8 +148,22 @@ def test_search_equals_brute_force(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(2)
     x, y = np.floor(rng.normal(0, 100, (50, 64))), np.floor(rng.normal(0, 100, (80, 64)))
-    for s in (1, 4, 7, 16, 64):
-        assert (K.statistics(x, s) @ K.statistics(y, s).T >= x @ y.T - 1e-6).all()
+    for level in ((0.0, 1), (0.0, 4), (0.0, 7), (0.0, 40), (0.3, 5), (0.5, 64), (1.0, 1)):
+        bounds = K.cuts(64, level)
+        upper = K.statistics(x, bounds) @ K.statistics(y, bounds).T
+        assert bounds[0] == 0 and bounds[-1] == 64 and (upper >= x @ y.T - 1e-6).all()
+    assert np.allclose(upper, x @ y.T)  # single axes are exact
+
+
+def test_bounds_prune_pairs(spark):
+    sf = "/root/testdata/sf0.1"
+    pairs = K.surviving(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    assert pairs == sorted(pairs, reverse=True) and 0 < pairs[-1] < pairs[0] / 4
+    rng = np.random.default_rng(5)  # strong axes, as learned vectors have: the coarse level prunes as well
+    strong = rng.normal(0, 1, (3000, 32)) * 0.7 ** np.arange(32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(strong)], "vec_id long, embedding array<double>")
+    pairs = K.surviving(df)
+    assert pairs[1] < pairs[0] / 2 and pairs[-1] < pairs[0] / 20
 
 
 def test_whole_small_table(spark):
