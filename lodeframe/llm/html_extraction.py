@@ -3,14 +3,16 @@
 A page becomes a tree of its elements.  Elements that never hold an article (scripts, forms,
 navigation ...) are pruned.  A class or id that names a page part (menu, advert, ...) is a hint:
 a whole token counts, not a word of it (unless all its words name parts or places), and what it
-marks stays if it holds most of the body's text outside links, if nothing else has text, or if it
-is a heading, paragraph or part of an article whose name may be an article's too (notice, header ...).
+marks stays if it holds most of the body's text outside links, if nothing else has text, if it is a
+heading, or if it is a paragraph or part of an article whose name may be an article's too (notice ...).
 Every remaining node gets its link-adjusted density: characters per tag, times
 the logarithm of (characters per link character) * (tags per link tag) to a base that grows with
 the share of link text of node and body.  The node with the largest sum of its children's
 densities is the centre of the page; the least density on its path to the body is the threshold.
-The subtree of that centre, or of the article element around it, is the main text, with what
-beside its path reaches the threshold.
+
+From the centre the subtree grows along that path: to a parent whose other text is as dense as the
+threshold, or to an article element whose other text is mostly no links.  The subtree reached is the
+main text, with what beside its path is as dense as the threshold.
 
 Blocks are cut at block elements; white space inside a block becomes one space, and blocks are
 joined by line feeds in the order of the page.
@@ -22,6 +24,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 
 from . import textnum as X
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+#: An attribute as browsers read it: a quote that never closes belongs to the name, and one inside an unquoted value to the value.
+_ATTRIBUTE = r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+|(?=>))))?+"""
+_ATTRIBUTES = re.compile(_ATTRIBUTE)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:" + re.sub(r"(?<!\\)\((?!\?)", "(?:", _ATTRIBUTE) + r")*+)[\s/]*+(?:>|\Z)|[^<]++|<", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes template svg math".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -60,9 +65,15 @@ _CLOSES = {
     "tfoot": (("thead", "tbody", "tr", "td", "th", "p"), ("table",)),
     "option": (("option",), ("select",)),
 }
-_HEADINGS = frozenset(("h1", "h2", "h3"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that leave an open head open.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
+#: A stray end tag inside these does not close what is outside, unless it ends a container.
+_BARRIERS = frozenset("article table td th".split())
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _CONTAINERS = frozenset(("article", "main", "section", "div", "body", "td", "blockquote"))
+#: Elements whose end tags pass barriers.
+_STRONG = _CONTAINERS | frozenset("table tr tbody ul ol form nav aside footer header".split())
 
 
 class Node:
@@ -76,25 +87,80 @@ class Node:
         self.hint = 0
 
 
-def _prunes(tag: str, attributes: str, parent: Node) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by lower-cased name; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTES.finditer(text):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+class Open:
+    """The open elements, with the places of each tag, of containers and of barriers among them."""
+
+    def __init__(self, *nodes: Node) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.containers: list[int] = []
+        self.barriers: list[int] = []
+        for node in nodes:
+            self.push(node)
+
+    def push(self, node: Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in _CONTAINERS:
+            self.containers.append(at)
+        if node.tag in _BARRIERS:
+            self.barriers.append(at)
+
+    def cut(self, at: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.nodes) > at:
+            tag = self.nodes.pop().tag
+            self.places[tag].pop()
+            if tag in _CONTAINERS:
+                self.containers.pop()
+            if tag in _BARRIERS:
+                self.barriers.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def in_article(self) -> bool:
+        return bool(self.places.get("article") or self.places.get("main"))
+
+    def end(self, tag: str) -> bool:
+        """Close the innermost element of this tag; false if none is open here."""
+        at = self.last(tag)
+        if at < 2 or tag not in _STRONG and self.barriers and at < self.barriers[-1]:
+            return at >= 2
+        self.cut(at)
+        return True
+
+    def make_room(self, tag: str) -> None:
+        """Close what a start tag of this name ends."""
+        closes, bounds = _CLOSES.get(tag, (("p",), ()))
+        wall = max(1, *(self.last(b) for b in bounds), next((c for c in reversed(self.containers) if self.nodes[c].tag not in closes), 1))
+        inside = [list(takewhile(lambda at: at > wall, reversed(self.places.get(c, ())))) for c in closes]
+        if any(inside):
+            self.cut(min(places[-1] for places in inside if places))
+
+
+def _prunes(tag: str, attributes: dict[str, str], open_elements: Open) -> bool:
     if tag in _NEVER:
         return True
     if tag == "header":  # a header inside an article may hold its title
-        node = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is None
+        return not open_elements.in_article()
     if attributes and tag not in ("html", "body", "article", "main"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'")
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return True
-            if name == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    return True
-            elif name == "role":
-                if value.lower() in _ROLE:
-                    return True
+        return (
+            "hidden" in attributes
+            or attributes.get("aria-hidden", "").strip().lower() == "true"
+            or attributes.get("role", "").strip().lower() in _ROLE
+            or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I))
+        )
     return False
 
 
@@ -107,17 +173,13 @@ def _named(token: str) -> str | None:
     return parts[0] if parts and all(w in _PART or w in _PLACE for w in words) else None
 
 
-def _hint(tag: str, attributes: str, parent: Node) -> int:
+def _hint(tag: str, attributes: dict[str, str], open_elements: Open) -> int:
     """0 if class and id name no page part, 2 for talk about the article, 1 for others."""
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in _HEADINGS or tag in ("html", "body", "article", "main"):
+        return 0
+    parts = {_named(t) for name in ("class", "id") for t in attributes.get(name, "").lower().split()} - {None}
+    if parts and parts <= _SOFT and (tag in _TEXT or open_elements.in_article()):
         return 0
-    parts = {_named(t) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for t in (m[2] or "").strip("\"'").lower().split()} - {None}
-    if parts and parts <= _SOFT:
-        node = parent
-        while node is not None and node.tag not in ("article", "main"):
-            node = node.parent
-        if node is not None or tag in _TEXT:
-            return 0
     return 2 if parts & _TALK else 1 if parts else 0
 
 
@@ -126,60 +188,51 @@ def parse(page: str) -> Node:
     root = Node("html", None, False)
     body = Node("body", root, False)
     root.children.append(body)
-    stack = [root, body]
+    stack = Open(root, body)
     at, n, hinted = 0, len(page), False
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
+        tag = m["tag"]
         if tag is None:
             text = m[0]
             if text.startswith("<![CDATA["):
                 text = text[9:].removesuffix("]]>")
             elif text.startswith("<") and len(text) > 1:
                 continue
-            if not stack[-1].pruned:
-                stack[-1].children.append(text)
+            if stack.places.get("head") and not text.isspace():
+                stack.cut(stack.last("head"))  # text ends an open head
+            if not stack.nodes[-1].pruned:
+                stack.nodes[-1].children.append(text)
             continue
         tag = tag.lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "table", "body", "td", "th") and tag not in _CONTAINERS and tag not in ("table", "tr", "tbody", "ul", "ol", "form", "nav", "aside", "footer", "header"):
-                    break  # a stray end tag inside does not close what is outside
-            else:
-                if tag == "p" and not stack[-1].pruned:
-                    stack[-1].children.append(Node("p", stack[-1], False))  # it parts the text around it
+        if m["end"]:
+            if not stack.end(tag) and tag == "p" and not stack.nodes[-1].pruned:
+                stack.nodes[-1].children.append(Node("p", stack.nodes[-1], False))  # it parts the text around it
             continue
+        if stack.places.get("head") and tag not in _HEAD:
+            stack.cut(stack.last("head"))  # the end tag of a head may be left out
         if tag in ("html", "body"):
             continue
         if tag in _CLOSES or tag in _BLOCK:
-            closes, bounds = _CLOSES.get(tag, (("p",), ()))
-            for i in range(len(stack) - 1, 1, -1):
-                open_tag = stack[i].tag
-                if open_tag in bounds or open_tag in _CONTAINERS and open_tag not in closes:
-                    break
-                if open_tag in closes:
-                    del stack[i:]
-                    if tag == "p" or tag not in _CLOSES:
-                        break
-        parent = stack[-1]
-        pruned = parent.pruned or _prunes(tag, m[3], parent)
-        if tag in _RAW and not m[3].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            stack.make_room(tag)
+        parent = stack.nodes[-1]
+        attributes = _attributes(m["attributes"]) if m["attributes"] else {}
+        pruned = parent.pruned or _prunes(tag, attributes, stack)
+        ended = m[0].rstrip(">").endswith("/")
+        if tag in _RAW and not ended:
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
         node = Node(tag, parent, pruned)
         if not pruned:
-            node.hint = _hint(tag, m[3], parent)
+            node.hint = _hint(tag, attributes, stack)
             hinted |= node.hint > 0
             parent.children.append(node)
         elif not parent.pruned and tag in _BLOCK:
             parent.children.append(Node("hr", parent, False))  # what is pruned still parts the blocks around it
-        if tag not in _VOID and not (m[3].rstrip().endswith("/") and tag not in _BLOCK):
-            stack.append(node)
+        if tag not in _VOID and not (ended and tag not in _BLOCK):
+            stack.push(node)
     if hinted:
         _follow_hints(body)
     return body
@@ -232,16 +285,21 @@ def _measure(body: Node) -> list[Node]:
     return nodes
 
 
+def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, adjusted for links; share: of link characters in the body."""
+    if not chars:
+        return 0.0
+    tags = max(tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    value = chars / max(link_chars, 1) * tags / max(link_tags, 1)
+    return chars / tags * math.log(max(value, 1.0)) / math.log(max(base, 1.0 + 1e-9))
+
+
 def _densities(body: Node) -> list[Node]:
     nodes = _measure(body)
     share = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        if not node.chars:
-            continue
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-        value = c / max(lc, 1) * t / max(lt, 1)
-        node.density = c / t * math.log(max(value, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else c / t * math.log(max(value, 1.0))
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
         node.total = sum(c.density for c in node.children if isinstance(c, Node))
         node.total += sum(len(c.strip()) for c in node.children if isinstance(c, str))  # text beside elements is dense in itself
@@ -251,26 +309,32 @@ def _densities(body: Node) -> list[Node]:
 def _content(body: Node) -> list[Node]:
     """The subtrees of the main text, in the order of the page.
 
-    These are the centre (the node of the largest sum) or the article element around it and, beside
-    its path to the body, headings and what is as dense as the least dense node of that path.
+    These are the centre (the node of the largest sum), grown along its path to the body, and, beside
+    the rest of that path, headings and what is as dense as the least dense node of it.
     """
     nodes = [x for x in _densities(body) if x.tag in _CONTAINERS]
     best = max(nodes, key=lambda x: x.total)
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    path.reverse()
-    for node in path:
-        if node.tag in ("article", "main"):
-            return [node]
     least = min(x.density for x in path)
-    before, after = [], []
+    share = body.link_chars / max(body.chars, 1)
+    grown = 0
+    for i in range(1, len(path) - 1):
+        inner, outer = path[grown], path[i]
+        chars, links = outer.chars - inner.chars, outer.link_chars - inner.link_chars
+        rest = _density(chars, outer.tags - inner.tags, links, outer.link_tags - inner.link_tags, share)
+        if not chars or rest >= least or outer.tag in ("article", "main") and links * 2 <= chars:
+            grown = i
+    best, path = path[grown], path[grown:][::-1]
+    before: list[Node] = []
+    after: list[list[Node]] = []
     for node, inner in zip(path[:-1], path[1:], strict=True):
         at = next(i for i, c in enumerate(node.children) if c is inner)
         sides = [[c for c in part if isinstance(c, Node) and c.chars and (c.density >= least or c.tag in _HEADINGS)] for part in (node.children[:at], node.children[at + 1 :])]
         before += sides[0]
-        after = sides[1] + after
-    return [*before, best, *after]
+        after.append(sides[1])
+    return [*before, best, *(c for side in reversed(after) for c in side)]
 
 
 def _blocks(node: Node) -> list[str]:
@@ -306,8 +370,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages.
 
     A null or empty page has the empty text; markup that never ends is read to the end of the
-    page.  Repeated rows keep a row each; null ids and urls stay null.  An empty table gives no
-    rows; other columns are ignored.  Whole pages are read, whatever their length.
+    page.  Repeated rows keep a row each; null ids and urls stay null.  Of equal density sums the
+    outer node is the centre.  An empty table gives no rows; other columns are ignored, whatever
+    their names.  Whole pages are read, whatever their length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -56,6 +57,80 @@ def test_pages_without_text(page):
     assert H.main_text(page) in ("", "<", "<p")
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a <a href="/hidden-beach">link</a> b</p>', "a link b"),
+        ('<p title="hidden gems">x</p><p data-hidden="false">y</p>', "x\ny"),
+        ('<p class="x>Hello', "Hello"),
+        ("<p><a href=it's>the link</a> and", "the link and"),
+        ("<html><head><title>t</title><body><p>Hello there</p>", "Hello there"),
+        ("<html><head><meta x><p>Open head", "Open head"),
+        ('<article><h2 id="discussion">Disc</h2><p id="related-work">Text of it.<div class="article-header">Head</div></article>', "Disc\nText of it.\nHead"),
+        ("<div hidden>no</div><p hidden=''>no<p>yes", "yes"),
+        ('<img src=x alt="a>b">t', "t"),
+        ("<div class = 'ad'>no</div><p id=ad>no</p><p>a long text here for all", "a long text here for all"),
+        ("<p>one&nbsp;&#233;&eacute;&lt;b&gt;</p>", "one éé<b>"),
+    ],
+)
+def test_markup_as_browsers_read_it(page, want):
+    assert H.main_text(page) == want
+
+
+def test_densities_choose_without_an_article_element():
+    text = "<p>" + "words of the text and more of them, " * 12 + "</p>"
+    links = "<div>" + "".join(f"<p><a href='/{i}'>a headline of another page {i}</a></p>" for i in range(30)) + "</div>"
+    for tag in ("div", "article", "main"):
+        page = f"<body><{tag}><h1>Head</h1><div>{text * 3}</div><ul><li>short</ul></{tag}>{links}</body>"
+        out = H.main_text(page)
+        assert "Head" in out and out.count("words of the text") == 36 and "headline" not in out
+    page = f"<body><main><div>{text * 3}</div>{links}</main></body>"  # an element of the name alone decides nothing
+    assert "headline" not in H.main_text(page) and H.main_text(page).count("words of the text") == 36
+    page = f"<body><article><div>{text * 3}</div><ul><li>one<li>two</ul><p>End.</p></article>{links}</body>"
+    assert H.main_text(page).endswith("one\ntwo\nEnd.")
+
+
+def test_pages_equal_an_independent_reading(spark):
+    """The given pages hold their text in one element: its blocks by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    parts = set("article p h1 h2 h3 ul ol li table tr td th div blockquote pre section br".split())
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.skip, self.blocks = 0, 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.skip += self.inside > 0 and tag in ("script", "style", "aside", "nav", "form")
+            self.blocks += [[]] if tag in parts - {"br"} else []
+            self.blocks[-1].append(" ") if tag == "br" else None
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.skip -= self.inside > 0 and tag in ("script", "style", "aside", "nav", "form")
+            self.blocks += [[]] if tag in parts else []
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.blocks[-1].append(data)
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        a = Article()
+        a.feed(r.html)
+        a.close()
+        assert H.main_text(r.html) == "\n".join(b for b in (" ".join("".join(x).split()) for x in a.blocks) if b), r.page_id
+
+
+@pytest.mark.parametrize("page", ["<div>" * 8000 + "</span>" * 8000 + "deep", "<span><article>" + "<div>" * 8000 + "</span>" * 8000 + "deep", "<b>" * 8000 + "<p>x</p>" * 8000, "<div class=notice>" * 8000 + "deep", "<li><p>" * 8000 + "x", "<table><tr><td>" * 3000 + "x", "<p " * 20000, "<p a='" * 20000, "<a b=" * 20000 + "<"])
+def test_no_page_takes_quadratic_time(page):
+    began = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - began < 2
+
+
 def test_broken_deep_and_long_pages():
     assert H.main_text("<div><p>a<div>b</p></span>c").endswith("b\nc")
     assert H.main_text("<div>" * 3000 + "deep text" + "</div>" * 10) == "deep text"
