@@ -42,6 +42,17 @@ def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind as keep it apart from the columns (whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the files of written tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

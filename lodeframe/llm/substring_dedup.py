@@ -1,10 +1,14 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences; from each one the shortest run of ``run`` consecutive sentences
-or more that holds ``least_words`` words is hashed, hashes are joined over all documents, and the
+or more that holds ``least_words`` words is hashed, hashes of 128 bits meet over all documents, and the
 sentences that any non-first occurrence of a repeated run covers are removed.  The first occurrence is the one
 of the smallest doc_id, then the smallest place in its text.
 
+Runs are shuffled once, by hash, and ranked there.  The few hashes that a sample of rows shows to be
+very common are kept out of that: their first occurrences are a broadcast of bounded size, so a run
+that a third of all documents hold goes through no single task.
+
 A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line's end; one with more
 than ``longest`` words counts as several of that many words, so that passages without full
 stops have runs too.  Sentences are compared by their words alone (letters and digits, lower
@@ -26,11 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as X
-from .scratch import dropped, written
+from .scratch import dropped, free, written
 
 
 @dataclass(frozen=True)
@@ -130,7 +134,11 @@ def runs(words: np.ndarray, rule: SpanRule) -> np.ndarray:
 
 
 def _spans(rule: SpanRule):
-    """(span hash, doc_id, place) of every run; place: 32 bits of the text's hash over the run's sentence number, or over _PASSAGE and a passage's word number."""
+    """(span, check, doc_id, tkey, place) of every run; span and check: 128 bits of its words; place: the run's sentence number, or _PASSAGE and a passage's word number."""
+
+    def both(of: X.RangeHashes, more: X.RangeHashes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = (end - begin).astype(X.U64)
+        return X.mix(of(begin, end) + n), X.mix(more(begin, end) + n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches):
@@ -143,23 +151,33 @@ def _spans(rule: SpanRule):
             doc = np.searchsorted(at, first, side="right") - 1
             keep = first[last <= at[doc + 1]]
             doc, last = doc[keep], last[keep]
-            spans = X.mix(X.RangeHashes(hashes)(keep, last) + (last - keep).astype(X.U64))
+            span, check = both(X.RangeHashes(hashes), X.RangeHashes(X.mix(~hashes)), keep, last)
             place = keep - at[doc]
             if rule.window:
                 begin = passages(each, head, of, rule)
                 inside = np.searchsorted(of, begin, side="right") - 1
-                spans = np.concatenate([spans, X.mix(~X.mix(X.RangeHashes(each)(begin, begin + rule.passage)))])
+                more = both(X.RangeHashes(each), X.RangeHashes(X.mix(~each)), begin, begin + rule.passage)
+                span, check = np.concatenate([span, X.mix(~more[0])]), np.concatenate([check, X.mix(~more[1])])
                 place = np.concatenate([place, (begin - of[inside]) | _PASSAGE])
                 doc = np.concatenate([doc, inside])
-            ids = batch.column(0).take(pa.array(doc))
-            low = (batch.column(1).to_numpy(zero_copy_only=False)[doc] & 0x7FFFFFFF) << 32
-            yield pa.RecordBatch.from_arrays([pa.array(X.signed(spans)), ids, pa.array(low | place)], names=["span", "doc_id", "place"])
+            which = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(X.signed(span)), pa.array(X.signed(check)), batch.column(0).take(which), batch.column(1).take(which), pa.array(place.astype(np.int32))], names=["span", "check", "doc_id", "tkey", "place"])
 
     return run
 
 
-def _cut(rule: SpanRule, columns: list[str]):
-    """Drop the words that the runs in __places cover; adds n_sentences and n_removed."""
+def _covered(places: np.ndarray, bound: np.ndarray, last: np.ndarray, base: int, n: int, rule: SpanRule) -> np.ndarray:
+    """Which of n words the runs at ``places`` cover; bound: first word of each sentence from this text on, base: the text's first word."""
+    whole = places[places & _PASSAGE == 0]
+    words = places[places & _PASSAGE != 0] ^ _PASSAGE
+    steps = np.zeros(n + 1, np.int64)
+    np.add.at(steps, np.concatenate([bound[whole] - base, words]), 1)
+    np.add.at(steps, np.concatenate([bound[last[whole]] - base, words + rule.passage]), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def _cut(rule: SpanRule, columns: list[str], added: list[str]):
+    """Drop the words that the runs in the last column cover; adds two columns, of sentences and of those that lost words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_text = columns.index("text")
@@ -172,57 +190,66 @@ def _cut(rule: SpanRule, columns: list[str]):
             last = runs(np.diff(bound), rule)
             places = batch.column(batch.num_columns - 1)
             texts, removed = [], []
-            for i in range(batch.num_rows):
-                own = places[i].as_py()
-                if not own:
+            for i, hit in enumerate(places.is_valid().to_pylist()):
+                if not hit:
                     texts.append(batch.column(at_text)[i].as_py())
                     removed.append(0)
                     continue
                 base, n = of[i], of[i + 1] - of[i]
-                gone = np.zeros(n, bool)
-                for p in own:
-                    if p & _PASSAGE:
-                        gone[p ^ _PASSAGE : (p ^ _PASSAGE) + rule.passage] = True
-                    else:
-                        gone[bound[at[i] + p] - base : bound[last[at[i] + p]] - base] = True
+                own = places[i].values.to_numpy().astype(np.int64)
+                gone = _covered(own, bound[at[i] :], last[at[i] :] - at[i], base, n, rule)
                 begin = np.append(starts[base : of[i + 1]], offsets[i + 1])
                 turns = np.concatenate([[0], np.flatnonzero(gone[1:] != gone[:-1]) + 1, [n]])
                 kept = [data[offsets[i] : begin[0]], *(data[begin[a] : begin[b]] for a, b in zip(turns[:-1], turns[1:], strict=True) if not gone[a])]
                 texts.append(b"".join(x.tobytes() for x in kept).decode().rstrip() if not gone.all() else "")
                 removed.append(int(np.logical_or.reduceat(gone, head[at[i] : at[i + 1]] - base).sum()))
             out = [pa.array(texts, pa.string()) if j == at_text else batch.column(j) for j in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64())], names=[*columns, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.diff(at), pa.int64()), pa.array(removed, pa.int64())], names=[*columns, *added])
 
     return run
 
 
+#: Every so many rows of runs show which hashes are very common, and these are at most so many.
+_SAMPLED, _HOT = 64, 4096
+
+
+def _later(spans: DataFrame) -> DataFrame:
+    """(doc_id, tkey, place) of every non-first occurrence of a run."""
+    sampled = spans.where(F.pmod(F.xxhash64("doc_id", "tkey", "place"), F.lit(_SAMPLED)) == 0).groupBy("span").agg(F.count("*").alias("m"))
+    sampled = written(sampled.where("m > 1"), "common")
+    total = sampled.agg(F.sum("m")).first()[0] or 0
+    common = sampled.where(F.col("m") > max(32, total // _HOT)).select("span")  # they share ``total``, so fewer than _HOT
+    first = spans.join(F.broadcast(common), "span", "left_semi").groupBy("span", "check").agg(F.min(F.struct("doc_id", "tkey", "place")).alias("first"))
+    first = written(first, "first")
+    ranked = spans.join(F.broadcast(common), "span", "left_anti").withColumn("r", F.rank().over(Window.partitionBy("span", "check").orderBy("doc_id", "tkey", "place")))
+    hot = spans.join(F.broadcast(first), ["span", "check"]).where(F.struct("doc_id", "tkey", "place") != F.col("first"))
+    return ranked.where("r > 1").select("doc_id", "tkey", "place").unionByName(hot.select("doc_id", "tkey", "place"))
+
+
 def without_repeats(docs: DataFrame, rule: SpanRule = SpanRule()) -> DataFrame:
     """docs with repeated sentences cut from text, plus n_sentences (before) and n_removed (those that lost words).
 
     A text without a removed word stays as it is, byte for byte; one that loses all its
     sentences becomes empty; a null text stays null.  Texts of fewer sentences than a run are
-    never touched.  Rows with a null doc_id come last in the order of first occurrences.  Rows
-    that repeat both doc_id and text count as one document, and each keeps its row.  An empty
-    table gives no rows; other columns are kept as they are.  Columns named n_sentences or
-    n_removed are replaced.
+    never touched; very long ones are read whole.  Rows with a null doc_id come last in the order of
+    first occurrences, by hashes of their texts.  Rows that repeat both doc_id and text count as one
+    document, and each keeps its row.  An empty table gives no rows; other columns are kept as they
+    are.  Where docs has columns of the two added names, the added ones get underscores behind.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_sentences", "n_removed").withColumn("text", F.col("text").cast("string"))
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     columns = docs.columns
-    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    spans = written(docs.select(order.alias("doc_id"), F.xxhash64("text").alias("tkey"), "text").mapInArrow(_spans(rule), "span long, doc_id long, place long"), "spans")
-    often = spans.groupBy("span").agg(F.count("*").alias("m")).where("m > 1").select("span")
-    hits = written(spans.join(often, "span"), "hits")
+    added = free(columns, "n_sentences", "n_removed")
+    d, t, places = free(columns, "d", "t", "places")
+    # A null id comes behind all others, and never meets the row whose id is the largest number.
+    order, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.col("doc_id").isNull(), "text")
+    spans = written(docs.select(order.alias("doc_id"), key.alias("tkey"), "text").mapInArrow(_spans(rule), "span long, check long, doc_id long, tkey long, place int"), "spans")
+    later = _later(spans).groupBy(F.col("doc_id").alias(d), F.col("tkey").alias(t)).agg(F.collect_set("place").alias(places))
+    later = written(later, "places")
     dropped(spark, spans)
-    first = hits.groupBy("span").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("span", F.col("f.doc_id").alias("d0"), F.col("f.place").alias("p0"))
-    later = hits.join(first, "span").where((F.col("doc_id") != F.col("d0")) | (F.col("place") != F.col("p0")))
-    low = F.lit(0xFFFFFFFF)
-    places = written(later.groupBy(F.col("doc_id").alias("__d"), F.shiftright("place", 32).alias("__t")).agg(F.collect_set(F.col("place").bitwiseAND(low).cast("int")).alias("__places")), "places")
-    dropped(spark, hits)
-    keyed = docs.withColumn("__d", order).withColumn("__t", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
-    joined = keyed.join(places, ["__d", "__t"], "left").select(*columns, "__places")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_sentences long, n_removed long"
-    return joined.mapInArrow(_cut(rule, columns), kind)
+    joined = docs.withColumn(d, order).withColumn(t, key).join(later, [d, t], "left").select(*columns, places)
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{a}` long" for a in added)
+    return joined.mapInArrow(_cut(rule, columns, added), kind)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import random
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
+
 from lodeframe.llm import substring_dedup as S
+from lodeframe.llm import textnum as X
 
 from .helpers import docs
 
@@ -20,28 +24,54 @@ def split(text, rule=S.SpanRule()):
     return out
 
 
+def word_hash(word, memory={}):  # noqa: B006
+    """The hash by which passages begin; all else is compared by words."""
+    if word not in memory:
+        data = np.frombuffer(word.encode(), np.uint8)
+        memory[word] = int(X.word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+    return memory[word]
+
+
 def brute(rows, rule=S.SpanRule()):
-    units = {i: split(t) for i, t in rows}
+    """Runs of sentences and, with a window, passages, compared word by word; all that a non-first one covers goes."""
+    units = {i: split(t, rule) for i, t in rows}
     seen = defaultdict(list)
     for i in sorted(units):
-        for j in range(len(units[i])):
-            for end in range(j + rule.run, len(units[i]) + 1):
-                key = tuple(tuple(u[1]) for u in units[i][j:end])
+        of, words = units[i], [w for u in units[i] for w in u[1]]
+        heads = [sum(len(u[1]) for u in of[:j]) for j in range(len(of) + 1)]
+        for j in range(len(of)):
+            for end in range(j + rule.run, len(of) + 1):
+                key = tuple(tuple(u[1]) for u in of[j:end])
                 if sum(map(len, key)) >= rule.least_words:
-                    seen[key].append((i, j))
+                    seen[key].append((i, heads[j], heads[end]))
                     break
+        if rule.window:
+            begins = set()
+            for j in range(len(words) - rule.window + 1):
+                hashes = [word_hash(w) for w in words[j : j + rule.window]]
+                begins |= {j + k for k, h in enumerate(hashes) if h == min(hashes)}
+            long, at = [], 0
+            for whole in split(dict(rows)[i], S.SpanRule(longest=10**9)):
+                long += [len(whole[1]) > rule.longest] * len(whole[1])
+            for j in sorted(begins):
+                if j + rule.passage <= len(words) and any(long[j : j + rule.passage]):
+                    seen[tuple(words[j : j + rule.passage])].append((i, j, j + rule.passage))
     gone = defaultdict(set)
-    for key, places in seen.items():
-        for i, j in places[1:]:
-            gone[i] |= set(range(j, j + len(key)))
+    for places in seen.values():
+        for i, a, b in places[1:]:
+            gone[i] |= set(range(a, b))
     out = {}
     for i, t in rows:
-        u = units[i]
+        u, lost = units[i], 0
         if gone[i]:
-            ends = [x[0] for x in u[1:]] + [len(t)]
-            kept = t[: u[0][0]] + "".join(t[a:b] for k, ((a, _), b) in enumerate(zip(u, ends, strict=True)) if k not in gone[i])
-            t = kept.rstrip() if len(gone[i]) < len(u) else ""
-        out[i] = (len(u), len(gone[i]), t)
+            found = [m.start() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))]
+            kept = t[: found[0]] + "".join(t[a:b] for k, (a, b) in enumerate(zip(found, [*found[1:], len(t)], strict=True)) if k not in gone[i])
+            at = 0
+            for _, ws in u:
+                lost += any(k in gone[i] for k in range(at, at + len(ws)))
+                at += len(ws)
+            t = kept.rstrip() if len(gone[i]) < len(found) else ""
+        out[i] = (len(u), lost, t)
     return out
 
 
@@ -58,14 +88,23 @@ def test_rows_equal_brute_force(spark):
 
 def test_whole_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in S.run(spark, SF).collect()} == brute(rows)
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in S.run(spark, SF).collect()} == brute(rows, S.WHOLE)
+    plain = S.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in plain.collect()} == brute(rows)
 
 
 def test_null_ids_repeats_columns_and_an_empty_table(spark):
     rows = [(None, PASSAGE), (4, PASSAGE), (4, PASSAGE), (9, PASSAGE)]
+    unlike = [(None, f"Some words of {k} here. {PASSAGE}") for k in range(40)] + [(2**63 - 1, PASSAGE), (7, f"Of another text here. {PASSAGE}"), (7, PASSAGE)]
+    out = S.without_repeats(docs(spark, unlike)).collect()
+    assert all(r.n_removed == 4 for r in out if r.doc_id != 7) and sorted(r.n_removed for r in out if r.doc_id == 7) == [0, 4]
     df = S.without_repeats(docs(spark, rows))
     out = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in df.collect())
     assert out == [(False, 4, 0), (False, 4, 0), (False, 9, 4), (True, 0, 4)]
+    clash = docs(spark, rows[1:]).selectExpr("doc_id", "text", "7 as n_sentences", "8 as places", "9 as D", "1 as span", "text as tkey")
+    again = S.without_repeats(clash)
+    assert again.columns == [*clash.columns, "n_sentences_", "n_removed"] and {(r.n_sentences, r.places, r.D, r.span) for r in again.collect()} == {(7, 8, 9, 1)}
+    assert sorted((r.doc_id, r.n_removed) for r in again.collect()) == [(4, 0), (4, 0), (9, 4)]
     assert df.columns == [*docs(spark, []).columns, "n_sentences", "n_removed"] and S.without_repeats(docs(spark, [])).count() == 0
 
 
@@ -88,3 +127,14 @@ def test_passages_without_full_stops_at_any_offset(spark):
         around = text[i].split(p)
         assert out[i].n_removed > 0 and out[i].text.startswith(around[0]) and out[i].text.endswith(around[1].strip())
         assert len(out[i].text.split()) <= len(text[i].split()) - len(p.split()) + 22
+
+
+def test_very_common_runs_and_a_very_long_text(spark):
+    common = [(i, f"Only number {i} has this. {PASSAGE}") for i in range(3000)]  # so common that the sample shows it
+    out = S.without_repeats(docs(spark, common), S.WHOLE).collect()
+    assert {r.doc_id for r in out if not r.n_removed} == {0} and all(r.text == f"Only number {r.doc_id} has this." for r in out if r.doc_id)
+    rng = random.Random(8)
+    long = " ".join(f"{rng.randrange(10**9):x}" for _ in range(400_000))
+    began = time.perf_counter()
+    out = {r.doc_id: r for r in S.without_repeats(docs(spark, [(1, long), (2, "before it " + long)]), S.WHOLE).collect()}
+    assert out[1].text == long and out[2].n_removed > 33_000 and len(out[2].text.split()) <= 24 and time.perf_counter() - began < 60
