@@ -4,8 +4,10 @@ A window is ``size`` consecutive words of an item; an item with fewer words (but
 one window of all its words.  Each document's windows are looked up by hash in sorted arrays,
 hits are verified word by word, and the words inside any occurrence are marked.
 
-The hash set is broadcast in parts of at most ``bound`` windows, whose number is counted
-first: a benchmark of any size works, with one scan of the documents for each part.
+The hash set is broadcast in parts of about ``bound`` windows, whose number is counted first.  A
+benchmark of one part needs a scan of the documents and no shuffle.  One of more parts needs a scan
+for each part; its hits are written before the next part is sent, so that driver and executors hold
+one part at a time, and only documents with hits are put together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as X
-from .scratch import written
+from .scratch import free, small, written
 
 #: Windows in one broadcast part; each takes some 200 bytes.
 BOUND = 200_000
@@ -59,92 +61,128 @@ def _item_windows(size: int):
     return run
 
 
-def _scan(lookup):
-    """(doc_id, n_words, hit words' indices, their byte ranges in runs, items) for each document."""
+class Marks:
+    """The words of a batch's texts and those that known windows hit."""
+
+    def __init__(self, texts: pa.Array, table) -> None:
+        self.data, self.offsets = X.column_bytes(texts)
+        self.starts, self.ends, self.at = X.words(self.data, self.offsets, X.ALNUM)
+        low = X.ALNUM[1][self.data]
+        hashes = X.word_hashes(low, self.starts, self.ends)
+        steps = np.zeros(len(self.starts) + 1, np.int64)
+        self.items: dict[int, set] = {}
+        for k, (keys, known) in table.items():
+            grams = X.ngram_hashes(hashes, k)
+            if not len(grams):
+                continue
+            where = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            found = np.flatnonzero(keys[where] == grams)
+            doc = np.searchsorted(self.at, found, side="right") - 1
+            inside = found + k <= self.at[doc + 1]
+            for i, d in zip(found[inside].tolist(), doc[inside].tolist(), strict=True):
+                text = b" ".join(low[a:b].tobytes() for a, b in zip(self.starts[i : i + k], self.ends[i : i + k], strict=True))
+                for known_text, of in known[where[i]]:
+                    if known_text == text:
+                        steps[i] += 1
+                        steps[i + k] -= 1
+                        self.items.setdefault(d, set()).update(of)
+        self.hit = np.cumsum(steps)[:-1] > 0
+
+    def places(self, i: int) -> np.ndarray:
+        """Indices of a text's hit words."""
+        return np.flatnonzero(self.hit[self.at[i] : self.at[i + 1]]).astype(np.int32) if i in self.items else np.zeros(0, np.int32)
+
+    def spans(self, i: int) -> np.ndarray:
+        """Byte ranges (start, end, start, end ...) of runs of a text's hit words."""
+        own = self.places(i)
+        if not len(own):
+            return np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.diff(own) > 1)
+        first, last = own[np.r_[0, cut + 1]] + self.at[i], own[np.r_[cut, len(own) - 1]] + self.at[i]
+        return np.stack([self.starts[first], self.ends[last]], 1).ravel() - self.offsets[i]
+
+
+def _scan(lookup, hits_only: bool):
+    """(doc_id, tkey, n_words, hit words' indices, their byte ranges in runs, items) for each document, or for those with hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lookup.value
         for batch in X.slices(batches):
-            n = batch.num_rows
-            data, offsets = X.column_bytes(batch.column(batch.schema.get_field_index("text")))
-            starts, ends, at = X.words(data, offsets, X.ALNUM)
-            low = X.ALNUM[1][data]
-            hashes = X.word_hashes(low, starts, ends)
-            marks = np.zeros(len(starts) + 1, np.int64)
-            items: dict[int, set] = {}
-            for k, (keys, known) in table.items():
-                grams = X.ngram_hashes(hashes, k)
-                if not len(grams):
-                    continue
-                where = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-                found = np.flatnonzero(keys[where] == grams)
-                doc = np.searchsorted(at, found, side="right") - 1
-                inside = found + k <= at[doc + 1]
-                for i, d in zip(found[inside], doc[inside], strict=True):
-                    text = b" ".join(low[a:b].tobytes() for a, b in zip(starts[i : i + k], ends[i : i + k], strict=True))
-                    for known_text, of in known[where[i]]:
-                        if known_text == text:
-                            marks[i] += 1
-                            marks[i + k] -= 1
-                            items.setdefault(int(d), set()).update(of)
-            hit = np.cumsum(marks)[:-1] > 0
-            places, spans = [], []
-            for i in range(n):
-                own = np.flatnonzero(hit[at[i] : at[i + 1]]).astype(np.int32) if i in items else np.zeros(0, np.int32)
-                places.append(own)
-                if len(own):
-                    cut = np.flatnonzero(np.diff(own) > 1)
-                    first, last = own[np.r_[0, cut + 1]] + at[i], own[np.r_[cut, len(own) - 1]] + at[i]
-                    spans.append(np.stack([starts[first], ends[last]], 1).ravel() - offsets[i])
-                else:
-                    spans.append(np.zeros(0, np.int64))
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, kind), t)) for x, kind, t in ((places, np.int32, pa.int32()), (spans, np.int64, pa.int64()))]
-            keep = [batch.column(j) for j in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(at), pa.int64()), *lists, pa.array([sorted(x for x in items.get(i, ()) if x is not None) for i in range(n)], pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "n_words", "places", "spans", "items"])
+            marks = Marks(batch.column(2), lookup.value)
+            rows = sorted(marks.items) if hits_only else range(batch.num_rows)
+            lists = [pa.array([f(i) for i in rows], pa.list_(kind)) for f, kind in ((marks.places, pa.int32()), (marks.spans, pa.int64()))]
+            items = pa.array([sorted(x for x in marks.items.get(i, ()) if x is not None) for i in rows], pa.list_(pa.string()))
+            keep = [batch.column(j).take(pa.array(rows, pa.int64())) if hits_only else batch.column(j) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(marks.at)[list(rows)], pa.int64()), *lists, items], names=["doc_id", "tkey", "n_words", "places", "spans", "items"])
 
     return run
 
 
+def _parts(benchmark: DataFrame, size: int, bound: int) -> list[DataFrame]:
+    """The benchmark's distinct windows with their items, in parts of about ``bound`` of them; windows of the same words stay together."""
+    slim = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    windows = written(slim.mapInArrow(_item_windows(size), "item string, k int, words binary").distinct(), "windows")
+    n = max(1, -(-windows.count() // bound))
+    return [windows.where(F.pmod(F.xxhash64("words"), F.lit(n)) == i) for i in range(n)] if n > 1 else [windows]
+
+
+def _sent(part: DataFrame):
+    """A part as a broadcast lookup."""
+    return part.sparkSession.sparkContext.broadcast(_lookup([tuple(r) for r in part.collect()]))  # ``bound`` rows, about
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, bound: int = BOUND) -> DataFrame:
     """(doc_id, tkey, n_words, places, spans, items) for each row of docs.
 
     places: indices of hit words; spans: byte ranges (start, end, start, end ...) of runs of
     hit words; items: ids of the items that occur.  A null or empty text has no words and no
-    hits; an item with a null or word-less text never occurs; an item with a null id hits words
-    but has no id to list; repeated items count once, repeated documents keep a row each.  An
-    empty benchmark hits nothing.  Other columns are ignored.
+    hits; very long texts are scanned whole.  An item with a null or word-less text never occurs; an
+    item with a null id hits words but has no id to list; repeated items count once, repeated
+    documents keep a row each.  Empty documents give no rows; an empty benchmark hits nothing.  Other
+    columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    windows = written(benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_item_windows(size), "item string, k int, words binary").distinct(), "windows")
-    parts = max(1, -(-windows.count() // bound))
-    slim = docs.select(F.col("doc_id"), F.xxhash64("doc_id", "text").alias("tkey"), F.col("text").cast("string").alias("text"))
-    kind = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tkey long, n_words long, places array<int>, spans array<long>, items array<string>"
-    # Parts are cut by hash, so a part can hold somewhat more than the mean; words of one window stay together.
-    cut = [windows if parts == 1 else windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == i) for i in range(parts)]
-    found = [slim.mapInArrow(_scan(spark.sparkContext.broadcast(_lookup([tuple(r) for r in part.collect()]))), kind) for part in cut]
-    if parts == 1:
-        return found[0]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more.where("size(items) > 0 or size(places) > 0"))
-    merged = every.groupBy("doc_id", "tkey").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    rows = slim.groupBy("doc_id", "tkey").count()
-    return merged.join(rows, (merged.doc_id.eqNullSafe(rows.doc_id)) & (merged.tkey == rows.tkey)).select(merged.doc_id, merged.tkey, "n_words", "places", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")).drop("copy")
+    parts = _parts(benchmark, size, bound)
+    slim = docs.select("doc_id", F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text"))
+    head = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, tkey long, n_words long"
+    kind = f"{head}, places array<int>, spans array<long>, items array<string>"
+    if len(parts) == 1:
+        return slim.mapInArrow(_scan(_sent(parts[0]), hits_only=False), kind)
+    hits = None
+    for part in parts:
+        lookup = _sent(part)
+        more = written(slim.mapInArrow(_scan(lookup, hits_only=True), kind), "hits")
+        lookup.unpersist()
+        hits = more if hits is None else hits.unionByName(more)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches):
+            n = np.diff(X.words(*X.column_bytes(batch.column(2)), X.ALNUM)[2])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["doc_id", "tkey", "n_words"])
+
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))  # noqa: E731 - of one document
+    spans = F.flatten(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(1), F.size("spans"), F.lit(2)), lambda i: F.slice("spans", i, 2)))))))
+    merged = hits.groupBy(F.col("doc_id").alias("id"), F.col("tkey").alias("key")).agg(every("places").alias("places"), spans.alias("spans"), every("items").alias("items"))
+    rows = slim.mapInArrow(counted, head)
+    empty = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("places", "array<int>"), ("spans", "array<long>"), ("items", "array<string>"))]
+    return rows.join(merged, rows.doc_id.eqNullSafe(merged.id) & (rows.tkey == merged.key), "left").select("doc_id", "tkey", "n_words", *empty)
 
 
 def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the hit words cut out of the text (each run becomes one space); other columns stay as they are."""
+    """docs with the hit words cut out of the text (each run becomes one space); other columns stay as they are.
+
+    found is what ``contamination`` gives of docs; rows are told apart by doc_id and text.
+    """
+    key, hit_id, hit_key, spans = free(docs.columns, "key", "hit_id", "hit_key", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                text, spans = text.as_py(), spans.as_py()
-                if text and spans:
+            for text, own in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
+                text, own = text.as_py(), own.as_py()
+                if text and own:
                     raw, out, last = text.encode(), [], 0
-                    for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)):
-                        if a > last or not out:
+                    for a, b in sorted(zip(own[::2], own[1::2], strict=True)):
+                        if not out or X.ALNUM[0][np.frombuffer(raw[last:a], np.uint8)].any():  # runs with no word between are one
                             out.append(raw[last:a])
                         last = max(last, b)
                     text = b" ".join([*out, raw[last:]]).decode()
@@ -152,21 +190,44 @@ def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if j == at else batch.column(j) for j in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    keyed = docs.withColumn("__k", F.xxhash64("doc_id", "text"))
-    hits = found.where("size(spans) > 0").select(F.col("tkey").alias("__k"), F.col("spans").alias("__s")).dropDuplicates(["__k"])
-    return keyed.join(hits, "__k", "left").select(*docs.columns, "__s").mapInArrow(cut, docs.schema)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    hits = found.where("size(spans) > 0").dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias(hit_id), F.col("tkey").alias(hit_key), F.col("spans").alias(spans))
+    return keyed.join(hits, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key)), "left").select(*docs.columns, spans).mapInArrow(cut, docs.schema)
 
 
-def contaminated_rows(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs."""
-    found = contamination(docs, benchmark, size)
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, size: int = 10, bound: int = BOUND) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs, as ``contamination`` finds them."""
+    found = contamination(docs, benchmark, size, bound)
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, share: float = 0.0) -> DataFrame:
-    """docs without those whose share of hit words exceeds ``share`` (0: any hit); all columns as they are."""
-    bad = contamination(docs, benchmark, size).where((F.size("places") > 0) & (F.size("places") > F.col("n_words") * share)).select(F.col("tkey").alias("__k")).distinct()
-    return docs.withColumn("__k", F.xxhash64("doc_id", "text")).join(written(bad, "contaminated"), "__k", "left_anti").select(*docs.columns)
+def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, share: float = 0.0, bound: int = BOUND) -> DataFrame:
+    """docs without those whose share of hit words exceeds ``share`` (0: any hit); all columns as they are.
+
+    Nulls, empty and very long texts, repeats, ties and empty tables are as in ``contamination``.
+    """
+    parts = _parts(benchmark, size, bound)
+    if len(parts) == 1:  # rows are judged where they are
+        lookup, at_text = _sent(parts[0]), docs.columns.index("text")
+        docs = docs.withColumn("text", F.col("text").cast("string"))
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in X.slices(batches):
+                marks = Marks(batch.column(at_text), lookup.value)
+                n = np.diff(marks.at)
+                hit = np.zeros(batch.num_rows, np.int64)
+                for i in marks.items:
+                    hit[i] = len(marks.places(i))
+                yield batch.filter(pa.array((hit == 0) | (hit <= n * share)))
+
+        return docs.mapInArrow(judged, docs.schema)
+    key, hit_id, hit_key = free(docs.columns, "key", "hit_id", "hit_key")
+    found = contamination(docs, benchmark, size, bound)
+    bad = found.where((F.size("places") > 0) & (F.size("places") > F.col("n_words") * share)).select(F.col("doc_id").alias(hit_id), F.col("tkey").alias(hit_key)).distinct()
+    bad = small(written(bad, "contaminated"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(bad, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key)), "left_anti").select(*docs.columns)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,35 @@ def fixture():
 
 
 @pytest.mark.parametrize("bound", [10**6, 7])
-def test_rows_equal_brute_force(spark, monkeypatch, bound):
+def test_rows_equal_brute_force(spark, bound):
     rows, items = fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(D.contamination, "__defaults__", (10, bound))
-    out = sorted((tuple(r) for r in D.contaminated_rows(docs(spark, rows), bench).collect()), key=str)
+    out = sorted((tuple(r) for r in D.contaminated_rows(docs(spark, rows), bench, bound=bound).collect()), key=str)
     assert out == brute(rows, items)
+    hit = {(r[0], r[5]) for r in out}
+    kept = D.clean_documents(docs(spark, rows), bench, bound=bound)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r[0] for r in out if not r[5]), key=str) and hit
+    one = D.contamination(docs(spark, rows), bench).select("doc_id", "tkey", "places", "items")
+    assert one.exceptAll(D.contamination(docs(spark, rows), bench, bound=bound).select("doc_id", "tkey", "places", "items")).count() == 0
+
+
+def test_cut_texts_do_not_depend_on_parts(spark):
+    rows, items = fixture()
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows)
+    cuts = [D.without_spans(table, D.contamination(table, bench, bound=b)) for b in (10**6, 7)]
+    assert cuts[0].columns == table.columns and cuts[0].exceptAll(cuts[1]).count() == 0
+    assert all(not set(D.contaminated_rows(c, bench).where("n_hit > 0").select("doc_id").distinct().toPandas().doc_id) & {53.0} for c in cuts)
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    long = "word " * 2_000_000 + "one two three four five six seven eight nine ten " + "word " * 1000
+    table = docs(spark, [(1, long), (2, "clean")]).selectExpr("doc_id", "text", "1 as key", "2 as places", "3 as spans", "4 as hit_key", "5 as Hit_ID", "6 as n_words")
+    for bound in (10**6, 1):
+        kept = D.clean_documents(table, bench, bound=bound)
+        assert kept.columns == table.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 1, 2, 3, 4, 5, 6)]
+    cut = D.without_spans(table, D.contamination(table, bench))
+    assert cut.columns == table.columns and {r.doc_id: len(r.text) for r in cut.collect()} == {1: len(long) - len("one two three four five six seven eight nine ten") + 1, 2: 5}
 
 
 def test_whole_small_tables(spark):
