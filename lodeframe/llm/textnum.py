@@ -91,6 +91,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, most: int = BLOCK, longest: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, text offsets, number of the first text) of stretches of a slice of texts: all at once or, of one long text, parts.
+
+    Parts end at bytes outside words; a word is cut only where ``longest`` is given and a part ends in that many bytes of it.
+    """
+    if len(data) <= most:
+        yield data, offsets, 0
+        return
+    owner, at = int(np.argmax(np.diff(offsets))), 0  # a slice beyond the bound holds one text
+    while at < len(data):
+        to = min(at + most, len(data))
+        if to < len(data):
+            tail = data[max(to - (longest or most), at + 1) : to]
+            gaps = np.flatnonzero(~inside[tail])
+            if len(gaps):
+                to = to - len(tail) + int(gaps[-1])
+            elif longest is None:
+                while to < len(data) and inside[data[to]]:  # by and by, as the next gap may be far
+                    ahead = np.flatnonzero(~inside[data[to : to + most]])
+                    to = to + int(ahead[0]) if len(ahead) else min(to + most, len(data))
+        yield data[at:to], np.array([0, to - at]), owner
+        at = to
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end byte) of each word and, for n texts, the n + 1 word offsets."""
     inside = table[0][data]
