@@ -13,6 +13,7 @@ a score below all pieces.  Ties in score go to fewer tokens.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import textnum as X
 
 MARK = "▁".encode()
-#: Pre-tokens beyond this many bytes are counted by themselves: a trie level for each byte would gain nothing.
-LONG = 96
+#: Pre-tokens of a level that are worth one vector step; below, pre-tokens are walked one by one.
+WIDE = 64
 
 
 @dataclass
@@ -88,22 +89,63 @@ def count_one(token: bytes, pieces: Pieces) -> int:
 
 
 def trie_counts(tokens: list[bytes], pieces: Pieces) -> np.ndarray:
-    """Tokens of each of distinct pre-tokens, by one pass over the levels of their trie."""
+    """Tokens of each of distinct pre-tokens, by one pass over their trie."""
     lengths = np.array([len(t) for t in tokens], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    data = np.frombuffer(b"".join(tokens), np.uint8)
     out = np.zeros(len(tokens), np.int64)
-    # Of every token and depth, the number of its node; nodes of a level are numbered by the hash of the prefix.
-    nodes: list[np.ndarray] = [np.zeros(len(tokens), np.int64)]
-    best, count = [np.zeros(1)], [np.zeros(1, np.int64)]
+    deepest = int(np.partition(lengths, -WIDE)[-WIDE]) if len(tokens) >= WIDE else 0
+    _wide_levels(tokens, lengths, deepest, pieces, out)
+    _narrow_paths(tokens, np.flatnonzero(lengths > deepest), pieces, out)
+    return out
+
+
+def _narrow_paths(tokens: list[bytes], which: np.ndarray, pieces: Pieces, out: np.ndarray) -> None:
+    """Forward scores along the paths of some pre-tokens, depth first: what a path shares with the one before is kept."""
+    sizes, scores = sorted(pieces.by_length), pieces.scores
+    best, count, before = array("d", [0.0]), array("q", [0]), b""
+    for i in sorted(which.tolist(), key=tokens.__getitem__):
+        token = tokens[i]
+        shared = _shared(before, token)
+        del best[shared + 1 :], count[shared + 1 :]
+        for t in range(shared + 1, len(token) + 1):
+            b, c = best[t - 1] + pieces.byte_score, count[t - 1] + 1
+            for size in sizes:
+                if size > t:
+                    break
+                s = scores.get(token[t - size : t])
+                if s is not None:
+                    x, m = best[t - size] + s, count[t - size] + 1
+                    if x > b + 1e-9 or (x > b - 1e-9 and m < c):
+                        b, c = x, m
+            best.append(b)
+            count.append(c)
+        out[i], before = count[-1], token
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes that both begin with."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if n else ()
+    return int(differ[0]) if len(differ) else n
+
+
+def _wide_levels(tokens: list[bytes], lengths: np.ndarray, deepest: int, pieces: Pieces, out: np.ndarray) -> None:
+    """Forward scores of all nodes down to a level, and the counts of pre-tokens that end there."""
+    cut = np.minimum(lengths, deepest)
+    starts = np.cumsum(cut) - cut
+    data = np.frombuffer(b"".join(t[:deepest] for t in tokens), np.uint8)
+    # Of every pre-token and depth, the number of its node; nodes of a level are numbered by the hash of the prefix.
+    # Only the levels that a piece reaches back to are kept.
+    reach = max(pieces.by_length, default=1)
+    nodes = {0: np.zeros(len(tokens), np.int64)}
+    best, count = {0: np.zeros(1)}, {0: np.zeros(1, np.int64)}
     alive = np.arange(len(tokens))
     hashed = X.RangeHashes(data)
-    for depth in range(1, int(lengths.max(initial=0)) + 1):
+    for depth in range(1, deepest + 1):
         alive = alive[lengths[alive] >= depth]
         _, first, own = np.unique(hashed(starts[alive], starts[alive] + depth), return_index=True, return_inverse=True)
         node = np.full(len(tokens), -1, np.int64)
         node[alive] = own
-        nodes.append(node)
+        nodes[depth] = node
         sample = alive[first]  # a token through each node
         end = starts[sample] + depth
         b = best[depth - 1][nodes[depth - 1][sample]] + pieces.byte_score
@@ -120,43 +162,52 @@ def trie_counts(tokens: list[bytes], pieces: Pieces) -> np.ndarray:
             x, m = best[depth - length][parent] + scores[at[hit]], count[depth - length][parent] + 1
             better = (x > b[hit] + 1e-9) | ((x > b[hit] - 1e-9) & (m < c[hit]))
             b[hit[better]], c[hit[better]] = x[better], m[better]
-        best.append(b)
-        count.append(c)
+        best[depth], count[depth] = b, c
         ended = alive[lengths[alive] == depth]
         out[ended] = c[node[ended]]
-    return out
+        for level in (nodes, best, count):
+            level.pop(depth - reach, None)
 
 
 #: Most pre-tokens whose counts a worker remembers from one stretch of text to the next.
 REMEMBERED = 1 << 20
 
 
+class Counter:
+    """Counts of pre-tokens, remembered from one stretch of text to the next."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+        self.hashes, self.counts = np.zeros(0, X.U64), np.zeros(0, np.int64)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pre-tokens, tokens) of each text."""
+        starts, ends, at = X.words(data, offsets, X.SPACED)
+        distinct, first, which = np.unique(X.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.hashes, distinct), max(len(self.hashes) - 1, 0))
+        old = self.hashes[place] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        counts = np.zeros(len(distinct), np.int64)
+        counts[old] = self.counts[place[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            counts[new] = trie_counts([MARK + data[starts[i] : ends[i]].tobytes() for i in first[new]], self.pieces)
+            if len(self.hashes) + len(new) <= REMEMBERED:
+                at_new = np.searchsorted(self.hashes, distinct[new])  # both are sorted, so this merges them
+                self.hashes, self.counts = np.insert(self.hashes, at_new, distinct[new]), np.insert(self.counts, at_new, counts[new])
+        sums = np.concatenate([[0], np.cumsum(counts[which])])
+        return np.diff(at), sums[at[1:]] - sums[at[:-1]]
+
+
 def _count(pieces, at_text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces.value
-        known_hash, known = np.zeros(0, X.U64), np.zeros(0, np.int64)
+        counter = Counter(pieces.value)
         for batch in X.slices(batches, most=2 * X.BLOCK):
-            data, offsets = X.column_bytes(batch.column(at_text))
-            starts, ends, at = X.words(data, offsets, X.SPACED)
-            hashes = X.word_hashes(data, starts, ends)
-            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            place = np.minimum(np.searchsorted(known_hash, distinct), max(len(known_hash) - 1, 0))
-            old = known_hash[place] == distinct if len(known_hash) else np.zeros(len(distinct), bool)
-            counts = np.zeros(len(distinct), np.int64)
-            counts[old] = known[place[old]]
-            new = np.flatnonzero(~old)
-            tokens = [MARK + data[starts[i] : ends[i]].tobytes() for i in first[new]]
-            short = np.array([len(t) <= LONG for t in tokens], bool)
-            counts[new[~short]] = [count_one(t, table) for t in tokens if len(t) > LONG]
-            if short.any():
-                counts[new[short]] = trie_counts([t for t in tokens if len(t) <= LONG], table)
-            if len(known_hash) + len(new) <= REMEMBERED and len(new):
-                at_new = np.searchsorted(known_hash, distinct[new])  # both are sorted, so this merges them
-                known_hash, known = np.insert(known_hash, at_new, distinct[new]), np.insert(known, at_new, counts[new])
-            sums = np.concatenate([[0], np.cumsum(counts[which])])
+            sums = np.zeros((2, batch.num_rows), np.int64)
+            for data, offsets, first in X.stretches(*X.column_bytes(batch.column(at_text)), X.SPACED[0], 2 * X.BLOCK):
+                sums[:, first : first + len(offsets) - 1] += counter(data, offsets)
             keep = [batch.column(j) for j in range(batch.num_columns) if j != at_text]
             names = [n for j, n in enumerate(batch.schema.names) if j != at_text]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(np.diff(at), pa.int64()), pa.array(sums[at[1:]] - sums[at[:-1]], pa.int64())], names=[*names, "n_pretokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*keep, *map(pa.array, sums)], names=[*names, "n_pretokens", "n_tokens"])
 
     return run
 
@@ -164,8 +215,10 @@ def _count(pieces, at_text: int):
 def token_counts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for every row of docs.
 
-    A null, empty or blank text has no tokens.  Repeated rows keep a row each, rows with a null
-    doc_id too.  An empty table gives no rows; other columns are ignored.
+    A null, empty or blank text has no tokens; a very long one is read whole, in stretches between
+    pre-tokens.  Repeated rows keep a row each, rows with a null doc_id too; segmentations of equal
+    score go by fewer tokens.  An empty table gives no rows; other columns are ignored, whatever their
+    names.
     """
     table = docs.sparkSession.sparkContext.broadcast(pieces or load_pieces())
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))

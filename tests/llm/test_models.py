@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +108,92 @@ def test_language_edges(spark):
     assert L.identified(rows.limit(0), df).count() == 0
 
 
-def test_trie_equals_plain_dynamic_programming():
+def test_mixture_finds_the_best_proportions():
+    """Two languages: no proportion of a fine grid is likelier, and the set is the one of the best penalised likelihood."""
+    rng = np.random.default_rng(3)
+    for share in (0.0, 0.1, 0.5, 0.9):
+        n = 60
+        words = rng.normal(0, 1, (n, 2)) + np.where(rng.random(n) < share, 4, -4)[:, None] * np.array([0.5, -0.5])
+        times = rng.integers(1, 4, n)
+        order, held, chosen, whole = L.mixture([(np.zeros(n, np.int64), words, times)], np.array([times.sum()]), 2, 200)
+        fit = lambda p: float((times * np.log(p * np.exp(words[:, 0]) + (1 - p) * np.exp(words[:, 1]))).sum())
+        own = held[0][order[0].tolist().index(0)]
+        assert fit(own) >= max(fit(p) for p in np.linspace(0.001, 0.999, 999)) - 1e-3
+        single = fit(1.0) if order[0, 0] == 0 else fit(0.0)
+        assert chosen[0] == 1 + (fit(own) - 0.5 * np.log(times.sum() + 1) > single + 1e-9)
+        assert np.allclose(whole[0], (words * times[:, None]).sum(0))
+
+
+def test_language_blocks_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    table = np.array([[[rng.randrange(50) for _ in range(3)] for _ in range(1 << 8)] for _ in range(2)], float)
+    rule = L.LanguageRule(bits=8)
+
+    class Model:
+        value = (["a", "b", "c"], L._log_table(table, rule))
+
+    texts = ["".join(rng.choice("abcdef  é1") for _ in range(rng.randint(0, 300))) for _ in range(40)] + ["word " * 3000, None, "x" * 700]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    want = next(L._predict(Model, rule)(iter([batch])))
+    monkeypatch.setattr(L, "CELLS", 60)
+    got = next(L._predict(Model, rule)(iter([batch])))
+    assert got.column(1) == want.column(1) and np.allclose(got.column(2).to_numpy(), want.column(2).to_numpy())
+
+
+def test_long_texts_are_read_in_stretches(monkeypatch):
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 30))) for _ in range(900)) + " " + "q" * 4000 + " end"
+    data, offsets = X.column_bytes(pa.array(["", text]))
+    for longest in (None, 200):
+        parts = list(X.stretches(data, offsets, X.SPACED[0], 500, longest))
+        assert b"".join(d.tobytes() for d, _, _ in parts) == data.tobytes() and {first for _, _, first in parts} == {1} and len(parts) > 20
+        assert longest or sum(len(X.words(d, o, X.SPACED)[0]) for d, o, _ in parts) == len(text.split())
+    whole = C.Counter(C.load_pieces())(data, offsets)
+    monkeypatch.setattr(X, "BLOCK", 300)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["", text])], names=["doc_id", "text"])
+
+    class Pieces:
+        value = C.load_pieces()
+
+    out = pa.Table.from_batches(C._count(Pieces, 1)(iter([batch])))
+    assert out.column("n_tokens").to_pylist() == whole[1].tolist() and out.column("n_pretokens").to_pylist() == whole[0].tolist()
+
+
+def test_too_many_languages_raise(spark):
+    df = docs(spark, [(i, "some text") for i in range(30)]).selectExpr("doc_id", "text", "concat('l', doc_id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        L.identified(df, rule=L.LanguageRule(languages=5))
+
+
+@pytest.mark.parametrize("wide", [1, 3, 64, 10**6])
+def test_trie_equals_plain_dynamic_programming(monkeypatch, wide):
+    monkeypatch.setattr(C, "WIDE", wide)
     rng = random.Random(8)
     pieces = C.ranked_pieces([p.encode() for p in ["a", "b", "ab", "aba", "bb", "é", "éa", "abab", "▁a", "▁", "ba"]])
     tokens = sorted({C.MARK + "".join(rng.choice(["a", "b", "é", "z"]) for _ in range(rng.randint(1, 12))).encode() for _ in range(400)})
     assert C.trie_counts(tokens, pieces).tolist() == [C.count_one(t, pieces) for t in tokens]
 
 
+def test_unspaced_texts_go_through_the_trie():
+    pieces = C.load_pieces()
+    rng = random.Random(9)
+    line = lambda n: C.MARK + "".join(rng.choice("的一是不了人我在有他这为之大来以个中上们") for _ in range(n)).encode()
+    tokens = list({line(rng.randint(5, 200)) for _ in range(300)})
+    tokens += [tokens[0] + b"x", tokens[0] * 3]
+    assert C.trie_counts(tokens, pieces).tolist() == [C.count_one(t, pieces) for t in tokens]
+    began = time.perf_counter()
+    assert C.trie_counts([line(340_000)], pieces)[0] > 100_000 and time.perf_counter() - began < 60
+
+
+def test_token_counts_of_a_whole_table(spark):
+    """Every document of the smallest tables by plain dynamic programming of each word."""
+    small, pieces, known = "/root/testdata/sf0.001", C.load_pieces(), {}
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    count = lambda w: known.setdefault(w, C.count_one(C.MARK + w.encode(), pieces)) if w not in known else known[w]
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    assert {tuple(r) for r in C.run(spark, small).collect()} == {(r.doc_id, len(split(r.text)), sum(map(count, split(r.text)))) for r in rows}
+
+
 def brute_count(token, pieces):
     """Best segmentation by enumeration: highest score, then fewest tokens."""
     best = None
