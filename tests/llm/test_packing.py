@@ -68,6 +68,73 @@ def test_whole_small_table(spark):
     check(rows, P.run(spark, sf).collect(), 2048)
 
 
+def naive(rows, capacity):
+    """(shard, rest's bin and offset) by trying every open bin: rows are (shard, length, doc_id, tkey, source, cluster, copy)."""
+    out = {}
+    for shard in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == shard), key=lambda r: (-r[1], r[2] is None, r[2] or 0, r[3], r[4] is None, r[4] or "", r[5] is None, r[5] or 0, r[6]))
+        n = sum(r[1] // capacity for r in own)
+        bins = []
+        for r in sorted((r for r in own if r[1] % capacity), key=lambda r: -(r[1] % capacity)):
+            need = r[1] % capacity
+            fit = [b for b in bins if b["left"] >= need and (r[4] is None or r[4] not in b["sources"]) and (r[5] is None or r[5] not in b["clusters"])]
+            left = min((b["left"] for b in fit), default=None)
+            found = [b for b in fit if b["left"] == left]
+            if not found:
+                found = [{"number": n, "left": capacity, "sources": set(), "clusters": set()}]
+                bins += found
+                n += 1
+            b = found[0]  # of equally tight ones any will do: the test compares residuals
+            out.setdefault(shard, []).append((r[2], r[3], need, capacity - b["left"], left))
+            b["left"] -= need
+            b["sources"] |= {r[4]} - {None}
+            b["clusters"] |= {r[5]} - {None}
+    return out
+
+
+def test_packed_table_equals_trying_every_bin(spark):
+    """One kind of conflict at a time, so that equally tight bins are interchangeable: counts of bins and fills are then fixed."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 99) + [str(i)]), None) for i in range(300)] + [(None, "x y z", None)] * 3
+    frame_ = frame(spark, rows)
+    out = P.packed(frame_, P.Packing(capacity=100, shard_rows=60)).collect()
+    keys = {r.doc_id: r.k for r in frame_.selectExpr("doc_id", "xxhash64(text) as k").collect()}
+    copies = defaultdict(int)
+    given = []
+    for r in out:
+        if r.n_words == r.length % 100:
+            given.append((r.shard, r.length, r.doc_id, r.tkey, None, r.tkey, copies[r.doc_id, r.tkey]))
+            copies[r.doc_id, r.tkey] += 1
+    want = naive(given, 100)
+    assert all(r.tkey == keys[r.doc_id] for r in out) and len({r.shard for r in out}) > 3
+    for shard, placed in want.items():
+        own = [r for r in out if r.shard == shard and r.n_words == r.length % 100]
+        assert sorted((r.n_words, r.bin_offset) for r in own) == sorted((p[2], p[3]) for p in placed)
+
+
+def test_bins_do_not_depend_on_files(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, 1, 2, i]), "w " * rng.randint(1, 20), rng.choice("ab")) for i in range(300)]
+    a = P.packed(frame(spark, rows).repartition(7), P.Packing(capacity=64, shard_rows=50))
+    b = P.packed(frame(spark, rows[::-1]).repartition(2), P.Packing(capacity=64, shard_rows=50))
+    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == len(rows)
+
+
+def test_clusters_of_a_column_and_a_very_long_text(spark):
+    rows = [(i, f"text number {i}", None) for i in range(12)] + [(99, "long " * 1_000_000, None)]
+    df = frame(spark, rows).selectExpr("*", "if(doc_id < 6, 1, null) as tkey", "7 as n", "8 as `from`")
+    df = df.drop("tkey").selectExpr("*", "if(doc_id < 6, 1, null) as part")
+    out = P.packed(df, P.Packing(capacity=1000), cluster="part").collect()
+    assert len({(r.shard, r.bin) for r in out if r.doc_id < 6}) == 6 and len({(r.shard, r.bin) for r in out if 6 <= r.doc_id < 12}) < 6
+    assert sum(r.n_words for r in out if r.doc_id == 99) == 1_000_000 and len({r.bin for r in out if r.doc_id == 99}) == 1000
+
+
+def test_large_groups_of_alike_rows_are_split(spark):
+    df = spark.range(30_000).selectExpr("5L as doc_id", "'a b c' as text", "'s' as source")
+    out = P.packed(df, P.Packing(capacity=30, shard_rows=500, one_of_source=False))
+    assert out.count() == 30_000 and out.select("shard", "bin").distinct().count() == 30_000
+
+
 def test_ties_are_stable():
     rows = pd.DataFrame({"doc_id": [3, 1, 2], "tkey": [1, 2, 3], "copy": [0, 0, 0], "source": [None] * 3, "cluster": [1, 2, 3], "length": [4, 4, 4]})
     out = P.pack_frame(rows, 8)
