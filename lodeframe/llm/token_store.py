@@ -28,7 +28,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as X
@@ -163,7 +164,8 @@ class Encoder:
     The byte-level splitting pattern never joins across these places, so a stretch may begin there:
     before a space that a non-space follows, where a digit or letter of ASCII meets punctuation or
     white space, and behind a line feed between two of these.  Stretches are encoded by the
-    tokenizers library and remembered, at most ``remembered`` of them.  A text that holds the literal
+    tokenizers library and remembered, at most ``remembered`` of them; they are found by hash and
+    compared byte by byte.  A text that holds the literal
     of an added token (``<|endoftext|>``) is encoded whole, as the library sees these before it splits.
     """
 
@@ -179,8 +181,7 @@ class Encoder:
     def _clear(self) -> None:
         """Two sorted levels of (hash, number of stretch): new ones join the small one, which is merged into the large one now and then."""
         self.levels = [(np.zeros(0, X.U64), np.zeros(0, np.int64)) for _ in range(2)]
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
+        self.ids, self.texts = Pool(np.uint32), Pool(np.uint8)
         self.n = 0
 
     def _find(self, distinct: np.ndarray) -> np.ndarray:
@@ -193,16 +194,11 @@ class Encoder:
                 number[hit] = numbers[place[hit]]
         return number
 
-    def _learn(self, hashes: np.ndarray, texts: list[str]) -> np.ndarray:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> np.ndarray:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        at, total = int(self.starts[self.n]), int(sizes.sum())
-        if self.n + len(ids) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(ids) + 1), np.int64)])
-        if at + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.uint32)])
-        self.flat[at : at + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.starts[self.n + 1 : self.n + 1 + len(ids)] = at + np.cumsum(sizes)
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes)
+        self.texts.add(np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, len(texts)))
         numbers = np.arange(self.n, self.n + len(ids))
         self.n += len(ids)
         small = self._merged(self.levels[1], (hashes, numbers))
@@ -251,15 +247,31 @@ class Encoder:
         return np.concatenate([*parts, ids[at[last] :]]), np.concatenate([[0], np.cumsum(counts)])
 
     def _stretched(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts without such literals."""
+        """The same for texts without such literals; a long text goes in pieces between sure token boundaries."""
+        if len(data) <= 2 * X.BLOCK:
+            return self._piece(data, offsets)
+        ids, at = [np.zeros(0, np.uint32)], np.zeros(len(offsets), np.int64)
+        for i in range(len(offsets) - 1):
+            begin = offsets[i]
+            while begin < offsets[i + 1]:
+                end = min(begin + X.BLOCK, offsets[i + 1])
+                while end < offsets[i + 1]:
+                    low = max(begin, end - (1 << 16))
+                    places = np.flatnonzero(_cuts(data[low : end + 2])[2:-1]) + low + 2
+                    if len(places):
+                        end = places[-1]
+                        break
+                    end = min(end + (1 << 16) - 4, offsets[i + 1])
+                ids.append(self._piece(data[begin:end], np.array([0, end - begin]))[0])
+                at[i + 1] += len(ids[-1])
+                begin = end
+        return np.concatenate(ids), np.cumsum(at)
+
+    def _piece(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        kind = _KIND[data]
-        cut = np.zeros(n, bool)
-        cut[1:] = _MEETS[kind[:-1], kind[1:]]
-        cut[2:] |= (kind[1:-1] == 3) & _WORDLIKE[kind[:-2]] & _WORDLIKE[kind[2:]]
-        cut[:-1] |= (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
+        cut = _cuts(data)
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
@@ -272,14 +284,51 @@ class Encoder:
                 self._clear()
                 new = np.arange(len(distinct))
             raw = data.tobytes()
-            number[new] = self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in first[new]])
+            number[new] = self._learn(distinct[new], [raw[starts[i] : ends[i]] for i in first[new]])
         number = number[which]
-        begin = self.starts[number]
-        sizes = self.starts[number + 1] - begin
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        source = np.arange(at[-1])
-        source += np.repeat(begin - at[:-1], sizes)
-        return self.flat[source], at[np.searchsorted(starts, offsets)]
+        known, sizes = self.texts.of(number)
+        if len(known) != n or not np.array_equal(known, data):  # two stretches of one hash: the library encodes the texts whole
+            texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array(list(chain.from_iterable(lists)), np.uint32), np.cumsum([0, *map(len, lists)])
+        ids, sizes = self.ids.of(number)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
+
+
+class Pool:
+    """Numbered lists of numbers in one growing array."""
+
+    def __init__(self, kind: type) -> None:
+        self.starts, self.flat, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, kind), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        at = int(self.starts[self.n])
+        if self.n + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros(max(len(self.starts), len(sizes) + 1), np.int64)])
+        if at + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(values)), self.flat.dtype)])
+        self.flat[at : at + len(values)] = values
+        self.starts[self.n + 1 : self.n + 1 + len(sizes)] = at + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the lists of these numbers behind one another, their sizes)."""
+        begin = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - begin
+        end = np.cumsum(sizes)
+        source = np.arange(end[-1] if len(end) else 0)
+        source += np.repeat(begin - end + sizes, sizes)
+        return self.flat[source], sizes
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """The bytes at which a stretch may begin."""
+    kind = _KIND[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = _MEETS[kind[:-1], kind[1:]]
+    cut[2:] |= (kind[1:-1] == 3) & _WORDLIKE[kind[:-2]] & _WORDLIKE[kind[2:]]
+    cut[:-1] |= (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
+    return cut
 
 
 #: Bytes behind a space that begin no white-space character: C2, E1, E2 and E3 may.
@@ -311,58 +360,81 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _write_shards(folder: str, tokenizer: str, end_id: int):
+#: Ids in a shard, about: a task begins another one beyond.
+SHARD_IDS = 1 << 23
+
+
+def _write_shards(folder: str, tokenizer: str, end_id: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = fs.FileSystem.from_uri(folder)
-        encode, shard, last, copy, first = _encoder(tokenizer), None, None, 0, None
-        name, temp = "", ""
-        end = np.array([end_id], np.uint32)
+        encode, end = _encoder(tokenizer), np.array([end_id], np.uint32)
+        part, number, shard, last, copy = TaskContext.get().partitionId(), 0, None, None, 0
+
+        def closed() -> pa.RecordBatch:
+            entries, total = shard.close()
+            file.close()
+            system.move(f"{name}.part", name)
+            uri = f"{folder.rstrip('/')}/{name.rsplit('/', 1)[1]}"
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([number], pa.int64()), *(pa.array([x], pa.int64()) for x in (first, last)), pa.array([uri]), *(pa.array([x], pa.int64()) for x in (entries, total))], names=["part", "number", "first_id", "last_id", "uri", "entries", "ids"])
+
         for batch in X.slices(batches):
-            if shard is None:
-                # Written under a name of this attempt and moved: a task that runs twice leaves whole files only.
-                first = batch.column(0)[0].as_py()
-                name = f"{base}/{uuid.uuid4().hex}.sst"
-                temp = f"{name}.part"
-                system.create_dir(base, recursive=True)
-                file = system.open_output_stream(temp)
-                shard = ShardWriter(file)
             ids, at = encode(*X.column_bytes(batch.column(1)))
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
+                if shard is not None and shard.ids >= most:
+                    yield closed()
+                    number, shard = number + 1, None
+                if shard is None:
+                    # Written under a name of this attempt and moved: a task that runs twice leaves whole files only.
+                    first, name = doc_id, f"{base}/{uuid.uuid4().hex}.sst"
+                    system.create_dir(base, recursive=True)
+                    file = system.open_output_stream(f"{name}.part")
+                    shard = ShardWriter(file)
                 copy = copy + 1 if shard.keys and doc_id == last else 0
                 last = doc_id
                 shard.add(key_of(doc_id, copy), np.concatenate([ids[at[i] : at[i + 1]], end]))
         if shard is not None:
-            entries, total = shard.close()
-            file.close()
-            system.move(temp, name)
-            uri = f"{folder.rstrip('/')}/{name.rsplit('/', 1)[1]}"
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([last], pa.int64()), pa.array([uri]), pa.array([entries], pa.int64()), pa.array([total], pa.int64())], names=["first_id", "last_id", "uri", "entries", "ids"])
+            yield closed()
 
     return run
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_rows: int = 8_192) -> DataFrame:
+def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, shard_rows: int = 8_192, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode every text, append end_id, and write shards in ascending doc_id order; gives the manifest.
 
-    The manifest has a row for each shard: first_id, last_id, uri, entries, ids.  A null or empty
-    text is end_id alone.  Rows with a null doc_id come first; repeated rows are entries of the
-    same key, told apart by their number, in the order of their texts.  An empty table gives no
-    shards; other columns are ignored.  ``folder`` is a URI that pyarrow opens (file, hdfs, s3 ...).
+    The manifest has a row for each shard: part, number (the order of shards), first_id, last_id, uri,
+    entries, ids.  A part is a range of documents of about ``shard_rows``; beyond ``shard_ids`` it goes
+    on in another shard.  A null or empty text is end_id alone; very long texts are encoded whole, in
+    pieces between sure token boundaries.  Rows with a null doc_id come first; rows that repeat an id
+    are entries of the same key, told apart by their number in the shard, in the order of their texts'
+    hashes: many of them are spread over several parts.  An empty table gives no shards; other columns
+    are ignored, whatever their names.  ``folder`` is a URI that pyarrow opens (file, hdfs, s3 ...).
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = max(1, -(-slim.count() // shard_rows))
-    dealt = slim.repartitionByRange(shards, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-    return written(dealt.mapInArrow(_write_shards(folder, tokenizer or default_tokenizer(), end_id), "first_id long, last_id long, uri string, entries long, ids long"), "manifest")
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.asc_nulls_first("text")]
+    # Rows that are alike may change places, so their ranges are cut by their places in the input.
+    dealt = slim.repartitionByRange(shards, order[0], order[1], F.monotonically_increasing_id()).sortWithinPartitions(*order)
+    kind = "part long, number long, first_id long, last_id long, uri string, entries long, ids long"
+    return written(dealt.mapInArrow(_write_shards(folder, tokenizer or default_tokenizer(), end_id, shard_ids), kind), "manifest")
+
+
+#: Parts whose shards are summed up together.
+BLOCK_PARTS = 1024
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """(uri, start): of each shard, the ids of all shards before it, by sums of blocks of parts and within them."""
+    shards = manifest.withColumn("block", F.floor(F.col("part") / BLOCK_PARTS))
+    before = lambda window: F.sum("ids").over(window.rowsBetween(Window.unboundedPreceding, -1))
+    blocks = shards.groupBy("block").agg(F.sum("ids").alias("ids"))  # a row for some thousand shards
+    blocks = blocks.select("block", F.coalesce(before(Window.orderBy("block")), F.lit(0)).alias("base"))
+    inner = shards.select("block", "uri", F.coalesce(before(Window.partitionBy("block").orderBy("part", "number")), F.lit(0)).alias("inside"))
+    return inner.join(blocks, "block").select("uri", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def read_store(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every entry of the shards, start counting ids over all shards in order."""
-    spark = manifest.sparkSession
-    rows = manifest.orderBy(F.asc_nulls_first("first_id"), F.asc_nulls_first("last_id")).collect()  # a row a shard
-    at, listed = 0, []
-    for r in rows:
-        listed.append((r.uri, at))
-        at += r.ids
+    shards, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,9 +451,8 @@ def read_store(manifest: DataFrame) -> DataFrame:
                             out = [[], [], [], []]
                     yield _entries(out)
 
-    if not listed:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return spark.createDataFrame(listed, "uri string, start long").repartition(len(listed)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(shards, max(4 * cores, shards // 16)))  # a task reads some shards
+    return placed(manifest).repartition(tasks, "uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _entries(out: list[list]) -> pa.RecordBatch:

@@ -189,7 +189,8 @@ def test_store_of_a_table(spark, tmp_path):
     rows = [(5, "five é"), (3, None), (1, "one"), (5, "five a"), (None, "null id"), (9, ""), (2, "long " * 50_000)]
     manifest = S.write_store(docs(spark, rows), f"file://{tmp_path}/store", shard_rows=2)
     out = S.read_store(manifest).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {r.text: r.h for r in docs(spark, rows).selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     at = 0
     for r, (i, text) in zip(out, order, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -200,6 +201,51 @@ def test_store_of_a_table(spark, tmp_path):
     assert S.read_store(S.write_store(docs(spark, []), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_store_of_a_whole_table(spark):
+    """Every document of the smallest tables by the untouched library, read back in ascending order."""
+    from tokenizers import Tokenizer
+
+    t, at, want = Tokenizer.from_file(S.default_tokenizer()), 0, []
+    for r in sorted(spark.read.parquet(f"{SF}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in S.run(spark, SF).collect()) == want
+
+
+def test_shards_are_bounded_and_repeated_ids_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_PARTS", 3)
+    rows = [(None, f"row {i % 7} " * 5) for i in range(300)] + [(i, "one two " * 40) for i in range(60)]
+    manifest = S.write_store(docs(spark, rows), f"file://{tmp_path}/store", shard_rows=40, shard_ids=400)
+    shards = manifest.orderBy("part", "number").collect()
+    assert len({r.part for r in shards if r.first_id is None}) > 3 and max(r.number for r in shards) > 1 and all(r.ids < 600 for r in shards)
+    out = S.read_store(manifest).orderBy("start").collect()
+    assert [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out)])[:-1].tolist() and len(out) == len(rows)
+    assert [r.doc_id for r in out] == [None] * 300 + list(range(60)) and len(S.lookup(shards, None)) == 300 and len(S.lookup(shards, 7)) == 1
+
+
+def test_long_texts_go_in_pieces(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, e, rng = Tokenizer.from_file(S.default_tokenizer()), S.Encoder(S.default_tokenizer()), random.Random(12)
+    monkeypatch.setattr(X, "BLOCK", 100)
+    for _ in range(20):
+        texts = ["".join(rng.choice(["a", " ", "é", "word ", ". ", "\n", "12", "  ", "中"]) for _ in range(n)) for n in (900, 3, 0, 400)]
+        ids, at = e(*X.column_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_stretches_of_one_hash_are_told_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(S.default_tokenizer()), S.Encoder(S.default_tokenizer())
+    monkeypatch.setattr(X, "word_hashes", lambda data, starts, ends, lower=None: ((ends - starts) % 3).astype(X.U64))
+    texts = ["one two three", "six ten four eleven", "one"]
+    for _ in range(2):
+        ids, at = e(*X.column_bytes(pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def brute_top(rows, k=5, every=50):
     ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
