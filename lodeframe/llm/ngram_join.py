@@ -12,8 +12,9 @@ elements near the front of both orders:
 
 Equal sets are one node.  Each inverted list first links its members to one leader; lists
 whose members then share a component are done, and only pairs of different components are
-compared otherwise.  So a group of thousands of near copies costs a row or two a member, yet
-no link between different components is lost.  Candidates are filtered by sizes and positions
+compared otherwise: pairs of short lists by a join, those of long lists in blocks of members, of
+which only pairs come out that their sketches admit.  So a group of thousands of near copies costs
+a row or two a member, yet no link between different components is lost.  Candidates are filtered by sizes and positions
 (an exact bound of the overlap), by 1,024-bit parity sketches (an exact bound of the difference)
 and verified on the whole sets.
 """
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum as X
 from .components import connected_components
-from .scratch import dropped, small, written
+from .scratch import dropped, free, joined_apart, small, written
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,7 @@ class JaccardJoin:
 
     ``heavy_entries`` bounds the broadcast table of frequent shingles, which only orders sets:
     its size never changes the result.  ``broadcast_rows`` bounds another one.  ``scan_cost``: what scanning a list costs, in emitted keys.
+    ``short``: members of a list whose pairs are joined; ``block``: members of longer ones that are compared at once.
     """
 
     words: int = 4
@@ -47,11 +50,17 @@ class JaccardJoin:
     heavy_entries: int = 1 << 19
     broadcast_rows: int = 1 << 19
     scan_cost: float = 4.0
+    short: int = 64
+    block: int = 1024
 
     def overlap(self, a: int) -> int:
         """The least overlap of a set of a elements with any partner: its own size times the threshold."""
         return -(-self.num * a // self.den)
 
+    def difference(self, n: np.ndarray) -> np.ndarray:
+        """The most elements that only one of two linked sets of n elements together may hold."""
+        return n - 2 * -(-self.num * n // (self.num + self.den))
+
 
 def shingle_sets(batch: pa.RecordBatch, rule: JaccardJoin, column: str = "text") -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
@@ -205,7 +214,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, rule: Jaccard
             sketches = [np.frombuffer(b"".join(batch.column(i).to_pylist()), X.U64).reshape(-1, SKETCH // 64) for i in (4, 5)]
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             differ = np.bitwise_count(sketches[0] ^ sketches[1]).sum(1, dtype=np.int64)
-            keep = differ <= n - 2 * -(-rule.num * n // (rule.num + rule.den))
+            keep = differ <= rule.difference(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["x", "y"]).filter(pa.array(keep))
 
     part = where.select("id", "n", "sketch")
@@ -237,16 +246,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, where: DataFrame, rule: Jaccard
     return out
 
 
-def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_verified) for every row of docs.
+def _pairs_of_long_lists(lists: DataFrame, sizes: DataFrame, where: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """(x, y) of members of long lists that sizes, components and sketches admit.
 
-    component_id is the smallest doc_id that links reach; n_verified counts the links that were
-    verified for the row's distinct set: enough of them to connect its component, not all of them.  A null,
-    empty or word-less text has the empty set: 0 shingles, linked with nothing, its own
-    component.  Repeated rows are rows of the same set and keep a row each.  A row with a null
-    doc_id takes part; its component is the smallest non-null doc_id that it reaches, else null.
-    An empty table gives an empty result; other columns are ignored.
+    lists: key, id, n, c; sizes: key, m (members).  A list is dealt to m / block buckets, and each pair of
+    buckets is a group of its own of some 2 x block members, so no task meets a whole list.
     """
+    buckets = F.ceil(F.col("m") / rule.block).cast("int")
+    dealt = lists.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", "key"), buckets).cast("int"))
+    dealt = dealt.join(where.select("id", "sketch"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), buckets - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "n", F.xxhash64("c").alias("c"), "sketch")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        ids, n, c = (rows[k].to_numpy() for k in ("id", "n", "c"))
+        sketch = np.frombuffer(b"".join(rows["sketch"]), X.U64).reshape(len(rows), -1)
+        side = rows["own"].to_numpy() == key[1]
+        here = np.flatnonzero(side)
+        there = here if key[1] == key[2] else np.flatnonzero(~side)
+        found: list[np.ndarray] = []
+        step = max(1, (1 << 18) // max(1, len(there)))
+        for at in range(0, len(here), step):
+            a = here[at : at + step]
+            i, j = np.nonzero((c[a][:, None] != c[there]) & (np.minimum(n[a][:, None], n[there]) * rule.den >= np.maximum(n[a][:, None], n[there]) * rule.num))
+            i, j = a[i], there[j]
+            for part in range(0, len(i), 1 << 16):
+                x, y = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                near = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64) <= rule.difference(n[x] + n[y])
+                found.append(np.stack([ids[x[near]], ids[y[near]]], 1))
+        pairs = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1)
+        return pd.DataFrame(pairs[pairs[:, 0] < pairs[:, 1]], columns=["x", "y"])
+
+    return dealt.groupBy("key", "first", "second").applyInPandas(compare, "x long, y long")
+
+
+def _labelled(docs: DataFrame, rule: JaccardJoin, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, tkey, n, label, component_id, n_verified) for every row; label: a set of the row's component, null for the empty set."""
     spark = docs.sparkSession
     base = _keyed(docs, doc_id, text)
     both = written(base.mapInArrow(_first_pass(rule), "doc_id long, tkey long, n long, node binary, sketch binary, shingle long, count long"), "sets")
@@ -285,10 +320,12 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_i
     # Only lists whose members are not in one component by now can hold a link that matters.
     known = shared.join(named.join(label, "node").select("id", "component"), "id", "left").select("key", "id", "n", "place", F.coalesce(F.col("component"), F.col("id").cast("string").cast("binary")).alias("c"))
     known = written(known, "known")
-    open_lists = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    left = known.join(open_lists, "key")
+    sizes = known.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
+    sizes = written(sizes, "sizes")
+    left = known.join(sizes.where(F.col("m") <= rule.short), "key").drop("m")
     x, y = left.toDF("key", "x", "n1", "p1", "ca"), left.toDF("key", "y", "n2", "p2", "cb")
-    pairs = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & admits("n1", "p1", "n2", "p2")).select("x", "y").distinct().join(tried, ["x", "y"], "left_anti")
+    pairs = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & admits("n1", "p1", "n2", "p2")).select("x", "y")
+    pairs = pairs.union(_pairs_of_long_lists(known.drop("place"), sizes.where(F.col("m") > rule.short), where, rule)).distinct().join(tried, ["x", "y"], "left_anti")
     more = _verified(written(pairs, "pairs"), base, where, rule)
     dropped(spark, shared, known)
     every = links.union(more)
@@ -296,25 +333,54 @@ def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_i
     heavy.unpersist()
 
     degree = every.select(F.col("a").alias("node")).union(every.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_verified"))
-    labelled = rows.join(label.join(degree, "node", "left"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    return labelled.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
+    # Components are named at distinct sets first, then at documents; very common ones and very common sets are joined apart.
+    of_node = written(where.select("node", "rep_id").join(label.join(degree, "node", "left"), "node", "left").withColumn("label", F.coalesce("component", "node")), "labels")
+    least = of_node.groupBy("label").agg(F.min("rep_id").alias("component_id"))
+    of_node = joined_apart(of_node, least, "label", "node").select("node", "label", "component_id", F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
+    every_row = joined_apart(rows, written(of_node, "components"), "node", "doc_id", "tkey")
+    return every_row.select("doc_id", "tkey", "n", "label", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
+
+
+def jaccard_components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_verified) for every row of docs.
+
+    component_id is the smallest doc_id that links reach; n_verified counts the links that were
+    verified for the row's distinct set: enough of them to connect its component, not all of them.  A null,
+    empty or word-less text has the empty set: 0 shingles, linked with nothing, its own
+    component.  Repeated rows are rows of the same set and keep a row each.  A row with a null
+    doc_id takes part; its component is the smallest non-null doc_id that it reaches, else null.
+    An empty table gives an empty result; very long texts are compared whole; sets of equal frequency go
+    by hash; other columns are ignored, whatever their names.
+    """
+    return _labelled(docs, rule, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_verified")
 
 
 def one_of_each(docs: DataFrame, rule: JaccardJoin = JaccardJoin(words=5, num=80)) -> DataFrame:
-    """The rows of docs without near copies: of each component the row of the smallest doc_id stays.
+    """The rows of docs without near copies: of each component one row stays.
 
-    Rows with a null doc_id stay unless a row with an id is in their component; of repeated rows
-    with one doc_id one stays.  Texts without words are near copies of nothing, so they stay.
+    It is a row of the smallest doc_id, rows with a null doc_id coming last, then of the smallest hash of
+    the text; of rows that repeat both, one stays.  Texts without words are near copies of nothing, so
+    all of their rows stay, as do all rows of a table without near copies; an empty table gives none.
+    Very long texts are compared whole; columns are kept as they are, whatever their names.
     """
-    parts = jaccard_components(docs, rule).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("m"))
-    odd = written(parts.where((F.col("c") != F.col("doc_id")) | (F.col("m") > 1)).select("doc_id", (F.col("c") == F.col("doc_id")).alias("stays")), "odd")
-    gone = odd.where("not stays").select("doc_id")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    repeated = odd.where("stays").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    spark = docs.sparkSession
+    parts = written(_labelled(docs, rule), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    chosen = parts.where("label is not null").groupBy("label").agg(F.min(row).alias("stays"), F.count("*").alias("rows"))
+    chosen = written(chosen.where("rows > 1").select("label", "stays"), "chosen")
+    odd = joined_apart(parts, chosen, "label", "doc_id", "tkey").where("stays is not null").select("doc_id", "tkey", (row == F.col("stays")).alias("stays"))
+    odd = written(odd.groupBy("doc_id", "tkey").agg(F.max("stays").alias("stays"), F.count("*").alias("rows")), "odd")
+    key, hit_id, hit_key = free(docs.columns, "key", "hit_id", "hit_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(hit_id)) & (F.col(key) == F.col(hit_key))
+    named = lambda rows: small(rows.select(F.col("doc_id").alias(hit_id), F.col("tkey").alias(hit_key)))
+    kept = keyed.join(named(odd.where("not stays")), same, "left_anti")
+    twice = odd.where("stays and rows > 1")
+    dropped(spark, parts)
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    repeated = kept.join(named(twice), same, "left_semi").dropDuplicates(["doc_id", key])
+    return kept.join(named(twice), same, "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,26 @@ def small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+#: Every so many rows show which keys are very common; a table has fewer than so many of these.
+SAMPLED, COMMON = 64, 4096
+
+
+def common_keys(table: DataFrame, key: str, *told_by: str) -> DataFrame:
+    """The keys that hold more than a 4,096th of a written table's rows, by a sample (of rows that ``told_by`` tells apart): fewer than ``COMMON``."""
+    sample = table.where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(*told_by), F.lit(SAMPLED)) == 0)).groupBy(key).agg(F.count("*").alias("rows_"))
+    sample = written(sample.where("rows_ > 1"), "common")
+    total = sample.agg(F.sum("rows_")).first()[0] or 0
+    return sample.where(F.col("rows_") > max(32, total // COMMON)).select(key)
+
+
+def joined_apart(left: DataFrame, right: DataFrame, key: str, *told_by: str) -> DataFrame:
+    """left join of a written table with one that has a row a key; very common keys meet a broadcast of their rows, not one task."""
+    common = F.broadcast(common_keys(left, key, *told_by))
+    few = F.broadcast(written(right.join(common, key, "left_semi"), "few"))
+    cold = left.join(common, key, "left_anti").join(right, key, "left")
+    return left.join(common, key, "left_semi").join(few, key, "left").select(*cold.columns).unionByName(cold)
+
+
 def free(columns: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores behind as keep it apart from the columns (whatever their case)."""
     taken, out = {c.lower() for c in columns}, []

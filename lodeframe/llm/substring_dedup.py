@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textnum as X
-from .scratch import dropped, free, written
+from .scratch import common_keys, dropped, free, written
 
 
 @dataclass(frozen=True)
@@ -209,16 +209,9 @@ def _cut(rule: SpanRule, columns: list[str], added: list[str]):
     return run
 
 
-#: Every so many rows of runs show which hashes are very common, and these are at most so many.
-_SAMPLED, _HOT = 64, 4096
-
-
 def _later(spans: DataFrame) -> DataFrame:
     """(doc_id, tkey, place) of every non-first occurrence of a run."""
-    sampled = spans.where(F.pmod(F.xxhash64("doc_id", "tkey", "place"), F.lit(_SAMPLED)) == 0).groupBy("span").agg(F.count("*").alias("m"))
-    sampled = written(sampled.where("m > 1"), "common")
-    total = sampled.agg(F.sum("m")).first()[0] or 0
-    common = sampled.where(F.col("m") > max(32, total // _HOT)).select("span")  # they share ``total``, so fewer than _HOT
+    common = common_keys(spans, "span", "doc_id", "tkey", "place")
     first = spans.join(F.broadcast(common), "span", "left_semi").groupBy("span", "check").agg(F.min(F.struct("doc_id", "tkey", "place")).alias("first"))
     first = written(first, "first")
     ranked = spans.join(F.broadcast(common), "span", "left_anti").withColumn("r", F.rank().over(Window.partitionBy("span", "check").orderBy("doc_id", "tkey", "place")))

@@ -47,6 +47,31 @@ def test_light_and_heavy_ways_agree(spark, monkeypatch, boundary):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components(rows, 3, 70, 100)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_long_lists_in_blocks_lose_no_link(spark, monkeypatch, seed):
+    """Lists of any length go in blocks of few members."""
+    monkeypatch.setattr(J, "boundary_of", lambda *_: 0)
+    rows = corpus(seed, groups=10, noise=120)
+    rule = J.JaccardJoin(words=3, num=70, heavy_entries=0, short=2, block=5)
+    out = J.jaccard_components(docs(spark, rows), rule).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == components(rows, 3, 70, 100)
+
+
+def test_very_common_sets_and_components(spark):
+    base = " ".join(f"w{i}" for i in range(90))
+    rows = [(i, base) for i in range(3000)] + [(3000 + i, f"{base} x{i}") for i in range(2500)] + [(9000 + i, f"other {i} text {i} of its own {i}") for i in range(50)]
+    out = J.jaccard_components(docs(spark, rows)).groupBy("component_id").count().collect()
+    assert {r[0]: r[1] for r in out} == {0: 5500, **{9000 + i: 1 for i in range(50)}}
+    assert J.one_of_each(docs(spark, rows)).count() == 51
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    long = [f"{rng.randrange(10**9):x}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[100:])), (3, " ".join(long[::-1])), (4, "short text")]
+    assert {r.doc_id: r.component_id for r in J.jaccard_components(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_whole_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     out = J.run(spark, SF).collect()
@@ -68,6 +93,18 @@ def test_one_of_each(spark):
     assert kept.columns == docs(spark, []).columns
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    t, u = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(50))
+    rows = [(None, t), (None, t + " end"), (None, u), (7, u), (7, "a clean text that is of its own"), (7, "and another one of the same id"), (None, None), (None, "")]
+    kept = J.one_of_each(docs(spark, rows)).collect()
+    texts = sorted((r.doc_id is None, r.text or "") for r in kept)
+    assert len(kept) == 6 and [x for x in texts if not x[0]] == [(False, "a clean text that is of its own"), (False, "and another one of the same id"), (False, u)]
+    assert sum(r.text is not None and r.text.startswith("w0") for r in kept) == 1 and sum(not r.text for r in kept) == 2
+    clash = docs(spark, [(1, t), (2, t)]).selectExpr("doc_id", "text", "3 as key", "4 as hit_id", "5 as stays", "6 as label")
+    assert [tuple(r) for r in J.one_of_each(clash).collect()] == [(1, t, 3, 4, 5, 6)]
+    assert J.one_of_each(docs(spark, [])).count() == 0
+
+
 def test_connected_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (5, 4)]
     out = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
