@@ -278,14 +278,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, rule: ToxicityRule) -> Dat
     for value in (0, 1):
         some = both.where(F.col("toxic") == value).orderBy(F.xxhash64("h"), "h").limit(rule.sample * (2 - value))
         picked = some if picked is None else picked.unionByName(some)
-    rows = picked.select("doc_id", "toxic", "size").collect()  # 3 x sample rows at most
-    picked = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in rows], f"doc_id long, toxic {labels.schema['toxic'].dataType.simpleString()}"))
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(picked, "doc_id").select("doc_id", "text", "toxic")
-    return texts.mapInArrow(_excerpts(_allowance([r.size for r in rows], rule.sample_bytes)), texts.schema).dropDuplicates(["doc_id"])
+    rows = picked.select("doc_id", "h", "toxic", "size").collect()  # 3 x sample rows at most
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(r.doc_id, r.h, r.toxic) for r in rows], f"doc_id long, h long, toxic {labels.schema['toxic'].dataType.simpleString()}"))
+    # By id and text: an id of several texts gives those that were drawn.
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text").cast("string").alias("text")).join(picked, ["doc_id", "h"]).select("doc_id", "text", "toxic")
+    return texts.mapInArrow(_excerpts(_allowance([r.size for r in rows], rule.sample_bytes)), texts.schema).dropDuplicates(["doc_id", "text"])
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rule: ToxicityRule = ToxicityRule()) -> Field:
-    rows = training_rows(docs, labels, rule).toPandas().sort_values("doc_id")
+    rows = training_rows(docs, labels, rule).toPandas().sort_values(["doc_id", "text"])
     return train(rows["text"].tolist(), rows["toxic"].tolist(), rule)
 
 
@@ -320,9 +321,10 @@ def scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = No
     """(doc_id, tkey, held_out, score, predicted, spans) for every row of docs.
 
     The field is fitted on labels and train_docs (docs itself if none).  A null or empty text has
-    score 0 and no spans.  Repeated rows keep a row each; a null doc_id is not held out.  Labels
+    score 0 and no spans; a very long one is tagged whole.  Repeated rows keep a row each; a null doc_id is not held out.  Labels
     that are null or of unknown documents teach nothing; of several labels of one document the
-    highest counts.  An empty table gives no rows; other columns are ignored.  spans holds start,
+    highest counts; a score of 0.5 is toxic.  An empty table gives no rows; other columns are ignored,
+    whatever their names.  spans holds start,
     end, start, end ... of offending words in code points.
     """
     field = docs.sparkSession.sparkContext.broadcast(fitted(train_docs if train_docs is not None else docs, labels, rule))
@@ -334,7 +336,10 @@ def scored(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = No
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, train_docs: DataFrame | None = None, rule: ToxicityRule = ToxicityRule()) -> DataFrame:
-    """The rows of docs whose score is under 0.5; columns as they are.  Nulls and repeats as in ``scored``."""
+    """The rows of docs whose score is under 0.5; columns as they are, whatever their names.
+
+    Null, empty and very long texts, ties, repeats and empty tables are as in ``scored``.
+    """
     field = docs.sparkSession.sparkContext.broadcast(fitted(train_docs if train_docs is not None else docs, labels, rule))
     names, at_text = docs.columns, docs.columns.index("text")
 

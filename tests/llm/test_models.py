@@ -91,6 +91,53 @@ def test_long_texts_leave_the_sample_whole(spark):
     assert {r.doc_id: r.predicted for r in T.scored(docs(spark, fresh), lab, docs(spark, rows), rule).collect()} == {1000: 1, 1001: 1, 1002: 0}
 
 
+def test_a_sample_does_not_depend_on_ids_or_repeats(spark):
+    """A very long labelled text of the smallest id leaves all others in the sample; an id of two texts teaches by both."""
+    rows, labels = toxic_tables(spark)
+    rows = [(-9, "harmless words and more of them. " * 280_000), *rows, (4, rows[4][1]), (4, "another vilex vilez text " * 3)]
+    lab = spark.createDataFrame([*labels, (-9, 0)], "doc_id long, toxic int")
+    rule = T.ToxicityRule(held_out=9)
+    drawn = T.training_rows(docs(spark, rows), lab, rule).collect()
+    assert len(drawn) == 202 and sum(r.doc_id == 4 for r in drawn) == 2 and sum(len(r.text) for r in drawn) <= rule.sample_bytes
+    fresh = docs(spark, [(1000, "abcd vilex efgh vilez " * 3), (1001, "abcd efgh " * 6)])
+    assert {r.doc_id: r.predicted for r in T.scored(fresh, lab, docs(spark, rows), rule).collect()} == {1000: 1, 1001: 0}
+
+
+def test_scores_equal_slow_enumeration(spark):
+    """The query's scores from the fitted weights by plain Python: features, forward-backward in logarithms, pooling."""
+    rows, labels = toxic_tables(spark)
+    lab, rule = spark.createDataFrame(labels, "doc_id long, toxic int"), T.ToxicityRule()
+    table = docs(spark, [*rows[:30], (500, "vilex. Is it? vilez\nabcd"), (501, "x " * 130)])
+    field = T.fitted(docs(spark, rows), lab, rule)
+
+    def bucket(word, more=0):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return (int(X.word_hashes(data, np.array([0]), np.array([len(data)]))[0]) + more) % 2**64 % rule.buckets
+
+    def slow(text):
+        marginal = []
+        for sentence in re.split(r"(?<=[.!?])\s|\n", text):
+            words = re.findall("[0-9a-z]+", sentence.lower())
+            for chain in (words[i : i + 64] for i in range(0, len(words), 64)):
+                e = [field.bias + field.weights[bucket(w)] + sum(field.weights[bucket(w[:k], k)] for k in rule.prefixes) for w in chain]
+                forward = [[0.0, e[0]]]
+                for x in e[1:]:
+                    forward.append([np.logaddexp(forward[-1][0] + field.moves[0, t], forward[-1][1] + field.moves[1, t]) + x * t for t in (0, 1)])
+                back = [0.0, 0.0]
+                z, own = np.logaddexp(*forward[-1]), []
+                for i in range(len(e) - 1, -1, -1):
+                    own.append(np.exp(forward[i][1] + back[1] - z))
+                    back = [np.logaddexp(field.moves[t, 0] + back[0], field.moves[t, 1] + e[i] + back[1]) for t in (0, 1)]
+                marginal += own
+        loud = [p for p in marginal if p >= rule.floor]
+        x = np.array([1, min(sum(loud), rule.ceiling), max(loud, default=0)]) @ field.scale
+        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    out = {r.doc_id: r.score for r in T.scored(table, lab, docs(spark, rows)).collect()}
+    text = dict([*rows[:30], (500, "vilex. Is it? vilez\nabcd"), (501, "x " * 130)])
+    assert all(out[i] == pytest.approx(slow(text[i]), abs=1e-6) for i in out) and len(out) == 32
+
+
 def test_language_held_out(spark):
     both = L.run(spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").toPandas()
     assert (both.lang == both.lang_pred).mean() >= 0.97 and both.score.between(0, 1).all()
