@@ -3,7 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline as P
-from lodeframe.llm import toxicity
+from lodeframe.llm import substring_dedup, toxicity
 
 from .helpers import components, docs
 from .test_decontamination import brute as brute_hits
@@ -30,7 +30,7 @@ def test_stages_in_turn(spark):
     assert sorted(r.doc_id for r in near.collect()) == sorted(i for i, (_, c) in groups.items() if c == i)
 
     cut = P.cut_repeats(spark, near, SF).persist()
-    want = brute_cut(rows_of(near))
+    want = brute_cut(rows_of(near), substring_dedup.WHOLE)
     assert {r.doc_id: r.text for r in cut.collect()} == {i: t for i, (_, _, t) in want.items()}
     assert all(r.n_chars == len(r.text) for r in cut.collect() if want[r.doc_id][1])
 
@@ -57,3 +57,17 @@ def test_empty_and_null_documents(spark, tmp_path):
     rows = docs(spark, [(1, None), (2, ""), (None, "some words here"), (3, "a b"), (3, "a b")]).select("doc_id", "text", "lang", "source", "n_chars")
     rows.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert sorted((r.doc_id is None, r.n_words) for r in P.run(spark, str(tmp_path)).collect()) == [(False, 2), (True, 3)]
+
+
+def test_clashing_columns_and_a_very_long_text(spark, tmp_path):
+    """Extra columns named as those that stages use inside keep their values until the last stage."""
+    long = " ".join(f"w{i * 7919 % 100_003}" for i in range(100_000))
+    rows = docs(spark, [(1, long), (2, long), (3, "a clean text of a few words"), (4, None), (5, None)])
+    extra = ["n_sentences", "n_removed", "d", "t", "places", "key", "hit_id", "hit_key", "label", "stays", "spans", "n"]
+    rows = rows.selectExpr("*", *(f"concat('{c}', doc_id) as {c}" for c in extra))
+    for _, stage in P.STAGES[:-1]:
+        rows = stage(spark, rows, SF).persist()
+        assert rows.columns[-len(extra) :] == extra
+    assert {r.doc_id for r in rows.collect()} == {1, 3, 4, 5} and all(r[c] == f"{c}{r.doc_id}" for r in rows.collect() for c in extra)
+    packed = P.pack(spark, rows, SF).collect()
+    assert sum(r.n_words for r in packed if r.doc_id == 1) == 100_000 and {r.doc_id for r in packed} == {1, 3}
