@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -12,9 +13,13 @@ from pyspark.sql import functions as F
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 DIGITS = r"[0-9]"
 BRACKETED = r"[\(\[].*?[\)\]]"
-# Accented letters of Latin-1 and what each folds to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-FOLDED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Letters of one base and marks behind it (Unicode's canonical decomposition), and the base that each folds to.
+_PARTS = {chr(i): unicodedata.normalize("NFD", chr(i)) for i in range(0xC0, 0x2000)}
+_BASES = {c: d[0] for c, d in _PARTS.items() if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])}
+ACCENTED, FOLDED = "".join(_BASES), "".join(_BASES.values())
+# Letters that do not decompose and what exact search takes them for.
+STROKED, PLAIN = "łŁđĐøØħĦıŧŦ", "lLdDoOhHitT"
+LIGATURES = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss"}
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -31,14 +36,22 @@ def searchable(c: Column) -> Column:
     return collapse_spaces(F.regexp_replace(F.regexp_replace(bare, PUNCTUATION, ""), DIGITS, ""))
 
 
+def without_accents(c: Column) -> Column:
+    """Every letter as its base, without marks; texts of ASCII alone stay as they are."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, ACCENTED, FOLDED), r"\p{Mn}+", "")).otherwise(c)
+
+
 def folded(c: Column) -> Column:
-    """Lower case with Latin-1 accents removed: the key of exact ("precise") search."""
-    return F.lower(F.translate(c, ACCENTED, FOLDED))
+    """Lower case with all letters folded to ASCII where they have a base: the key of exact ("precise") search."""
+    plain = F.translate(without_accents(c), STROKED, PLAIN)
+    for letter, two in LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(two))
+    return F.lower(plain)
 
 
 def client_searchable(c: Column) -> Column:
     """Like ``searchable``, but accents fold and only the first hyphen and curly apostrophe are replaced."""
-    bare = F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), ACCENTED, FOLDED)), BRACKETED, "")
+    bare = F.regexp_replace(F.lower(without_accents(F.coalesce(c, F.lit("")))), BRACKETED, "")
     first = F.regexp_replace(F.regexp_replace(bare, r"^([^-]*)-", "$1 "), r"^([^’]*)’", "$1'")
     return collapse_spaces(F.regexp_replace(F.regexp_replace(first, PUNCTUATION, ""), DIGITS, ""))
 
@@ -72,12 +85,19 @@ def without_brace_number(c: Column) -> Column:
     return F.regexp_replace(c, r"^(.*?)\s?\{[^{}]+\}", "$1")
 
 
-def without_tag(c: Column, tag: str, rounds: int = 4) -> Column:
-    """c without a tag's occurrences inside brackets, then without the brackets' leftovers."""
-    quoted = re.escape(tag)
-    for _ in range(rounds):
-        c = F.regexp_replace(c, rf"(\([^()]*){quoted},? *([^()]*\))", "$1$2")
-        c = F.regexp_replace(c, rf"(\[[^\[\]]*){quoted},? *([^\[\]]*\])", "$1$2")
+def without_tag(c: Column, tag: str | Column) -> Column:
+    """c without a tag's occurrences inside brackets, however many, then without the brackets' leftovers."""
+    tag = F.lit(tag) if isinstance(tag, str) else tag
+    quoted = F.concat(F.lit(r"\Q"), F.replace(tag, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    # Each round takes one occurrence a bracket, so as many as the text holds of them leave none.
+    times = F.greatest(F.regexp_count(c, quoted), F.lit(1))
+
+    def once(text: Column, _: Column) -> Column:
+        for left, inner, right in ((r"(\(", "[^()]*", r"\))"), (r"(\[", r"[^\[\]]*", r"\])")):
+            text = F.regexp_replace(text, F.concat(F.lit(f"{left}{inner})"), quoted, F.lit(f",? *({inner}{right}")), F.lit("$1$2"))
+        return text
+
+    c = F.when(F.length(tag) > 0, F.aggregate(F.sequence(F.lit(1), times), c, once)).otherwise(c)
     for left, right in ((r"\(\s*\)", ""), (r"\[\s*\]", ""), (r"\[, ", "["), (r", ?\]", "]"), (r"\(, ", "("), (r", ?\)", ")")):
         c = F.regexp_replace(c, left, right)
     return collapse_spaces(c)
@@ -229,19 +249,34 @@ def residual_text(c: Column) -> Column:
 # --- decklists ----------------------------------------------------------------------------------
 
 
+# The token of an image in a line of text, and the mark of one at a face's end.
+IMAGE_TOKEN = r"\[mpc:([A-Za-z0-9_-]+)\]"
+IMAGE_MARK = r"@([A-Za-z0-9_-]+)\s*$"
+
+
 def deck_line(c: Column) -> Column:
-    """(quantity, kind, front, back, set_code, number) of ``2x t:front // back (SET) 12``; quantity 1 by default."""
+    """(quantity, kind, front, front_id, back, back_id, set_code, number) of ``2x t:front@id // back@id (SET) 12``.
+
+    Quantity is 1 by default.  A face's image is a token in brackets anywhere in it or, without one, what
+    follows an @ at its end.
+    """
     line = collapse_spaces(c)
     rest = F.regexp_replace(line, r"^\d+\s*[xX]?\s+", "")
     kind = F.lower(F.nullif(F.regexp_extract(rest, r"^([tTbB]):", 1), F.lit("")))
     body = F.regexp_replace(rest, r"^[tTbB]:", "")
     printing = r"\s*\(([A-Za-z0-9]{2,6})\)(?:\s+(\S+))?\s*$"
     name = F.regexp_replace(body, printing, "")
+
+    def face(part: Column, label: str) -> list[Column]:
+        bare = F.trim(F.regexp_replace(part, IMAGE_TOKEN, ""))
+        token, mark = (F.nullif(F.regexp_extract(x, p, 1), F.lit("")) for x, p in ((part, IMAGE_TOKEN), (bare, IMAGE_MARK)))
+        return [F.nullif(F.trim(F.regexp_replace(bare, IMAGE_MARK, "")), F.lit("")).alias(label), F.coalesce(token, mark).alias(f"{label}_id")]
+
     return F.struct(
         F.coalesce(F.nullif(F.regexp_extract(line, r"^(\d+)\s*[xX]?\s+\S", 1), F.lit("")).cast("int"), F.lit(1)).alias("quantity"),
         F.when(kind == "t", "TOKEN").when(kind == "b", "CARDBACK").otherwise("CARD").alias("kind"),
-        F.trim(F.regexp_extract(name, r"^(.*?)(?:\s*(?://|\|)\s*.*)?$", 1)).alias("front"),
-        F.nullif(F.trim(F.regexp_extract(name, r"(?://|\|)\s*(.*)$", 1)), F.lit("")).alias("back"),
+        *face(F.regexp_extract(name, r"^(.*?)(?:\s*(?://|\|)\s*.*)?$", 1), "front"),
+        *face(F.regexp_extract(name, r"(?://|\|)\s*(.*)$", 1), "back"),
         F.upper(F.nullif(F.regexp_extract(body, printing, 1), F.lit(""))).alias("set_code"),
         F.nullif(F.regexp_extract(body, printing, 2), F.lit("")).alias("number"),
     )

@@ -15,16 +15,18 @@ def exact_clusters(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(key).alias("representative"), F.count("*").alias("n")).where("n > 1")
 
 
-def ancestors(rows: DataFrame, key: str, parent: str, most: int = 64) -> DataFrame:
+def ancestors(rows: DataFrame, key: str, parent: str) -> DataFrame:
     """(key, ancestor) for every node and all nodes above it, itself included, by doubling parent links.
 
-    A chain of n links takes log2(n) joins, each cut from its lineage by a checkpoint.  A chain ends
-    after ``most`` links, so cycles end too.
+    A chain of n links, whatever its length, takes log2(n) joins, each cut from its lineage by a
+    written table.  A link to itself is none; longer cycles raise an error.
     """
     jump = checkpointed(rows.select(F.col(key).alias("n"), F.col(parent).alias("up")).where("up is not null and up <> n"))
     closure = rows.select(F.col(key).alias("n"), F.col(key).alias("a"))
-    reach = 1
-    while reach < most and not jump.isEmpty():
+    reach, nodes = 1, rows.count()
+    while not jump.isEmpty():
+        if reach > nodes:
+            raise ValueError(f"{parent} links form a cycle")
         step = jump.select(F.col("n").alias("a"), F.col("up"))
         closure = checkpointed(closure.unionByName(closure.join(step, "a").select("n", F.col("up").alias("a"))).distinct())
         jump = checkpointed(jump.join(jump.select(F.col("n").alias("up"), F.col("up").alias("higher")), "up").select("n", F.col("higher").alias("up")))
@@ -42,18 +44,19 @@ def shared_value_edges(rows: DataFrame, key: str, values: list[Column]) -> DataF
     return reduce(DataFrame.unionByName, [star(i, c) for i, c in enumerate(values)]).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str, checkpoint=None, most_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, key: str, checkpoint=None) -> DataFrame:
     """(key, component): the smallest key that edges (a, b) reach, for every node.
 
     Each round takes the least label among neighbours and then jumps to the label's own label, so
-    rounds grow with the logarithm of a component's diameter.  Labels are checkpointed each round.
+    rounds grow with the logarithm of a component's diameter; they end when no label falls any more.
+    Labels are written and read again each round.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     keep = checkpoint or checkpointed
     both = keep(both)
     labels = keep(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")))
     before = None
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("n").alias("b"), "l"), "b").groupBy(F.col("a").alias("n")).agg(F.min("l").alias("m"))
         new = labels.join(near, "n", "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
         jumped = new.join(new.select(F.col("n").alias("l"), F.col("l").alias("ll")), "l", "left").select("n", F.least("l", F.coalesce("ll", "l")).alias("l"))

@@ -45,30 +45,38 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(h: Column, n: int) -> Column:
-    """(band, value) of n parts of 64 bits."""
+def bands(h: Column, distance: int) -> Column:
+    """(pair of bands, their bits): of distance + 2 bands, values within the distance agree on two at least."""
+    n = distance + 2
     width = -(-64 // n)
-    mask = (1 << width) - 1 if width < 64 else -1
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit(mask)).alias("value")) for i in range(n)])
+    mask = (1 << width) - 1
+    part = [F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit(mask)) if i * width < 64 else F.lit(0).cast("long") for i in range(n)]
+    return F.array(*[F.struct(F.lit(i * n + j).alias("bands"), F.xxhash64(part[i], part[j]).alias("value")) for i in range(n) for j in range(i + 1, n)])
 
 
 def near_values(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance) of distinct hash values within a distance: with d + 1 bands, near values agree on one of them at least.
+    """(a, b, distance) of distinct hash values within a distance: they agree on two of distance + 2 bands.
 
-    Values, not rows, are joined, so copies of one value cost nothing.
+    Values, not rows, are joined, so copies of one value cost nothing; a key of two bands has more bits
+    than one of distance + 1 bands, so few values that are not near meet.
     """
-    a = left.where("h is not null").select(F.col("h").alias("a")).distinct().select("a", F.explode(bands(F.col("a"), distance + 1)).alias("k"))
-    b = right.where("h is not null").select(F.col("h").alias("b")).distinct().select("b", F.explode(bands(F.col("b"), distance + 1)).alias("k"))
+    a = left.where("h is not null").select(F.col("h").alias("a")).distinct().select("a", F.explode(bands(F.col("a"), distance)).alias("k"))
+    b = right.where("h is not null").select(F.col("h").alias("b")).distinct().select("b", F.explode(bands(F.col("b"), distance)).alias("k"))
     d = hamming(F.col("a"), F.col("b"))
     return a.join(b, "k").where(d <= distance).select("a", "b", d.alias("distance")).distinct()
 
 
-def near_pairs(rows: DataFrame, key: str, h: str, distance: int) -> DataFrame:
-    """(a, b, distance) of keys a < b whose hashes are within a distance.  Groups of equal values give a pair each: use ``near_values`` on data with large ones."""
-    v = rows.select(F.col(h).alias("h"))
-    values = near_values(v, v, distance)
-    left, right = rows.select(F.col(key).alias("x"), F.col(h).alias("a")), rows.select(F.col(key).alias("y"), F.col(h).alias("b"))
-    return values.join(left, "a").join(right, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), "distance")
+def near_groups(rows: DataFrame, key: str, h: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (a, b, distance) of representatives a < b of values within a distance, and (key, representative).
+
+    The smallest key stands for all rows of its value, so equal values cost a row each and no pairs.
+    """
+    known = rows.where(F.col(h).isNotNull()).select(key, F.col(h).alias("h"))
+    least = known.groupBy("h").agg(F.min(key).alias("r"))
+    values = near_values(known.select("h"), known.select("h"), distance).where("a < b")
+    left, right = least.toDF("a", "x"), least.toDF("b", "y")
+    pairs = values.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return pairs, known.join(least, "h").select(key, F.col("r").alias("representative"))
 
 
 def clear_winner(pairs: DataFrame, row: str, candidate: str, distance: str, threshold: int, margin: int) -> DataFrame:
@@ -80,16 +88,29 @@ def clear_winner(pairs: DataFrame, row: str, candidate: str, distance: str, thre
     return top.select(row, F.when(reason == "", F.col("c")).alias("winner"), "best", reason.alias("reason"))
 
 
-def identity_links(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """(key, member) one hop over equal non-empty values; itself included.
+def _filled(c: str) -> Column:
+    return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+
+
+def identity_groups(rows: DataFrame, key: str, one: str, two: str) -> DataFrame:
+    """(key, n, least): the rows that share either non-empty value with a row, itself included, by counts of values: no pairs.
 
-    Gives a row for each pair, as the result is the groups' members; for group results use ``group_key``.
+    Rows that share both are counted once: of one value, plus of the other, less of both together.
     """
-    parts = []
-    for v in values:
-        side = rows.where(F.col(v).isNotNull() & (F.col(v).cast("string") != "")).select(key, v)
-        parts.append(side.join(side.withColumnRenamed(key, "member"), v).select(key, "member"))
-    return reduce(DataFrame.unionByName, [*parts, rows.select(key, F.col(key).alias("member"))]).distinct()
+    count, least = F.count("*"), F.min(key)
+    of_one = rows.where(_filled(one)).groupBy(one).agg(count.alias("n1"), least.alias("l1"))
+    of_two = rows.where(_filled(two)).groupBy(two).agg(count.alias("n2"), least.alias("l2"))
+    of_both = rows.where(_filled(one) & _filled(two)).groupBy(one, two).agg(count.alias("n12"))
+    known = rows.select(key, one, two).join(of_one, one, "left").join(of_two, two, "left").join(of_both, [one, two], "left")
+    n = F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0)) - F.coalesce("n12", F.lit(0))
+    return known.select(key, F.greatest(n, F.lit(1)).alias("n"), F.least(key, "l1", "l2").alias("least"))
+
+
+def widened(rows: DataFrame, key: str, values: list[str], chosen: DataFrame) -> DataFrame:
+    """The chosen keys and all keys that share a non-empty value with one of them (one hop)."""
+    mine = rows.join(chosen.select(key), key, "left_semi")
+    parts = [rows.where(_filled(v)).join(mine.where(_filled(v)).select(v).distinct(), v, "left_semi").select(key) for v in values]
+    return reduce(DataFrame.unionByName, [mine.select(key), *parts]).distinct()
 
 
 def group_key(rows: DataFrame, key: str, value: str) -> DataFrame:

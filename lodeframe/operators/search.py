@@ -169,7 +169,41 @@ def newest(rows: DataFrame, group: list[str], order: list[Column], n: int) -> Da
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rn") <= n)
 
 
-def split_bins(rows: DataFrame, group: list[str], order: list[Column], size: int) -> DataFrame:
-    """Bins of at most ``size`` rows within each group, in order."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("bin", F.floor((rn - 1) / size)).withColumn("slot", (rn - 1) % size)
+#: Values of an integer order key that one window covers.
+STRETCH = 1 << 16
+
+
+def running_sum(rows: DataFrame, group: list[str], order: str, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
+    """rows with the sum of ``value`` over their group up to and with themselves, in the order of a unique integer key.
+
+    A group is summed by stretches of the key and within them, so one that holds most of the table is no
+    single task's: only its stretches' sums, a row each, meet.
+    """
+    cut = rows.withColumn("stretch_", F.floor(F.col(order) / stretch)).withColumn("value_", value)
+    within = F.sum("value_").over(Window.partitionBy(*group, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = cut.groupBy(*group, "stretch_").agg(F.sum("value_").alias("sum_"))
+    before = F.sum("sum_").over(Window.partitionBy(*group).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(g).alias(f"{g}_") for g in group], F.col("stretch_").alias("s_"), F.coalesce(before, F.lit(0)).alias("before_"))
+    same = F.col("stretch_") == F.col("s_")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    return cut.join(sums, same).withColumn(name, (within + F.col("before_"))).select(*rows.columns, name)
+
+
+def split_bins(rows: DataFrame, group: list[str], order: str, size: int) -> DataFrame:
+    """Bins of at most ``size`` rows within each group, in the order of a unique integer key."""
+    numbered = running_sum(rows, group, order, F.lit(1).cast("long"), "rn_")
+    return numbered.withColumn("bin", F.floor((F.col("rn_") - 1) / size)).withColumn("slot", (F.col("rn_") - 1) % size).drop("rn_")
+
+
+def rolling_sum(rows: DataFrame, group: list[str], order: str, value: Column, n: int, name: str) -> DataFrame:
+    """rows with the sum of ``value`` over the last n rows of their group, themselves included.
+
+    It is the running sum less that of n rows before, found by its number.
+    """
+    numbered = running_sum(running_sum(rows, group, order, F.lit(1).cast("long"), "rn_"), group, order, value, "sum_")
+    earlier = numbered.select(*[F.col(g).alias(f"{g}_") for g in group], (F.col("rn_") + n).alias("at_"), F.col("sum_").alias("less_"))
+    same = F.col("rn_") == F.col("at_")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
+    return numbered.join(earlier, same, "left").withColumn(name, F.col("sum_") - F.coalesce("less_", F.lit(0))).select(*rows.columns, name)

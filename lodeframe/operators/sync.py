@@ -65,6 +65,18 @@ def backfilled(rows: DataFrame, values: DataFrame, key: str, fields: list[str])
     return out.select(*rows.columns)
 
 
+def warmed(cached: DataFrame, live: DataFrame, now: DataFrame, key: str, value: str, hours: int, forced: Column | None = None) -> DataFrame:
+    """(key, value, generated_at): cached aggregates, or live ones stamped with now where the cache has none, is too old, or a refresh is forced.
+
+    cached: (key, value, generated_at); live: (key, value); now: one row.  Keys that live has no more leave the cache.
+    """
+    old = cached.select(key, F.col(value).alias("old_"), "generated_at")
+    both = live.join(old, key, "left").crossJoin(F.broadcast(now.select(F.col(now.columns[0]).alias("now_"))))  # one row
+    good = F.coalesce(F.col("generated_at") > F.col("now_") - F.make_dt_interval(hours=F.lit(hours)), F.lit(False))
+    good = good & ~F.coalesce(forced, F.lit(False)) if forced is not None else good
+    return both.select(key, F.when(good, F.col("old_")).otherwise(F.col(value)).alias(value), F.when(good, F.col("generated_at")).otherwise(F.col("now_")).alias("generated_at"))
+
+
 def last_vote(votes: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Last write wins: one row for each key."""
     rest = [c for c in votes.columns if c not in key]

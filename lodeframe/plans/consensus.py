@@ -177,11 +177,13 @@ def _(i):
     return C.consensus(weighed(i), rules=RULES).agg(F.count("*").alias("n"), F.count("resolved").alias("n_resolved"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-@query("drv_8_fidelity_gate", f"with {WEIGHED}, run as (select distinct entity from weighed where run_id = 'run4' and not human), machine as (select * from weighed where not human and entity in (select entity from run)), {consensus_sql('machine')} select entity, winner from final where resolved is not null")
+@query("drv_8_fidelity_gate", f"with {WEIGHED}, run as (select distinct entity from weighed where run_id = 'run4' and not human), machine as (select * from weighed where not human and entity in (select entity from run)), {consensus_sql('machine')} select entity, resolved is null as holds, winner from final")
 def _(i):
+    """For each entity that a run touched: machine votes alone must not resolve it."""
     v = weighed(i)
     touched = v.where((F.col("run_id") == "run4") & ~F.col("human")).select("entity").distinct()
-    return C.consensus(v.where(~F.col("human")).join(touched, "entity", "left_semi"), rules=RULES).where("resolved is not null").select("entity", "winner")
+    machine = C.consensus(v.where(~F.col("human")).join(touched, "entity", "left_semi"), rules=RULES)
+    return machine.select("entity", F.col("resolved").isNull().alias("holds"), "winner")
 
 
 @query("dml_2_retract_run", f"with {WEIGHED}, kept as (select * from weighed where run_id <> 'run4' and entity in (select entity from weighed where run_id = 'run4')), {consensus_sql('kept')} {FINAL_SQL}")

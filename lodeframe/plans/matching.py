@@ -77,7 +77,7 @@ def _(i):
 def _(i):
     pairs = i.printings.select(F.col("name").alias("front"), F.reverse("name").alias("back")).distinct()
     rows = i.cards.select("pk", F.reverse("base_name").alias("back"))
-    return rows.join(F.broadcast(pairs), "back").select("pk", F.concat("front", F.lit(" // "), "back").alias("name"))
+    return rows.join(pairs, "back").select("pk", F.concat("front", F.lit(" // "), "back").alias("name"))
 
 
 @query("join_9_classified_matches", f"with e as ({CANDIDATES}), h as (select e.pk, count(*) as n, min(p.pk) as c from e join printings p on p.name = e.name and cast(cast(p.number as bigint) as string) = e.number and (e.set_code = '' or e.set_code = p.set_code) where e.number <> '' group by 1) select e.pk, case when n = 1 then c end as match, case when e.number = '' then 'no-text' when n is null then 'no-match' when n > 1 then 'ambiguous' else '' end as reason from e left join h on h.pk = e.pk")
@@ -85,10 +85,13 @@ def _(i):
     return M.classify_matches(readings(i), i.printings.select("pk", "name", "set_code", "number"), "pk", "name")
 
 
-@query("join_10_hamming_pairs", f"with h as (select pk, {NEAR} as h from cards where phash is not null) select a.pk as a, b.pk as b, cast(bit_count(xor(a.h, b.h)) as int) as distance from h a join h b on a.pk < b.pk and bit_count(xor(a.h, b.h)) <= 2")
+@query("join_10_hamming_pairs", f"with h as (select pk, {NEAR} as h from cards where phash is not null) , v as (select h, min(pk) as pk, count(*) as n from h group by 1) select least(a.pk, b.pk) as a, greatest(a.pk, b.pk) as b, cast(bit_count(xor(a.h, b.h)) as int) as distance, case when a.pk < b.pk then a.n else b.n end as n_a, case when a.pk < b.pk then b.n else a.n end as n_b from v a join v b on a.h < b.h and bit_count(xor(a.h, b.h)) <= 2 union all select pk, pk, 0, n, n from v where n > 1")
 def _(i):
-    rows = i.cards.where("phash is not null").select("pk", near_hash().alias("h"))
-    return M.near_pairs(rows, "pk", "h", 2)
+    """Pairs of groups of equal hashes by their smallest keys, with their sizes; a group of several is near itself."""
+    pairs, members = M.near_groups(i.cards.where("phash is not null").select("pk", near_hash().alias("h")), "pk", "h", 2)
+    size = members.groupBy("representative").agg(F.count("*").alias("n"))
+    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").select("a", "b", "distance", "n_a", "n_b")
+    return sized.unionByName(size.where("n > 1").select(F.col("representative").alias("a"), F.col("representative").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b")))
 
 
 @query("join_11_probe_counts", f"with h as (select pk, {NEAR} as h from cards where phash is not null), p as (select distinct image_hash as h from printings) select count(*) filter (where d = 0) as exact, count(*) filter (where d <= 2) as near from (select pk, min(bit_count(xor(h.h, p.h))) as d from h join p on bit_count(xor(h.h, p.h)) <= 2 group by 1)")
@@ -142,8 +145,7 @@ IDENTITY = "select distinct a.pk, b.pk as member from cards a join cards b on a.
 
 @query("join_15_identity_groups", IDENTITY.replace("select distinct a.pk, b.pk as member", "select a.pk, count(distinct b.pk) as n, min(b.pk) as least") + " group by 1")
 def _(i):
-    links = M.identity_links(i.cards.select("pk", "md5", "phash"), "pk", ["md5", "phash"])
-    return links.groupBy("pk").agg(F.count("*").alias("n"), F.min("member").alias("least"))
+    return M.identity_groups(i.cards.select("pk", "md5", "phash"), "pk", "md5", "phash")
 
 
 @query("join_16_group_broadcast", "with g as (select case when md5 is null or md5 = '' then cast(pk as string) else md5 end as k, max(canonical_pk) as v from cards group by 1) select pk, v as canonical_pk from cards join g on k = case when md5 is null or md5 = '' then cast(pk as string) else md5 end")
@@ -187,7 +189,7 @@ def survivors(i: Inputs) -> DataFrame:
     ids = lambda a: F.transform(a, lambda x: x["pk"])
     by_border = F.when(F.col("border") != "", ids(F.filter("ps", lambda x: x["border"] == F.col("border"))))
     by_artist = F.when(F.col("artist") != "", ids(F.filter("ps", lambda x: x["artist"] == F.col("artist"))))
-    return e.join(F.broadcast(p), "name").select("pk", M.surviving([by_border, by_artist]).alias("s"), (by_border.isNotNull() & by_artist.isNotNull()).alias("two"))
+    return e.join(p, "name").select("pk", M.surviving([by_border, by_artist]).alias("s"), (by_border.isNotNull() & by_artist.isNotNull()).alias("two"))
 
 
 @query("join_20_survivors", f"{SURVIVORS} select pk, case when not any_reading then null else n end as n, case when any_reading and n = 1 then c end as match from p")
@@ -222,7 +224,7 @@ def _(i):
 
 @query("set_5_widened_keys", f"with l as ({IDENTITY}) select distinct member as pk from l where pk in (select entity from votes where agent = 'user8')")
 def _(i):
-    return M.identity_links(i.cards.select("pk", "md5", "phash"), "pk", ["md5", "phash"]).join(i.votes.where("agent = 'user8'").select(F.col("entity").alias("pk")), "pk", "left_semi").select(F.col("member").alias("pk")).distinct()
+    return M.widened(i.cards.select("pk", "md5", "phash"), "pk", ["md5", "phash"], i.votes.where("agent = 'user8'").select(F.col("entity").alias("pk")))
 
 
 @query("set_6_voter_exclusion", "select pk from cards where md5 is null or md5 not in (select md5 from cards where md5 is not null and md5 <> '' and pk in (select entity from votes where agent = 'user8'))")
@@ -288,11 +290,11 @@ def _(i):
     return i.embeddings.select("vec_id", M.hamming(F.col("vec_id") * 37 - 5000, 7 - F.col("vec_id")).alias("d"))
 
 
-@query("img_1_sign_hash", "select vec_id, cast(list_sum(list_transform(embedding[1:62], lambda x, i: case when x > 0 then (cast(1 as bigint) << cast(i - 1 as bigint)) else 0 end)) as bigint) as h from embeddings")
+@query("img_1_sign_hash", "select vec_id, cast(list_sum(list_transform(embedding[1:63], lambda x, i: case when x > 0 then (cast(1 as bigint) << cast(i - 1 as bigint)) else 0 end)) as bigint) + case when embedding[64] > 0 then -9223372036854775808 else 0 end as h from embeddings")
 def _(i):
-    bits = F.transform(F.slice("embedding", 1, 62), lambda x, k: F.when(x > 0, F.expr("1L")).otherwise(F.lit(0).cast("long")))
-    placed = F.zip_with(bits, F.sequence(F.lit(0), F.size(bits) - 1), lambda b, k: b * F.pow(F.lit(2.0), k).cast("long"))
-    return i.embeddings.select("vec_id", F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("h"))
+    one = F.lit(1).cast("long")
+    bits = F.transform(F.slice("embedding", 1, 64), lambda x, k: F.when(x > 0, F.call_function("shiftleft", one, k)).otherwise(F.lit(0).cast("long")))
+    return i.embeddings.select("vec_id", F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("h"))
 
 
 @query("img_5_bleed_class", "select pk, case when inset_a / (inset_b + 10) > 1.5 then 'bleed' when inset_a / (inset_b + 10) > 0.8 then 'trimmed' else 'unknown' end as class from evidence")

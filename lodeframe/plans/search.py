@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import indel_similarity, near_substring_udf, sequence_similarity
+from ..operators import naming as N
 from ..operators import search as S
 from .registry import Inputs, query
 
@@ -154,7 +155,13 @@ def _(i):
 RAW = "concat(case pk % 3 when 0 then 'a:' when 1 then '-border:' else 'power:' end, base_name, ' tag:\"', name, '\" x', cast(pk as string))"
 
 
-@query("str_1_parsed_terms", None)
+@query(
+    "str_1_parsed_terms",
+    f"""with r as (select pk, {RAW} as raw from cards), w as (select pk, raw, unnest(regexp_extract_all(raw, '(?:^|\\s)(-?[A-Za-z]+:(?:"[^"]*"|\\S+))', 1)) as w, generate_subscripts(regexp_extract_all(raw, '(?:^|\\s)(-?[A-Za-z]+:(?:"[^"]*"|\\S+))', 1), 1) as n from r),
+    t as (select pk, n, starts_with(w, '-') as negated, case lower(regexp_extract(w, '^-?([A-Za-z]+):', 1)) when 'a' then 'artist' when 'artist' then 'artist' when 'border' then 'border' when 'frame' then 'frame' when 'tag' then 'tag' when 'set' then 'set' when 'lang' then 'lang' end as operator, regexp_replace(regexp_replace(w, '^-?[A-Za-z]+:', ''), '^"([^"]*)"$', '\\1') as value from w)
+    select r.pk, concat('[', coalesce(array_to_string(list(concat('{{"negated":', case when negated then 'true' else 'false' end, ',"operator":"', operator, '","value":"', value, '"}}') order by n) filter (where operator is not null), ','), ''), ']') as terms,
+    any_value(trim(regexp_replace(regexp_replace(concat(' ', raw), '\\s-?[A-Za-z]+:("[^"]*"|\\S+)', ' ', 'g'), '\\s+', ' ', 'g'))) as text from r left join t on t.pk = r.pk group by r.pk""",
+)
 def _(i):
     raw = F.concat(F.when(F.col("pk") % 3 == 0, "a:").when(F.col("pk") % 3 == 1, "-border:").otherwise("power:"), "base_name", F.lit(' tag:"'), "name", F.lit('" x'), F.col("pk").cast("string"))
     c = i.cards.select("pk", raw.alias("raw"))
@@ -202,7 +209,33 @@ def _(i):
     from ..operators.clustering import ancestors
 
     up = ancestors(i.tags, "pk", "parent_pk").select(F.col("pk").alias("tag_pk"), F.concat(F.lit("tag"), F.col("ancestor").cast("string")).alias("tag"))
-    return i.cards.select("pk", (F.col("pk") % 100).alias("tag_pk")).join(F.broadcast(up), "tag_pk").groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("implied"))
+    return i.cards.select("pk", (F.col("pk") % 100).alias("tag_pk")).join(up, "tag_pk").groupBy("pk").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("implied"))
+
+
+#: Names that hold a printing, a number in braces, an artist, a set alone or tags, each in some rows.
+NAMED = "concat(base_name, case pk % 5 when 0 then concat(' [S', cast(pk % 9 as string), ' ', lpad(cast(pk % 50 + 1 as string), 3, '0'), ']') when 1 then concat(' {', lpad(cast(pk % 50 + 1 as string), 3, '0'), '} [S', cast(pk % 9 as string), ', Tag', cast(pk % 61 as string), ']') when 2 then concat(' (', (case pk % 3 when 0 then 'PROMO' when 1 then 'SMALL' else 'PROMO] [SMALL' end), ') [s', cast(pk % 12 as string), ']') when 3 then concat(' [tag', cast(pk % 47 as string), ', alias', cast(pk % 31 as string), ', no such tag]') else '' end)"
+
+
+@query(
+    "str_9_extracted_names",
+    f"""with recursive n as (select pk, {NAMED} as name from cards), c as (select pk, nullif(regexp_extract(name, '\\{{([^{{}}]+)\\}}', 1), '') as number, regexp_extract_all(name, '[\\(\\[]([^()\\[\\]]+)[\\)\\]]', 1) as parts from n),
+    r as (select distinct pk, number, trim(x) as raw from (select pk, number, unnest(string_split(array_to_string(parts, ','), ',')) as x from c) where trim(x) <> ''),
+    k as (select concat(upper(set_code), ' ', number) as label, max(pk) as card_pk from printings group by 1),
+    cm as (select r.pk, max(card_pk) as card_pk from r join k on k.label = case when r.number is null then r.raw else concat(r.raw, ' ', r.number) end group by 1 having count(distinct label) = 1),
+    ar as (select artist, max(pk) as artist_pk from printings group by 1),
+    am as (select r.pk, max(artist_pk) as artist_pk from r join ar on ar.artist = r.raw where r.pk not in (select pk from cm) group by 1 having count(distinct artist) = 1),
+    hm as (select r.pk, min(lower(raw)) as hint from r where r.pk not in (select pk from cm) and lower(raw) in (select set_code from printings) group by 1),
+    kt as (select low, min_by(pk, kind * 1000000000000 + pk) as tag_pk from (select pk, lower(name) as low, 0 as kind from tags union all select pk, concat('alias', cast(pk * 3 as string)), 1 from tags) group by 1),
+    up as (select pk, pk as ancestor from tags union all select up.pk, t.parent_pk from up join tags t on t.pk = up.ancestor where t.parent_pk is not null),
+    tg as (select r.pk, array_to_string(list_sort(list(distinct t.name)), ',') as tags from r join kt on kt.low = lower(r.raw) join up on up.pk = kt.tag_pk join tags t on t.pk = up.ancestor group by 1)
+    select n.pk, card_pk, artist_pk, hint, coalesce(tags, '') as tags from n left join cm using (pk) left join am using (pk) left join hm using (pk) left join tg using (pk)""",
+)
+def _(i):
+    names = i.cards.selectExpr("pk", f"{NAMED} as name")
+    artists = i.printings.groupBy(F.col("artist").alias("name")).agg(F.max("pk").alias("pk"))
+    tags = i.tags.select("pk", "name", F.array(F.concat(F.lit("alias"), (F.col("pk") * 3).cast("string"))).alias("aliases"), "parent_pk")
+    out = N.extracted(names, "pk", "name", i.printings.select("pk", "set_code", "number"), artists, i.printings.select(F.col("set_code").alias("code")), tags)
+    return out.select("pk", "card_pk", "artist_pk", "hint", F.array_join("tags", ",").alias("tags"))
 
 
 @query("str_10_unique_or_nothing", "select number, case when count(distinct set_code) = 1 then min(set_code) end as set_code from printings group by 1")
@@ -212,11 +245,13 @@ def _(i):
 
 @query("str_11_fuzzy_alias")
 def _(i):
-    """Best of a small list of aliases for every distinct name: 0.92 promotes, 0.6 suggests."""
-    aliases = F.array(*[F.lit(x) for x in ("red rings", "small widget", "old rods", "bleu bolt")])
-    names = i.cards.select("base_name").distinct().withColumn("alias", F.explode(aliases)).withColumn("ratio", indel_similarity("base_name", "alias"))
-    best = names.groupBy("base_name").agg(F.max(F.struct("ratio", "alias")).alias("b")).select("base_name", "b.ratio", "b.alias")
-    return best.where("ratio >= 0.6").withColumn("action", F.when(F.col("ratio") >= 0.92, "promote").otherwise("suggest"))
+    """Near spellings of tags in names, on top of suggestions of which some were rejected or are pending."""
+    tags = i.tags.select("pk", "name", F.array(F.concat(F.lit("label "), "name")).alias("aliases"))
+    spelt = F.when(F.col("pk") % 3 == 0, F.concat(F.lit("tagg"), (F.col("pk") % 40).cast("string"))).when(F.col("pk") % 3 == 1, F.lit("labl tag")).otherwise(F.col("base_name"))
+    raws = i.cards.select(spelt.alias("raw"))
+    kinds = F.when(F.col("pk") % 2 == 0, "REJECTED").otherwise("PENDING")
+    stored = i.tags.where("pk < 10").select(F.concat(F.lit("tagg"), F.col("pk").cast("string")).alias("raw"), F.col("pk").alias("tag_pk"), F.lit(0.7).alias("ratio"), F.lit(2).cast("long").alias("occurrences"), kinds.alias("status"))
+    return N.suggested(raws, tags, stored)
 
 
 @query("str_12_similarity_ranking")
@@ -248,14 +283,12 @@ def _(i):
 
 @query("str_18_window_recovery")
 def _(i):
-    """1- to 2-word windows of a line against a lexicon; the best ratio of 0.85 or more wins if it is alone within 0.15."""
-    words = F.split(F.concat(F.lower("artist"), F.lit(" "), "name"), " ")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))))
-    lexicon = F.array(*[F.lit(x) for x in ("promo", "standard", "large", "small ring")])
-    lines = i.printings.select("artist", "name").distinct().withColumn("gram", F.explode(grams)).withColumn("entry", F.explode(lexicon))
-    best = lines.withColumn("ratio", sequence_similarity("gram", "entry")).groupBy("artist", "name", "entry").agg(F.max("ratio").alias("ratio")).where("ratio >= 0.85")
-    top = best.groupBy("artist", "name").agg(F.max(F.struct("ratio", "entry")).alias("b"), F.count("*").alias("n"), F.max("ratio").alias("hi"), F.min("ratio").alias("lo"))
-    return top.where((F.col("n") == 1) | (F.col("hi") - F.col("lo") > 0.15)).select("artist", "name", F.col("b.entry").alias("entry"))
+    """Names of the catalogue read from lines of small print: whole, misspelt and cut off, narrowed to a row's own where it has some."""
+    pk = F.col("pk")
+    own = F.when(pk % 3 == 0, F.col("base_name")).when(pk % 3 == 1, F.regexp_replace("base_name", "i", "l")).otherwise(F.expr("substring(base_name, 1, length(base_name) - 3)"))
+    lines = i.cards.select("pk", F.concat(F.lit("012/250 C S3 EN "), own).alias("line"))
+    allowed = i.cards.where("pk % 4 = 0").select("pk", F.col("base_name").alias("name"))
+    return N.recovered(lines, "pk", "line", i.printings.select("name").distinct(), "name", allowed)
 
 
 @query("str_19_margin_recogniser")
@@ -264,7 +297,8 @@ def _(i):
     names = i.cards.select("base_name").distinct()
     lexicon = names.select(F.col("base_name").alias("entry"))
     read = names.withColumn("read", F.regexp_replace("base_name", "e", "c"))
-    pairs = read.join(lexicon, F.abs(F.length("read") - F.length("entry")) <= 2).withColumn("ratio", indel_similarity("read", "entry"))
+    near = read.withColumn("size", F.explode(F.sequence(F.length("read") - 2, F.length("read") + 2)))  # entries are found by their lengths
+    pairs = near.join(lexicon.withColumn("size", F.length("entry")), "size").withColumn("ratio", indel_similarity("read", "entry"))
     two = S.newest(pairs, ["base_name"], [F.desc("ratio"), F.col("entry")], 2).groupBy("base_name").agg(F.max("ratio").alias("hi"), F.min("ratio").alias("lo"), F.max_by("entry", "ratio").alias("entry"), F.count("*").alias("n"))
     return two.where("n = 1 or hi - lo >= 0.06").select("base_name", "entry")
 
@@ -296,11 +330,24 @@ def _(i):
     return i.votes.select("pk", T.calculator_family(F.col("agent")).alias("family"))
 
 
-@query("str_26_deck_lines", "select pk, cast(priority + 1 as int) as quantity, case pk % 3 when 0 then 'TOKEN' else 'CARD' end as kind, base_name as front, case when pk % 4 = 0 then 'back side' end as back, case when pk % 2 = 0 then 'ABC' end as set_code, case when pk % 2 = 0 then cast(pk as string) end as number from cards")
+DECK = "concat(cast(priority + 1 as string), 'x ', case when pk % 3 = 0 then 't:' else '' end, base_name, case pk % 5 when 0 then concat('@img', cast(pk as string)) when 1 then concat(' [mpc:tok', cast(pk as string), '] ') else '' end, case when pk % 4 = 0 then concat(' // back side', case when pk % 8 = 0 then '@b-1' else '' end) else '' end, case when pk % 2 = 0 then concat(' (abc) ', cast(pk as string)) else '' end)"
+
+
+@query(
+    "str_26_deck_lines",
+    f"""with l as (select pk, trim(regexp_replace({DECK}, '\\s+', ' ', 'g')) as line from cards), b as (select pk, regexp_replace(line, '^[0-9]+x ', '') as body, cast(regexp_extract(line, '^([0-9]+)x', 1) as int) as quantity from l),
+    p as (select *, regexp_replace(regexp_replace(body, '^t:', ''), ' \\(abc\\) [0-9]+$', '') as faces from b),
+    f as (select *, trim(string_split(faces, ' // ')[1]) as one, string_split(faces, ' // ')[2] as two from p),
+    d as (select lower(name) as k, min(concat('back of ', name)) as b from printings where layout = 'transform' group by 1),
+    o as (select *, trim(regexp_replace(regexp_replace(one, '\\[mpc:[^\\]]*\\]', ''), '@.*$', '')) as front from f)
+    select pk, quantity, case when starts_with(body, 't:') then 'TOKEN' else 'CARD' end as kind, front, coalesce(nullif(regexp_extract(one, '\\[mpc:([^\\]]*)\\]', 1), ''), nullif(regexp_extract(one, '@(.*)$', 1), '')) as front_id,
+    coalesce(regexp_replace(two, '@.*$', ''), d.b) as back, nullif(regexp_extract(two, '@(.*)$', 1), '') as back_id,
+    case when pk % 2 = 0 then 'ABC' end as set_code, nullif(regexp_extract(body, ' \\(abc\\) ([0-9]+)$', 1), '') as number from o left join d on d.k = lower(front)""",
+)
 def _(i):
-    pk = F.col("pk")
-    line = F.concat((F.col("priority") + 1).cast("string"), F.lit("x "), F.when(pk % 3 == 0, "t:").otherwise(""), "base_name", F.when(pk % 4 == 0, " // back side").otherwise(""), F.when(pk % 2 == 0, F.concat(F.lit(" (abc) "), pk.cast("string"))).otherwise(""))
-    return i.cards.select("pk", T.deck_line(line).alias("d")).select("pk", "d.*")
+    lines = i.cards.selectExpr("pk", f"{DECK} as line").select("pk", T.deck_line(F.col("line")).alias("d")).select("pk", "d.*")
+    pairs = i.printings.where("layout = 'transform'").select(F.col("name").alias("front"), F.concat(F.lit("back of "), "name").alias("back"))
+    return N.with_back_faces(lines, pairs)
 
 
 @query("str_27_client_searchable", "select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[\\(\\[].*?[\\)\\]]', '', 'g'), '-', ' '), '’', ''''), '[!-/:-@\\[-`{-~]', '', 'g'), '[0-9]', '', 'g'), '\\s+', ' ', 'g')) as k from documents")
@@ -355,10 +402,10 @@ def _(i):
     return S.ranked(i.cards.where("card_type = 'CARDBACK'").join(s, "source_pk").orderBy(*order).limit(200), *order).select("pk", "rank")
 
 
-@query("srt_5_nulls_last", "select pk, popularity, row_number() over (order by popularity desc nulls last, pk) as rank from printings where name = 'red ring a' qualify rank <= 50")
+@query("srt_5_nulls_last", "select name, pk, popularity, row_number() over (partition by name order by popularity desc nulls last, pk) as rank from printings qualify rank <= 50")
 def _(i):
-    order = [F.desc_nulls_last("popularity"), F.col("pk")]
-    return S.ranked(i.printings.where("name = 'red ring a'").orderBy(*order).limit(50), *order).select("pk", "popularity", "rank")
+    top = S.newest(i.printings, ["name"], [F.desc_nulls_last("popularity"), F.col("pk")], 50)
+    return top.select("name", "pk", "popularity", F.col("rn").cast("long").alias("rank"))
 
 
 @query("srt_6_hint_first", "select pk, row_number() over (partition by name order by case when set_code = 's3' then 0 else 1 end, popularity desc nulls last, pk) as rank from printings")
@@ -376,7 +423,7 @@ def _(i):
 def _(i):
     u = i.printings.groupBy(F.col("name").alias("base_name")).agg(F.count("*").alias("total"), F.count_if(F.col("pk") % 2 == 1).alias("uncovered"), F.min("popularity").alias("least"))
     order = [F.when(F.col("base_name").startswith("old"), 0).otherwise(1), F.when(F.col("uncovered") == F.col("total"), 0).otherwise(1), F.desc("uncovered"), F.asc_nulls_last("least"), F.col("total"), F.col("pk")]
-    return S.ranked(i.cards.join(F.broadcast(u), "base_name").orderBy(*order).limit(100), *order).select("pk", "rank")
+    return S.ranked(i.cards.join(u, "base_name").orderBy(*order).limit(100), *order).select("pk", "rank")
 
 
 @query("srt_9_best_in_window", "select pk, score from (select pk, dpi * (pk % 7) as score from cards where dpi is not null order by pk limit 50) order by score desc, pk limit 1")
@@ -404,9 +451,9 @@ def _(i):
     return S.keyed_sample(i.cards, "pk", 100, F.md5(F.concat(F.col("pk").cast("string"), F.lit("n100")).cast("binary"))).select("pk")
 
 
-@query("srt_13_sample_by_type", "with r as (select pk, card_type, row_number() over (partition by card_type order by md5(concat('s', cast(pk as string))), pk) as rn from cards where pk < 5000) select pk, card_type from r where rn <= case card_type when 'CARD' then 4 else 1 end")
+@query("srt_13_sample_by_type", "with r as (select pk, card_type, row_number() over (partition by card_type order by md5(concat('s', cast(pk as string))), pk) as rn from cards) select pk, card_type from r where rn <= case card_type when 'CARD' then 4 else 1 end")
 def _(i):
-    r = S.newest(i.cards.where("pk < 5000"), ["card_type"], [F.md5(F.concat(F.lit("s"), F.col("pk").cast("string")).cast("binary")), F.col("pk")], 4)
+    r = S.newest(i.cards, ["card_type"], [F.md5(F.concat(F.lit("s"), F.col("pk").cast("string")).cast("binary")), F.col("pk")], 4)
     return r.where((F.col("card_type") == "CARD") | (F.col("rn") == 1)).select("pk", "card_type")
 
 
@@ -435,7 +482,8 @@ def _(i):
 
 @query("srt_18_order_bins", "select pk, cast(floor((row_number() over (partition by card_type, language order by pk) - 1) / 612) as bigint) as bin, (row_number() over (partition by card_type, language order by pk) - 1) % 612 as slot from cards")
 def _(i):
-    return S.split_bins(i.cards, ["card_type", "language"], [F.col("pk")], 612).select("pk", "bin", "slot")
+    return S.split_bins(i.cards, ["card_type", "language"], "pk", 612).select("pk", "bin", "slot")
+
 
 
 @query("win_1_newest_valid", "select card_pk, pk, set_code from (select *, row_number() over (partition by card_pk order by updated_at desc, pk) as rn from evidence where set_code <> '' and not truncated) where rn = 1")
@@ -467,5 +515,5 @@ def _(i):
 
 @query("win_9_running_totals", "select source_pk, pk, cast(sum(size) over (partition by source_pk order by pk rows unbounded preceding) as bigint) as total, cast(floor(cast(sum(size) over (partition by source_pk order by pk rows unbounded preceding) - size as double) / 100000000) as bigint) as bin from cards")
 def _(i):
-    total = F.sum("size").over(Window.partitionBy("source_pk").orderBy("pk").rowsBetween(Window.unboundedPreceding, 0))
-    return i.cards.withColumn("total", total).select("source_pk", "pk", "total", F.floor((F.col("total") - F.col("size")) / 100000000).alias("bin"))
+    summed = S.running_sum(i.cards, ["source_pk"], "pk", F.col("size"), "total")
+    return summed.select("source_pk", "pk", "total", F.floor((F.col("total") - F.col("size")) / 100000000).alias("bin"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from ..operators.search import rolling_sum
 from .registry import query
 
 SUMS = "select source_pk as pk, count(*) as qty, cast(sum(dpi) as bigint) as total_dpi, cast(sum(size) as bigint) as total_size from cards group by 1"
@@ -253,7 +253,7 @@ def _(i):
     return i.events.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.floor(t / 3600).alias("h"), F.floor(t % 3600 / 60).alias("m"), (t % 60).alias("s"))
 
 
-@query("win_6_rolling_failures", "select pk, count(*) filter (where sentinel) over (partition by source order by ts, pk rows between 499 preceding and current row) as failures from votes")
+@query("win_6_rolling_failures", "select pk, count(*) filter (where sentinel) over (partition by source order by pk rows between 499 preceding and current row) as failures from votes")
 def _(i):
-    w = Window.partitionBy("source").orderBy("ts", "pk").rowsBetween(-499, 0)
-    return i.votes.select("pk", F.sum(F.col("sentinel").cast("long")).over(w).alias("failures"))
+    """The log's own number orders it."""
+    return rolling_sum(i.votes.select("pk", "source", "sentinel"), ["source"], "pk", F.col("sentinel").cast("long"), 500, "failures").select("pk", "failures")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import checkpointed, shared_folder
 from ..streaming import conveyor as V
 from .registry import Inputs, query
 
@@ -33,9 +33,19 @@ def _(i):
     return V.ledger(i.spark, out).groupBy("status").agg(F.sum("rows_in").alias("rows_in")).crossJoin(total)
 
 
-@query("stm_4_cursor_walk", "select pk, pk <= 1990 as wrapped from cards order by pk <= 1990, pk limit 250")
+@query("stm_4_cursor_walk", "with n as (select count(*) as n, min(pk) as least from cards), w as (select pk, row_number() over (order by pk) - 1 as place from cards) select n_claim as version, pk from (select unnest(range(1, 5)) as n_claim), n, w where (place - (n_claim - 1) * 600 % n + n) % n < 600")
 def _(i):
-    return V.cursor_walk(i.cards.select("pk"), "pk", 1990, 250)
+    """Four claims in turn of 600 rows each, wrapping at the table's end; a rival's claim on the second version loses."""
+    rows = i.cards.select("pk")
+    claims = i.spark.createDataFrame([], "version long, worker string, cursor long, wrapped boolean")
+    out = None
+    for turn in range(1, 5):
+        walked, more = V.claimed_walk(rows, "pk", claims, "ann", 600)
+        _, rival = V.claimed_walk(rows, "pk", claims, "bob", 10)
+        claims = checkpointed(V.winners(more.unionByName(rival)))
+        part = walked.select(F.lit(turn).cast("long").alias("version"), "pk")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("stm_5_lap_evidence", "select count(*) as n, count(*) filter (where status = 'UNRESOLVED') as n_found, count(*) filter (where status = 'UNRESOLVED') = 0 as drained from (select status from cards order by pk <= 100, pk limit 500)")

@@ -43,8 +43,9 @@ def _(i):
 
 @query("src_1_pruned_folders", "select p_partkey, p_type as folder from part where p_size % 9 <> 0")
 def _(i):
-    path = F.concat(F.lit("root/"), F.when(F.col("p_size") % 9 == 0, "!").otherwise(""), "p_type", F.lit("/"), "p_name")
-    return R.pruned_tree(i.part.select("p_partkey", "p_type", path.alias("path")), "path").select("p_partkey", F.col("p_type").alias("folder"))
+    """Some folders begin with a mark, as does a folder above the root, and some files."""
+    path = F.concat(F.lit("/!top/root/"), F.when(F.col("p_size") % 9 == 0, "!").otherwise(""), "p_type", F.lit("/"), F.when(F.col("p_size") % 4 == 0, "!").otherwise(""), "p_name")
+    return R.pruned_tree(i.part.select("p_partkey", "p_type", path.alias("path")), "path", "/!top/root").select("p_partkey", F.col("p_type").alias("folder"))
 
 
 @query("src_3_listing_rows", "select page_id, regexp_extract(url, '[^/]+$', 0) as name, length(html) as size from pages")
@@ -169,20 +170,28 @@ def _(i):
     return p.select(F.element_at("faces", 1)["text"].alias("front"), F.element_at("faces", 2)["text"].alias("back")).distinct()
 
 
-@query("stm_8_idempotent_replace", "with n as (select distinct entity from votes where agent like 'engine3-v%' and run_id in ('run1', 'run2')) select 'kept' as side, count(*) as n from votes where not (agent is not null and agent like 'engine3-v%' and entity in (select entity from n)) union all select 'archived', count(*) from votes where agent like 'engine3-v%' and entity in (select entity from n)")
+REJUDGED = "select entity + 0 as entity, min(pk) + 1000000000 as pk, outcome, 'engine3-v9' as agent, 'run-new' as run_id from votes where agent like 'engine3-v%' and run_id in ('run1', 'run2') group by entity, outcome"
+
+
+def rejudged(i: Inputs) -> tuple[DataFrame, DataFrame]:
+    """(table, archive) after a calculator's new run over the entities that two of its runs judged."""
+    v = i.votes.select("entity", "pk", "outcome", "agent", "run_id")
+    old = v.where("agent like 'engine3-v%' and run_id in ('run1', 'run2')")
+    new = old.groupBy("entity", "outcome").agg((F.min("pk") + 1000000000).alias("pk")).select("entity", "pk", "outcome", F.lit("engine3-v9").alias("agent"), F.lit("run-new").alias("run_id"))
+    return Y.replaced(v, new, ["entity"], "engine3", "run-new")
+
+
+@query("stm_8_idempotent_replace", f"with n as ({REJUDGED}), t as (select entity, pk, outcome, agent, run_id from votes where agent is null or not (agent like 'engine3-v%' and entity in (select entity from n)) union all select entity, pk, outcome, agent, run_id from n) select entity, pk, outcome, agent, run_id from t")
 def _(i):
-    v = i.votes
-    new = v.where("agent like 'engine3-v%' and run_id in ('run1', 'run2')").limit(0)
-    targets = v.where("agent like 'engine3-v%' and run_id in ('run1', 'run2')").select("entity").distinct()
-    table, archive = Y.replaced(v, targets.join(new.drop("entity"), F.lit(False), "left").select(*v.columns), ["entity"], "engine3", "run-new")
-    kept = table.where("pk is not null").agg(F.count("*").alias("n")).select(F.lit("kept").alias("side"), "n")
-    return kept.unionByName(archive.agg(F.count("*").alias("n")).select(F.lit("archived").alias("side"), "n"))
+    """The same run twice leaves what it leaves once: the second replaces the first's rows."""
+    table, _ = rejudged(i)
+    again = table.where("run_id = 'run-new'")
+    return Y.replaced(table, again, ["entity"], "engine3", "run-new")[0].select("entity", "pk", "outcome", "agent", "run_id")
 
 
-@query("stm_13_archived_generations", "select run_id, count(*) as n from votes where source in ('ocr', 'deduction') and run_id <> 'run9' group by 1")
+@query("stm_13_archived_generations", f"with n as ({REJUDGED}) select entity, pk, run_id, 'run-new' as superseded_by_run_id from votes where agent like 'engine3-v%' and entity in (select entity from n)")
 def _(i):
-    old = i.votes.where(F.col("source").isin("ocr", "deduction") & (F.col("run_id") != "run9")).withColumn("superseded_by_run_id", F.lit("run9"))
-    return old.groupBy("run_id").agg(F.count("*").alias("n"))
+    return rejudged(i)[1].select("entity", "pk", "run_id", "superseded_by_run_id")
 
 
 @query("stm_14_skip_if_done", "select pk from cards where not (priority % 3 = 1 and created_day % 2 = 0)")
@@ -222,9 +231,19 @@ def _(i):
     return Y.backfilled(i.cards.select("pk", "dpi", "phash"), values, "pk", ["dpi", "phash"])
 
 
-@query("dml_6_warmed_stats", "select source_pk, count(*) as n, timestamp '2024-02-01 00:00:00' as generated_at from cards group by 1")
+@query(
+    "dml_6_warmed_stats",
+    """with now as (select max(ts) as t from events), live as (select source_pk as key, count(*) as n from cards group by 1),
+    cached as (select source_pk as key, count(*) - 1 as n, t - to_hours(cast(source_pk as integer)) as generated_at from cards, now where source_pk % 5 <> 0 group by source_pk, t)
+    select l.key, case when c.generated_at > t - interval '12 hours' and l.key <> 3 then c.n else l.n end as n, case when c.generated_at > t - interval '12 hours' and l.key <> 3 then c.generated_at else t end as generated_at from live l cross join now left join cached c on c.key = l.key""",
+)
 def _(i):
-    return i.cards.groupBy("source_pk").agg(F.count("*").alias("n")).withColumn("generated_at", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    """Counts of sources from a cache that keeps 12 hours; source 3 is refreshed by force, and a fifth was never cached."""
+    now = i.events.agg(F.max("ts").alias("now"))
+    live = i.cards.groupBy(F.col("source_pk").alias("key")).agg(F.count("*").alias("n"))
+    age = F.make_dt_interval(hours=F.col("key").cast("int"))
+    cached = live.where("key % 5 <> 0").crossJoin(F.broadcast(now)).select("key", (F.col("n") - 1).alias("n"), (F.col("now") - age).alias("generated_at"))
+    return Y.warmed(cached, live, now, "key", "n", 12, F.col("key") == 3)
 
 
 @query("dml_7_last_write_wins", "select entity, agent, pk, outcome from (select *, row_number() over (partition by entity, agent order by ts desc, pk desc) as rn from votes where source in ('user', 'admin') and agent is not null) where rn = 1")

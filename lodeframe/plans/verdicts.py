@@ -195,14 +195,15 @@ def _(i):
     recent = i.cards.where("created_day >= 300")
     totals = recent.groupBy("source_pk").agg(F.count("*").alias("total"))
     first = S.newest(recent, ["source_pk"], [F.desc("created_day"), F.col("pk")], 12)
-    return first.join(F.broadcast(totals), "source_pk").select("source_pk", "pk", "total", F.ceil(F.col("total") / 12.0).alias("pages"))
+    return first.join(totals, "source_pk").select("source_pk", "pk", "total", F.ceil(F.col("total") / 12.0).alias("pages"))
 
 
-@query("drv_15_atomic_members", "with wanted as (select pk from cards where pk in (0, 1, 2)), g as (select pk from cards where phash = 0), bad as (select count(*) as n from wanted where pk not in (select pk from g)) select w.pk, bad.n = 0 as accepted from wanted w, bad")
+@query("drv_15_atomic_members", "with r as (select pk, cast(floor(pk / 3) as bigint) as request, phash from cards), g as (select request, count(*) = count(phash) and count(distinct phash) = 1 as accepted from r group by 1) select pk, accepted from r join g using (request)")
 def _(i):
-    wanted = i.cards.where("pk in (0, 1, 2)").select("pk")
-    bad = wanted.join(i.cards.where("phash = 0").select("pk"), "pk", "left_anti").agg(F.count("*").alias("n"))
-    return wanted.crossJoin(bad).select("pk", (F.col("n") == 0).alias("accepted"))
+    """A request of several members is accepted if all are of one group, else none is."""
+    r = i.cards.select("pk", F.floor(F.col("pk") / 3).alias("request"), "phash")
+    one = (F.count("*") == F.count("phash")) & (F.min("phash").eqNullSafe(F.max("phash")))
+    return r.join(r.groupBy("request").agg(one.alias("accepted")), "request").select("pk", "accepted")
 
 
 @query("drv_16_whole_pipeline", f"with {JUDGED}, {WEIGHED}, d as (select card_pk as entity, outcome, 0.5 as weight, false as human, false as implicit, false as privileged from v where outcome is not null union all select entity, outcome, weight, human, implicit, privileged from weighed), {consensus_sql('d')} select entity, resolved from final")

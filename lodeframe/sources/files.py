@@ -55,16 +55,19 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
     return order_slots(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("xml")))
 
 
-def pruned_tree(rows: DataFrame, path: str) -> DataFrame:
-    """Rows outside of folders whose name starts with ``!``, at any depth."""
-    return rows.where(~F.col(path).rlike(r"(^|/)!"))
+def pruned_tree(rows: DataFrame, path: str, root: str = "") -> DataFrame:
+    """Rows outside of folders below the root whose name starts with ``!``, at any depth; names of files and folders above do not count."""
+    below = F.when(F.col(path).startswith(root), F.substring(F.col(path), len(root) + 1, 1 << 30)).otherwise(F.col(path)) if root else F.col(path)
+    return rows.where(~below.rlike(r"(^|/)![^/]*/"))
 
 
 def scan_folder(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, folder, name, modified, size) of all files below a folder that any Hadoop file system holds; contents are not read."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     listed = files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-    return pruned_tree(listed, "path").withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).withColumn("folder", F.regexp_replace("path", "/[^/]+$", ""))
+    return pruned_tree(listed, "path", root).withColumn("name", F.regexp_extract("path", "[^/]+$", 0)).withColumn("folder", F.regexp_replace("path", "/[^/]+$", ""))
 
 
 def front_or_face(value: Column, faces: Column, name: str) -> Column:

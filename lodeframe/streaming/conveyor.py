@@ -77,6 +77,26 @@ def cursor_walk(rows: DataFrame, key: str, cursor: int, n: int) -> DataFrame:
     return rows.withColumn("wrapped", F.col(key) <= cursor).orderBy("wrapped", key).limit(n)
 
 
+def claimed_walk(rows: DataFrame, key: str, claims: DataFrame, worker: str, n: int, cap: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(walked, claims): the next rows behind the shared cursor, and the claims with this worker's own row.
+
+    claims: (version, worker, cursor, wrapped), append-only; the row of the greatest version is the cursor.
+    A claim is a compare-and-set: it adds the version behind the one that was read, so of two workers
+    that read the same version the one whose row is second (by name) has lost and walks nothing: see
+    ``winners``.  At most ``cap`` rows are scanned.
+    """
+    at = claims.agg(F.max(F.struct("version", "cursor")).alias("c")).select(F.coalesce("c.version", F.lit(0)).alias("version"), F.coalesce("c.cursor", F.lit(-1)).alias("cursor")).first()  # one row
+    walked = cursor_walk(rows, key, at["cursor"], min(n, cap))
+    end = walked.agg(F.max(F.struct("wrapped", key)).alias("e")).select(F.lit(at["version"] + 1).alias("version"), F.lit(worker).alias("worker"), F.coalesce(F.col(f"e.{key}"), F.lit(at["cursor"])).alias("cursor"), F.coalesce("e.wrapped", F.lit(False)).alias("wrapped"))
+    return walked, claims.unionByName(end.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in claims.schema]))
+
+
+def winners(claims: DataFrame) -> DataFrame:
+    """(version, worker, cursor, wrapped): of the claims on one version the first by name holds."""
+    rest = F.struct("worker", "cursor", "wrapped")
+    return claims.groupBy("version").agg(F.min(rest).alias("w")).select("version", "w.*")
+
+
 def lap_complete(walked: DataFrame, found: str = "found") -> DataFrame:
     """(n, n_found, drained): a backlog is empty only after a whole lap without a find."""
     return walked.agg(F.count("*").alias("n"), F.count_if(F.col(found)).alias("n_found")).withColumn("drained", F.col("n_found") == 0)

@@ -1,9 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.operators import clustering as G
 from lodeframe.operators import matching as M
+from lodeframe.operators import search as S
 from lodeframe.session import checkpointed
 
 
@@ -13,13 +15,22 @@ def test_hamming_pairs_against_brute_force(spark):
     values = base + [b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base] + [-1, 0, 1, -2, base[0]]
     rows = list(enumerate(values))
     for d in (0, 1, 2, 3):
-        got = {tuple(r) for r in M.near_pairs(spark.createDataFrame(rows, "k int, h long"), "k", "h", d).collect()}
-        want = {(i, j, n) for i, a in rows for j, b in rows if i < j and (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= d}
-        assert got == want
+        pairs, members = M.near_groups(spark.createDataFrame(rows, "k int, h long"), "k", "h", d)
+        stands = {v: min(i for i, x in rows if x == v) for _, v in rows}
+        assert {r.k: r.representative for r in members.collect()} == {i: stands[v] for i, v in rows}
+        want = {(min(stands[a], stands[b]), max(stands[a], stands[b]), n) for a in stands for b in stands if a != b and (n := ((a ^ b) & (2**64 - 1)).bit_count()) <= d}
+        assert {tuple(r) for r in pairs.collect()} == want
 
 
 def test_null_hashes_never_match(spark):
-    assert M.near_pairs(spark.createDataFrame([(1, None), (2, None)], "k int, h long"), "k", "h", 2).count() == 0
+    pairs, members = M.near_groups(spark.createDataFrame([(1, None), (2, None)], "k int, h long"), "k", "h", 2)
+    assert pairs.count() == members.count() == 0
+
+
+def test_one_hash_of_most_rows_costs_a_row_each(spark):
+    df = spark.range(20_000).selectExpr("id as k", "case when id % 3 = 0 then id else 5 end as h")
+    pairs, members = M.near_groups(df.where("k < 20000"), "k", "h", 0)
+    assert pairs.count() == 0 and members.count() == 20_000
 
 
 def test_clear_winner(spark):
@@ -28,10 +39,13 @@ def test_clear_winner(spark):
     assert got == {1: ("a", ""), 2: (None, "margin-miss"), 3: (None, "distance-miss"), 4: ("z", "")}
 
 
-def test_identity_links_ignore_null_and_empty(spark):
-    rows = [(1, "x", 5), (2, "x", None), (3, "", 5), (4, None, None)]
-    got = {tuple(r) for r in M.identity_links(spark.createDataFrame(rows, "k int, m string, h long"), "k", ["m", "h"]).collect()}
-    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (1, 2), (2, 1), (1, 3), (3, 1)}  # one hop: 2 and 3 are not linked
+def test_identity_groups_ignore_null_and_empty(spark):
+    df = spark.createDataFrame([(1, "x", 5), (2, "x", None), (3, "", 5), (4, None, None), (5, "x", 5)], "k int, m string, h long")
+    got = {tuple(r) for r in M.identity_groups(df, "k", "m", "h").collect()}
+    assert got == {(1, 4, 1), (2, 3, 1), (3, 3, 1), (4, 1, 4), (5, 4, 1)}  # one hop: 2 and 3 are not linked
+    chosen = lambda *keys: spark.createDataFrame([(x,) for x in keys], "k int")
+    widened = lambda *keys: {r.k for r in M.widened(df, "k", ["m", "h"], chosen(*keys)).collect()}
+    assert widened(2) == {1, 2, 5} and widened(3) == {1, 3, 5} and widened(4) == {4} and widened(99) == set()
 
 
 def test_survivors(spark):
@@ -56,10 +70,28 @@ def test_components_against_brute_force(spark):
     assert got == label
 
 
-def test_ancestors_with_a_cycle_and_a_long_chain(spark):
-    rows = [(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100)]
-    got = {(r.k, r.ancestor) for r in G.ancestors(spark.createDataFrame(rows, "k int, p int"), "k", "p").collect()}
-    assert {(39, i) for i in range(40)} <= got and (100, 101) in got and (5, 6) not in got
+def test_ancestors_of_a_long_chain_and_a_cycle(spark):
+    rows = [(i, i - 1 if i else None) for i in range(1001)] + [(2000, 2000)]
+    got = G.ancestors(spark.createDataFrame(rows, "k int, p int"), "k", "p").groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in got} == {**{i: i + 1 for i in range(1001)}, 2000: 1}
+    with pytest.raises(ValueError, match="cycle"):
+        G.ancestors(spark.createDataFrame([(100, 101), (101, 102), (102, 100), (1, 100)], "k int, p int"), "k", "p")
+
+
+def test_components_of_a_long_chain(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(100)], "k int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(99)], "a int, b int")
+    assert {r.component for r in G.components(nodes, edges, "k", checkpointed).collect()} == {0}
+
+
+def test_sums_of_stretches_equal_plain_sums(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 9)) for i in rng.sample(range(5000), 600)]
+    df = spark.createDataFrame(rows, "k long, g string, v long")
+    got = S.rolling_sum(S.running_sum(df, ["g"], "k", F.col("v"), "total", stretch=64), ["g"], "k", F.col("v"), 7, "last")
+    own = {g: sorted((k, v) for k, x, v in rows if x == g) for g in {"a", "b", None}}
+    want = {k: (sum(v for _, v in of[: i + 1]), sum(v for _, v in of[max(0, i - 6) : i + 1])) for of in own.values() for i, (k, _) in enumerate(of)}
+    assert {r.k: (r.total, r["last"]) for r in got.collect()} == want
 
 
 def test_tiers_and_prefixes(spark):
