@@ -10,6 +10,9 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SF = "/root/testdata/sf0.001"
 
+#: A path to another tree would show its modules too.
+ENV = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+
 SCRIPT = """
 import __spark_entry__ as e
 from lodeframe.session import session
@@ -30,7 +33,7 @@ def test_rest_works_without(tmp_path, gone):
         if (tree / path).exists():
             shutil.rmtree(tree / path) if (tree / path).is_dir() else (tree / path).unlink()
     script = SCRIPT if "lodeframe/llm" in gone else "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and e.oracle_sql()"
-    run = subprocess.run([sys.executable, "-c", script], cwd=tree, capture_output=True, text=True, timeout=300)
+    run = subprocess.run([sys.executable, "-c", script], cwd=tree, env=ENV, capture_output=True, text=True, timeout=300)
     assert run.returncode == 0, run.stderr[-2000:]
     if "lodeframe/llm" in gone:
         assert run.stdout.strip() == "25"
