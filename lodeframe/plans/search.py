@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as T
 from ..functions.similarity import indel_similarity, near_substring_udf, sequence_similarity
 from ..operators import naming as N
 from ..operators import search as S
+from ..session import shared_folder
+from ..sources import index as X
 from .registry import Inputs, query
 
 TAGS = "string_split(tag_list, ',')"
@@ -29,9 +33,33 @@ def documents(i: Inputs) -> DataFrame:
 
 @query("src_13_search_documents", f"select pk, {SEARCHABLE.format('name')} as searchq, card_type, source_pk, language, set_code, number, border, artist from ({DISPLAY})")
 def _(i):
+    return searchable_documents(i)
+
+
+def searchable_documents(i: Inputs) -> DataFrame:
     return documents(i).select("pk", T.searchable(F.col("name")).alias("searchq"), "card_type", "source_pk", "language", "set_code", "number", "border", "artist")
 
 
+@query("src_13_indexed_documents", f"select pk, {SEARCHABLE.format('name')} as searchq, card_type, source_pk, language, set_code, number, border, artist from ({DISPLAY})")
+def _(i):
+    """All documents through the sink, and back from what it shows."""
+    docs, path = searchable_documents(i), f"{shared_folder(i.spark)}/index-{uuid.uuid4().hex}"
+    X.index_documents(docs, path, "pk")
+    return X.indexed(i.spark, path, docs.schema, "pk")
+
+
+@query("src_14_reindexed_documents", f"select pk, case when pk in (7, 11) then concat('again ', {SEARCHABLE.format('name')}) else {SEARCHABLE.format('name')} end as searchq, card_type, source_pk, language, set_code, number, border, artist from ({DISPLAY}) where pk <> 13")
+def _(i):
+    """Single rows updated twice and removed behind a full index; an update without a key is logged and changes nothing."""
+    docs, path = searchable_documents(i), f"{shared_folder(i.spark)}/index-{uuid.uuid4().hex}"
+    X.index_documents(docs, path, "pk")
+    for pk, prefix in ((7, "once "), (7, "again "), (11, "again ")):
+        X.reindexed(docs.where(F.col("pk") == pk).withColumn("searchq", F.concat(F.lit(prefix), "searchq")), path, "pk")
+    X.removed(docs.where("pk = 13"), path, "pk")
+    X.reindexed(docs.where("pk = 17").withColumn("pk", F.lit(None).cast("long")).withColumn("searchq", F.lit("lost")), path, "pk")
+    return X.indexed(i.spark, path, docs.schema, "pk")
+
+
 @query("flt_1_structured_search", f"select pk from cards where source_pk in (1, 2, 3, 5, 8, 13) and dpi between 200 and 1200 and size <= 30000000 and card_type in ('CARD', 'TOKEN') and lower(language) in ('en', 'fr') and list_has_any({TAGS}, ['ring', 'red', 'bolt']) and not list_has_any({TAGS}, ['promo'])")
 def _(i):
     s = S.Settings(sources=[1, 2, 3, 5, 8, 13], dpi=(200, 1200), types=["CARD", "TOKEN"], languages=["EN", "FR"], include_tags=["ring", "red", "bolt"], exclude_tags=["promo"])

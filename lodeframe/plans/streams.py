@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, shared_folder
+from ..streaming import claims as C
 from ..streaming import conveyor as V
+from ..streaming import state as K
 from .registry import Inputs, query
 
 
@@ -48,6 +51,24 @@ def _(i):
     return out
 
 
+@query("stm_4_claimed_ranges", "select pk, cast(1 as bigint) as n_claims from cards where status <> 'RESOLVED'")
+def _(i):
+    """Two workers race along one cursor until the lap ends: each eligible row is claimed once, by one of them."""
+    rows, folder = i.cards.select("pk", "status"), shared_folder(i.spark)
+    cursor = C.Cursor(folder, f"cursor-{uuid.uuid4().hex}", i.spark)
+
+    def walked(worker: str) -> list[int]:
+        keys = []
+        while not (walk := C.claimed(rows, "pk", cursor, worker, F.col("status") != "RESOLVED", 1500, 1000, 3000, lap=0)).lap_ended:
+            keys += walk.found
+        return keys + walk.found
+
+    with ThreadPoolExecutor(2) as pool:
+        keys = [k for part in pool.map(walked, ("ann", "bob")) for k in part]
+    claims = checkpointed(i.spark.createDataFrame([(k,) for k in keys], "pk long"))
+    return claims.groupBy("pk").agg(F.count("*").alias("n_claims"))
+
+
 @query("stm_5_lap_evidence", "select count(*) as n, count(*) filter (where status = 'UNRESOLVED') as n_found, count(*) filter (where status = 'UNRESOLVED') = 0 as drained from (select status from cards order by pk <= 100, pk limit 500)")
 def _(i):
     return V.lap_complete(V.cursor_walk(i.cards.select("pk", "status"), "pk", 100, 500).withColumn("found", F.col("status") == "UNRESOLVED"))
@@ -58,6 +79,29 @@ def _(i):
     return V.high_water(i.scans, "run_id", "pk")
 
 
+def arriving(i: Inputs, rows: DataFrame, name: str, step) -> str:
+    """Rows that arrive in two lots of two files, one file a batch; the stream stops between the lots and starts anew.  Gives the folder of its results."""
+    folder = f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
+    for lot in (0, 1):
+        rows.where(F.pmod(F.xxhash64(rows.columns[0]), F.lit(2)) == lot).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        step(V.change_stream(i.spark, f"{folder}/in", rows.schema, 1), folder, f"{folder}/checkpoint")
+    return folder
+
+
+@query("stm_6_streamed_marks", "select run_id, max(pk) as pk from scans group by 1")
+def _(i):
+    """The marks of all scopes as keyed state of a stream that is stopped and started anew."""
+    out = arriving(i, i.scans.select("pk", "run_id"), "marks", lambda stream, out, cp: K.advance_marks(stream, "run_id", "pk", out, cp))
+    return K.marks(i.spark, out).select(F.col("scope").alias("run_id"), F.col("position").alias("pk"))
+
+
+@query("win_7_streamed_rings", "select user_id as owner, cast(row_number() over (partition by user_id order by ts desc, event_id desc) as int) as place, event_id as pk from events qualify place <= 5")
+def _(i):
+    """The five newest events of each user as keyed state of a stream that is stopped and started anew."""
+    rows = i.events.select("event_id", "user_id", "ts")
+    return K.rings(i.spark, arriving(i, rows, "rings", lambda stream, out, cp: K.fill_rings(stream, "user_id", "ts", "event_id", out, cp)))
+
+
 @query("stm_7_backstop_sweep", "select pk from cards where pk not in (select card_pk from scans where reason <> 'no-text') order by pk limit 250")
 def _(i):
     return V.backlog(i.cards.select("pk"), i.scans.where("reason <> 'no-text'").select(F.col("card_pk").alias("pk")), "pk", 250)

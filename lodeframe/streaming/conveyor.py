@@ -29,7 +29,7 @@ def without_echoes(changes: DataFrame, writer: Column, own: list[str]) -> DataFr
     return changes.where(~F.coalesce(writer.isin(own), F.lit(False)))
 
 
-def convey(changes: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, most_rows: int | None = None) -> None:
+def convey(changes: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, most_rows: int | None = None, mode: str = "append") -> None:
     """Process all available changes in micro-batches, then stop.
 
     Results go to ``out``/results and a ledger row to ``out``/ledger, both by batch_id.  A batch of more
@@ -51,7 +51,7 @@ def convey(changes: DataFrame, process: Callable[[DataFrame], DataFrame], out: s
         ledger.drop("batch_id").coalesce(1).write.mode("overwrite").parquet(f"{out}/ledger/batch_id={batch_id}")
         rows.unpersist()
 
-    changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changes.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def results(spark: SparkSession, out: str) -> DataFrame:
