@@ -184,14 +184,30 @@ def declared_tags(c: Column) -> Column:
     return F.when(F.size(F.array_intersect(found, borders)) > 1, F.array_except(found, borders)).otherwise(found)
 
 
+# Start and factor of the 32-bit FNV-1a hash.
+FNV_START, FNV_FACTOR = 0x811C9DC5, 0x01000193
+
+
 def fnv1a(text: str) -> int:
-    """32-bit FNV-1a of a query's text (driver side: a query is one string)."""
-    h = 0x811C9DC5
-    for unit in text.encode("utf-16-le")[::2] if text.isascii() else [ord(ch) for ch in text]:
-        h = ((h ^ unit) * 0x01000193) & 0xFFFFFFFF
+    """32-bit FNV-1a over the UTF-16 code units of one string."""
+    h, raw = FNV_START, text.encode("utf-16-be", "surrogatepass")
+    for k in range(0, len(raw), 2):
+        h = ((h ^ int.from_bytes(raw[k : k + 2])) * FNV_FACTOR) & 0xFFFFFFFF
     return h
 
 
+def fnv1a_hash(c: Column) -> Column:
+    """``fnv1a`` of a column: a fold over its code units that wraps at 32 bits; null stays null."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0)), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(FNV_START).cast("long"), lambda h, u: (h.bitwiseXOR(u) * FNV_FACTOR).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def query_key(card_type: Column, query: Column, expansion: Column, number: Column) -> Column:
+    """The hash by which clients know a search, as text; what is null is the word null."""
+    none = lambda c: F.coalesce(c, F.lit("null"))
+    return fnv1a_hash(F.concat(F.lit("cardType="), card_type, F.lit("\n  &query="), none(query), F.lit("\n  &expansionCode="), none(expansion), F.lit("\n  &collectorNumber="), none(number))).cast("string")
+
+
 # --- query syntax -----------------------------------------------------------------------------
 
 # Operator names and their aliases.

@@ -383,6 +383,19 @@ def _(i):
     return i.documents.select("doc_id", T.client_searchable(F.col("text")).alias("k"))
 
 
+@query(
+    "str_28_fnv_keys",
+    """with q as (select pk, concat('cardType=', card_type, chr(10), '  &query=', case when pk % 7 = 0 then concat(base_name, ' 😀 é日') else base_name end, chr(10), '  &expansionCode=', coalesce(nullif(expansion_hint, ''), 'null'), chr(10), '  &collectorNumber=', case when pk % 3 = 0 then cast(pk as string) else 'null' end) as s from cards),
+    u as (select pk, list_transform(string_split(s, ''), lambda x: unicode(x)) as points from q),
+    w as (select pk, flatten(list_transform(points, lambda x: case when x < 65536 then [x] else [55296 + ((x - 65536) >> 10), 56320 + ((x - 65536) & 1023)] end)) as units from u)
+    select pk, cast(list_reduce(list_prepend(cast(2166136261 as bigint), list_transform(units, lambda x: cast(x as bigint))), lambda h, x: (xor(h, x) * 16777619) & 4294967295) as string) as qkey from w""",
+)
+def _(i):
+    """Keys of searches, some beyond the basic plane, some without set and number."""
+    name = F.when(F.col("pk") % 7 == 0, F.concat("base_name", F.lit(" 😀 é日"))).otherwise(F.col("base_name"))
+    return i.cards.select("pk", T.query_key(F.col("card_type"), name, F.nullif("expansion_hint", F.lit("")), F.when(F.col("pk") % 3 == 0, F.col("pk").cast("string"))).alias("qkey"))
+
+
 @query("str_28_query_key", "select distinct base_name, md5(lower(base_name)) as qkey from cards")
 def _(i):
     return i.cards.select("base_name", F.md5(F.lower("base_name")).alias("qkey")).distinct()

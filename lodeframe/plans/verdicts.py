@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions.similarity import indel_similarity
 from ..operators import consensus as C
 from ..operators import matching as M
 from ..operators import search as S
+from ..operators import serving as Q
 from ..operators import verdicts as V
+from ..session import checkpointed
 from .consensus import WEIGHED, consensus_sql, weighed
 from .matching import CANDIDATES, SURVIVORS, readings, survivors
 from .registry import Inputs, query
@@ -160,6 +163,31 @@ def _(i):
     return l.groupBy("agent").agg(best.alias("b")).select("agent", "b.*")
 
 
+POOL = """select * from (select pk as card, lane, row_number() over (partition by lane order by priority desc, pk) as place from (select pk, priority, case when status = 'UNRESOLVED' and pk % 2 = 0 then 'likely' when inferred_pk is not null then 'confirm' when status = 'CONTESTED' then 'contested' else 'fresh' end as lane from cards)) where place <= 40"""
+SERVED_LOG = "select agent as voter, case when outcome = 'purchase' or outcome = 'error' then 'likely' else 'fresh' end as lane from votes where agent is not null and pk % 5 = 0"
+
+
+@query(
+    "drv_9_served_mix",
+    f"""with recursive pool as ({POOL}), seen as (select distinct agent as voter, entity as card from votes where agent is not null), voters as (select distinct voter from seen),
+    open as (select voter, lane, card, row_number() over (partition by voter, lane order by place) as k from voters, pool where not exists (select 1 from seen where seen.voter = voters.voter and seen.card = pool.card)),
+    left_ as (select voter, count(*) filter (lane = 'likely') as l, count(*) filter (lane = 'confirm') as c, count(*) filter (lane = 'contested') as x, count(*) filter (lane = 'fresh') as f from open group by 1),
+    log_ as (select voter, count(*) as total, count(*) filter (lane = 'likely') as likely from ({SERVED_LOG}) group by 1),
+    d as (select voter, 0 as draw, coalesce(total, 0) as total, coalesce(likely, 0) as likely, 0 as nl, 0 as nc, 0 as nx, 0 as nf, cast(null as varchar) as lane, cast(0 as bigint) as k, cast(0 as double) as share from voters left join log_ using (voter)
+        union all select voter, draw + 1, total + 1, likely + (case when pick = 'likely' then 1 else 0 end), nl + (case when pick = 'likely' then 1 else 0 end), nc + (case when pick = 'confirm' then 1 else 0 end), nx + (case when pick = 'contested' then 1 else 0 end), nf + (case when pick = 'fresh' then 1 else 0 end), pick,
+            1 + (case pick when 'likely' then nl when 'confirm' then nc when 'contested' then nx else nf end), now_
+        from (select d.*, now_, case when now_ < 0.51 and nl < left_.l then 'likely' when nc < left_.c then 'confirm' when nx < left_.x then 'contested' when nf < left_.f then 'fresh' end as pick from (select *, case when total > 0 then likely / total else 0 end as now_ from d) d join left_ using (voter)) where draw < 60 and pick is not null)
+    select voter, draw, lane, card, share from d join open using (voter, lane, k) where draw > 0""",
+)
+def _(i):
+    """Sixty draws a voter from four pools of 40 cards, until these run out for them."""
+    lane = F.when((F.col("status") == "UNRESOLVED") & (F.col("pk") % 2 == 0), "likely").when(F.col("inferred_pk").isNotNull(), "confirm").when(F.col("status") == "CONTESTED", "contested").otherwise("fresh")
+    pool = checkpointed(Q.pooled(i.cards.withColumn("lane", lane), "pk", "lane", [F.desc("priority"), "pk"], 40))
+    votes = i.votes.where("agent is not null").select(F.col("agent").alias("voter"), F.col("entity").alias("card"), "outcome", "pk")
+    log = votes.where("pk % 5 = 0").select("voter", F.when(F.col("outcome").isin("purchase", "error"), "likely").otherwise("fresh").alias("lane"))
+    return Q.drawn(votes.select("voter"), pool, votes.select("voter", "card"), log, 60)
+
+
 @query("drv_10_pool_draw", "with s as (select pk, least(cast(floor(pk * 10 / (select max(pk) + 1 from cards)) as int), 9) as stratum from cards where status = 'CONTESTED'), r as (select *, row_number() over (partition by stratum order by md5(cast(pk as string)), pk) as rn from s) select pk from r where rn <= 10 and pk not in (select entity from votes where agent = 'user8')")
 def _(i):
     top = i.cards.agg(F.max("pk")).first()[0]
@@ -251,3 +279,24 @@ def _(i):
     p = i.printings.groupBy(F.col("name").alias("base_name")).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("popularity", F.lit(-1))).alias("k"), "pk"))).alias("ps"))
     rows = i.cards.select("pk", "base_name").join(p, "base_name").select("pk", F.posexplode("ps").alias("pos", "p"))
     return rows.select("pk", F.col("p.pk").alias("candidate"), (F.col("pos") + 1).cast("long").alias("rank"))
+
+
+@query("udtf_1_candidates_in_sql", "select c.pk, p.pk as candidate, p.popularity from cards c join printings p on p.name = c.base_name")
+def _(i):
+    """Names to candidates by a table function that SQL calls laterally."""
+    tables.register(i.spark, i.printings)
+    return i.spark.sql("select c.pk, k.candidate, k.popularity from {cards} c, lateral candidates_of(c.base_name) k", cards=i.cards.select("pk", "base_name"))
+
+
+@query(
+    "udtf_1_deck_lines_in_sql",
+    """with d as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, concat(case when l_linenumber % 3 = 0 then '' else concat(cast(cast(l_quantity as int) as string), case when l_linenumber % 2 = 0 then 'x ' else '  ' end) end, 'part ', cast(l_partkey as string), case when l_linenumber % 2 = 0 then concat(' // ', l_returnflag) else ' ' end)) as n, l_linenumber, l_partkey, l_quantity, l_returnflag from lineitem)
+    select l_orderkey, cast(2 * n - 1 as int) as line, case when l_linenumber % 3 = 0 then 1 else cast(l_quantity as int) end as quantity, concat('part ', cast(l_partkey as string)) as front, case when l_linenumber % 2 = 0 then l_returnflag end as back from d""",
+)
+def _(i):
+    """The lines of each order as a deck's text with blank lines between, taken apart by a table function in SQL."""
+    count = F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "x ").otherwise("  ")))
+    line = F.concat(count, F.lit("part "), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(" // "), "l_returnflag")).otherwise(" "))
+    decks = i.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("deck"))
+    tables.register(i.spark)
+    return i.spark.sql("select id as l_orderkey, line, quantity, front, back from deck_lines(table(select l_orderkey, deck from {decks}))", decks=decks)
