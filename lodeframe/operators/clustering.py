@@ -45,24 +45,19 @@ def shared_value_edges(rows: DataFrame, key: str, values: list[Column]) -> DataF
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str, checkpoint=None) -> DataFrame:
-    """(key, component): the smallest key that edges (a, b) reach, for every node.
+    """(key, component): the smallest key that edges (a, b) reach, for every node; keys are of any type that has an order.
 
     Each round takes the least label among neighbours and then jumps to the label's own label, so
-    rounds grow with the logarithm of a component's diameter; they end when no label falls any more.
+    rounds grow with the logarithm of a component's diameter; they end when no label changes any more.
     Labels are written and read again each round.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     keep = checkpoint or checkpointed
     both = keep(both)
-    labels = keep(nodes.select(F.col(key).alias("n"), F.col(key).alias("l")))
-    before = None
-    while True:
+    labels = keep(nodes.select(F.col(key).alias("n"), F.col(key).alias("l"), F.lit(True).alias("changed")))
+    while not labels.where("changed").isEmpty():
         near = both.join(labels.select(F.col("n").alias("b"), "l"), "b").groupBy(F.col("a").alias("n")).agg(F.min("l").alias("m"))
-        new = labels.join(near, "n", "left").select("n", F.least("l", F.coalesce("m", "l")).alias("l"))
-        jumped = new.join(new.select(F.col("n").alias("l"), F.col("l").alias("ll")), "l", "left").select("n", F.least("l", F.coalesce("ll", "l")).alias("l"))
-        labels = keep(jumped)
-        total = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            break
-        before = total
+        new = labels.join(near, "n", "left").select("n", F.col("l").alias("old"), F.least("l", F.coalesce("m", "l")).alias("l"))
+        jumped = new.join(new.select(F.col("n").alias("l"), F.col("l").alias("ll")), "l", "left").select("n", "old", F.least("l", F.coalesce("ll", "l")).alias("l"))
+        labels = keep(jumped.select("n", "l", (F.col("l") != F.col("old")).alias("changed")))
     return labels.select(F.col("n").alias(key), F.col("l").alias("component"))

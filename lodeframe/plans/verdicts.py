@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,11 @@ from ..functions import tables
 from ..functions.similarity import indel_similarity
 from ..operators import consensus as C
 from ..operators import matching as M
+from ..operators import runs as R
 from ..operators import search as S
 from ..operators import serving as Q
 from ..operators import verdicts as V
-from ..session import checkpointed
+from ..session import checkpointed, shared_folder
 from .consensus import WEIGHED, consensus_sql, weighed
 from .matching import CANDIDATES, SURVIVORS, readings, survivors
 from .registry import Inputs, query
@@ -300,3 +303,105 @@ def _(i):
     decks = i.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("deck"))
     tables.register(i.spark)
     return i.spark.sql("select id as l_orderkey, line, quantity, front, back from deck_lines(table(select l_orderkey, deck from {decks}))", decks=decks)
+
+
+# --- whole runs ---------------------------------------------------------------------------------
+
+SHARED = """own as (select card_pk as pk, outcome from v where outcome is not null),
+    of_md5 as (select md5 as value, min(outcome) as outcome, min(pk) as source from cards join own using (pk) where md5 <> '' group by 1 having min(outcome) = max(outcome)),
+    of_hash as (select phash as value, min(outcome) as outcome, min(pk) as source from cards join own using (pk) where phash is not null group by 1 having min(outcome) = max(outcome)),
+    given as (select pk, coalesce(m.outcome, h.outcome) as outcome, case when m.outcome is not null then 'md5' else 'phash' end as via from cards c left join of_md5 m on m.value = c.md5 left join of_hash h on h.value = c.phash
+        where pk not in (select pk from own) and coalesce(m.outcome, h.outcome) is not null)"""
+MACHINE = f"with {JUDGED}, {SHARED}, {WEIGHED}, d as (select pk as entity, outcome, 0.5 as weight, false as human, false as implicit, false as privileged from (select pk, outcome from own union all select pk, outcome from given) union all select entity, outcome, weight, human, implicit, privileged from weighed), {consensus_sql('d')}"
+VOTE = ["entity", "outcome", "weight", "human", "implicit", "privileged"]
+
+
+def machine_votes(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col(key).alias("entity"), "outcome", F.lit(0.5).alias("weight"), *[F.lit(False).alias(k) for k in VOTE[3:]])
+
+
+def whole_run(i: Inputs, folder: str, killed_at: str | None = None) -> R.Run:
+    """Verdicts, what equal pictures share, consensus and a report by channel; ``killed_at`` ends the run once at that stage."""
+    killed = []
+
+    def verdicts(t):
+        return judged(i).where("v.outcome is not null").select(F.col("card_pk").alias("pk"), F.col("v.outcome").alias("outcome"))
+
+    def shared(t):
+        return R.shared_verdicts(t["cards"].select("pk", "md5", "phash"), t["verdicts"], "pk", ["md5", "phash"])[0]
+
+    def resolved(t):
+        votes = machine_votes(t["verdicts"], "pk").unionByName(machine_votes(t["shared"], "pk")).unionByName(t["votes"].select(*VOTE))
+        return C.consensus(votes).select("entity", "resolved")
+
+    def report(t):
+        parts = [t["verdicts"].select(F.lit("own").alias("channel")), t["shared"].select("via"), t["votes"].select(F.col("source"))]
+        return parts[0].union(parts[1]).union(parts[2]).groupBy("channel").agg(F.count("*").alias("n"))
+
+    def once(name, step):
+        def run(t):
+            if name == killed_at and not killed:
+                killed.append(name)
+                raise KeyboardInterrupt(name)
+            return step(t)
+
+        return R.Stage(name, run, gates.get(name, {}))
+
+    gates = {"consensus": {"resolved without a human": lambda t: t["consensus"].where("resolved is not null").join(t["votes"].where("human").select("entity"), "entity", "left_anti")}}
+    checks = {"a card without a key": lambda t: t["cards"].where("pk is null"), "a key of two cards": lambda t: t["cards"].groupBy("pk").agg(F.count("*").alias("n")).where("n > 1")}
+    stages = [once(n, f) for n, f in (("verdicts", verdicts), ("shared", shared), ("consensus", resolved), ("report", report))]
+    return R.Run(i.spark, folder, "run", stages, checks)
+
+
+def resumed(i: Inputs) -> tuple[R.Run, dict[str, DataFrame]]:
+    """A run that is killed at its third stage and started again."""
+    run = whole_run(i, f"{shared_folder(i.spark)}/whole-{uuid.uuid4().hex}", killed_at="consensus")
+    inputs = {"cards": i.cards, "votes": weighed(i)}
+    try:
+        run.go(inputs)
+    except KeyboardInterrupt:
+        pass
+    return run, run.go(inputs)
+
+
+@query("drv_16_resumed_run", f"{MACHINE} select entity, resolved from final")
+def _(i):
+    return resumed(i)[1]["consensus"]
+
+
+@query("drv_16_run_ledger", f"""{MACHINE} select 1 as ordinal, 'verdicts' as stage, count(*) as rows_out from own union all select 2, 'shared', count(*) from given union all select 3, 'consensus', count(*) from final
+    union all select 4, 'report', (select count(distinct source) from votes) + (select count(distinct via) from given) + (select least(count(*), 1) from own)""")
+def _(i):
+    """The ledger of a run that was killed between its stages: each is completed once."""
+    return resumed(i)[0].ledger().where("status = 'completed'").select("ordinal", "stage", "rows_out")
+
+
+@query("drv_16_channel_report", f"{MACHINE} select 'own' as channel, count(*) as n from own group by 1 union all select via, count(*) from given group by 1 union all select source, count(*) from votes group by 1")
+def _(i):
+    return resumed(i)[1]["report"]
+
+
+def stored_verdicts(i: Inputs) -> DataFrame:
+    """What the calculator voted before: every third of its verdicts, and an outdated one for some rows."""
+    found = judged(i).where("v.outcome is not null and card_pk % 3 = 0").select("card_pk", F.col("v.outcome").alias("outcome"))
+    return found.unionByName(i.cards.where("pk % 5 = 0").select(F.col("pk").alias("card_pk"), F.lit("outdated").alias("outcome")))
+
+
+@query("drv_4_run_counts", f"""with {JUDGED}, a as (select *, card_pk % 3 = 0 as known from v)
+    select case when dry then 'dry run' else 'run' end as mode, counter, count(*) as n from (values (true), (false)) m(dry), (select card_pk, unnest(['considered', case when outcome is not null then 'cast' else concat('skipped: ', skip_reason) end, case when outcome is not null then case when known then 'already' else 'new' end end]) as c, outcome from a) b,
+    lateral (select case when c = 'new' then case when dry then 'withheld' else 'written' end else c end as counter) x where c is not null group by 1, 2""")
+def _(i):
+    """Counters of a run and of its dry run over the same stored verdicts."""
+    rows, stored = judged(i), stored_verdicts(i)
+    count = lambda dry: R.calculator_counts(rows, stored, "card_pk", F.col("v.outcome"), F.col("v.skip_reason"), dry).select(F.lit("dry run" if dry else "run").alias("mode"), "counter", "n")
+    return count(False).unionByName(count(True))
+
+
+@query("drv_6_two_engines", f"""with {JUDGED}, a as (select card_pk as pk, outcome from v where outcome is not null), b as (select c.pk, cast(min(p.pk) as string) as outcome from cards c join printings p on p.image_hash = c.phash and p.name = c.base_name group by 1)
+    select pk, case when a.outcome <> b.outcome then null else coalesce(a.outcome, b.outcome) end as outcome, case when a.outcome <> b.outcome then null when b.outcome is null then 'one' when a.outcome is null then 'two' else 'both' end as engine, case when a.outcome <> b.outcome then 'engines-disagree' else '' end as skip_reason from a full join b using (pk)""")
+def _(i):
+    """The reading of small print and the equality of hashes as two engines."""
+    one = judged(i).where("v.outcome is not null").select(F.col("card_pk").alias("pk"), F.col("v.outcome").alias("outcome"))
+    p = i.printings.select(F.col("pk").alias("printing"), F.col("name").alias("base_name"), F.col("image_hash").alias("phash"))
+    two = i.cards.select("pk", "base_name", "phash").join(p, ["base_name", "phash"]).groupBy("pk").agg(F.min("printing").cast("string").alias("outcome"))
+    return R.two_engines(one, two, "pk")
