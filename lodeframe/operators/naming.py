@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import indel_similarity, sequence_similarity
 from .clustering import ancestors
+from .nearness import near_pairs
 
 # A near spelling becomes an alias from the first ratio on, and a suggestion from the second.
 ALIAS, SUGGESTION = 0.92, 0.6
 # Least ratio of a reading, and the most entries that a cut-off reading may begin.
 READING, COMPATIBLE, CUT_LETTERS = 0.85, 6, 6
+#: What the best entry must lead the next by.
+MARGIN = 0.06
 
 
 def raw_tags(names: DataFrame, key: str, name: str) -> DataFrame:
@@ -38,14 +41,13 @@ def suggested(raws: DataFrame, tags: DataFrame, stored: DataFrame) -> DataFrame:
     A text that is no tag's name or alias takes the nearest tag (ties to the smaller pk): from
     ``ALIAS`` on it is AUTO_ACCEPTED, from ``SUGGESTION`` on PENDING.  Stored rows gain the new
     occurrences; PENDING may become AUTO_ACCEPTED, never the reverse; REJECTED stays as it is.
-    Texts meet candidates of lengths at which the ratio can be reached.
+    Texts meet the candidates that can reach the ratio by the letters they share.
     """
     new = raws.groupBy("raw").agg(F.count("*").alias("seen")).join(known_tags(tags).select("low"), F.lower("raw") == F.col("low"), "left_anti")
     new = new.join(stored.where("status = 'REJECTED'").select("raw"), "raw", "left_anti").withColumn("q", T.searchable(F.col("raw"))).where("q <> ''")
     texts = tags.select("pk", F.explode(F.concat(F.array("name"), "aliases")).alias("t")).select("pk", T.searchable(F.col("t")).alias("c")).distinct()
-    n = F.length("q")
-    reach = F.sequence(F.ceil(n * SUGGESTION / (2 - SUGGESTION)).cast("int"), F.floor(n * (2 - SUGGESTION) / SUGGESTION).cast("int"))
-    pairs = new.withColumn("size", F.explode(reach)).join(texts.withColumn("size", F.length("c")), "size").withColumn("ratio", indel_similarity("q", "c"))
+    ratios = near_pairs(new, "q", texts, "c", SUGGESTION).withColumn("ratio", indel_similarity("q", "c")).where(F.col("ratio") >= SUGGESTION)
+    pairs = new.join(ratios, "q").join(texts, "c")
     best = pairs.groupBy("raw").agg(F.max("seen").alias("seen"), F.max(F.struct("ratio", (-F.col("pk")).alias("less"))).alias("b")).select("raw", "seen", F.col("b.ratio").alias("ratio"), (-F.col("b.less")).alias("tag_pk")).where(F.col("ratio") >= SUGGESTION)
     fresh = best.withColumn("status", F.when(F.col("ratio") >= ALIAS, "AUTO_ACCEPTED").otherwise("PENDING"))
     s, f = stored.alias("s"), fresh.alias("f")
@@ -99,8 +101,8 @@ def with_back_faces(lines: DataFrame, pairs: DataFrame, front: str = "front", ba
 def recovered(lines: DataFrame, key: str, text: str, lexicon: DataFrame, entry: str, allowed: DataFrame | None = None) -> DataFrame:
     """(key, entry, ratio): the entry that windows of 1 to 4 words of a line read best, if it leads.
 
-    A window meets entries of its number of letters, two more or less, by their first or last letter.  A
-    window of ``CUT_LETTERS`` letters or more that some entries begin with is a cut-off reading of them, if
+    A window meets the entries that can reach ``READING`` by the pairs of letters they share, so a reading
+    wrong at both ends is found.  A window of ``CUT_LETTERS`` letters or more that some entries begin with is a cut-off reading of them, if
     they are ``COMPATIBLE`` at most.  With ``allowed`` (key, entry), entries of a line's own count alone
     where it has some.  The best must lead the next entry by 0.05.
     """
@@ -109,10 +111,8 @@ def recovered(lines: DataFrame, key: str, text: str, lexicon: DataFrame, entry:
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice(words, k + 1, n), ""))))
     windows = lines.select(key, F.explode(grams).alias("w")).select(key, letters(F.col("w")).alias("w")).where(F.length("w") >= 3).distinct()
     names = lexicon.select(F.col(entry).alias("entry"), letters(F.col(entry)).alias("e")).where(F.length("e") >= 3).distinct()
-    ends = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 1)), F.concat(F.lit(">"), F.substring(c, -1, 1)))
-    near = windows.withColumn("size", F.explode(F.sequence(F.length("w") - 2, F.length("w") + 2))).withColumn("end", F.explode(ends(F.col("w"))))
-    whole = near.join(names.withColumn("size", F.length("e")).withColumn("end", F.explode(ends(F.col("e")))), ["size", "end"]).select(key, "w", "entry", "e").distinct()
-    whole = whole.withColumn("ratio", sequence_similarity("w", "e")).where(F.col("ratio") >= READING).select(key, "entry", "ratio")
+    ratios = near_pairs(windows, "w", names, "e", READING).withColumn("ratio", sequence_similarity("w", "e")).where(F.col("ratio") >= READING)
+    whole = windows.join(ratios, "w").join(names, "e").select(key, "entry", "ratio")
     begun = names.withColumn("p", F.explode(F.sequence(F.lit(CUT_LETTERS), F.length("e") - 1))).where(F.length("e") > CUT_LETTERS).select("entry", F.expr("substring(e, 1, p)").alias("w"))
     few = begun.groupBy("w").agg(F.count_distinct("entry").alias("m")).where(F.col("m") <= COMPATIBLE).select("w")
     cut = windows.join(begun.join(few, "w", "left_semi"), "w").select(key, "entry", F.lit(READING).alias("ratio"))
@@ -123,3 +123,14 @@ def recovered(lines: DataFrame, key: str, text: str, lexicon: DataFrame, entry:
     top = read.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "entry")))).alias("r"))
     second = F.try_element_at("r", F.lit(2))["ratio"]
     return top.where(second.isNull() | (F.col("r")[0]["ratio"] - second >= 0.05)).select(key, F.col("r")[0]["entry"].alias("entry"), F.col("r")[0]["ratio"].alias("ratio"))
+
+
+def recognised(reads: DataFrame, text: str, lexicon: DataFrame, entry: str, floor: float = READING, margin: float = MARGIN) -> DataFrame:
+    """(text, entry, ratio) of the distinct texts whose best entry reaches ``floor`` and leads the next by ``margin``.
+
+    Entries that can't come within the margin of the floor are never compared.
+    """
+    scored = near_pairs(reads, text, lexicon, entry, floor - margin).withColumn("ratio", indel_similarity(text, entry))
+    place = F.row_number().over(Window.partitionBy(text).orderBy(F.desc("ratio"), entry))
+    two = scored.withColumn("place", place).where("place <= 2").groupBy(text).agg(F.min_by(entry, "place").alias(entry), F.max("ratio").alias("ratio"), F.max(F.when(F.col("place") == 2, F.col("ratio"))).alias("next"))
+    return two.where((F.col("ratio") >= floor) & (F.col("next").isNull() | (F.col("ratio") - F.col("next") >= margin - 1e-9))).select(text, entry, "ratio")

@@ -321,14 +321,10 @@ def _(i):
 
 @query("str_19_margin_recogniser")
 def _(i):
-    """The lexicon entry with a runner-up margin of 0.06, lengths within 2 of each other."""
-    names = i.cards.select("base_name").distinct()
-    lexicon = names.select(F.col("base_name").alias("entry"))
-    read = names.withColumn("read", F.regexp_replace("base_name", "e", "c"))
-    near = read.withColumn("size", F.explode(F.sequence(F.length("read") - 2, F.length("read") + 2)))  # entries are found by their lengths
-    pairs = near.join(lexicon.withColumn("size", F.length("entry")), "size").withColumn("ratio", indel_similarity("read", "entry"))
-    two = S.newest(pairs, ["base_name"], [F.desc("ratio"), F.col("entry")], 2).groupBy("base_name").agg(F.max("ratio").alias("hi"), F.min("ratio").alias("lo"), F.max_by("entry", "ratio").alias("entry"), F.count("*").alias("n"))
-    return two.where("n = 1 or hi - lo >= 0.06").select("base_name", "entry")
+    """The lexicon entry of each name with some letters misread, if it leads the next."""
+    names = i.cards.select("base_name").distinct().select("base_name", F.regexp_replace("base_name", "e", "c").alias("read"))
+    found = N.recognised(names, "read", names.select(F.col("base_name").alias("entry")), "entry")
+    return names.join(found, "read").select("base_name", "entry")
 
 
 @query("str_20_near_marker", "select pk, pk % 5 = 0 as hit from cards")
