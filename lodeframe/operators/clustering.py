@@ -61,3 +61,22 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, checkpoint=None) ->
         jumped = new.join(new.select(F.col("n").alias("l"), F.col("l").alias("ll")), "l", "left").select("n", "old", F.least("l", F.coalesce("ll", "l")).alias("l"))
         labels = keep(jumped.select("n", "l", (F.col("l") != F.col("old")).alias("changed")))
     return labels.select(F.col("n").alias(key), F.col("l").alias("component"))
+
+
+def review_clusters(rows: DataFrame, key: str, signals: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) of rows that any of several signals links, directly or over others.
+
+    members: (key, cluster), the smallest key naming a cluster of two rows or more; clusters:
+    (cluster, size, <signal>: how many values two or more of its members share).  A null signal links
+    nothing; keys are of any type that has an order.
+    """
+    known = checkpointed(rows.select(key, *[c.alias(n) for n, c in signals.items()]))
+    edges = shared_value_edges(known, key, [F.col(n) for n in signals])
+    found = components(known.select(key), edges, key)
+    sizes = found.groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("size")).where("size > 1")
+    members = found.select(key, F.col("component").alias("cluster")).join(sizes.select("cluster"), "cluster", "left_semi")
+    clusters = sizes
+    for n in signals:
+        shared = known.where(F.col(n).isNotNull()).join(members, key).groupBy("cluster", n).agg(F.count("*").alias("m")).where("m > 1")
+        clusters = clusters.join(shared.groupBy("cluster").agg(F.count("*").alias(n)), "cluster", "left")
+    return members.select(key, "cluster"), clusters.na.fill(0, list(signals))

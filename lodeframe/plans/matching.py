@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import clustering as G
 from ..operators import matching as M
 from ..operators import search as S
+from ..session import checkpointed
 from .registry import Inputs, query
 
 NEAR = "phash - phash % 4 + pk % 4"
@@ -249,13 +250,25 @@ def _(i):
 
 @query("grf_3_components", "with recursive e as (select a.pk as a, b.pk as b from cards a join cards b on (a.phash = b.phash or (a.md5 = b.md5 and a.md5 <> ''))), r as (select distinct a as pk, a as c from e union select r.pk, e.b from r join e on e.a = r.c) select c.pk, coalesce(min(r.c), c.pk) as component from cards c left join r on r.pk = c.pk group by c.pk")
 def _(i):
-    from ..session import checkpointed
-
     nodes = i.cards.select("pk", "phash", "md5")
     edges = G.shared_value_edges(nodes, "pk", [F.col("phash"), F.nullif("md5", F.lit(""))])
     return G.components(nodes, edges, "pk", checkpointed)
 
 
+SIGNALS = "select identifier, case when pk % 4 <> 0 then phash end as picture, case when pk % 3 = 0 and md5 <> '' then md5 end as symbol, case when pk % 5 = 0 then concat('line ', cast(cast(floor(pk / 35) as bigint) as string)) end as small_print from cards"
+CLUSTERS = f"""with recursive g as materialized ({SIGNALS}), v as (select identifier as i, concat('p', cast(picture as string)) as v from g where picture is not null union all select identifier, concat('s', symbol) from g where symbol is not null union all select identifier, concat('t', small_print) from g where small_print is not null),
+    e as materialized (select i as b, min(i) over (partition by v) as a from v), n as materialized (select a, b from e union select b, a from e), r as (select i, i as c from (select distinct i from v) union select n.b, r.c from r join n on n.a = r.i),
+    c as materialized (select i, min(c) as cluster from r group by 1), z as (select cluster, count(*) as size from c group by 1 having count(*) > 1),
+    m as (select c.cluster, substr(v, 1, 1) as kind, v from c join v using (i) join z using (cluster) group by 1, 2, 3 having count(*) > 1)"""
+
+
+@query("grf_3_review_clusters", f"{CLUSTERS} select cluster, size, count(m.v) filter (kind = 'p') as picture, count(m.v) filter (kind = 's') as symbol, count(m.v) filter (kind = 't') as small_print from z left join m using (cluster) group by 1, 2")
+def _(i):
+    """Clusters over three signals and textual keys."""
+    signals = {"picture": F.when(F.col("pk") % 4 != 0, F.col("phash")), "symbol": F.when((F.col("pk") % 3 == 0) & (F.col("md5") != ""), F.col("md5")), "small_print": F.when(F.col("pk") % 5 == 0, F.concat(F.lit("line "), F.floor(F.col("pk") / 35).cast("string")))}
+    return G.review_clusters(i.cards, "identifier", signals)[1]
+
+
 @query("grf_4_ancestors", "with recursive up as (select pk, pk as ancestor from tags union all select up.pk, t.parent_pk from up join tags t on t.pk = up.ancestor where t.parent_pk is not null) select pk, ancestor from up")
 def _(i):
     return G.ancestors(i.tags, "pk", "parent_pk")

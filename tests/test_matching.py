@@ -99,3 +99,21 @@ def test_tiers_and_prefixes(spark):
     rows = spark.createDataFrame([(1, "red ring"), (2, "blue"), (3, "red r"), (4, "zzz")], "k int, t string")
     got = {r.k: r.name for r in M.unique_prefix(rows, "k", "t", index, "name").collect()}
     assert got == {1: "red ring", 2: "blue bolt"}
+
+
+def test_review_clusters_over_three_signals_and_textual_keys(spark):
+    rows = [("k1", 1, "a", None), ("k2", 1, None, "t"), ("k3", 2, None, "t"), ("k4", 2, "b", None), ("j1", 3, "c", "u"), ("j2", 3, "c", "u"), ("x", 9, None, None), ("y", None, "z", None), ("z", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, h int, s string, t string")
+    members, clusters = G.review_clusters(df, "k", {"h": F.col("h"), "s": F.col("s"), "t": F.col("t")})
+    assert {r.k: r.cluster for r in members.collect()} == {"k1": "k1", "k2": "k1", "k3": "k1", "k4": "k1", "j1": "j1", "j2": "j1"}
+    assert sorted(map(tuple, clusters.collect())) == [("j1", 2, 1, 1, 1), ("k1", 4, 2, 0, 1)]
+    none = G.review_clusters(df.limit(0), "k", {"h": F.col("h")})
+    assert none[0].count() == 0 == none[1].count()
+
+
+def test_components_of_chains_and_textual_keys(spark):
+    rng = random.Random(3)
+    names = [f"n{rng.randrange(10**9):09d}" for _ in range(60)]
+    chain = [(names[i], names[i + 1]) for i in range(59) if i % 20 != 19]
+    out = G.components(spark.createDataFrame([(n,) for n in names], "k string"), spark.createDataFrame(chain, "a string, b string"), "k")
+    assert {r.k: r.component for r in out.collect()} == {n: min(names[20 * (i // 20) : 20 * (i // 20) + 20]) for i, n in enumerate(names)}
