@@ -2,9 +2,11 @@
 
 A page becomes a tree of its elements.  Elements that never hold an article (scripts, forms,
 navigation ...) are pruned.  A class or id that names a page part (menu, advert, ...) is a hint:
-a whole token counts, not a word of it (unless all its words name parts or places), and what it
-marks stays if it holds most of the body's text outside links, if nothing else has text, if it is a
-heading, or if it is a paragraph or part of an article whose name may be an article's too (notice ...).
+a whole token counts, or one whose words all name parts or places, or one with a word for readers' talk.
+Talk, adverts and notices go wherever they stand, unless they hold an article element.  Other hinted
+parts stay if they hold most of the body's text outside links, if they are headings, or if they are
+paragraphs or parts of an article whose name may be an article's too (header, tags ...).  Nothing is
+pruned by a hint if nothing else has text.
 Every remaining node gets its link-adjusted density: characters per tag, times
 the logarithm of (characters per link character) * (tags per link tag) to a base that grows with
 the share of link text of node and body.  The node with the largest sum of its children's
@@ -46,11 +48,15 @@ _PART = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner sponsor sponsored promo promotion promoted sidebar side-bar sidenav rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs toolbar topbar header masthead site-header page-header footer foot site-footer comment comments commentlist disqus respond replies reply discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sign-up login signin search searchbox form share sharing social related recommended recommendations recirc more-stories popular trending widget widgets pagination pager paging tags tagcloud copyright disclaimer skip skip-link contentinfo complementary hidden visually-hidden sr-only".split()
 )
 #: Words beside these in a token: where a part is, or that it is a box.
-_PLACE = frozenset("left right top bottom main site page primary secondary global container wrapper wrap box block bar area section inner outer list links item items".split())
+_PLACE = frozenset("left right top bottom main site page primary secondary global container wrapper wrap box block bar area section inner outer list links item items button buttons icon icons slot slots unit zone frame thread article articles post posts story stories news reading topics pages reader readers user users visitor visitors guest guests blog".split())
 #: Parts that an article may have as well.
-_SOFT = frozenset("header page-header notice notices alert disclaimer discussion form search reply replies respond overlay tags foot banner copyright rail popular trending".split())
-#: Parts that are beside the article even where they hold more text than it.
+_SOFT = frozenset("header page-header disclaimer discussion form search reply replies respond overlay tags foot banner copyright rail popular trending".split())
+#: Talk of readers; one such word in a token tells it.
 _TALK = frozenset("comment comments commentlist disqus replies respond".split())
+#: Parts that never belong to the article, even where they hold more text than it.
+_FOREIGN = _TALK | frozenset("ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored notice notices notification alert cookie cookies consent gdpr".split())
+#: A token that begins so tells what an element has or lacks, not what it is.
+_ABOUT = frozenset("has have with without no not is hide show".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: An opening tag closes these open elements, up to the boundary after the bar.
 _CLOSES = {
@@ -143,7 +149,8 @@ class Open:
     def make_room(self, tag: str) -> None:
         """Close what a start tag of this name ends."""
         closes, bounds = _CLOSES.get(tag, (("p",), ()))
-        wall = max(1, *(self.last(b) for b in bounds), next((c for c in reversed(self.containers) if self.nodes[c].tag not in closes), 1))
+        wall = max([1, *(self.last(b) for b in bounds)])
+        wall = next((c for c in takewhile(lambda at: at > wall, reversed(self.containers)) if self.nodes[c].tag not in closes), wall)
         inside = [list(takewhile(lambda at: at > wall, reversed(self.places.get(c, ())))) for c in closes]
         if any(inside):
             self.cut(min(places[-1] for places in inside if places))
@@ -165,22 +172,28 @@ def _prunes(tag: str, attributes: dict[str, str], open_elements: Open) -> bool:
 
 
 def _named(token: str) -> str | None:
-    """The page part that a class or id token names."""
-    if token in _PART:
-        return token
-    words = [w for w in re.split("[-_]+", token) if w]
+    """The page part that a class or id token names: the whole token, all its words with places, or one word for talk."""
+    low = token.lower()
+    if low in _PART:
+        return low
+    words = [w for w in re.split("[-_]+", re.sub("(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()) if w]
+    if not words or words[0] in _ABOUT:
+        return None
+    talk = [w for w in words if w in _TALK and w not in _SOFT]
+    if talk:
+        return talk[0]
     parts = [w for w in words if w in _PART]
-    return parts[0] if parts and all(w in _PART or w in _PLACE for w in words) else None
+    return parts[0] if parts and all(w in _PART or w in _PLACE or w.isdigit() for w in words) else None
 
 
 def _hint(tag: str, attributes: dict[str, str], open_elements: Open) -> int:
-    """0 if class and id name no page part, 2 for talk about the article, 1 for others."""
+    """0 if class and id name no page part, 2 for what is never of the article (talk, adverts, notices), 1 for others."""
     if not attributes or tag in _HEADINGS or tag in ("html", "body", "article", "main"):
         return 0
-    parts = {_named(t) for name in ("class", "id") for t in attributes.get(name, "").lower().split()} - {None}
+    parts = {_named(t) for name in ("class", "id") for t in attributes.get(name, "").split()} - {None}
     if parts and parts <= _SOFT and (tag in _TEXT or open_elements.in_article()):
         return 0
-    return 2 if parts & _TALK else 1 if parts else 0
+    return 2 if parts & _FOREIGN else 1 if parts else 0
 
 
 def parse(page: str) -> Node:
@@ -239,16 +252,23 @@ def parse(page: str) -> Node:
 
 
 def _follow_hints(body: Node) -> None:
-    """Prune what class or id name as a page part, unless it holds most of the text outside links or nothing is left."""
+    """Prune what class or id name as a page part, unless nothing is left.
+
+    Talk, adverts and notices stay only if they hold an article element, other parts if they hold most of the text outside links.
+    """
     nodes = _measure(body)
     plain = {id(x): x.chars - x.link_chars for x in nodes}
+    holds = set()
+    for x in reversed(nodes):
+        if x.parent is not None and (x.tag in ("article", "main") and x.chars or id(x) in holds):
+            holds.add(id(x.parent))
     for x in nodes:
         x.chars = x.tags = x.link_chars = x.link_tags = 0
     total = left = plain[id(body)]
     gone, work = [], [body]
     while work:
         node = work.pop()
-        if node.hint == 2 or node.hint and plain[id(node)] * 2 <= total:
+        if node.hint == 2 and id(node) not in holds or node.hint == 1 and plain[id(node)] * 2 <= total:
             gone.append(node)
             left -= plain[id(node)]
         else:
@@ -306,11 +326,30 @@ def _densities(body: Node) -> list[Node]:
     return nodes
 
 
+#: How a line of rights begins.
+_RIGHTS = re.compile(r"\s*(?:copyright\s*)?(?:©|&copy;|\(c\)\s*\d)|\s*copyright\s*\d", re.I)
+
+
+def _opening(node: Node) -> str:
+    """The first text of a subtree that is not blank."""
+    work: list[Node | str] = [node]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return x
+        else:
+            work.extend(reversed(x.children))
+    return ""
+
+
 def _content(body: Node) -> list[Node]:
     """The subtrees of the main text, in the order of the page.
 
     These are the centre (the node of the largest sum), grown along its path to the body, and, beside
-    the rest of that path, headings and what is as dense as the least dense node of it.
+    the rest of that path, headings and what is as dense as the least dense node of it.  What shares its
+    parent with the grown centre stays too, if it is mostly no links, unless an article element holds the
+    centre and not it.  A short line of rights beside the centre goes.
     """
     nodes = [x for x in _densities(body) if x.tag in _CONTAINERS]
     best = max(nodes, key=lambda x: x.total)
@@ -331,7 +370,9 @@ def _content(body: Node) -> list[Node]:
     after: list[list[Node]] = []
     for node, inner in zip(path[:-1], path[1:], strict=True):
         at = next(i for i, c in enumerate(node.children) if c is inner)
-        sides = [[c for c in part if isinstance(c, Node) and c.chars and (c.density >= least or c.tag in _HEADINGS)] for part in (node.children[:at], node.children[at + 1 :])]
+        near = inner is best and not any(x.tag in ("article", "main") for x in path[path.index(inner) :])
+        stays = lambda c, near=near: (c.density >= least or c.tag in _HEADINGS or near and c.link_chars * 2 <= c.chars) and not (c.chars < 200 and _RIGHTS.match(_opening(c)))
+        sides = [[c for c in part if isinstance(c, Node) and c.chars and stays(c)] for part in (node.children[:at], node.children[at + 1 :])]
         before += sides[0]
         after.append(sides[1])
     return [*before, best, *(c for side in reversed(after) for c in side)]
@@ -345,7 +386,7 @@ def _blocks(node: Node) -> list[str]:
         if x is None:
             blocks.append([])
         elif isinstance(x, str):
-            blocks[-1].append(x)
+            blocks[-1].append(html.unescape(x))  # a reference never runs over markup
         elif x.tag == "br":
             blocks[-1].append(" ")
         else:
@@ -354,7 +395,7 @@ def _blocks(node: Node) -> list[str]:
                 blocks.append([])
                 work.append(None)
             work.extend(reversed(x.children))
-    joined = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+    joined = (" ".join("".join(b).split()) for b in blocks)
     return [b for b in joined if b]
 
 

@@ -44,7 +44,7 @@ def test_wrappers_whose_names_hold_words_of_page_parts(name):
 
 def test_parts_of_an_article_with_such_names():
     page = framed(f"<article><div class='post-header'><h1>Head</h1></div><p class='notice'>A notice.</p>{ARTICLE}<div class='ad'>Buy it.</div><div class='share-links'>Share it.</div></article>")
-    assert H.main_text(page) == "Head\nA notice.\n" + WANT
+    assert H.main_text(page) == "Head\n" + WANT  # notices are no part of a text
 
 
 def test_sections_and_headings_beside_the_centre():
@@ -52,6 +52,60 @@ def test_sections_and_headings_beside_the_centre():
     assert H.main_text(page) == "Head\n" + ("one two " * 30).strip() + "\n" + ("three four " * 20).strip()
 
 
+LINE = "One long sentence of sixteen words that says a little more than others do here."
+
+
+def lines(n, mark=""):
+    return "".join(f"<p>{mark}{k} {LINE}</p>" for k in range(n))
+
+
+def read(n, mark=""):
+    return [f"{mark}{k} {LINE}" for k in range(n)]
+
+
+@pytest.mark.parametrize("name", ["id='reader-comments'", "class='post-comments'", "class='user-comments box'", "class='commentThread'", "id='comments-of-readers'", "class='ad-slot-1'", "class='adSlot'", "class='notice'", "class='alert'", "id='cookie-bar'", "class='sponsored-posts'"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_talk_adverts_and_notices_go_even_where_they_outweigh_the_article(name, tag):
+    foreign = f"<div {name}>{lines(10, 'x')}</div>"
+    assert H.main_text(f"<body><{tag}>{lines(3)}</{tag}>{foreign}</body>").split("\n") == read(3)
+    assert H.main_text(f"<body><{tag}>{lines(2)}<div {name}>{lines(1, 'x')}</div><p>End.</p></{tag}></body>").split("\n") == [*read(2), "End."]
+    assert H.main_text(f"<body><div {name}><article>{lines(3)}</article></div></body>").split("\n") == read(3)  # a name around the article
+    assert H.main_text(f"<body>{foreign}</body>").split("\n") == read(10, "x")  # there is nothing else
+
+
+@pytest.mark.parametrize("name", ["share-buttons", "related-articles", "related-posts", "social-icons", "newsletter-box"])
+def test_parts_inside_an_article_go(name):
+    assert H.main_text(f"<article>{lines(3)}<div class='{name}'><p>Something else.</p></div><p>End.</p></article>").split("\n") == [*read(3), "End."]
+
+
+@pytest.mark.parametrize("name", ["has-comments", "no-comments", "with-comments", "layout"])
+def test_names_that_tell_what_an_element_has(name):
+    assert H.main_text(f"<body class='{name}'><div class='{name}'>{lines(3)}</div><div class='comments'>{lines(9, 'x')}</div></body>").split("\n") == read(3)
+
+
+def test_sections_beside_the_centre_stay():
+    sections = [*read(6), *read(3, "b"), "Three", "A short one."]
+    page = f"<div><section>{lines(6)}</section><section>{lines(3, 'b')}</section><section><h2>Three</h2><p>A short one.</p></section></div>"
+    assert H.main_text(f"<body>{page}</body>").split("\n") == sections
+    page = f"<body><div>{lines(6)}</div><div><h2>Second</h2><p>Short.</p><ul><li>one<li>two</ul></div><div>The end.</div><div>© 2020 Someone</div><div><a href=x>All that was written before</a></div></body>"
+    assert H.main_text(page).split("\n") == [*read(6), "Second", "Short.", "one", "two", "The end."]
+    page = f"<body><article><div>{lines(6)}</div></article><div>A line of the site.</div></body>"
+    assert H.main_text(page).split("\n") == read(6)
+
+
+def test_references_do_not_run_over_markup():
+    assert H.main_text("<p>&am<b>p;</b> &amp;lt; &#x26;&l<i>t;</i></p>") == "&amp; &lt; &&lt;"
+
+
+def test_many_nested_tables_take_linear_time():
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        assert H.main_text("<table><tr><td>" * n + "x") == "x"
+        took.append(time.perf_counter() - began)
+    assert took[1] < 2.5 and took[1] < 8 * took[0] + 0.3
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<script>x", "<!-- open", "<p", "<", "</p></div>", "<style>a{}</style>"])
 def test_pages_without_text(page):
     assert H.main_text(page) in ("", "<", "<p")
