@@ -207,3 +207,34 @@ def rolling_sum(rows: DataFrame, group: list[str], order: str, value: Column, n:
     for g in group:
         same = same & F.col(g).eqNullSafe(F.col(f"{g}_"))
     return numbered.join(earlier, same, "left").withColumn(name, F.col("sum_") - F.coalesce("less_", F.lit(0))).select(*rows.columns, name)
+
+
+#: Ways to sort what a search found: column, descending; ties go by name, then by key.
+SORTS = {
+    "nameAscending": ("name", False),
+    "nameDescending": ("name", True),
+    "dateCreatedAscending": ("date_created", False),
+    "dateCreatedDescending": ("date_created", True),
+    "dateModifiedAscending": ("date_modified", False),
+    "dateModifiedDescending": ("date_modified", True),
+}
+#: Fixed value: the most rows of a page.
+PAGE = 100
+
+
+def explored(hits: DataFrame, sort_by: str, first: int, size: int, columns: dict[str, str], key: str) -> DataFrame:
+    """(key, place, total): a page of the hits in one of the ways of ``SORTS``, behind the first rows, with how many hits there are.
+
+    columns: which columns are ``name``, ``date_created`` and ``date_modified``.  Nulls come last
+    ascending and descending.  A page beyond the last hit is empty.
+    """
+    if sort_by not in SORTS:
+        raise ValueError(f"sort by one of {', '.join(SORTS)}")
+    if first < 0 or not 0 < size <= PAGE:
+        raise ValueError(f"a page starts at 0 or later and has 1 to {PAGE} rows")
+    by, descending = SORTS[sort_by]
+    c = F.col(columns[by])
+    order = [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col(columns["name"]).asc_nulls_last(), F.col(key)]
+    top = hits.select(key, *columns.values()).orderBy(*order).limit(first + size)  # a page, bounded by where it ends
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > first)
+    return placed.select(key, "place").crossJoin(hits.agg(F.count("*").alias("total")))

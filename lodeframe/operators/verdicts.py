@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .fields import symbol_matches
+
 # Confidences of the verdicts.
 FULL_MATCH, NUMBER_MATCH, NO_MATCH, WEAKENED = 0.85, 0.75, 0.6, 0.65
 TWO_READINGS, ONE_READING = 0.8, 0.7
@@ -103,3 +105,68 @@ def compared(before: DataFrame, after: DataFrame, key: str, value: str) -> DataF
     j = b.withColumn("hb", F.lit(True)).join(a.withColumn("ha", F.lit(True)), key, "full")
     change = F.when(F.col("hb").isNull(), "added").when(F.col("ha").isNull(), "removed").when(F.col("before").eqNullSafe(F.col("after")), "same").otherwise("changed")
     return j.select(key, "before", "after", change.alias("change"))
+
+
+# Confidence of a tie that a symbol breaks, frames by class, and what a recovered frame mismatch casts.
+SYMBOL_TIE = 0.75
+FRAME_CLASSES = {"1993": "old", "1997": "old", "2003": "modern", "2015": "modern"}
+RECOVERED_ARTIST, ALTERED_FRAME = 0.8, 0.7
+
+
+def frame_mismatch(read: Column, known: Column) -> Column:
+    """The frame that was read is not of the class of the known one; what is unknown or of no class never differs."""
+    return disagreement(F.coalesce(read, F.lit("")), F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in FRAME_CLASSES.items() for x in pair]), known), F.lit("")))
+
+
+def ladder(confidence: Column, *, truncated: Column, border: Column, known_border: Column, frame: Column, known_frame: Column, year: Column, released: Column, line_artist: Column, artist: Column, known_artist: Column) -> Column:
+    """(skip_reason, confidence) of a match, rung by rung.
+
+    In turn a cut-off picture, a frame of another class, a year of rights long before the release, and
+    another artist in the line that the match was read from withhold it.  What stays is weakened by
+    another border, or by another artist where the picture's credit was read apart.
+    """
+    skip = (
+        F.when(F.coalesce(truncated, F.lit(False)), "truncated-image")
+        .when(frame_mismatch(frame, known_frame), "frame-mismatch")
+        .when(F.coalesce(released - year > YEARS_BEFORE_RELEASE, F.lit(False)), "copyright-year-mismatch")
+        .when(disagreement(line_artist, known_artist), "artist-mismatch")
+        .otherwise("")
+    )
+    weaker = disagreement(border, known_border) | disagreement(artist, known_artist)
+    return F.struct(skip.alias("skip_reason"), F.when(skip == "", F.when(weaker, F.least(confidence, F.lit(WEAKENED))).otherwise(confidence)).alias("confidence"))
+
+
+def ties_broken(symbols: DataFrame, tied: DataFrame, glyphs: DataFrame, key: str) -> DataFrame:
+    """(key, candidate): the smallest candidate of the one set whose glyph is near a row's symbol and clear of the other sets.
+
+    symbols: (key, symbol); tied: (key, candidate, set_code); glyphs: (set_code, glyph).  Rows without
+    a symbol, and ties that no glyph breaks, give none.
+    """
+    windows = symbols.where("symbol is not null").select(key, F.array("symbol").alias("hashes"))
+    return symbol_matches(windows, tied, glyphs, key).groupBy(key).agg(F.min("candidate").alias("candidate"))
+
+
+def recovered_frames(withheld: DataFrame, winners: DataFrame, printings: DataFrame, key: str) -> DataFrame:
+    """(key, kind, outcome, confidence): what a second pass casts for rows withheld by their frame.
+
+    withheld: (key); winners: (key, winner), the clear winner by hash where there is one; printings:
+    (pk, artist).  A recovered row says its printing's artist, and that its frame was altered; rows
+    without a clear winner say nothing.
+    """
+    found = withheld.select(key).distinct().join(winners.where("winner is not null"), key).join(printings.select(F.col("pk").alias("winner"), "artist"), "winner")
+    cast = lambda kind, outcome, c: F.struct(F.lit(kind).alias("kind"), outcome.alias("outcome"), F.lit(c).alias("confidence"))
+    return found.select(key, F.explode(F.array(cast("artist", F.col("artist"), RECOVERED_ARTIST), cast("tag", F.lit("altered-frame"), ALTERED_FRAME))).alias("v")).select(key, "v.*")
+
+
+def eliminated(open_rows: DataFrame, uncovered: DataFrame, evidence: DataFrame, name: str, key: str) -> DataFrame:
+    """(key, printing, reason): the only open row of a name and its only uncovered printing, if what was read of it agrees.
+
+    open_rows: (name, key); uncovered: (name, printing, border, frame); evidence: (key, border, frame).
+    A row without evidence abstains (``no-evidence``): counting says nothing about what a picture
+    shows; another border or a frame of another class abstains too.  Then printing is null.
+    """
+    one_row = open_rows.groupBy(name).agg(F.min(key).alias(key), F.count("*").alias("n")).where("n = 1")
+    one_printing = uncovered.groupBy(name).agg(F.min("printing").alias("printing"), F.min("border").alias("kb"), F.min("frame").alias("kf"), F.count("*").alias("m")).where("m = 1")
+    both = one_row.join(one_printing, name).join(evidence.select(key, "border", "frame", F.lit(True).alias("seen")), key, "left")
+    reason = F.when(F.col("seen").isNull(), "no-evidence").when(disagreement(F.col("border"), F.col("kb")), "border-mismatch").when(frame_mismatch(F.col("frame"), F.col("kf")), "frame-mismatch").otherwise("")
+    return both.select(key, F.when(reason == "", F.col("printing")).alias("printing"), reason.alias("reason"))

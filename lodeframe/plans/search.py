@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -432,6 +433,18 @@ def _(i):
     return S.page(h, [F.desc("created_day"), F.col("name"), F.col("pk")], 120, 60).crossJoin(h.agg(F.count("*").alias("total"))).select("pk", "name", "total")
 
 
+_ORDERS = {"nameAscending": "name", "nameDescending": "name desc", "dateCreatedAscending": "created_day, name", "dateCreatedDescending": "created_day desc, name", "dateModifiedAscending": "modified_day, name", "dateModifiedDescending": "modified_day desc, name"}
+
+
+@query("srt_3_sort_modes", "with h as (select pk, name, created_day, modified_day, count(*) over () as total from cards where contains(name, 'r')) " + " union all ".join(f"select '{m}' as sort_by, pk, place, total from (select pk, total, cast(row_number() over (order by {o}, pk) as int) as place from h) where place > 30 and place <= 70" for m, o in _ORDERS.items()))
+def _(i):
+    """The second page in each of the six ways to sort."""
+    h = i.cards.where(F.col("name").contains("r"))
+    columns = {"name": "name", "date_created": "created_day", "date_modified": "modified_day"}
+    pages = [S.explored(h, mode, 30, 40, columns, "pk").withColumn("sort_by", F.lit(mode)) for mode in S.SORTS]
+    return reduce(DataFrame.unionByName, pages)
+
+
 @query("srt_4_multi_key_order", "select c.pk, row_number() over (order by s.ordinal, c.priority desc, s.name, c.name, c.pk) as rank from cards c join sources s on s.pk = c.source_pk where card_type = 'CARDBACK' qualify rank <= 200")
 def _(i):
     s = i.sources.select(F.col("pk").alias("source_pk"), "ordinal", F.col("name").alias("source"))

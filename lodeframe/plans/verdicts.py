@@ -37,9 +37,11 @@ LAST = "l as (select * from (select e.*, c.base_name as name, row_number() over
 JUDGED = f"{LAST}, h as (select card_pk, count(*) as n, min(p.pk) as c from l join printings p on p.name = l.name and cast(cast(p.number as bigint) as string) = l.number and (l.set_code = '' or l.set_code = p.set_code) where l.number <> '' group by 1), j as (select l.*, case when n = 1 then c end as match, case when l.number = '' then 'no-text' when n is null then 'no-match' when n > 1 then 'ambiguous' else '' end as reason from l left join h using (card_pk)), v as (select card_pk, case when match is not null then cast(match as string) when reason = 'no-match' and not (set_code <> '' and set_code not in ('s0', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 's8')) then 'NO_MATCH' end as outcome, case when match is not null then case when set_code <> '' then 0.85 else 0.75 end when reason = 'no-match' and not (set_code <> '' and set_code not in ('s0', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 's8')) then 0.6 end as confidence, case when match is not null then '' when reason = 'no-match' then case when set_code <> '' and set_code not in ('s0', 's1', 's2', 's3', 's4', 's5', 's6', 's7', 's8') then 'unknown-set-code' else '' end else reason end as skip_reason from j)"
 
 
-def judged(i: Inputs) -> DataFrame:
-    rows = one_reading(i)
-    found = M.classify_matches(rows, i.printings.select("pk", "name", "set_code", "number"), "card_pk", "name")
+def judged(i: Inputs, numbers: int | None = None) -> DataFrame:
+    """Verdicts by set and number; with ``numbers``, collector numbers count by their rest only, so several printings of a name have one."""
+    rest = lambda df: df.withColumn("number", F.coalesce((F.expr("try_cast(number as bigint)") % numbers).cast("string"), "number")) if numbers else df
+    rows = rest(one_reading(i))
+    found = M.classify_matches(rows, rest(i.printings.select("pk", "name", "set_code", "number")), "card_pk", "name")
     joined = rows.join(found, "card_pk")
     return joined.withColumn("v", V.join_key_verdict(F.col("match"), F.col("reason"), F.col("set_code"), KNOWN))
 
@@ -405,3 +407,76 @@ def _(i):
     p = i.printings.select(F.col("pk").alias("printing"), F.col("name").alias("base_name"), F.col("image_hash").alias("phash"))
     two = i.cards.select("pk", "base_name", "phash").join(p, ["base_name", "phash"]).groupBy("pk").agg(F.min("printing").cast("string").alias("outcome"))
     return R.two_engines(one, two, "pk")
+
+
+# --- the ladder of a match ------------------------------------------------------------------------
+
+FRAME_READ = "case when content_hash % 5 = 0 then '' when content_hash % 2 = 0 then 'old' else 'modern' end"
+FRAME_KNOWN = "case when popularity is null then 'future' when released_year < 1998 then '1993' when released_year < 2003 then '1997' when released_year < 2015 then '2003' else '2015' end"
+FRAME_CLASS = f"case {FRAME_KNOWN} when '1993' then 'old' when '1997' then 'old' when 'future' then '' else 'modern' end"
+GLYPH = 1229782938247303441
+COARSE = JUDGED.replace("cast(cast(p.number as bigint) as string) = l.number", "cast(cast(p.number as bigint) % 3 as string) = cast(try_cast(l.number as bigint) % 3 as string)")
+LADDER = f"""with {COARSE}, tied as (select j.card_pk, p.pk as candidate, p.set_code, case when (content_hash + 1) % 9 < 8 then xor(cast((content_hash + 1) % 9 as bigint) * {GLYPH}, cast(content_hash % 32 as bigint)) end as symbol from j join printings p on p.name = j.name and cast(p.number as bigint) % 3 = try_cast(j.number as bigint) % 3 and (j.set_code = '' or j.set_code = p.set_code) where j.reason = 'ambiguous'),
+    near as (select card_pk, set_code, min(bit_count(xor(symbol, cast(substr(set_code, 2) as bigint) * {GLYPH}))) as d from tied where set_code <> 's8' and symbol is not null group by 1, 2),
+    best as (select *, row_number() over (partition by card_pk order by d, set_code) as rn, lead(d) over (partition by card_pk order by d, set_code) as next from near),
+    broken as (select t.card_pk, min(t.candidate) as candidate from tied t join best b on b.card_pk = t.card_pk and b.set_code = t.set_code where rn = 1 and d <= 6 and (next is null or next - d > 6) group by 1),
+    m as (select v.card_pk, coalesce(j.match, b.candidate) as matched, case when j.match is null and b.candidate is not null then 0.75 else v.confidence end as base, v.outcome, v.skip_reason from v join j using (card_pk) left join broken b using (card_pk)),
+    lad as (select m.*, case when truncated then 'truncated-image' when {FRAME_READ} <> '' and {FRAME_CLASS} <> '' and {FRAME_READ} <> {FRAME_CLASS} then 'frame-mismatch' when p.released_year - l.year > 2 then 'copyright-year-mismatch'
+        when content_hash % 3 = 0 and l.artist <> '' and lower(l.artist) <> lower(p.artist) then 'artist-mismatch' else '' end as veto, (l.border <> '' and l.border <> p.border) or (l.artist <> '' and lower(l.artist) <> lower(p.artist)) as weak from m join l using (card_pk) left join printings p on p.pk = m.matched),
+    fin as (select card_pk, case when matched is null then outcome when veto = '' then cast(matched as string) end as outcome, cast(case when matched is null then base when veto = '' then case when weak then least(base, 0.65) else base end end as double) as confidence, case when matched is null then skip_reason else veto end as skip_reason from lad)"""
+
+
+def tie_breaks(i: Inputs) -> DataFrame:
+    """(card_pk, candidate): ambiguous readings whose symbol tells the set; sets 0 to 7 have a glyph."""
+    j = judged(i, 3).where("reason = 'ambiguous'")
+    p = i.printings.select("name", (F.col("number").cast("long") % 3).cast("string").alias("number"), F.col("set_code").alias("known"), F.col("pk").alias("candidate"))
+    tied = j.select("card_pk", "name", "number", "set_code").join(p, ["name", "number"]).where("set_code = '' or set_code = known").select("card_pk", "candidate", F.col("known").alias("set_code"))
+    symbols = j.select("card_pk", F.when((F.col("content_hash") + 1) % 9 < 8, (((F.col("content_hash") + 1) % 9).cast("long") * GLYPH).bitwiseXOR((F.col("content_hash") % 32).cast("long"))).alias("symbol"))
+    glyphs = i.spark.range(8).select(F.concat(F.lit("s"), "id").alias("set_code"), (F.col("id") * GLYPH).alias("glyph"))  # a row a set
+    return V.ties_broken(symbols, tied, glyphs, "card_pk")
+
+
+def laddered(i: Inputs) -> DataFrame:
+    """(card_pk, outcome, confidence, skip_reason): verdicts after ties are broken and all rungs are climbed."""
+    rows = judged(i, 3).join(tie_breaks(i), "card_pk", "left").withColumn("matched", F.coalesce("match", "candidate"))
+    p = i.printings.select(F.col("pk").alias("matched"), F.col("border").alias("kb"), F.col("artist").alias("ka"), "released_year", F.expr(FRAME_KNOWN).alias("kf"))
+    base = F.when(F.col("match").isNull() & F.col("candidate").isNotNull(), V.SYMBOL_TIE).otherwise(F.col("v.confidence"))
+    line = F.when(F.col("content_hash") % 3 == 0, F.col("artist")).otherwise("")
+    rungs = V.ladder(base, truncated=F.col("truncated"), border=F.col("border"), known_border=F.col("kb"), frame=F.expr(FRAME_READ), known_frame=F.col("kf"), year=F.col("year"), released=F.col("released_year"), line_artist=line, artist=F.col("artist"), known_artist=F.col("ka"))
+    climbed = rows.join(p, "matched", "left").withColumn("r", rungs)
+    hit, free = F.col("matched").isNotNull(), F.col("r.skip_reason") == ""
+    return climbed.select("card_pk", F.when(~hit, F.col("v.outcome")).when(free, F.col("matched").cast("string")).alias("outcome"), F.when(hit, F.col("r.confidence")).otherwise(F.col("v.confidence")).alias("confidence"), F.when(hit, F.col("r.skip_reason")).otherwise(F.col("v.skip_reason")).alias("skip_reason"))
+
+
+@query("ver_1_tie_breaks", f"{LADDER} select card_pk, candidate from broken")
+def _(i):
+    return tie_breaks(i)
+
+
+@query("ver_2_ladder", f"{LADDER} select card_pk, outcome, confidence, skip_reason from fin")
+def _(i):
+    return laddered(i)
+
+
+@query("ver_12_recovery_pass", f"""{LADDER}, w as (select fin.card_pk, p.pk, p.artist, bit_count(xor(c.phash, p.image_hash)) as d from fin join cards c on c.pk = fin.card_pk join printings p on p.name = c.base_name where fin.skip_reason = 'frame-mismatch' and c.phash is not null),
+    k as (select *, row_number() over (partition by card_pk order by d, pk) as rn, lead(d) over (partition by card_pk order by d, pk) as next from w), won as (select card_pk, artist from k where rn = 1 and d <= 20 and (next is null or next - d > 5))
+    select card_pk, 'artist' as kind, artist as outcome, cast(0.8 as double) as confidence from won union all select card_pk, 'tag', 'altered-frame', 0.7 from won""")
+def _(i):
+    """Rows that their frame withheld, looked at again by their pictures' hashes."""
+    withheld = checkpointed(laddered(i).where("skip_reason = 'frame-mismatch'").select("card_pk"))
+    c = i.cards.where("phash is not null").select(F.col("pk").alias("card_pk"), F.col("base_name").alias("name"), "phash")
+    pairs = withheld.join(c, "card_pk").join(i.printings.select("name", "pk", "image_hash"), "name").select("card_pk", "pk", M.hamming(F.col("phash"), F.col("image_hash")).alias("d"))
+    return V.recovered_frames(withheld, M.clear_winner(pairs, "card_pk", "pk", "d", 20, 5), i.printings, "card_pk")
+
+
+@query("agg_30_elimination", f"""with {LAST}, p as (select concat(name, '/', set_code) as k, min(pk) as printing, min(border) as kb, min({FRAME_CLASS}) as kf from printings where pk not in (select canonical_pk from cards where canonical_pk is not null) group by 1 having count(*) = 1),
+    o as (select concat(base_name, '/', expansion_hint) as k, min(pk) as pk from cards where status <> 'RESOLVED' and expansion_hint <> '' group by 1 having count(*) = 1), e as (select card_pk as pk, border, {FRAME_READ} as frame from l where card_pk % 7 <> 0),
+    r as (select pk, printing, case when e.border is null then 'no-evidence' when border <> '' and border <> kb then 'border-mismatch' when frame <> '' and kf <> '' and frame <> kf then 'frame-mismatch' else '' end as reason from o join p using (k) left join e using (pk))
+    select pk, case when reason = '' then printing end as printing, reason from r""")
+def _(i):
+    """The only open row and the only uncovered printing of a name in a set, if the row's picture agrees."""
+    covered = i.cards.where("canonical_pk is not null").select(F.col("canonical_pk").alias("pk")).distinct()
+    uncovered = i.printings.join(covered, "pk", "left_anti").select(F.concat_ws("/", "name", "set_code").alias("k"), F.col("pk").alias("printing"), "border", F.expr(FRAME_KNOWN).alias("frame"))
+    open_rows = i.cards.where("status <> 'RESOLVED' and expansion_hint <> ''").select(F.concat_ws("/", "base_name", "expansion_hint").alias("k"), "pk")
+    read = one_reading(i).where("card_pk % 7 <> 0").select(F.col("card_pk").alias("pk"), "border", F.expr(FRAME_READ).alias("frame"))
+    return V.eliminated(open_rows, uncovered, read, "k", "pk")
