@@ -135,13 +135,14 @@ def surviving(survivors: list[Column]) -> Column:
     return reduce(both, survivors)
 
 
-def unique_prefix(rows: DataFrame, key: str, text: str, names: DataFrame, name: str, length: int = 3) -> DataFrame:
+def unique_prefix(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """(key, name): the exact name or, where none is, the only name that starts with the text.
 
-    Texts meet names by their first ``length`` letters, so texts must have that many.
+    Names are counted by each of their beginnings, so texts of any length meet one row, not the names
+    that share it.  A null or empty text has no name.
     """
-    head = lambda c: F.substring(c, 1, length)
-    n = names.select(F.col(name)).distinct()
-    pairs = rows.where(F.length(text) >= length).withColumn("__h", head(F.col(text))).join(n.withColumn("__h", head(F.col(name))), "__h").where(F.col(name).startswith(F.col(text)))
-    found = pairs.groupBy(key).agg(F.count("*").alias("m"), F.min(name).alias("lo"), F.max(F.when(F.col(name) == F.col(text), F.col(name))).alias("exact"))
-    return found.select(key, F.coalesce("exact", F.when(F.col("m") == 1, F.col("lo"))).alias(name)).where(F.col(name).isNotNull())
+    n = names.select(F.col(name).alias("n_")).where("n_ <> ''").distinct()
+    begun = n.select("n_", F.explode(F.sequence(F.lit(1), F.length("n_"))).alias("to_")).select("n_", F.expr("substring(n_, 1, to_)").alias("p_"))
+    known = begun.groupBy("p_").agg(F.count("*").alias("m_"), F.min("n_").alias("lo_"), F.max(F.col("n_") == F.col("p_")).alias("exact_"))
+    found = rows.select(key, F.col(text).alias("p_")).join(known, "p_")
+    return found.where("exact_ or m_ = 1").select(key, F.when(F.col("exact_"), F.col("p_")).otherwise(F.col("lo_")).alias(name))

@@ -210,6 +210,13 @@ def _(i):
     return M.unique_prefix(rows, "pk", "t", i.printings, "name")
 
 
+@query("join_22_short_prefixes", "with t as (select pk, substr(base_name, 1, 1 + cast(pk % 9 as int)) as t from cards), n as (select distinct name from printings), m as (select t.pk, count(*) as m, min(name) as lo, max(case when name = t then name end) as exact from t join n on starts_with(name, t) group by 1) select pk, coalesce(exact, case when m = 1 then lo end) as name from m where exact is not null or m = 1")
+def _(i):
+    """Texts of one to nine letters."""
+    rows = i.cards.select("pk", F.expr("substr(base_name, 1, 1 + cast(pk % 9 as int))").alias("t"))
+    return M.unique_prefix(rows, "pk", "t", i.printings, "name")
+
+
 @query("agg_29_unique_candidate", "select c.pk, min(p.pk) as printing_pk from cards c join printings p on p.name = c.base_name and p.set_code = c.expansion_hint group by 1 having count(*) = 1")
 def _(i):
     p = i.printings.select(F.col("pk").alias("p"), F.col("name").alias("base_name"), F.col("set_code").alias("expansion_hint"))

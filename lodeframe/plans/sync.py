@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import sync as Y
+from ..session import shared_folder
 from ..sources import files as R
 from .registry import Inputs, query
 
@@ -114,6 +117,35 @@ def _(i):
     return i.nation.select(F.col("n_nationkey").alias("k"), F.to_csv(F.struct("n_nationkey", "n_name")).alias("line"))
 
 
+@query("src_12_csv_files", "select pk, name, card_type, tag_list, dpi from cards")
+def _(i):
+    """The catalogue as CSV files with a header, and back with a given schema."""
+    rows, path = i.cards.select("pk", "name", "card_type", "tag_list", "dpi"), f"{shared_folder(i.spark)}/csv-{uuid.uuid4().hex}"
+    R.write_csv(rows, path)
+    return i.spark.read.schema(rows.schema).option("emptyValue", "").option("nullValue", None).csv(path, header=True)
+
+
+def tree(i: Inputs) -> str:
+    """A folder tree that the parts are written to: kinds of parts, some of them pruned, below a folder whose name looks pruned."""
+    root = f"{shared_folder(i.spark)}/!tree-{uuid.uuid4().hex}"
+    for size in range(5):  # folders of two levels
+        folder = f"{root}/{'!' if size == 3 else ''}size{size}/{'!' if size == 1 else ''}parts"
+        i.part.where(F.col("p_size") % 5 == size).select("p_partkey", "p_name").write.csv(folder)
+    return root
+
+
+TREE = "select concat('size', p_size % 5, '/parts') as folder, count(*) as n from part where p_size % 5 not in (1, 3) group by 1"
+
+
+@query("src_1_scanned_tree", TREE)
+def _(i):
+    """The rows of all files of a tree that a scan finds, by folder."""
+    root = tree(i)
+    rows = i.spark.read.text(f"{root}/*/*").select(F.col("_metadata.file_name").alias("name"))
+    files = R.scan_folder(i.spark, root, "*.csv").select("name", "folder")
+    return rows.join(files, "name").groupBy(F.regexp_extract("folder", "([^/]+/[^/]+)$", 1).alias("folder")).agg(F.count("*").alias("n"))
+
+
 @query("src_17_surrogate_keys", "with f as (select l_partkey, l_suppkey, count(*) over (partition by l_suppkey) as group_rows from lineitem join part on p_partkey = l_partkey where p_size < 40) select 'found' as kind, count(*) as n, cast(sum(group_rows) as bigint) as total from f union all select 'missed', count(*), cast(0 as bigint) from lineitem where l_partkey not in (select p_partkey from part where p_size < 40)")
 def _(i):
     dim = i.part.where("p_size < 40").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("sk"))
