@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -61,8 +62,9 @@ def near_substring(text: str | None, marker: str, least: int = 8) -> bool:
     return n >= least and any(sum(x != y for x, y in zip(bare[i : i + n], marker, strict=True)) <= 1 for i in range(len(bare) - n + 1))
 
 
-def near_substring_udf(marker: str, least: int = 8):
-    def holds(text: pd.Series) -> pd.Series:
-        return pd.Series([near_substring(t, marker, least) for t in text], dtype="bool")
-
-    return F.pandas_udf(holds, T.BooleanType())
+def holds_near(text: Column, marker: str, least: int = 8) -> Column:
+    """``near_substring`` of a column, in the JVM: each letter of the marker in turn may be any; a null text holds nothing."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")
+    if len(marker) < least:
+        return bare.contains(marker)
+    return bare.rlike("|".join(f"{re.escape(marker[:k])}.{re.escape(marker[k + 1:])}" for k in range(len(marker))))

@@ -46,13 +46,32 @@ def truncated(values, rows: int = 2) -> bool:
 _QUALITY = T.StructType([T.StructField("sharpness", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("truncated", T.BooleanType())])
 
 
-def quality(levels: Column) -> Column:
-    """(sharpness, entropy, truncated) of arrays of grey levels, in Arrow batches."""
+def measured(fields: list, levels: int = 16) -> pd.DataFrame:
+    """(sharpness, entropy, truncated) of many fields, those of one size as one matrix."""
+    out = np.full((len(fields), 3), np.nan)
+    sizes = np.array([-1 if v is None else len(v) for v in fields])
+    for size in np.unique(sizes[sizes > 0]):
+        own = np.flatnonzero(sizes == size)
+        values = np.stack([fields[k] for k in own]).astype(np.float64)
+        side = int(size**0.5)
+        p = values[:, : side * side].reshape(-1, side, side)
+        if size >= 9:
+            out[own, 0] = (p[:, :-2, 1:-1] + p[:, 2:, 1:-1] + p[:, 1:-1, :-2] + p[:, 1:-1, 2:] - 4 * p[:, 1:-1, 1:-1]).var(axis=(1, 2))
+        low, high = values.min(1, keepdims=True), values.max(1, keepdims=True)
+        flat = high == low
+        low, high = np.where(flat, low - 0.5, low), np.where(flat, high + 0.5, high)
+        edges = np.stack([np.linspace(a, b, levels + 1) for a, b in zip(low[:, 0], high[:, 0], strict=True)])
+        # Bins are closed below and open above, but for the last, as those of a histogram.
+        at = np.minimum((values[:, :, None] >= edges[:, None, 1:-1]).sum(2), levels - 1)
+        share = np.stack([(at == k).sum(1) for k in range(levels)], 1) / size
+        out[own, 1] = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
+        out[own, 2] = np.ptp(p[:, -2:], axis=(1, 2)) == 0 if side > 2 else 0
+    return pd.DataFrame({"sharpness": out[:, 0], "entropy": out[:, 1], "truncated": np.nan_to_num(out[:, 2]) > 0}).astype({"sharpness": object, "entropy": object}).where(lambda d: d.notna(), None)
 
-    def measure(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(sharpness(v), grey_entropy(v), v is not None and truncated(v)) for v in values], columns=["sharpness", "entropy", "truncated"])
 
-    return F.pandas_udf(measure, _QUALITY)(levels)
+def quality(levels: Column) -> Column:
+    """(sharpness, entropy, truncated) of arrays of grey levels, in Arrow batches."""
+    return F.pandas_udf(lambda values: measured(list(values)), _QUALITY)(levels)
 
 
 def nearest_window(hashes: Column, wanted: Column) -> Column:

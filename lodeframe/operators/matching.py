@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def tiered_lookup(rows: DataFrame, key: str, tiers: list[Column], index: DataFrame, name: str, unique: tuple[bool, ...] = ()) -> DataFrame:
     """(key, name, tier): the first tier of name keys that the index knows; a unique tier needs one index name for its key.
@@ -66,17 +68,26 @@ def near_values(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     return a.join(b, "k").where(d <= distance).select("a", "b", d.alias("distance")).distinct()
 
 
-def near_groups(rows: DataFrame, key: str, h: str, distance: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): (a, b, distance) of representatives a < b of values within a distance, and (key, representative).
+def near_sized(rows: DataFrame, key: str, h: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, groups): (a, b, distance, n_a, n_b) of groups of equal values within a distance, and (h, r, n), their smallest key and size.
 
-    The smallest key stands for all rows of its value, so equal values cost a row each and no pairs.
+    The groups are written once; all else reads them, not the rows.  The smallest key stands for all
+    rows of its value, so equal values cost a row each and no pairs.
     """
-    known = rows.where(F.col(h).isNotNull()).select(key, F.col(h).alias("h"))
-    least = known.groupBy("h").agg(F.min(key).alias("r"))
-    values = near_values(known.select("h"), known.select("h"), distance).where("a < b")
-    left, right = least.toDF("a", "x"), least.toDF("b", "y")
-    pairs = values.join(left, "a").join(right, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
-    return pairs, known.join(least, "h").select(key, F.col("r").alias("representative"))
+    known = rows.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("r"), F.count("*").alias("n"))
+    groups = checkpointed(known)
+    banded = groups.withColumn("k", F.explode(bands(F.col("h"), distance)))
+    d = hamming(F.col("x.h"), F.col("y.h"))
+    met = banded.alias("x").join(banded.alias("y"), F.col("x.k") == F.col("y.k")).where((F.col("x.r") < F.col("y.r")) & (d <= distance))
+    pairs = met.select(F.col("x.r").alias("a"), F.col("y.r").alias("b"), d.alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
+    return pairs, groups
+
+
+def near_groups(rows: DataFrame, key: str, h: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): (a, b, distance) of representatives a < b of values within a distance, and (key, representative)."""
+    pairs, groups = near_sized(rows, key, h, distance)
+    members = rows.where(F.col(h).isNotNull()).select(key, F.col(h).alias("h")).join(groups.select("h", F.col("r").alias("representative")), "h")
+    return pairs.select("a", "b", "distance"), members.select(key, "representative")
 
 
 def clear_winner(pairs: DataFrame, row: str, candidate: str, distance: str, threshold: int, margin: int) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,8 +170,21 @@ def newest(rows: DataFrame, group: list[str], order: list[Column], n: int) -> Da
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rn") <= n)
 
 
-#: Values of an integer order key that one window covers.
-STRETCH = 1 << 16
+#: Rows of all groups that one stretch of the order key covers, about, and the most stretches.
+STRETCH, STRETCHES = 1 << 16, 4096
+
+
+def stretched(rows: DataFrame, order: str, stretch: int = STRETCH) -> DataFrame:
+    """rows with ``stretch_``: which of the stretches of about equal rows an integer key is in, cut at quantiles of all keys.
+
+    Sparse keys (hashes, say) are cut as dense ones are.  A stretch holds whole keys in their order.
+    """
+    parts = min(STRETCHES, -(-rows.count() // stretch))
+    if parts < 2:
+        return rows.withColumn("stretch_", F.lit(0.0))
+    cuts = rows.select(F.col(order).cast("double").alias("o")).approxQuantile("o", [k / parts for k in range(1, parts)], 1 / (4 * parts))  # a number a stretch
+    keyed = rows.withColumn("order_", F.col(order).cast("double"))
+    return Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="order_", outputCol="stretch_", handleInvalid="keep").transform(keyed).drop("order_")
 
 
 def running_sum(rows: DataFrame, group: list[str], order: str, value: Column, name: str, stretch: int = STRETCH) -> DataFrame:
@@ -179,7 +193,7 @@ def running_sum(rows: DataFrame, group: list[str], order: str, value: Column, na
     A group is summed by stretches of the key and within them, so one that holds most of the table is no
     single task's: only its stretches' sums, a row each, meet.
     """
-    cut = rows.withColumn("stretch_", F.floor(F.col(order) / stretch)).withColumn("value_", value)
+    cut = stretched(rows, order, stretch).withColumn("value_", value)
     within = F.sum("value_").over(Window.partitionBy(*group, "stretch_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     sums = cut.groupBy(*group, "stretch_").agg(F.sum("value_").alias("sum_"))
     before = F.sum("sum_").over(Window.partitionBy(*group).orderBy("stretch_").rowsBetween(Window.unboundedPreceding, -1))

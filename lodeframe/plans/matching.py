@@ -89,10 +89,9 @@ def _(i):
 @query("join_10_hamming_pairs", f"with h as (select pk, {NEAR} as h from cards where phash is not null) , v as (select h, min(pk) as pk, count(*) as n from h group by 1) select least(a.pk, b.pk) as a, greatest(a.pk, b.pk) as b, cast(bit_count(xor(a.h, b.h)) as int) as distance, case when a.pk < b.pk then a.n else b.n end as n_a, case when a.pk < b.pk then b.n else a.n end as n_b from v a join v b on a.h < b.h and bit_count(xor(a.h, b.h)) <= 2 union all select pk, pk, 0, n, n from v where n > 1")
 def _(i):
     """Pairs of groups of equal hashes by their smallest keys, with their sizes; a group of several is near itself."""
-    pairs, members = M.near_groups(i.cards.where("phash is not null").select("pk", near_hash().alias("h")), "pk", "h", 2)
-    size = members.groupBy("representative").agg(F.count("*").alias("n"))
-    sized = pairs.join(size.toDF("a", "n_a"), "a").join(size.toDF("b", "n_b"), "b").select("a", "b", "distance", "n_a", "n_b")
-    return sized.unionByName(size.where("n > 1").select(F.col("representative").alias("a"), F.col("representative").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b")))
+    pairs, groups = M.near_sized(i.cards.where("phash is not null").select("pk", near_hash().alias("h")), "pk", "h", 2)
+    own = groups.where("n > 1").select(F.col("r").alias("a"), F.col("r").alias("b"), F.lit(0).alias("distance"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    return pairs.unionByName(own)
 
 
 @query("join_11_probe_counts", f"with h as (select pk, {NEAR} as h from cards where phash is not null), p as (select distinct image_hash as h from printings) select count(*) filter (where d = 0) as exact, count(*) filter (where d <= 2) as near from (select pk, min(bit_count(xor(h.h, p.h))) as d from h join p on bit_count(xor(h.h, p.h)) <= 2 group by 1)")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import indel_similarity, near_substring_udf, sequence_similarity
+from ..functions.similarity import holds_near, indel_similarity, sequence_similarity
 from ..operators import naming as N
 from ..operators import search as S
 from ..session import shared_folder
@@ -328,9 +328,9 @@ def _(i):
     return names.join(found, "read").select("base_name", "entry")
 
 
-@query("str_20_near_marker", "select pk, pk % 5 = 0 as hit from cards")
+@query("str_20_near_marker", "with b as (select pk, regexp_replace(lower(concat(name, 'l')), '[^a-z0-9]', '', 'g') as b from cards) select pk, len(list_filter(range(1, length(b) - 6), lambda k: hamming(substr(b, k, 8), 'fullart1') <= 1)) > 0 as hit from b")
 def _(i):
-    return i.cards.select("pk", near_substring_udf("fullart1", 7)(F.concat(F.col("name"), F.lit("l"))).alias("hit"))
+    return i.cards.select("pk", holds_near(F.concat(F.col("name"), F.lit("l")), "fullart1", 7).alias("hit"))
 
 
 @query("str_21_declared_tags", "select pk, case pk % 6 when 0 then 'Full Art' when 1 then 'Borderless' when 2 then '' when 3 then 'Showcase' when 4 then '' else 'Extended,Etched' end as tags from cards")

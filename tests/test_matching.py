@@ -117,3 +117,18 @@ def test_components_of_chains_and_textual_keys(spark):
     chain = [(names[i], names[i + 1]) for i in range(59) if i % 20 != 19]
     out = G.components(spark.createDataFrame([(n,) for n in names], "k string"), spark.createDataFrame(chain, "a string, b string"), "k")
     assert {r.k: r.component for r in out.collect()} == {n: min(names[20 * (i // 20) : 20 * (i // 20) + 20]) for i, n in enumerate(names)}
+
+
+def test_sparse_keys_are_cut_as_dense_ones(spark):
+    rng = random.Random(8)
+    keys = rng.sample(range(-(10**12), 10**12), 900) + list(range(100))
+    df = spark.createDataFrame([(k, rng.choice("aab"), rng.randrange(9)) for k in keys], "k long, g string, v int")
+    sizes = [r["count"] for r in S.stretched(df, "k", 64).groupBy("stretch_").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 160  # not a stretch a row, nor one for all
+    total, want = {}, {}
+    for r in sorted(df.collect()):
+        total[r.g] = total.get(r.g, 0) + r.v
+        want[r.k] = total[r.g]
+    for stretch in (64, 10**6):
+        assert {r.k: r.s for r in S.running_sum(df, ["g"], "k", F.col("v"), "s", stretch).collect()} == want
+    assert S.running_sum(df.limit(0), ["g"], "k", F.col("v"), "s").count() == 0

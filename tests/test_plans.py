@@ -11,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tabl
 #: Queries that attach a single row (a total or a number of outcomes) to all rows.
 ONE_ROW = {"agg_21_deviation", "agg_22_information_gain", "srt_3_page_with_total", "srt_3_sort_modes", "stm_2_conveyor_ledger", "dml_6_warmed_stats"}
 #: Queries whose semantics need Python (similarity of texts, pictures, a Python data source).
-PYTHON = {"str_11_fuzzy_alias", "str_12_similarity_ranking", "str_13_sequence_match", "str_18_window_recovery", "str_19_margin_recogniser", "str_20_near_marker", "drv_12_artist_candidates", "img_1_perceptual_hash", "img_4_picture_quality", "img_10_symbol_windows", "ver_11_engines_on_pictures", "udf_2_listing_source", "udtf_1_deck_lines_in_sql"}
+PYTHON = {"str_11_fuzzy_alias", "str_12_similarity_ranking", "str_13_sequence_match", "str_18_window_recovery", "str_19_margin_recogniser", "drv_12_artist_candidates", "img_1_perceptual_hash", "img_4_picture_quality", "img_10_symbol_windows", "ver_11_engines_on_pictures", "udf_2_listing_source", "udtf_1_deck_lines_in_sql"}
 
 
 def plan(df):

@@ -1,8 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import similarity as S
 from lodeframe.functions import text as T
+from lodeframe.operators import imaging as M
 
 
 def one(spark, f, *values):
@@ -95,3 +97,19 @@ def test_similarity_against_brute_force():
 
 def test_fnv_hash():
     assert T.fnv1a("") == 0x811C9DC5 and T.fnv1a("a") == 0xE40C292C
+
+
+def test_near_markers_in_the_jvm(spark):
+    texts = ["made by MidJ0urney bot", "midjourney", "midj00rney", "Mid-Journey!", "dalx", "dall", None, "", "xmidjourneyx", "midjurney", "éMIDJÖURNEYé", "midjourne"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for marker, least in (("midjourney", 8), ("dall", 8), ("dall", 3), ("a.b", 3)):
+        assert {r.k: r.h for r in df.select("k", S.holds_near(F.col("t"), marker, least).alias("h")).collect()} == {k: S.near_substring(t, marker, least) for k, t in enumerate(texts)}
+
+
+def test_picture_quality_of_a_batch_equals_one_by_one():
+    rng = np.random.default_rng(3)
+    fields = [*rng.normal(size=(20, 64)), np.ones(64), None, np.array([]), np.arange(8.0), np.arange(9.0), np.r_[rng.normal(size=48), np.zeros(16)], rng.integers(0, 3, 100)]
+    for field, found in zip(fields, M.measured(fields).itertuples(index=False), strict=True):
+        want = M.sharpness(field), M.grey_entropy(field), field is not None and M.truncated(field)
+        assert found.truncated == want[2] and [x is None for x in found[:2]] == [x is None for x in want[:2]]
+        assert all(a == pytest.approx(b) for a, b in zip(found[:2], want[:2], strict=True) if b is not None)
