@@ -33,8 +33,12 @@ from .scratch import dropped, fresh, written
 class SearchRule:
     """block: queries in one broadcast, about; sample: least rows that set the first thresholds, and ``share`` the part of all rows.
 
-    axes: rows that principal axes are fitted on, at most.  cells: pairs that are compared at once.
-    levels: of each resolution, the part of the axes that are segments by themselves, and the segments of the rest.
+    axes: rows that principal axes are fitted on, at most; vectors of more than ``turned`` components keep
+    their own axes.  cells: pairs that are compared at once.  numbers: components of a broadcast's
+    queries, of the rows fitted on, and, a sixteenth, of rows compared at once; wide vectors make these fewer.
+    levels: of each resolution, the part of the axes that are segments by themselves, and the segments of
+    the rest.  sparse: pairs are looked up one by one where fewer than this part of them is left, else
+    a whole matrix product finds all.
     """
 
     k: int = 5
@@ -44,8 +48,11 @@ class SearchRule:
     sample: int = 8192
     share: int = 1024
     axes: int = 8192
+    turned: int = 1024
     cells: int = 1 << 21
-    levels: tuple[tuple[float, int], ...] = ((0.0, 4), (0.5, 8), (0.75, 4))
+    numbers: int = 1 << 24
+    sparse: float = 1 / 24
+    levels: tuple[tuple[float, int], ...] = ((0.4, 6), (0.8, 4))
 
 
 def quantised(batch: pa.RecordBatch, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,35 +93,48 @@ def statistics(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 class Block:
     """Queries of one length with what is known of each one's k-th best score, and the best rows seen."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, axes: np.ndarray, rule: SearchRule) -> None:
-        self.ids, self.x, self.floor, self.axes, self.k = ids, x, floor.copy(), axes, rule.k
+    def __init__(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, axes: np.ndarray | None, rule: SearchRule) -> None:
+        self.ids, self.x, self.floor, self.axes, self.k, self.sparse = ids, x, floor.copy(), axes, rule.k, rule.sparse
         self.bounds = [cuts(x.shape[1], level) for level in rule.levels]
-        turned = x @ axes
-        self.levels = [statistics(turned, b) for b in self.bounds]
+        self.levels = self.segments(x)
         self.length = np.sqrt((x * x).sum(1))
         self.score = [np.zeros(0)] * len(ids)
         self.vec = [np.zeros(0, np.int64)] * len(ids)
-        self.rows = max(1, rule.cells // max(1, len(ids)))
+        self.rows = max(1, min(rule.cells // max(1, len(ids)), rule.numbers // 16 // x.shape[1]))
         #: Pairs that came to each level and, last, to exact products.
         self.pairs = np.zeros(len(self.levels) + 1, np.int64)
 
+    def segments(self, x: np.ndarray) -> list[np.ndarray]:
+        turned = x if self.axes is None else x @ self.axes
+        return [statistics(turned, b) for b in self.bounds]
+
+    def products(self, mine: np.ndarray, other: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Products of pairs of rows: from one matrix product while many pairs are left, else pair by pair."""
+        if len(i) > self.sparse * len(mine) * len(other):
+            return (mine @ other.T)[i, j]
+        out = np.empty(len(i))
+        step = max(1, (1 << 20) // mine.shape[1])
+        for at in range(0, len(i), step):
+            np.einsum("ij,ij->i", mine[i[at : at + step]], other[j[at : at + step]], out=out[at : at + step])
+        return out
+
     def meet(self, y: np.ndarray, ids: np.ndarray) -> None:
-        turned = y @ self.axes
-        levels = [statistics(turned, b) for b in self.bounds]
-        slack = 1e-9 * (self.length * np.sqrt((y * y).sum(1).max()) + 1)
+        levels = self.segments(y)
+        least = self.floor - 1e-9 * (self.length * np.sqrt((y * y).sum(1).max()) + 1)
         upper = self.levels[0] @ levels[0].T
         self.pairs[0] += upper.size
-        for i in np.flatnonzero((upper >= (self.floor - slack)[:, None]).any(1)):
-            least = self.floor[i] - slack[i]
-            j = np.flatnonzero(upper[i] >= least)
-            for n, (mine, other) in enumerate(zip(self.levels[1:], levels[1:], strict=True), 1):
-                self.pairs[n] += len(j)
-                j = j[other[j] @ mine[i] >= least]
-            self.pairs[-1] += len(j)
-            score = y[j] @ self.x[i]
-            good = (score >= self.floor[i]) & (ids[j] != self.ids[i])
-            if good.any():
-                self._keep(i, score[good], ids[j[good]])
+        i, j = np.nonzero(upper >= least[:, None])
+        for n, (mine, other) in enumerate(zip(self.levels[1:], levels[1:], strict=True), 1):
+            self.pairs[n] += len(i)
+            stays = self.products(mine, other, i, j) >= least[i]
+            i, j = i[stays], j[stays]
+        self.pairs[-1] += len(i)
+        score = self.products(self.x, y, i, j)
+        good = (score >= self.floor[i]) & (ids[j] != self.ids[i])
+        i, j, score = i[good], j[good], score[good]
+        ends = np.searchsorted(i, np.unique(i), side="right")
+        for a, b in zip(np.r_[0, ends[:-1]] if len(ends) else ends, ends, strict=True):  # queries that found a better row
+            self._keep(int(i[a]), score[a:b], ids[j[a:b]])
 
     def _keep(self, i: int, score: np.ndarray, vec: np.ndarray) -> None:
         score, vec = np.concatenate([self.score[i], score]), np.concatenate([self.vec[i], vec])
@@ -147,8 +167,8 @@ def _search(block, rule: SearchRule, report: bool = False):
 
 
 def principal_axes(sampled: DataFrame, rule: SearchRule) -> dict[int, np.ndarray]:
-    """By length of vectors, the axes of a bounded sample, strongest first."""
-    rows = sampled.limit(rule.axes).toArrow().combine_chunks()
+    """By length of vectors, up to ``turned``, the axes of a bounded sample, strongest first."""
+    rows = sampled.where(F.size("embedding") <= rule.turned).limit(rule.axes).toArrow().combine_chunks()
     axes: dict[int, np.ndarray] = {}
     for batch in rows.to_batches():
         for _, x in quantised(batch, rule.scale):
@@ -161,8 +181,9 @@ def _blocks(vectors: DataFrame, rule: SearchRule):
     """(written queries by block, number of blocks, written sample, all rows)."""
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     queries = slim.where(F.col("vec_id") % rule.every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    counts = slim.agg(F.count("*").alias("rows"), F.count_if(F.col("vec_id") % rule.every == 0).alias("queries")).first()
-    n = max(1, -(-counts["queries"] // rule.block))
+    asked = F.col("vec_id") % rule.every == 0
+    counts = slim.agg(F.count("*").alias("rows"), F.count_if(asked).alias("queries"), F.coalesce(F.sum(F.when(asked & (F.size("embedding") > 0), F.size("embedding").cast("long"))), F.lit(0)).alias("numbers")).first()
+    n = max(1, -(-counts["queries"] // rule.block), -(-counts["numbers"] // rule.numbers))
     queries = written(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")), "queries", ["block"])
     part = max(1, counts["rows"] // max(rule.sample, counts["rows"] // rule.share))
     sampled = written(slim.where(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(part)) == 0), "sample")
@@ -179,10 +200,10 @@ def _scans(vectors: DataFrame, rule: SearchRule):
         block = []
         for batch in rows.to_batches():
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            block += [(ids[own].astype(np.int64), x, axes.get(x.shape[1], np.eye(x.shape[1]))) for own, x in quantised(batch, rule.scale)]
+            block += [(ids[own].astype(np.int64), x, axes.get(x.shape[1])) for own, x in quantised(batch, rule.scale)]
         if not block:
             continue
-        block = [(np.concatenate([b[0] for b in block if b[1].shape[1] == d]), np.concatenate([b[1] for b in block if b[1].shape[1] == d]), axes.get(d, np.eye(d))) for d in sorted({b[1].shape[1] for b in block})]
+        block = [(np.concatenate([b[0] for b in block if b[1].shape[1] == d]), np.concatenate([b[1] for b in block if b[1].shape[1] == d]), axes.get(d)) for d in sorted({b[1].shape[1] for b in block})]
         first = sampled.mapInArrow(_search(spark.sparkContext.broadcast([(i, x, np.full(len(i), -1e300), a) for i, x, a in block]), rule), FOUND)
         seen = {r[0]: r[1] for r in _ranked(first, rule.k).where(F.col("rank") == rule.k).select("query_id", "score").collect()}  # a row a query of the block
         yield slim, spark.sparkContext.broadcast([(i, x, np.array([seen.get(int(v), -1e300) for v in i], float), a) for i, x, a in block])
@@ -198,7 +219,7 @@ def top_k(vectors: DataFrame, rule: SearchRule = SearchRule()) -> DataFrame:
     Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows of other
     ids.  Components become floor(scale * x).  A vector that is null, empty or holds a null or
     non-finite component takes no part, nor does a row with a null vec_id.  Vectors of different
-    lengths are not compared; very long ones only take more time.  Of rows that repeat a query's id
+    lengths are not compared; very long ones keep their own axes and go in smaller blocks.  Of rows that repeat a query's id
     the smallest vector (by array order) is the query; repeated candidates keep a place each.  An
     empty table gives no rows; other columns are ignored.  Products are exact while they stay under
     2**53.

@@ -315,7 +315,7 @@ def test_search_equals_brute_force(spark):
     rows += [(400, None), (450, [1.0, float("nan")] * 8), (500, [None] * 16), (550, [float("inf")] + [0.0] * 15), (600, []), (None, [1.0] * 16), (650, [0.5, -0.25]), (651, [1.0, 2.0]), (652, [0.5, 0.5])]
     rows += [(701 + i, [0.125] * 16) for i in range(12)] + [(750, [0.125] * 16), (333, [0.125] * 16)]
     df = spark.createDataFrame([(i, v, 7, 0.5) for i, v in rows], "vec_id long, embedding array<double>, rank int, score double")
-    for rule in (K.SearchRule(), K.SearchRule(block=3, sample=20, cells=21, levels=((0.0, 2), (0.3, 3), (1.0, 1)))):
+    for rule in (K.SearchRule(), K.SearchRule(block=3, sample=20, cells=21, levels=((0.0, 2), (0.3, 3), (1.0, 1))), K.SearchRule(sparse=0.0, numbers=64), K.SearchRule(sparse=1.0, turned=8)):
         assert sorted(tuple(r) for r in K.top_k(df, rule).collect()) == brute_top(rows)
     assert K.top_k(df.limit(0)).count() == 0
 
@@ -341,6 +341,39 @@ def test_bounds_prune_pairs(spark):
     assert pairs[1] < pairs[0] / 2 and pairs[-1] < pairs[0] / 20
 
 
+def test_a_block_costs_no_more_than_a_few_products():
+    """Many queries at once: bounds and survivors by matrix products, not query by query."""
+    rng = np.random.default_rng(7)
+    x, y, pool = (np.floor(256 * rng.normal(0, 0.125, (n, 64))) for n in (8192, 512, 4096))
+    floor = np.concatenate([np.sort(x[a : a + 512] @ pool.T, axis=1)[:, -5] for a in range(0, len(x), 512)])
+    began = time.perf_counter()
+    for _ in range(4):
+        np.partition(x @ y.T, len(y) - 5, axis=1)
+    plain = (time.perf_counter() - began) / 4
+    block = K.Block(np.arange(len(x)), x, floor, np.linalg.eigh(pool.T @ pool)[1][:, ::-1].copy(), K.SearchRule())
+    began = time.perf_counter()
+    for at in range(0, len(y), block.rows):
+        block.meet(y[at : at + block.rows], np.arange(at, at + len(y[at : at + block.rows])) + 10**6)
+    assert time.perf_counter() - began < 6 * plain + 0.2 and block.pairs[-1] < 0.05 * block.pairs[0] and block.pairs[1] < 0.8 * block.pairs[0]
+    best = block.best().to_pydict()
+    scores = x @ y.T
+    for q in range(0, len(x), 997):
+        mine = [(s, v - 10**6) for i, v, s in zip(best["query_id"], best["vec_id"], best["score"], strict=True) if i == q]
+        assert mine == [(s, v) for s, v in sorted(((int(s), v) for v, s in enumerate(scores[q])), key=lambda t: (-t[0], t[1]))[:5] if s >= floor[q]]
+
+
+def test_wide_vectors_keep_their_axes_and_go_in_small_blocks(spark):
+    rng = np.random.default_rng(8)
+    wide = np.floor(rng.normal(0, 8, (120, 5000))) / 256
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(wide)], "vec_id long, embedding array<double>")
+    rule = K.SearchRule(every=10, numbers=1 << 14)
+    _, _, n, sampled = K._blocks(df, rule)
+    assert n == 4 and K.principal_axes(sampled, rule) == {}
+    scores = np.floor(256 * wide) @ np.floor(256 * wide).T
+    want = sorted((q, k, v, int(scores[q, v])) for q in range(0, 120, 10) for k, v in enumerate(sorted((v for v in range(120) if v != q), key=lambda v: (-scores[q, v], v))[:5], 1))
+    assert sorted(tuple(r) for r in K.top_k(df, rule).collect()) == want
+
+
 def test_whole_small_table(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in K.run(spark, SF).collect()) == brute_top(rows)
