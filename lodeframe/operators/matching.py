@@ -146,6 +146,32 @@ def surviving(survivors: list[Column]) -> Column:
     return reduce(both, survivors)
 
 
+def surviving_counts(rows: DataFrame, key: str, scope: str, candidates: DataFrame, candidate: str, attributes: list[str]) -> DataFrame:
+    """(key, n, match, n_read): how many candidates of a row's scope agree with all that was read, and the one if there is one.
+
+    A null or empty reading narrows nothing; n is null where nothing was read.  Rows of a scope without
+    candidates are left out.  Candidates are counted by each set of attributes, so a row meets one count,
+    not the candidates of its scope.
+    """
+    read = [F.nullif(F.col(a), F.lit("")).alias(f"{a}_") for a in attributes]
+    known = rows.join(candidates.select(scope).distinct(), scope, "left_semi").select(key, scope, *read)
+    subsets = [[a for j, a in enumerate(attributes) if mask >> j & 1] for mask in range(1, 1 << len(attributes))]
+    counts = reduce(
+        DataFrame.unionByName,
+        [
+            candidates.where(reduce(Column.__and__, [F.col(a).isNotNull() for a in subset]))
+            .groupBy(scope, *[(F.col(a) if a in subset else F.lit(None).cast("string")).alias(f"{a}_") for a in attributes])
+            .agg(F.count("*").alias("n_"), F.min(candidate).alias("match_"))
+            for subset in subsets
+        ],
+    )
+    left, right = known.alias("l"), counts.alias("r")
+    same = reduce(Column.__and__, [F.col(f"l.{a}_").eqNullSafe(F.col(f"r.{a}_")) for a in attributes], F.col(f"l.{scope}") == F.col(f"r.{scope}"))
+    n_read = reduce(Column.__add__, [F.col(f"l.{a}_").isNotNull().cast("int") for a in attributes])
+    n = F.when(n_read > 0, F.coalesce("n_", F.lit(0)))
+    return left.join(right, same, "left").select(F.col(f"l.{key}").alias(key), n.alias("n"), F.when(n == 1, F.col("match_")).alias("match"), n_read.alias("n_read"))
+
+
 def unique_prefix(rows: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """(key, name): the exact name or, where none is, the only name that starts with the text.
 

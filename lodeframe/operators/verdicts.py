@@ -53,10 +53,16 @@ def agreement(confidence: Column, truncated: Column, year: Column, released: Col
 
 def fallback_verdict(survivors: Column, two: Column) -> Column:
     """The only survivor of all readings; more readings make it surer."""
-    none, n = F.lit(None).cast("string"), F.size(survivors)
+    n = F.when(survivors.isNotNull(), F.size(survivors))
+    return counted_verdict(n, F.when(n == 1, F.element_at(survivors, 1)), F.when(two, 2).otherwise(1))
+
+
+def counted_verdict(n: Column, match: Column, n_read: Column) -> Column:
+    """The only survivor of n_read readings, from the number n of survivors (null: nothing was read)."""
+    none = F.lit(None).cast("string")
     return (
-        F.when(survivors.isNull(), verdict(none, F.lit(None), F.lit("no-reading")))
-        .when(n == 1, verdict(F.element_at(survivors, 1).cast("string"), F.when(two, TWO_READINGS).otherwise(ONE_READING), F.lit("")))
+        F.when(n.isNull(), verdict(none, F.lit(None), F.lit("no-reading")))
+        .when(n == 1, verdict(match.cast("string"), F.when(n_read >= 2, TWO_READINGS).otherwise(ONE_READING), F.lit("")))
         .when(n == 0, verdict(none, F.lit(None), F.lit("no-survivor")))
         .otherwise(verdict(none, F.lit(None), F.lit("ambiguous")))
     )

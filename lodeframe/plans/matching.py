@@ -183,18 +183,13 @@ SURVIVORS = f"""with e as ({CANDIDATES}), p as (select e.pk, border <> '' or art
 
 
 def survivors(i: Inputs) -> DataFrame:
-    """Readings with the candidates that survive each reading, null where nothing was read."""
-    e = readings(i).select("pk", "name", "border", "artist")
-    p = i.printings.select("name", F.struct("pk", "border", "artist").alias("p")).groupBy("name").agg(F.collect_list("p").alias("ps"))
-    ids = lambda a: F.transform(a, lambda x: x["pk"])
-    by_border = F.when(F.col("border") != "", ids(F.filter("ps", lambda x: x["border"] == F.col("border"))))
-    by_artist = F.when(F.col("artist") != "", ids(F.filter("ps", lambda x: x["artist"] == F.col("artist"))))
-    return e.join(p, "name").select("pk", M.surviving([by_border, by_artist]).alias("s"), (by_border.isNotNull() & by_artist.isNotNull()).alias("two"))
+    """(pk, n, match, n_read): readings and how many printings of their name survive border and artist."""
+    return M.surviving_counts(readings(i).select("pk", "name", "border", "artist"), "pk", "name", i.printings, "pk", ["border", "artist"])
 
 
 @query("join_20_survivors", f"{SURVIVORS} select pk, case when not any_reading then null else n end as n, case when any_reading and n = 1 then c end as match from p")
 def _(i):
-    return survivors(i).select("pk", F.when(F.col("s").isNotNull(), F.size("s").cast("long")).alias("n"), F.when(F.size("s") == 1, F.element_at("s", 1)).alias("match"))
+    return survivors(i).select("pk", "n", "match")
 
 
 @query("join_21_artwork_index", "select name, artist, case when count(distinct illustration) = 1 and count(*) = 1 then min(pk) end as printing_pk, count(distinct illustration) as artworks, count(*) as printings from printings group by 1, 2")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables
@@ -72,7 +72,7 @@ FALLBACK = f"{SURVIVORS} select pk, case when any_reading and n = 1 then cast(c
 
 @query("ver_4_fallback", FALLBACK)
 def _(i):
-    return survivors(i).select("pk", V.fallback_verdict(F.col("s"), F.col("two")).alias("v")).select("pk", "v.*")
+    return survivors(i).select("pk", V.counted_verdict(F.col("n"), F.col("match"), F.col("n_read")).alias("v")).select("pk", "v.*")
 
 
 @query("ver_5_slow_path", "select pk, 'slow-path' as route from cards where pk not in (select entity from votes where entity is not null and source = 'ocr') and pk not in (select card_pk from scans where reason = '')")
@@ -110,9 +110,9 @@ def _(i):
 
 @query("ver_10_never_empty", "with g as (select name, list(pk) filter (where border = 'borderless' and full_art) as narrow, list(pk) as every from printings group by 1) select name, len(case when narrow is null or len(narrow) = 0 then every else narrow end) as n from g")
 def _(i):
-    keep = F.when((F.col("border") == "borderless") & F.col("full_art"), F.col("pk"))
-    g = i.printings.groupBy("name").agg(F.collect_list(keep).alias("narrow"), F.collect_list("pk").alias("every"))
-    return g.select("name", F.size(V.never_empty(F.col("narrow"), F.col("every"))).cast("long").alias("n"))
+    narrow = F.count_if((F.col("border") == "borderless") & F.col("full_art"))
+    g = i.printings.groupBy("name").agg(narrow.alias("narrow"), F.count("*").alias("every"))
+    return g.select("name", F.when(F.col("narrow") > 0, F.col("narrow")).otherwise(F.col("every")).alias("n"))
 
 
 @query("ver_12_recovered_vetoes", f"{AGREED} select card_pk from a where skip_reason = 'artist-mismatch' and not weak")
@@ -281,9 +281,9 @@ def _(i):
 
 @query("udtf_1_candidate_rows", "select c.pk, p.pk as candidate, row_number() over (partition by c.pk order by p.popularity desc nulls last, p.pk) as rank from cards c join printings p on p.name = c.base_name")
 def _(i):
-    p = i.printings.groupBy(F.col("name").alias("base_name")).agg(F.array_sort(F.collect_list(F.struct((-F.coalesce("popularity", F.lit(-1))).alias("k"), "pk"))).alias("ps"))
-    rows = i.cards.select("pk", "base_name").join(p, "base_name").select("pk", F.posexplode("ps").alias("pos", "p"))
-    return rows.select("pk", F.col("p.pk").alias("candidate"), (F.col("pos") + 1).cast("long").alias("rank"))
+    p = i.printings.select(F.col("name").alias("base_name"), F.col("pk").alias("candidate"), "popularity")
+    place = F.row_number().over(Window.partitionBy("pk").orderBy(F.desc_nulls_last("popularity"), "candidate"))
+    return i.cards.select("pk", "base_name").join(p, "base_name").select("pk", "candidate", place.cast("long").alias("rank"))
 
 
 @query("udtf_1_candidates_in_sql", "select c.pk, p.pk as candidate, p.popularity from cards c join printings p on p.name = c.base_name")

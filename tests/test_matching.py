@@ -132,3 +132,10 @@ def test_sparse_keys_are_cut_as_dense_ones(spark):
     for stretch in (64, 10**6):
         assert {r.k: r.s for r in S.running_sum(df, ["g"], "k", F.col("v"), "s", stretch).collect()} == want
     assert S.running_sum(df.limit(0), ["g"], "k", F.col("v"), "s").count() == 0
+
+
+def test_survivors_by_counts(spark):
+    printings = [("a", 1, "black", "x"), ("a", 2, "black", "y"), ("a", 3, "white", "x"), ("b", 4, None, "x"), ("b", 5, "black", None)]
+    rows = [(1, "a", "black", ""), (2, "a", "black", "x"), (3, "a", "", None), (4, "a", "red", ""), (5, "a", "white", "x"), (6, "b", "black", "x"), (7, "b", "", "x"), (8, "c", "black", "x"), (9, "a", "white", "y"), (10, None, "white", "y")]
+    out = M.surviving_counts(spark.createDataFrame(rows, "k int, name string, border string, artist string"), "k", "name", spark.createDataFrame(printings, "name string, pk int, border string, artist string"), "pk", ["border", "artist"])
+    assert {r.k: (r.n, r.match, r.n_read) for r in out.collect()} == {1: (2, None, 1), 2: (1, 1, 2), 3: (None, None, 0), 4: (0, None, 1), 5: (1, 3, 2), 6: (0, None, 2), 7: (1, 4, 1), 9: (0, None, 2)}
