@@ -47,12 +47,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def bands(h: Column, distance: int) -> Column:
-    """(pair of bands, their bits): of distance + 2 bands, values within the distance agree on two at least."""
+def varying_bits(values: DataFrame) -> list[int]:
+    """The places of the bits in which some values of column h differ; constant bits tell no values apart."""
+    r = values.agg(F.bit_or("h").alias("some"), F.bit_and("h").alias("all")).first()
+    return [k for k in range(64) if r["some"] is not None and (r["some"] ^ r["all"]) >> k & 1]
+
+
+def bands(h: Column, distance: int, bits: list[int]) -> Column:
+    """(pair of bands, their bits): of distance + 2 bands of the varying bits, values within the distance agree on two at least."""
     n = distance + 2
-    width = -(-64 // n)
-    mask = (1 << width) - 1
-    part = [F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit(mask)) if i * width < 64 else F.lit(0).cast("long") for i in range(n)]
+    cut = [bits[k * len(bits) // n : (k + 1) * len(bits) // n] for k in range(n)]
+    whole = lambda b: h if b[-1] - b[0] == 63 else F.shiftrightunsigned(h, b[0]).bitwiseAND(F.lit((1 << b[-1] - b[0] + 1) - 1))
+    part = [whole(b) if b else F.lit(0).cast("long") for b in cut]
     return F.array(*[F.struct(F.lit(i * n + j).alias("bands"), F.xxhash64(part[i], part[j]).alias("value")) for i in range(n) for j in range(i + 1, n)])
 
 
@@ -60,10 +66,11 @@ def near_values(left: DataFrame, right: DataFrame, distance: int) -> DataFrame:
     """(a, b, distance) of distinct hash values within a distance: they agree on two of distance + 2 bands.
 
     Values, not rows, are joined, so copies of one value cost nothing; a key of two bands has more bits
-    than one of distance + 1 bands, so few values that are not near meet.
+    than one of distance + 1 bands, so few values that are not near meet.  Bands hold bits that vary.
     """
-    a = left.where("h is not null").select(F.col("h").alias("a")).distinct().select("a", F.explode(bands(F.col("a"), distance)).alias("k"))
-    b = right.where("h is not null").select(F.col("h").alias("b")).distinct().select("b", F.explode(bands(F.col("b"), distance)).alias("k"))
+    bits = varying_bits(left.select("h").unionByName(right.select("h")))
+    a = left.where("h is not null").select(F.col("h").alias("a")).distinct().select("a", F.explode(bands(F.col("a"), distance, bits)).alias("k"))
+    b = right.where("h is not null").select(F.col("h").alias("b")).distinct().select("b", F.explode(bands(F.col("b"), distance, bits)).alias("k"))
     d = hamming(F.col("a"), F.col("b"))
     return a.join(b, "k").where(d <= distance).select("a", "b", d.alias("distance")).distinct()
 
@@ -76,7 +83,7 @@ def near_sized(rows: DataFrame, key: str, h: str, distance: int) -> tuple[DataFr
     """
     known = rows.where(F.col(h).isNotNull()).groupBy(F.col(h).alias("h")).agg(F.min(key).alias("r"), F.count("*").alias("n"))
     groups = checkpointed(known)
-    banded = groups.withColumn("k", F.explode(bands(F.col("h"), distance)))
+    banded = groups.withColumn("k", F.explode(bands(F.col("h"), distance, varying_bits(groups))))
     d = hamming(F.col("x.h"), F.col("y.h"))
     met = banded.alias("x").join(banded.alias("y"), F.col("x.k") == F.col("y.k")).where((F.col("x.r") < F.col("y.r")) & (d <= distance))
     pairs = met.select(F.col("x.r").alias("a"), F.col("y.r").alias("b"), d.alias("distance"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()

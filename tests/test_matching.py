@@ -139,3 +139,13 @@ def test_survivors_by_counts(spark):
     rows = [(1, "a", "black", ""), (2, "a", "black", "x"), (3, "a", "", None), (4, "a", "red", ""), (5, "a", "white", "x"), (6, "b", "black", "x"), (7, "b", "", "x"), (8, "c", "black", "x"), (9, "a", "white", "y"), (10, None, "white", "y")]
     out = M.surviving_counts(spark.createDataFrame(rows, "k int, name string, border string, artist string"), "k", "name", spark.createDataFrame(printings, "name string, pk int, border string, artist string"), "pk", ["border", "artist"])
     assert {r.k: (r.n, r.match, r.n_read) for r in out.collect()} == {1: (2, None, 1), 2: (1, 1, 2), 3: (None, None, 0), 4: (0, None, 1), 5: (1, 3, 2), 6: (0, None, 2), 7: (1, 4, 1), 9: (0, None, 2)}
+
+
+@pytest.mark.parametrize("values", [[5], [5, 5, 7], [k << 20 for k in range(40)], [-1, -2, -9, 2**62, -(2**63), 2**63 - 1], [1 << k for k in range(63)], [3, 2**40 + 3, 2**40 + 2, 2]])
+def test_bands_of_few_varying_bits_lose_no_pair(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "h long")
+    bits = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    for d in (0, 2, 4):
+        found = {(r.a, r.b): r.distance for r in M.near_values(df, df, d).collect()}
+        assert found == {(a, b): bits(a, b) for a in set(values) for b in set(values) if bits(a, b) <= d}
+    assert M.near_values(df.limit(0), df.limit(0), 2).count() == 0
