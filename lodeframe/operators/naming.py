@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import indel_similarity, sequence_similarity
+from ..functions.similarity import indel_similarity, sequence_ratio, sequence_similarity
+from ..session import checkpointed
+from .best import best_entries, tiers
 from .clustering import ancestors
 from .nearness import near_pairs
 
@@ -14,8 +16,8 @@ from .nearness import near_pairs
 ALIAS, SUGGESTION = 0.92, 0.6
 # Least ratio of a reading, and the most entries that a cut-off reading may begin.
 READING, COMPATIBLE, CUT_LETTERS = 0.85, 6, 6
-#: What the best entry must lead the next by.
-MARGIN = 0.06
+#: What the best entry must lead the next by: a recognised text's, and a line's.
+MARGIN, LEAD = 0.06, 0.05
 
 
 def raw_tags(names: DataFrame, key: str, name: str) -> DataFrame:
@@ -101,28 +103,43 @@ def with_back_faces(lines: DataFrame, pairs: DataFrame, front: str = "front", ba
 def recovered(lines: DataFrame, key: str, text: str, lexicon: DataFrame, entry: str, allowed: DataFrame | None = None) -> DataFrame:
     """(key, entry, ratio): the entry that windows of 1 to 4 words of a line read best, if it leads.
 
-    A window meets the entries that can reach ``READING`` by the pairs of letters they share, so a reading
-    wrong at both ends is found.  A window of ``CUT_LETTERS`` letters or more that some entries begin with is a cut-off reading of them, if
-    they are ``COMPATIBLE`` at most.  With ``allowed`` (key, entry), entries of a line's own count alone
-    where it has some.  The best must lead the next entry by 0.05.
+    A window of a line with entries of its own (``allowed``: key, entry) meets these alone; the others look
+    for their best two entries, first the near ones and then, where the line is not settled, down to ``READING``.  A
+    window of ``CUT_LETTERS`` letters or more that some entries begin with is a cut-off reading of them, if
+    they are ``COMPATIBLE`` at most.  The best must lead the next entry by ``LEAD``.
     """
     letters = lambda c: F.regexp_replace(F.lower(c), "[^a-z]", "")
     words = F.filter(F.split(F.col(text), r"[^\p{L}'.-]+"), lambda w: w != "")
     grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda n: F.transform(F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>")), lambda k: F.array_join(F.slice(words, k + 1, n), ""))))
-    windows = lines.select(key, F.explode(grams).alias("w")).select(key, letters(F.col("w")).alias("w")).where(F.length("w") >= 3).distinct()
-    names = lexicon.select(F.col(entry).alias("entry"), letters(F.col(entry)).alias("e")).where(F.length("e") >= 3).distinct()
-    ratios = near_pairs(windows, "w", names, "e", READING).withColumn("ratio", sequence_similarity("w", "e")).where(F.col("ratio") >= READING)
-    whole = windows.join(ratios, "w").join(names, "e").select(key, "entry", "ratio")
+    windows = checkpointed(lines.select(key, F.explode(grams).alias("w")).select(key, letters(F.col("w")).alias("w")).where(F.length("w") >= 3).distinct())
+    names = checkpointed(lexicon.select(F.col(entry).alias("entry"), letters(F.col(entry)).alias("e")).where(F.length("e") >= 3).distinct())
     begun = names.withColumn("p", F.explode(F.sequence(F.lit(CUT_LETTERS), F.length("e") - 1))).where(F.length("e") > CUT_LETTERS).select("entry", F.expr("substring(e, 1, p)").alias("w"))
     few = begun.groupBy("w").agg(F.count_distinct("entry").alias("m")).where(F.col("m") <= COMPATIBLE).select("w")
     cut = windows.join(begun.join(few, "w", "left_semi"), "w").select(key, "entry", F.lit(READING).alias("ratio"))
-    read = whole.unionByName(cut).groupBy(key, "entry").agg(F.max("ratio").alias("ratio"))
+    read, free = None, windows
     if allowed is not None:
-        own = allowed.select(key, F.col(entry).alias("entry")).distinct()
-        read = read.join(own, [key, "entry"], "left_semi").unionByName(read.join(own.select(key).distinct(), key, "left_anti"))
-    top = read.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "entry")))).alias("r"))
+        own = checkpointed(allowed.select(key, F.col(entry).alias("entry")).distinct())
+        n, m = F.length("w"), F.length("e")
+        met = windows.join(own.join(names, "entry"), key).where(F.least(n, m) * (2 - READING) + 1e-9 >= F.greatest(n, m) * READING)
+        ratios = checkpointed(met.select("w", "e").distinct().withColumn("ratio", sequence_similarity("w", "e")).where(F.col("ratio") >= READING))
+        read = met.join(ratios, ["w", "e"]).select(key, "entry", "ratio").unionByName(cut.join(own, [key, "entry"], "left_semi"))
+        lines_with = own.select(key).distinct()
+        free, cut = checkpointed(windows.join(lines_with, key, "left_anti")), cut.join(lines_with, key, "left_anti")
+    # Entries that read alike have one ratio: two of them are enough for a tie.
+    alike = names.groupBy("e").agg(F.array(F.max("entry"), F.min("entry")).alias("entries"))
+    seen, left = checkpointed(cut), free
+    for t in tiers(READING):
+        found = best_entries(left, "w", names, "e", t, 2, score=sequence_ratio)
+        whole = left.join(found, "w").join(alike, "e").select(key, F.explode(F.array_distinct("entries")).alias("entry"), "ratio")
+        seen = checkpointed(seen.unionByName(whole).groupBy(key, "entry").agg(F.max("ratio").alias("ratio")))
+        first = F.slice(F.array_sort(F.collect_list(-F.col("ratio"))), 1, 2)
+        # What was not seen is below t: it neither wins nor comes near such a best.
+        settled = seen.groupBy(key).agg(first.alias("r")).where((-F.col("r")[0] - LEAD >= t) | (-F.coalesce(F.get("r", F.lit(1)), F.lit(0.0)) >= t))
+        left = checkpointed(left.join(settled, key, "left_anti"))
+    read = seen if read is None else read.groupBy(key, "entry").agg(F.max("ratio").alias("ratio")).unionByName(seen)
+    top = read.groupBy(key).agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "entry")))), 1, 2).alias("r"))
     second = F.try_element_at("r", F.lit(2))["ratio"]
-    return top.where(second.isNull() | (F.col("r")[0]["ratio"] - second >= 0.05)).select(key, F.col("r")[0]["entry"].alias("entry"), F.col("r")[0]["ratio"].alias("ratio"))
+    return top.where(second.isNull() | (F.col("r")[0]["ratio"] - second >= LEAD)).select(key, F.col("r")[0]["entry"].alias("entry"), F.col("r")[0]["ratio"].alias("ratio"))
 
 
 def recognised(reads: DataFrame, text: str, lexicon: DataFrame, entry: str, floor: float = READING, margin: float = MARGIN) -> DataFrame:

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lodeframe.functions.similarity import indel_ratio
+from lodeframe.operators import best as B
 from lodeframe.operators import naming as N
 from lodeframe.operators import nearness as P
 
@@ -109,3 +110,19 @@ def test_suggestions_equal_all_pairs(spark):
     stored = spark.createDataFrame([], "raw string, tag_pk long, ratio double, occurrences long, status string")
     out = N.suggested(spark.createDataFrame([(x,) for x in raws], "raw string"), spark.createDataFrame(tags, "pk long, name string, aliases array<string>"), stored)
     assert {r.raw: (r.tag_pk, r.ratio, r.occurrences) for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.79, 0.95, 1.0])
+def test_best_entries_equal_all_pairs(spark, monkeypatch, threshold):
+    """The two best of each text, over several blocks and steps of few cells."""
+    monkeypatch.setattr(B, "TEXTS", 40)
+    monkeypatch.setattr(B, "ENTRIES", 30)
+    rng = random.Random(5)
+    one, two = sorted({*texts(rng, 100), "é" * 70}), sorted({*texts(rng, 100), "é" * 72, "a\0", "a"})
+    l, r = spark.createDataFrame([(x,) for x in [*one, None]], "t string"), spark.createDataFrame([(x,) for x in [*two, None]], "e string")
+    want = {(t, e, indel_ratio(t, e)) for t in one for e in sorted(two, key=lambda e: (-indel_ratio(t, e), e))[:2] if indel_ratio(t, e) >= threshold}
+    assert {tuple(x) for x in B.best_entries(l, "t", r, "e", threshold).collect()} == want and want
+    monkeypatch.setattr(B, "CELLS", 64)
+    tree = B.Tree(two)
+    found = [(one[i], two[j], z) for x in B.walked(one, tree, threshold) for i, j, z in zip(*x, strict=True)]
+    assert sorted(found) == sorted((t, e, indel_ratio(t, e)) for t in one for e in two if indel_ratio(t, e) >= threshold)
