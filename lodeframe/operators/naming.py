@@ -145,9 +145,17 @@ def recovered(lines: DataFrame, key: str, text: str, lexicon: DataFrame, entry:
 def recognised(reads: DataFrame, text: str, lexicon: DataFrame, entry: str, floor: float = READING, margin: float = MARGIN) -> DataFrame:
     """(text, entry, ratio) of the distinct texts whose best entry reaches ``floor`` and leads the next by ``margin``.
 
-    Entries that can't come within the margin of the floor are never compared.
+    Each text looks for its best two, first near ones alone; one that is settled (no unseen entry can
+    come within the margin, or the next is seen already) looks no further.
     """
-    scored = near_pairs(reads, text, lexicon, entry, floor - margin).withColumn("ratio", indel_similarity(text, entry))
-    place = F.row_number().over(Window.partitionBy(text).orderBy(F.desc("ratio"), entry))
-    two = scored.withColumn("place", place).where("place <= 2").groupBy(text).agg(F.min_by(entry, "place").alias(entry), F.max("ratio").alias("ratio"), F.max(F.when(F.col("place") == 2, F.col("ratio"))).alias("next"))
+    left = checkpointed(reads.select(text).where(F.col(text).isNotNull()).distinct())
+    lexicon = checkpointed(lexicon.select(entry).distinct())
+    seen = None
+    for t in tiers(floor - margin):
+        found = best_entries(left, text, lexicon, entry, t).groupBy(text).agg(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("less"), F.col(entry)))).alias("r"))  # two at most
+        found = checkpointed(found.withColumn("settled", (F.size("r") == 2) | (-F.col("r")[0]["less"] - margin >= t)))
+        done = found if t == floor - margin else found.where("settled")
+        seen = done if seen is None else seen.unionByName(done)
+        left = checkpointed(left.join(found.where("settled"), text, "left_anti"))
+    two = seen.select(text, F.col("r")[0][entry].alias(entry), (-F.col("r")[0]["less"]).alias("ratio"), (-F.get("r", F.lit(1))["less"]).alias("next"))
     return two.where((F.col("ratio") >= floor) & (F.col("next").isNull() | (F.col("ratio") - F.col("next") >= margin - 1e-9))).select(text, entry, "ratio")

@@ -126,3 +126,14 @@ def test_best_entries_equal_all_pairs(spark, monkeypatch, threshold):
     tree = B.Tree(two)
     found = [(one[i], two[j], z) for x in B.walked(one, tree, threshold) for i, j, z in zip(*x, strict=True)]
     assert sorted(found) == sorted((t, e, indel_ratio(t, e)) for t in one for e in two if indel_ratio(t, e) >= threshold)
+
+
+def test_candidates_of_numbered_names_stay_few(spark, monkeypatch):
+    """Names that differ in a number have very many near ones; rows made are two a text at most, however many these are."""
+    made = []
+    few = B.best_entries
+    monkeypatch.setattr(N, "best_entries", lambda *a, **k: made.append((a[0].distinct().count(), few(*a, **k))) or made[-1][1])
+    names = [(f"red ring {k:04d}".translate(str.maketrans("0123456789", "abcdefghij")),) for k in range(0, 6400, 8)]
+    df = spark.createDataFrame(names, "e string")
+    N.recognised(df.select(F.regexp_replace("e", "n", "m").alias("t")), "t", df, "e").count()
+    assert made and all(found.count() <= 2 * n for n, found in made)
