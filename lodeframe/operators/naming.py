@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import indel_similarity, sequence_ratio, sequence_similarity
+from ..functions.similarity import sequence_ratio, sequence_similarity
 from ..session import checkpointed
 from .best import best_entries, tiers
 from .clustering import ancestors
-from .nearness import near_pairs
 
 # A near spelling becomes an alias from the first ratio on, and a suggestion from the second.
 ALIAS, SUGGESTION = 0.92, 0.6
@@ -43,14 +42,19 @@ def suggested(raws: DataFrame, tags: DataFrame, stored: DataFrame) -> DataFrame:
     A text that is no tag's name or alias takes the nearest tag (ties to the smaller pk): from
     ``ALIAS`` on it is AUTO_ACCEPTED, from ``SUGGESTION`` on PENDING.  Stored rows gain the new
     occurrences; PENDING may become AUTO_ACCEPTED, never the reverse; REJECTED stays as it is.
-    Texts meet the candidates that can reach the ratio by the letters they share.
+    Each text looks for its nearest alone (``best.best_entries``); tags whose texts read alike are one
+    candidate, that of the smallest pk.
     """
     new = raws.groupBy("raw").agg(F.count("*").alias("seen")).join(known_tags(tags).select("low"), F.lower("raw") == F.col("low"), "left_anti")
     new = new.join(stored.where("status = 'REJECTED'").select("raw"), "raw", "left_anti").withColumn("q", T.searchable(F.col("raw"))).where("q <> ''")
-    texts = tags.select("pk", F.explode(F.concat(F.array("name"), "aliases")).alias("t")).select("pk", T.searchable(F.col("t")).alias("c")).distinct()
-    ratios = near_pairs(new, "q", texts, "c", SUGGESTION).withColumn("ratio", indel_similarity("q", "c")).where(F.col("ratio") >= SUGGESTION)
-    pairs = new.join(ratios, "q").join(texts, "c")
-    best = pairs.groupBy("raw").agg(F.max("seen").alias("seen"), F.max(F.struct("ratio", (-F.col("pk")).alias("less"))).alias("b")).select("raw", "seen", F.col("b.ratio").alias("ratio"), (-F.col("b.less")).alias("tag_pk")).where(F.col("ratio") >= SUGGESTION)
+    texts = tags.select("pk", F.explode(F.concat(F.array("name"), "aliases")).alias("t")).groupBy(T.searchable(F.col("t")).alias("c")).agg(F.min("pk").alias("pk"))
+    new, texts, nearest = checkpointed(new), checkpointed(texts), None
+    left = new.select("q").distinct()
+    for t in tiers(SUGGESTION):
+        found = best_entries(left, "q", texts, "c", t, 1, "pk")
+        nearest = found if nearest is None else nearest.unionByName(found)
+        left = checkpointed(left.join(found, "q", "left_anti"))
+    best = new.join(nearest.join(texts, "c"), "q").select("raw", "seen", "ratio", F.col("pk").alias("tag_pk"))
     fresh = best.withColumn("status", F.when(F.col("ratio") >= ALIAS, "AUTO_ACCEPTED").otherwise("PENDING"))
     s, f = stored.alias("s"), fresh.alias("f")
     both = s.join(f, F.col("s.raw") == F.col("f.raw"), "full")

@@ -137,3 +137,11 @@ def test_candidates_of_numbered_names_stay_few(spark, monkeypatch):
     df = spark.createDataFrame(names, "e string")
     N.recognised(df.select(F.regexp_replace("e", "n", "m").alias("t")), "t", df, "e").count()
     assert made and all(found.count() <= 2 * n for n, found in made)
+
+
+def test_tags_that_read_alike_are_one_candidate(spark):
+    """Digits are no part of a searchable text: all tags here have one, and the smallest pk of them wins."""
+    tags = spark.range(5, 3005).selectExpr("id as pk", "concat('tag', id) as name", "array(concat('label tag', id)) as aliases")
+    stored = spark.createDataFrame([], "raw string, tag_pk long, ratio double, occurrences long, status string")
+    out = N.suggested(spark.createDataFrame([("tagg1",), ("labl tag",), ("tagg1",)], "raw string"), tags, stored)
+    assert {(r.raw, r.tag_pk, r.occurrences) for r in out.collect()} == {("tagg1", 5, 2), ("labl tag", 5, 1)}
