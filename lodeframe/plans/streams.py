@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from ..streaming import state as K
 from .registry import Inputs, query
 
 
+#: Claimed keys that a worker holds before it writes them.
+KEYS_HELD = 1 << 17
+
+
 def ran(i: Inputs, process, name: str, changes=None) -> str:
     """Run the events through a conveyor; gives the folder of its results."""
     out = f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
@@ -54,19 +59,22 @@ def _(i):
 @query("stm_4_claimed_ranges", "select pk, cast(1 as bigint) as n_claims from cards where status <> 'RESOLVED'")
 def _(i):
     """Two workers race along one cursor until the lap ends: each eligible row is claimed once, by one of them."""
-    rows, folder = i.cards.select("pk", "status"), shared_folder(i.spark)
-    cursor = C.Cursor(folder, f"cursor-{uuid.uuid4().hex}", i.spark)
-
-    def walked(worker: str) -> list[int]:
-        keys = []
-        while not (walk := C.claimed(rows, "pk", cursor, worker, F.col("status") != "RESOLVED", 1500, 1000, 3000, lap=0)).lap_ended:
-            keys += walk.found
-        return keys + walk.found
+    folder, name, fits = shared_folder(i.spark), uuid.uuid4().hex, F.col("status") != "RESOLVED"
+    rows, kept = i.cards.select("pk", "status"), f"{folder}/claims-{name}"
+
+    def walked(worker: str) -> None:
+        """Claims are written some walks at a time: the driver never holds a lap."""
+        cursor, ahead, keys, ended = C.Cursor(folder, f"cursor-{name}", i.spark), C.Ahead(rows, "pk", fits), [], False
+        while not ended:
+            walk = C.claimed(ahead, "pk", cursor, worker, fits, 1500, 1000, 3000, lap=0)
+            keys, ended = keys + walk.found, walk.lap_ended
+            if ended or len(keys) >= KEYS_HELD:
+                i.spark.createDataFrame(pa.table({"pk": pa.array(keys, pa.int64())})).write.mode("append").parquet(f"{kept}-{worker}")
+                keys = []
 
     with ThreadPoolExecutor(2) as pool:
-        keys = [k for part in pool.map(walked, ("ann", "bob")) for k in part]
-    claims = checkpointed(i.spark.createDataFrame([(k,) for k in keys], "pk long"))
-    return claims.groupBy("pk").agg(F.count("*").alias("n_claims"))
+        list(pool.map(walked, ("ann", "bob")))
+    return i.spark.read.schema("pk long").parquet(f"{kept}-ann", f"{kept}-bob").groupBy("pk").agg(F.count("*").alias("n_claims"))
 
 
 @query("stm_5_lap_evidence", "select count(*) as n, count(*) filter (where status = 'UNRESOLVED') as n_found, count(*) filter (where status = 'UNRESOLVED') = 0 as drained from (select status from cards order by pk <= 100, pk limit 500)")
