@@ -190,7 +190,9 @@ def _(i):
 
 @query("set_4_intersection", "select entity as pk from votes intersect select card_pk from scans")
 def _(i):
-    return i.votes.select(F.col("entity").alias("pk")).intersect(i.scans.select("card_pk"))
+    """Each side shrinks to a row a key before the shuffle: a join would hold every row of a key at once."""
+    sides = i.votes.select(F.col("entity").alias("pk"), F.lit(1).alias("side")).unionByName(i.scans.select(F.col("card_pk").alias("pk"), F.lit(2).alias("side")))
+    return sides.groupBy("pk").agg(F.bit_or("side").alias("sides")).where("sides = 3").select("pk")
 
 
 @query("scl_1_week_truncation", "select pk, cast(date_trunc('week', ts) as timestamp) as week from votes")

@@ -2,8 +2,18 @@
 
 from pyspark.sql import functions as F
 
+from lodeframe.plans import QUERIES
 from lodeframe.streaming import claims as C
 
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_intersection_meets_by_counts(spark):
+    """Rows are aggregated before the shuffle, of both sides: no task holds all rows of a key, as one of a join does."""
+    plan = QUERIES["set_4_intersection"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
 def test_a_lap_of_many_chunks_reads_few_stretches(spark, tmp_path):
     """Chunks come from a stretch read ahead, whoever moves the cursor, and each key is claimed once."""
     rows = spark.range(1000).selectExpr("id as k").unionByName(spark.createDataFrame([(None,)], "k long"))
