@@ -6,6 +6,10 @@ all, grey, art up to the sides, black far inwards), small print below, and its v
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,15 +48,32 @@ def _cell(plane: str, y: str, x: str, level: str) -> str:
     return f"case when {y} >= y0 and {y} < y1 and {x} >= x0 and {x} < x1 then {art} when {y} >= 53 and vec_id % 3 = 0 then 255 * ({x} % 2) else border_{plane} end"
 
 
-def pictures(i: Inputs) -> DataFrame:
-    """(vec_id, red, green, blue): three planes of cells, row behind row."""
-    drawn = i.embeddings.selectExpr("vec_id", f"transform(embedding, e -> {LEVEL.format('e')}) as g", *_DRAWN).where("size(g) = 64")
+def _painted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Planes of rows (vec_id, g and what ``_DRAWN`` gives), by array indices and few rows at a time; -1 stands for a null level."""
+    y, x = np.arange(H * W) // W, np.arange(H * W) % W
+    art = {p: (y * 7 + x * 3 + s) % 64 for p, s in _SHIFTS.items()}
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            whole = {c: part[c].fill_null(-1).to_numpy(zero_copy_only=False) for c in part.schema.names if c not in ("vec_id", "g")}
+            y0, y1, x0, x1 = (whole[c][:, None] for c in ("y0", "y1", "x0", "x1"))
+            inside = (y >= y0) & (y < y1) & (x >= x0) & (x < x1)  # nowhere between bounds of -1
+            print_ = (y >= 53) & (whole["small"] == 1)[:, None]
+            levels = part["g"].flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, 64)
+            planes = []
+            for p in P.PLANES:
+                cells = np.where(inside, levels[:, art[p]], np.where(print_, 255 * (x % 2), whole[f"border_{p}"][:, None])).astype(np.int32).ravel()
+                missing = cells < 0
+                planes.append(pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * (H * W), pa.array(cells, mask=missing if missing.any() else None)))
+            yield pa.RecordBatch.from_arrays([part["vec_id"], *planes], names=["vec_id", *P.PLANES])
 
-    def plane(p: str) -> str:
-        """Its second look at g keeps the optimizer from computing all levels anew for each cell."""
-        return f"case when size(g) = 64 then transform(sequence(0, {H * W - 1}), k -> cast({_cell(p, '(k div 40)', '(k % 40)', 'element_at(g, {} + 1)')} as int)) end as {p}"
 
-    return drawn.selectExpr("vec_id", *[plane(p) for p in P.PLANES])
+def pictures(i: Inputs) -> DataFrame:
+    """(vec_id, red, green, blue): three planes of cells, row behind row."""
+    drawn = i.embeddings.selectExpr("vec_id", f"transform(embedding, e -> {LEVEL.format('e')}) as g", *_DRAWN, "cast(vec_id % 3 = 0 as int) as small").where("size(g) = 64")
+    wide = drawn.select("vec_id", "g", *[F.col(c).cast("int").alias(c) for c in drawn.columns[2:]])
+    kind = wide.schema["vec_id"].dataType.simpleString()
+    return wide.mapInArrow(_painted, f"vec_id {kind}, {', '.join(f'{p} array<int>' for p in P.PLANES)}")
 
 
 #: Cells of all pictures in SQL.
