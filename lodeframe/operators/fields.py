@@ -142,10 +142,9 @@ def rectangle(levels: Column, width: int, cells: Cells) -> Column:
 
 
 def moments(values: Column) -> Column:
-    """(n, sum, squares) of an array of whole numbers, exactly."""
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("squares"))
-    added = F.aggregate(values, zero, lambda a, v: F.struct((a["sum"] + v).alias("sum"), (a["squares"] + v.cast("long") * v).alias("squares")))
-    return F.struct(F.size(values).cast("long").alias("n"), added["sum"].alias("sum"), added["squares"].alias("squares"))
+    """(n, sum, squares) of an array of whole numbers, exactly, in one pass: what ``values`` stands for is computed once."""
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("n", "sum", "squares")])
+    return F.aggregate(values, zero, lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["sum"] + v).alias("sum"), (a["squares"] + v.cast("long") * v).alias("squares")))
 
 
 def mean_of(m: Column) -> Column:
